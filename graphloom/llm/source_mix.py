@@ -149,7 +149,7 @@ def mixture(docs: DataFrame, block_words: int = 128, shard_slots: int = 4096, sh
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken (words that the mix takes of it, repeats counted), row.
+    """One row per row of docs: doc_id, source, size, source_size, target, taken (words that the mix takes of it, repeats counted), row.
 
     No document gives more than `most` (2) times its size. Reruns over the same rows agree. Empty tables
     give no rows; wordless documents give no words.
@@ -157,6 +157,6 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     documents, pieces = mixture(docs, **options)
     zero = F.lit(0).cast("long")
     if pieces is None:
-        return documents.select("doc_id", "size", "source_size", "target", zero.alias("taken"), "row")
+        return documents.select("doc_id", "source", "size", "source_size", "target", zero.alias("taken"), "row")
     sums = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
-    return documents.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), "row")
+    return documents.join(sums, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), "row")
