@@ -1,0 +1,8 @@
+"""Graph retrieval and text-knowledge analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run on executors travel with their code, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
