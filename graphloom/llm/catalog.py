@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .jaccard_join import near_duplicates
 from .kneser_ney import lm_scores
 from .license_scan import license_scan
+from .line_chunks import deduplicate_lines
 from .quality_fm import quality_scores
 from .source_mix import taken
+from .token_count import token_counts, zipf_vocabulary
+from .tool_chat import TURN_TOOLS, link_calls, turn_calls
+
+#: The public vocabulary whose pieces token counts use; no public file here holds a unigram model.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +30,22 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
+def op2_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line as its digest and length."""
+    linked = link_calls(*turn_calls(read(spark, sf_dir, "conversations")), TURN_TOOLS)
+    return linked.select("conv_id", "call_id", "turn", "name", "depth", "status", "valid", F.sha2("line", 256).alias("line_sha256"), F.length("line").cast("long").alias("line_chars"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), zipf_vocabulary(VOCABULARY))
+
+
+def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each remaining text as its digest."""
+    out = deduplicate_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(read(spark, sf_dir, "documents")).drop("row", "source")
 
@@ -49,6 +72,9 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_tool_chat": op2_tool_chat,
+    "op4_token_counts": op4_token_counts,
+    "op5_line_chunks": op5_line_chunks,
     "op3_source_mix": op3_source_mix,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_jaccard_join": op7_jaccard_join,
@@ -75,5 +101,28 @@ c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(rang
 t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+""",
+    "op2_tool_chat": r"""
+WITH RECURSIVE u AS (SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, length(coalesce(text, '')) AS chars, turn // 2 - (turn // 2) % 2 AS half, turn // 2 < turn AS has FROM conversations WHERE role = 'user'),
+f AS (SELECT conv_id, call_id, min({'turn': turn, 'name': CASE WHEN chars % 3 = 0 THEN 'outline' ELSE 'lookup' END, 'chars': chars, 'half': half, 'has': has}) AS c, count(*) AS n FROM u GROUP BY conv_id, call_id),
+q AS (SELECT conv_id, call_id, c.turn AS turn, c.name AS name, c.chars AS chars, c.has AS has, CASE WHEN c.has THEN 'c' || conv_id || '-' || c.half END AS before, n FROM f),
+d AS (SELECT q.conv_id, q.call_id, 0 AS depth FROM q LEFT JOIN q b ON q.conv_id = b.conv_id AND q.before = b.call_id WHERE b.call_id IS NULL
+  UNION ALL SELECT q.conv_id, q.call_id, d.depth + 1 FROM q JOIN d ON q.conv_id = d.conv_id AND q.before = d.call_id WHERE q.before <> q.call_id),
+r AS (SELECT conv_id, 'c' || conv_id || '-' || (turn - 1) AS call_id, min({'turn': turn, 'content': md5(coalesce(text, ''))}).content AS content, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
+l AS (SELECT q.conv_id, q.call_id, q.turn, q.name, CAST(d.depth AS BIGINT) AS depth, CASE WHEN q.n > 1 OR r.n > 1 THEN 'repeated' WHEN r.n IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  q.has OR q.name = 'lookup' AS valid,
+  '{"arguments":{' || CASE WHEN q.has THEN '"after":["' || q.before || '"],' ELSE '' END || '"chars":' || q.chars || ',"turn":' || q.turn || '},"call_id":"' || q.call_id || '","content":' || coalesce('"' || r.content || '"', 'null') || ',"name":"' || q.name || '"}' AS line
+  FROM q LEFT JOIN d ON q.conv_id = d.conv_id AND q.call_id = d.call_id LEFT JOIN r ON q.conv_id = r.conv_id AND q.call_id = r.call_id)
+SELECT conv_id, call_id, turn, name, depth, status, valid, sha256(line) AS line_sha256, length(line) AS line_chars FROM l
+""",
+    "op5_line_chunks": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+h AS (SELECT doc_id, w, list_transform(w, lambda x: CAST('0x' || substr(md5(x), 1, 6) AS BIGINT)) AS h FROM d),
+e AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: i = len(w) OR ((h[i] + coalesce(CASE WHEN i > 1 THEN h[i - 1] END, 0) * 257 + coalesce(CASE WHEN i > 2 THEN h[i - 2] END, 0) * 66049) % 1000003) % 4 = 0) AS e FROM h),
+c AS (SELECT doc_id, unnest(range(1, len(e) + 1)) AS no, w, e FROM e),
+k AS (SELECT doc_id, no, e[no] - coalesce(CASE WHEN no > 1 THEN e[no - 1] END, 0) AS n, array_to_string(list_slice(w, coalesce(CASE WHEN no > 1 THEN e[no - 1] END, 0) + 1, e[no]), chr(10)) AS t FROM c),
+m AS (SELECT doc_id, no, n, t, n > 1 AND row_number() OVER (PARTITION BY t, n > 1 ORDER BY doc_id, no) > 1 AS gone FROM k)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS removed_chunks, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS removed_lines,
+  sha256(coalesce(string_agg(t, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS text_sha256 FROM m GROUP BY doc_id
 """,
 }

@@ -22,23 +22,34 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 6), 16, 10).cast("long")
 
 
-def with_chunks(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with row_key, n_lines and chunks: array of (n, text), the text's lines in order."""
-    lines = docs.withColumn("row_key", _dist.row_key("doc_id", "text")).withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    hashed = lines.withColumn("h", F.transform("lines", line_hash)).withColumn("n_lines", F.size("lines"))
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once; a plain column would be put in place of its name and computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _ends_chunk(hashes: Column, n: Column, i: Column) -> Column:
+    """Whether line i ends a chunk; the last one always does."""
+    rolled = F.get(hashes, i)
+    for back in range(1, WINDOW):
+        rolled = rolled + F.coalesce(F.get(hashes, i - back), F.lit(0).cast("long")) * BASE**back
+    return ((rolled % MODULUS) % EVERY == 0) | (i == n - 1)
+
 
-    def ends(h: Column, i: Column) -> Column:
-        rolled = h
-        for back in range(1, WINDOW):
-            rolled = rolled + F.coalesce(F.get("h", i - back), F.lit(0).cast("long")) * BASE**back
-        return (rolled % MODULUS) % EVERY == 0
+def _chunks(lines: Column, hashes: Column) -> Column:
+    def cut(ends: Column) -> Column:
+        begin = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
+        return F.transform(ends, lambda e, i: F.struct((e - begin(i)).alias("n"), F.array_join(F.slice(lines, begin(i) + 1, e - begin(i)), "\n").alias("text")))
 
-    # each line's number, where it ends a chunk; the last one always does
-    marks = F.filter(F.transform("h", lambda h, i: F.when(ends(h, i) | (i == F.col("n_lines") - 1), i + 1)), lambda x: x.isNotNull())
-    cut = hashed.withColumn("ends", marks)
-    begin = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0))
-    chunk = lambda e, i: F.struct((e - begin(i)).alias("n"), F.array_join(F.slice("lines", begin(i) + 1, e - begin(i)), "\n").alias("text"))
-    return cut.withColumn("chunks", F.transform("ends", chunk)).drop("lines", "h", "ends")
+    n = F.size(hashes)
+    marked = F.filter(F.sequence(F.lit(1), n), lambda e: _ends_chunk(hashes, n, e - 1))
+    return _let(marked, cut)
+
+
+def with_chunks(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with row_key and chunks: array of (n, text), the text's lines in order."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    chunks = _let(lines, lambda w: _let(F.transform(w, line_hash), lambda h: _chunks(w, h)))
+    return docs.withColumn("row_key", _dist.row_key("doc_id", "text")).withColumn("chunks", chunks)
 
 
 def repeated_places(chunked: DataFrame, hash_bits: int = 64) -> DataFrame:
@@ -78,11 +89,13 @@ def deduplicate_lines(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     kind = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = _dist.materialize(repeated_places(with_chunks(kind), hash_bits), "places")
     named = found.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"), "places")
-    each = with_chunks(docs.withColumn("text", F.col("text").cast("string")).drop("places", "chunks", "row_key", "lines", "h", "ends"))
+    made = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
+    others = [c for c in docs.columns if c not in {"doc_id", "text", *made}]
+    each = with_chunks(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("__none"), *others).alias("others")))
     out = each.join(_dist.small_or_shuffled(named, found.count()), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__row")), "left")
     places = F.coalesce("places", F.array().cast("array<int>"))
     left = F.filter("chunks", lambda c, i: ~F.array_contains(places, i))
     gone = F.filter("chunks", lambda c, i: F.array_contains(places, i))
     lines = F.aggregate(gone, F.lit(0), lambda acc, c: acc + c["n"])
     text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda c: c["text"]), "\n"))
-    return out.withColumns({"n_lines": F.col("n_lines").cast("long"), "n_chunks": F.size("chunks").cast("long"), "removed_chunks": F.size(places).cast("long"), "removed_lines": lines.cast("long"), "text": text}).drop("__id", "__row", "row_key", "places", "chunks")
+    return out.withColumns({"n_lines": F.aggregate("chunks", F.lit(0).cast("long"), lambda acc, c: acc + c["n"]), "n_chunks": F.size("chunks").cast("long"), "removed_chunks": F.size(places).cast("long"), "removed_lines": lines.cast("long"), "text": text}).select("doc_id", "text", *[F.col("others")[c].alias(c) for c in others], *made)
