@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import q_tables
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = "naive_context"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+FLAGSHIP = "chunk_token_windows"
+_PARTS = (q_tables,)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
