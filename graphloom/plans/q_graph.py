@@ -28,17 +28,18 @@ def _outputs(s, d):
     both = X.read(s, d, "lineitem").join(X.read(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     part, cust, supp = (F.concat(F.lit(k), F.col(c).cast("string")) for k, c in (("part ", "l_partkey"), ("customer ", "o_custkey"), ("supplier ", "l_suppkey")))
     text = F.concat(F.lit('("entity"<|>'), part, F.lit('<|>product<|>sold as '), F.col("l_returnflag"), F.lit(')##("entity"<|>only three)##("relationship"<|>'), cust, F.lit("<|>"), part, F.lit("<|>bought<|>"), F.format_string("%.1f", "l_quantity"), F.lit(')##("relationship"<|>'), supp, F.lit("<|>"), part, F.lit("<|>supplies<|>often)<|COMPLETE|>"))
-    return both.select(F.col("l_orderkey").alias("doc_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("chunk_id"), text.alias("output"))
+    chunk = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    return both.select(F.col("l_orderkey").alias("doc_id"), chunk.alias("chunk_id"), text.alias("output"))
 
 
-@query("""WITH b AS (SELECT l_orderkey AS doc_id, l_orderkey || '-' || l_linenumber AS chunk_id, l_partkey, o_custkey, l_suppkey, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+@query("""WITH b AS (SELECT l_orderkey AS doc_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS chunk_id, l_partkey, o_custkey, l_suppkey, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT doc_id, chunk_id, 0 AS ord, 'PART ' || l_partkey AS entity_name, 'PRODUCT' AS entity_type, 'sold as ' || l_returnflag AS description, false AS implicit FROM b
 UNION ALL SELECT doc_id, chunk_id, 2, 'CUSTOMER ' || o_custkey, '"UNKNOWN"', 'bought', true FROM b UNION ALL SELECT doc_id, chunk_id, 3, 'SUPPLIER ' || l_suppkey, '"UNKNOWN"', 'supplies', true FROM b""")
 def parse_tuple_entities(s, d):
     return extraction.parse_records(_outputs(s, d))[0]
 
 
-@query("""WITH b AS (SELECT l_orderkey AS doc_id, l_orderkey || '-' || l_linenumber AS chunk_id, l_partkey, o_custkey, l_suppkey, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+@query("""WITH b AS (SELECT l_orderkey AS doc_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS chunk_id, l_partkey, o_custkey, l_suppkey, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT doc_id, chunk_id, 2 AS ord, 'CUSTOMER ' || o_custkey AS src, 'PART ' || l_partkey AS tgt, 'RELATED' AS relation_type, 'bought' AS description, CAST(round(l_quantity, 1) AS DOUBLE) AS weight FROM b
 UNION ALL SELECT doc_id, chunk_id, 3, 'SUPPLIER ' || l_suppkey, 'PART ' || l_partkey, 'RELATED', 'supplies', 1.0 FROM b""")
 def parse_tuple_relationships(s, d):
@@ -62,7 +63,7 @@ def model_extraction(s, d):
     return extraction.fact_ids(*extraction.parse_structured(told.select("doc_id", "chunk_id", "output")))[0].select("doc_id", "entity_id", "entity_name", "implicit")
 
 
-@query(f"WITH {X.DOC_ENTITIES} SELECT doc_id, count(*) AS chunks, count(DISTINCT entity_name) AS entities, count(DISTINCT entity_name) < greatest(3, floor(count(DISTINCT chunk_id) * 2.0)) AS low FROM (SELECT doc_id, chunk_id, entity_name FROM ents) GROUP BY doc_id")
+@query(f"WITH {X.DOC_ENTITIES} SELECT doc_id, count(DISTINCT chunk_id) * 3 AS chunks, count(DISTINCT entity_name) AS entities, count(DISTINCT entity_name) < greatest(3, floor(count(DISTINCT chunk_id) * 2.0)) AS low FROM (SELECT doc_id, chunk_id, entity_name FROM ents) GROUP BY doc_id")
 def low_yield_check(s, d):
     e = X.doc_entities(s, d)
     out = extraction.low_yield(e, e.select("doc_id", "chunk_id").distinct())
