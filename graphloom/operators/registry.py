@@ -81,11 +81,13 @@ def mentions(texts: DataFrame, registry: DataFrame) -> DataFrame:
     names = registry.select("entity_id", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("raw")).select("entity_id", F.lower("raw").alias("name")).where("name <> ''").distinct()
     head = lambda c: F.substring(c, 1, 3)
     long_ = names.where(F.length("name") >= 3).withColumn("gram", head(F.col("name")))
-    low = texts.select("text_id", F.lower("text").alias("text"))
-    grams = low.select("text_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda i: F.substring("text", i, F.lit(3))))).alias("gram"))
+    low = texts.select("text_id", F.lower("text").alias("text")).withColumn("c", F.split("text", ""))
+    at = lambda i: F.coalesce(F.get("c", i), F.lit(""))  # noqa: E731  letters of an array, as a substring walks the text from its start
+    each = F.sequence(F.lit(0), F.size("c") - 1)
+    grams = low.where("text <> ''").select("text_id", "text", F.explode(F.array_distinct(F.transform(each, lambda i: F.concat(at(i), at(i + 1), at(i + 2))))).alias("gram"))
     found = grams.join(long_, "gram").where(F.contains("text", "name")).select("text_id", "entity_id")
     few = names.where(F.length("name") < 3).select("entity_id", F.col("name").alias("gram"))
-    parts = low.select("text_id", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.array(F.substring("text", i, F.lit(1)), F.substring("text", i, F.lit(2))))))).alias("gram"))
+    parts = low.where("text <> ''").select("text_id", F.explode(F.array_distinct(F.concat("c", F.transform(each, lambda i: F.concat(at(i), at(i + 1)))))).alias("gram"))
     short = parts.join(few, "gram").select("text_id", "entity_id")
     return found.union(short).distinct()
 

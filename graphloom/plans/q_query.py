@@ -122,7 +122,7 @@ _CHUNKS = "nc AS (SELECT src AS id, chunk_id FROM cedges UNION SELECT dst, chunk
 
 
 @query(f"""WITH {X.CUSTOMER_EDGES}, {_HITS}, {_CHUNKS}, own AS (SELECT chunk_id, min(ord) AS ord, arg_min(id, ord) AS id FROM hits JOIN nc USING (id) GROUP BY chunk_id),
-sh AS (SELECT chunk_id, count(*) AS relations FROM (SELECT DISTINCT own.chunk_id, b.o FROM own JOIN b ON own.id = b.id) x JOIN nc ON nc.id = x.o AND nc.chunk_id = x.chunk_id GROUP BY 1),
+sh AS (SELECT x.chunk_id, count(*) AS relations FROM (SELECT DISTINCT own.chunk_id, b.o FROM own JOIN b ON own.id = b.id) x JOIN nc ON nc.id = x.o AND nc.chunk_id = x.chunk_id GROUP BY 1),
 t AS (SELECT own.chunk_id, ord, coalesce(relations, 0) AS relations, 4 + 1 AS c FROM own LEFT JOIN sh USING (chunk_id)) SELECT chunk_id, ord, relations FROM (SELECT *, sum(c) OVER (ORDER BY ord, relations DESC, chunk_id ROWS UNBOUNDED PRECEDING) AS u FROM t) WHERE u <= 60""")
 def local_text_units(s, d):
     _, e, hits = _graph(s, d)
