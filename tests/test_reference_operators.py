@@ -71,7 +71,7 @@ def test_registry(spark):
     reg = spark.createDataFrame([("e1", "Charles Dickens", "PERSON", ["Boz"], {}, 1), ("e2", "Charles Dickins", "PERSON", [], {}, 2), ("e3", "Of", "X", [], {}, 3)], "entity_id string, canonical_name string, entity_type string, aliases array<string>, metadata map<string,string>, reg_order int")
     q = spark.createDataFrame([("a", "mr charles dickens", "PERSON"), ("b", "boz", ""), ("c", "Charles Dickenz", "PERSON"), ("d", "nobody at all", "")], "query_id string, name string, entity_type string")
     assert {r.query_id: r.entity_id for r in registry.resolve_fuzzy(q, reg, 0.85).collect()} == {"a": "e1", "b": "e1", "c": "e1", "d": None}
-    assert {r.entity_id for r in registry.candidates(q.where("query_id = 'c'"), reg, 0.9, 3).collect()} == {"e1", "e2"}
+    assert {r.entity_id for r in registry.candidates(q.where("query_id = 'c'"), reg, 0.85, 3).collect()} == {"e1", "e2"}
     texts = spark.createDataFrame([(1, "novels of CHARLES DICKENS"), (2, "boz"), (3, "")], "text_id int, text string")
     assert sorted(tuple(r) for r in registry.mentions(texts, reg).collect()) == [(1, "e1"), (1, "e3"), (2, "e1")]
 
