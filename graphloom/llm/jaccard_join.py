@@ -7,12 +7,14 @@ the prefix, the more of its tokens must match.
 1. Copies: equal sets get one 64-bit identifier, checked against 128 bits.
 2. Prefix rows (token, set) are counted in Spark. A set that has, for any of the levels of m, fewer
    than m tokens that another set has too can't link with any set and goes.
-3. The level of each size band is the one whose kept tokens promise the fewest candidates; sets drop
-   their m - 1 most frequent prefix tokens, which a pair's m matches allow.
-4. Sets that share kept tokens form clusters; whole shingle sets of those only are read again. Clusters
-   are joined in blocks of bounded size, where each document takes the prefix length with the lowest
-   estimated cost, pairs must share as many prefix tokens as the shorter of both asks for, and pairs
-   of sets that aren't connected yet are verified exactly.
+3. The level of each size band is the one whose tokens promise the fewest candidates. Pairs are counted
+   over light tokens, those of few sets, and must share m tokens. Sets with m or more heavy tokens may
+   share those only; their prefix grows to the whole set, of which all but the rarest tokens may go: they
+   are linked to one set of each token that is left, not to all.
+4. Sets so linked form clusters; whole shingle sets of those only are read again. Clusters are joined
+   in blocks of bounded size, where each document takes the prefix length with the lowest estimated
+   cost, pairs must share as many prefix tokens as the shorter of both asks for, and pairs of sets that
+   aren't connected yet are verified exactly.
 
 Blocks give a spanning forest of the links, never all pairs of a group.
 """
@@ -36,7 +38,9 @@ from ._words import Words, shingles, signed, slices
 #: Share of a set by which the levels lengthen a prefix.
 LEVELS = (0.0, 0.025, 0.05)
 #: Shingles in a part of a cluster, and in a pool of small clusters.
-PART_TOKENS, POOL_TOKENS = 1_500_000, 750_000
+PART_TOKENS, POOL_TOKENS = 1_000_000, 500_000
+#: Sets that may have a light token. Pairs of a light token are at most half that for each of its rows.
+LIGHT = 24
 
 
 def overlap(size: int | np.ndarray, num: int, den: int):
@@ -128,7 +132,7 @@ def band(size: int, num: int, den: int) -> int:
 
 
 def _kept(num: int, den: int, levels: dict[int, int]):
-    """Rows (token, set_id, size): tokens that remain of each set's prefix."""
+    """Rows (token, set_id, size, need): tokens of each set's prefix at the level of its band, and how many of them a linked set surely shares."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -136,12 +140,10 @@ def _kept(num: int, den: int, levels: dict[int, int]):
             for r in frame.itertuples():
                 own = levels.get(r.band, 0)
                 least = min(own, levels.get(r.band - 1, own), levels.get(r.band + 1, own))
-                length = list(_levels(np.int64(r.size), num, den))[own][1]
-                inside = int(np.searchsorted(r.ranks, length))
-                drop = int(LEVELS[least] * overlap(r.size, num, den))
-                order = np.lexsort((r.tokens[:inside], r.uses[:inside]))[: max(inside - drop, 0)]
-                out.append(pd.DataFrame({"token": np.asarray(r.tokens)[order], "set_id": r.set_id, "size": r.size}))
-            yield pd.concat(out) if out else pd.DataFrame({"token": [], "set_id": [], "size": []})
+                inside = int(np.searchsorted(r.ranks, list(_levels(np.int64(r.size), num, den))[own][1]))
+                need = 1 + int(LEVELS[least] * overlap(r.size, num, den))
+                out.append(pd.DataFrame({"token": np.asarray(r.tokens)[:inside], "set_id": r.set_id, "size": r.size, "need": need}))
+            yield pd.concat(out) if out else pd.DataFrame({"token": [], "set_id": [], "size": [], "need": []})
 
     return run
 
@@ -161,6 +163,20 @@ def _whole(k: int, seed: int):
     return run
 
 
+def _tokens(k: int):
+    """Rows (token, set_id) of rows (text, set_id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"))
+                tokens, at = shingles(words, words.hashes(), k)
+                ids = np.repeat(part.column("set_id").to_numpy(), np.diff(at))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(tokens)), pa.array(ids)], names=["token", "set_id"])
+
+    return run
+
+
 def link_block(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> np.ndarray:
     """Labels of the components of a block: sets of 64-bit tokens; only pairs of different sides are linked, or all if there is one side.
 
@@ -291,6 +307,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, see
     )
 
 
+def _texts(table: DataFrame, sets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The text of a document of each chosen set, with the columns of chosen."""
+    first = sets.select("set_id", F.col("first.doc_id").alias("__id"), F.col("first.row_key").alias("__row"))
+    named = _dist.materialize(chosen.join(first, "set_id"), "named")
+    return table.join(_dist.small_or_shuffled(named, named.count()), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__row")))
+
+
 def _links(table: DataFrame, sets: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
     """Links (a, b) between set_ids that have the components of all links."""
     prefix = _dist.materialize(table.select("text").mapInArrow(_prefixes(k, num, den, seed), "token long, set_id long, place long"), "prefix")
@@ -303,22 +326,48 @@ def _links(table: DataFrame, sets: DataFrame, k: int, num: int, den: int, seed:
     promising = _dist.materialize(promising, "promising")
     by_band = promising.groupBy("band").agg(*[F.sum(f"cost{i}").alias(f"cost{i}") for i in range(len(LEVELS))]).collect()  # bands: logarithm of the longest text
     levels = {r["band"]: min(range(len(LEVELS)), key=lambda i: r[f"cost{i}"]) for r in by_band}
-    kept = _dist.materialize(promising.select("set_id", "size", "band", "tokens", "uses", "ranks").mapInPandas(_kept(num, den, levels), "token long, set_id long, size long"), "kept")
+    kept = _dist.materialize(promising.select("set_id", "size", "band", "tokens", "ranks").mapInPandas(_kept(num, den, levels), "token long, set_id long, size long, need long"), "kept")
     stars = kept.groupBy("token").agg(F.min("set_id").alias("b"), F.count("*").alias("uses")).where("uses > 1")
     stars = _dist.materialize(stars, "stars")
     total = stars.agg(F.sum("uses")).first()[0] or 0
-    near = _dist.attach(kept, stars, "token", "uses", F.xxhash64("set_id", "token"), total).where("b is not null")
-    clusters = _dist.components(near.select(F.col("set_id").alias("a"), "b").where("a <> b").distinct(), "clusters")
+    known = _dist.attach(kept, stars, "token", "uses", F.xxhash64("set_id", "token"), total).where("b is not null")
+    by_set = known.groupBy("set_id").agg(F.first("need").alias("need"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("all"))
+    by_set = by_set.withColumn("heavy", F.filter("all", lambda x: x["uses"] > LIGHT)).withColumn("light", F.filter("all", lambda x: x["uses"] <= LIGHT)).withColumn("all", F.col("all.token"))
+    by_set = _dist.materialize(by_set, "by_set")
+    # light tokens: pairs that share enough of them
+    one = by_set.select(F.explode("light.token").alias("token"), F.struct("set_id", "size", "need", F.size("heavy").alias("heavy")).alias("s"))
+    lists = one.groupBy("token").agg(F.array_sort(F.collect_list("s")).alias("sets"))
+    pairs = lists.select(F.explode(F.flatten(F.transform("sets", lambda x, i: F.transform(F.slice("sets", F.lit(1), i), lambda y: F.struct(y.alias("x"), x.alias("y")))))).alias("p"))
+    pairs = pairs.where(F.least("p.x.size", "p.y.size") * den >= F.greatest("p.x.size", "p.y.size") * num)
+    counted = pairs.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") >= F.least("p.x.need", "p.y.need") - F.least("p.x.heavy", "p.y.heavy"))
+    counted = counted.select(F.col("p.x.set_id").alias("a"), F.col("p.y.set_id").alias("b"), F.least("p.x.need", "p.y.need").alias("least"))
+    side = lambda c: by_set.select(F.col("set_id").alias(c), F.col("all").alias(f"{c}_tokens"))
+    both = counted.join(side("a"), "a").join(side("b"), "b")
+    near = both.where(F.size(F.array_intersect("a_tokens", "b_tokens")) >= F.col("least")).select("a", "b")
+    # heavy tokens: whole sets of those that could do with heavy tokens alone, in order of frequency among them
+    costly = _dist.materialize(by_set.where(F.size("heavy") >= F.col("need")).select("set_id"), "costly")
+    rows = _dist.materialize(_texts(table, sets, costly).select("text", "set_id").mapInArrow(_tokens(k), "token long, set_id long"), "tokens")
+    uses = rows.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1")
+    uses = _dist.materialize(uses, "uses")
+    known = _dist.attach(rows, uses, "token", "uses", F.xxhash64("set_id", "token"), uses.agg(F.sum("uses")).first()[0] or 0)
+    size = F.size("all")
+    rarest = F.slice(F.array_sort("all"), F.lit(1), (size - F.ceil(size * num / F.lit(den)) + 1).cast("int"))
+    rest = known.groupBy("set_id").agg(F.collect_set(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "token")).alias("all")).select("set_id", F.explode(rarest).alias("h")).where("h.uses > 1")
+    # a set meets those of its size band and of the next one, as linked sets are in one or in neighbouring bands
+    bands = promising.select(F.col("set_id").alias("__id"), "band")
+    rest = rest.join(bands, F.col("set_id") == F.col("__id")).select("set_id", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "h")
+    rest = _dist.materialize(rest.select("set_id", F.xxhash64("h.token", "band").alias("token")), "rarest")
+    low = rest.groupBy("token").agg(F.min("set_id").alias("low"), F.count("*").alias("uses")).where("uses > 1")
+    low = _dist.materialize(low, "heavy")
+    joined = _dist.attach(rest, low, "token", "uses", F.xxhash64("set_id", "token"), low.agg(F.sum("uses")).first()[0] or 0)
+    near = near.union(joined.where("low is not null and low <> set_id").select("set_id", "low")).distinct()
+    clusters = _dist.components(near, "clusters")
     sized = clusters.join(promising.select(F.col("set_id").alias("id"), "size"), "id")
     sized = _dist.materialize(sized, "sized")
     weights = sized.groupBy("root").agg(F.sum("size").alias("weight"), F.count("*").alias("members"))
     told = _dist.attach(sized, weights, "root", "members", F.xxhash64("id"), sized.count())
-    first = sets.select("set_id", F.col("first.doc_id").alias("doc_id"), F.col("first.row_key").alias("row_key"))
-    chosen = told.select(F.col("id").alias("set_id"), "root", F.ceil(F.col("weight") / PART_TOKENS).alias("parts")).join(first, "set_id")
-    chosen = _dist.materialize(chosen, "chosen")
-    n = chosen.count()
-    named = chosen.select("set_id", "root", "parts", F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"))
-    texts = table.join(_dist.small_or_shuffled(named, n), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__row")))
+    chosen = _dist.materialize(told.select(F.col("id").alias("set_id"), "root", F.ceil(F.col("weight") / PART_TOKENS).alias("parts")), "chosen")
+    texts = _texts(table, sets, chosen)
     whole = texts.select("text", "set_id", "root", "parts").mapInArrow(_whole(k, seed), "set_id long, root long, parts long, tokens binary")
     pools = max(1, math.ceil((sized.agg(F.sum("size")).first()[0] or 0) / POOL_TOKENS))
     whole = whole.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("set_id"), F.col("parts"))).otherwise(F.lit(0)))

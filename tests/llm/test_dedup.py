@@ -80,6 +80,7 @@ def test_near_in_several_parts(spark, monkeypatch):
     from graphloom.llm import jaccard_join
 
     monkeypatch.setattr(jaccard_join, "PART_TOKENS", 400)
+    monkeypatch.setattr(jaccard_join, "LIGHT", 1)
     texts = some_texts(4)
     _, label = brute_components(texts, 3, 9, 10)
     got = {r.doc_id: r.component_id for r in near_duplicates(table(spark, texts), 3, 9, 10).collect()}
