@@ -107,18 +107,15 @@ def _costs(num: int, den: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for set_id, found in zip(frame.set_id, frame.found, strict=True):
-                found = {x["place"]: x for x in found}
-                places = np.array(sorted(found))
+            for set_id, places, tokens, uses in zip(frame.set_id, frame.place, frame.token, frame.uses, strict=True):
+                places = np.asarray(places)
                 size, ranks = int(places[0] >> 32), places & 0xFFFFFFFF
-                uses = np.array([found[p]["uses"] for p in places])
-                tokens = np.array([found[p]["token"] for p in places])
                 costs = []
                 for m, length in _levels(np.int64(size), num, den):
                     inside = int(np.searchsorted(ranks, length))
                     if inside < m:
                         break
-                    costs.append(float(np.sort(uses[:inside])[: inside - int(m) + 1].sum()))
+                    costs.append(float(np.sort(np.asarray(uses)[:inside])[: inside - int(m) + 1].sum()))
                 else:
                     out.append((set_id, size, band(size, num, den), tokens, uses, ranks, *costs))
             yield pd.DataFrame(out, columns=["set_id", "size", "band", "tokens", "uses", "ranks", *[f"cost{i}" for i in range(len(LEVELS))]])
@@ -320,7 +317,7 @@ def _links(table: DataFrame, sets: DataFrame, k: int, num: int, den: int, seed:
     counts = prefix.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.count("*").alias("uses")).where("lo <> hi")
     counts = _dist.materialize(counts.select("token", "uses"), "repeated")
     known = _dist.attach(prefix, counts, "token", "uses", F.xxhash64("set_id", "place"), counts.agg(F.sum("uses")).first()[0] or 0).where("uses is not null")
-    found = known.groupBy("set_id").agg(F.collect_list(F.struct("place", "token", "uses")).alias("found"))
+    found = known.groupBy("set_id").agg(F.array_sort(F.collect_set(F.struct("place", "token", "uses"))).alias("f")).select("set_id", "f.place", "f.token", "f.uses")
     costs = ", ".join(f"cost{i} double" for i in range(len(LEVELS)))
     promising = found.mapInPandas(_costs(num, den), f"set_id long, size long, band int, tokens array<long>, uses array<long>, ranks array<long>, {costs}")
     promising = _dist.materialize(promising, "promising")
