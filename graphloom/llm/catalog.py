@@ -12,7 +12,7 @@ from .exact_dedup import exact_duplicates
 from .jaccard_join import near_duplicates
 from .kneser_ney import lm_scores
 from .license_scan import license_scan
-from .line_chunks import deduplicate_lines
+from .line_chunks import deduplicate_lines, deduplicate_passages
 from .quality_fm import quality_scores
 from .source_mix import taken
 from .token_count import token_counts, zipf_vocabulary
@@ -46,6 +46,12 @@ def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op5_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each remaining text as its digest."""
+    out = deduplicate_passages(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(read(spark, sf_dir, "documents")).drop("row", "source")
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tool_chat": op2_tool_chat,
     "op4_token_counts": op4_token_counts,
     "op5_line_chunks": op5_line_chunks,
+    "op5_line_passages": op5_line_passages,
     "op3_source_mix": op3_source_mix,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_jaccard_join": op7_jaccard_join,
@@ -124,5 +131,14 @@ k AS (SELECT doc_id, no, e[no] - coalesce(CASE WHEN no > 1 THEN e[no - 1] END, 0
 m AS (SELECT doc_id, no, n, t, n > 1 AND row_number() OVER (PARTITION BY t, n > 1 ORDER BY doc_id, no) > 1 AS gone FROM k)
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS removed_chunks, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS removed_lines,
   sha256(coalesce(string_agg(t, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS text_sha256 FROM m GROUP BY doc_id
+""",
+    "op5_line_passages": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+p AS (SELECT doc_id, i, w[i] || chr(10) || w[i + 1] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k FROM p) WHERE k > 1),
+g AS (SELECT doc_id, i FROM r UNION SELECT doc_id, i + 1 FROM r),
+l AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d)
+SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS removed_lines, sha256(coalesce(string_agg(x, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS text_sha256
+FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
 """,
 }

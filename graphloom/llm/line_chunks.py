@@ -2,8 +2,9 @@
 
 A rolling hash over the hashes of the last lines says where a chunk ends, so a line added or dropped
 moves the boundaries near it only. Chunks of several lines that any other place of the corpus repeats
-are found by hash, compared byte by byte, and removed but for their first place. All steps are
-DataFrame functions.
+are found by hash, compared byte by byte, and removed but for their first place. Such chunks miss most
+repeats of a few lines, whose surroundings move the boundaries; deduplicate_passages finds all of them.
+All steps are DataFrame functions.
 """
 
 from __future__ import annotations
@@ -99,3 +100,52 @@ def deduplicate_lines(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     lines = F.aggregate(gone, F.lit(0), lambda acc, c: acc + c["n"])
     text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda c: c["text"]), "\n"))
     return out.withColumns({"n_lines": F.aggregate("chunks", F.lit(0).cast("long"), lambda acc, c: acc + c["n"]), "n_chunks": F.size("chunks").cast("long"), "removed_chunks": F.size(places).cast("long"), "removed_lines": lines.cast("long"), "text": text}).select("doc_id", "text", *[F.col("others")[c].alias(c) for c in others], *made)
+
+
+#: Consecutive lines that make a passage.
+PASSAGE = 2
+
+
+def _digests(text: Column) -> Column:
+    """SHA-256 of each PASSAGE consecutive lines; the one at i begins with line i."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    windows = lambda w: F.filter(F.transform(w, lambda x, i: F.when(i + PASSAGE <= F.size(w), F.unhex(F.sha2(F.array_join(F.slice(w, i + 1, PASSAGE), "\n"), 256)))), lambda x: x.isNotNull())
+    return _let(lines, windows)
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, places): first lines, from 0, of each row's passages that an earlier place has too."""
+    each = docs.select("doc_id", _dist.row_key("doc_id", "text").alias("row_key"), F.posexplode(_digests(F.col("text"))).alias("no", "digest"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "no")
+    groups = each.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("uses")).where("uses > 1")
+    groups = _dist.materialize(groups, "passages")
+    total = groups.agg(F.sum("uses")).first()[0] or 0
+    salt = F.encode(F.xxhash64("doc_id", "row_key", "no").cast("string"), "utf-8")  # never as long as a digest
+    told = _dist.attach(each, groups, "digest", "uses", salt, total)
+    here = F.struct("doc_id", "row_key", "no")
+    gone = told.where(F.col("first").isNotNull() & ~here.eqNullSafe(F.struct("first.doc_id", "first.row_key", "first.no")))
+    return gone.groupBy("doc_id", "row_key").agg(F.collect_set("no").alias("places"))
+
+
+def deduplicate_passages(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) without the lines of any PASSAGE or more consecutive lines that an earlier place has too; n_lines and removed_lines of each row.
+
+    Places are ordered, rows that repeat one another counted and nulls kept as in deduplicate_lines.
+    A removed line has an equal one at an earlier place, so one of each line stays.
+    """
+    kind = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    found = _dist.materialize(repeated_passages(kind), "repeats")
+    named = found.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"), F.col("places").alias("__places"))
+    made = ["n_lines", "removed_lines"]
+    others = [c for c in docs.columns if c not in {"doc_id", "text", *made}]
+    each = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("__none"), *others).alias("others"))
+    each = each.withColumn("__key", _dist.row_key("doc_id", "text"))
+    # lists have no fixed size, so their entries count as rows; beyond the limit texts are shuffled
+    size = found.agg(F.count("*"), F.sum(F.size("places"))).first()
+    out = each.join(_dist.small_or_shuffled(named, size[0] + (size[1] or 0)), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")), "left")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    covered = F.flatten(F.transform("__places", lambda p: F.sequence(p, p + (PASSAGE - 1))))
+    left = lambda w: F.when(F.col("__places").isNull(), w).otherwise(F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), covered), lambda i: F.get(w, i)))
+    out = out.withColumn("__lines", _let(lines, lambda w: F.struct(F.size(w).cast("long").alias("n"), left(w).alias("kept"))))
+    text = F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.array_join("__lines.kept", "\n"))
+    return out.select("doc_id", text.alias("text"), *[F.col("others")[c].alias(c) for c in others], F.col("__lines.n").alias("n_lines"), (F.col("__lines.n") - F.size("__lines.kept")).cast("long").alias("removed_lines"))

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from graphloom.llm.line_chunks import deduplicate_lines
+from graphloom.llm.line_chunks import deduplicate_lines, deduplicate_passages
 from graphloom.llm.token_count import build, token_counts, viterbi
 from graphloom.llm.tool_chat import TURN_TOOLS, Tool, link_calls, turn_calls
 
@@ -120,3 +120,27 @@ def test_lines(spark):
     assert full[0, next(k[1] for k in full if k[0] == 0)].removed_chunks == 0
     assert all(next(r for k, r in full.items() if k[0] == i).removed_lines > 0 for i in (1, 2, 3, 8))
     assert deduplicate_lines(docs.limit(0)).count() == 0
+
+
+def test_passages_against_brute_force(spark):
+    """Runs of a few lines between lines of each document's own; of these, chunks of lines leave most."""
+    rng = random.Random(5)
+    runs = [[f"run {k} line {i}" for i in range(3 + k % 3)] for k in range(12)]
+    own = lambda n: [f"own {rng.random()}" for _ in range(n)]
+    texts = [None, "", "\n\n\n", "one line", "a\na\na\na"] + ["\n".join(own(rng.randrange(1, 6)) + rng.choice(runs) + own(rng.randrange(1, 6)) + rng.choice(runs)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[7], (None, texts[9])], "doc_id long, text string")
+    seen, want = set(), {}
+    for i, t in [*rows, (None, texts[9])]:
+        w, gone = (t or "").split("\n"), set()
+        for at in range(len(w) - 1):
+            if (w[at], w[at + 1]) in seen:
+                gone |= {at, at + 1}
+            seen.add((w[at], w[at + 1]))
+        want[i] = (len(w), len(gone), None if t is None else "\n".join(x for at, x in enumerate(w) if at not in gone))
+    got = deduplicate_passages(docs).collect()
+    assert len(got) == len(rows) + 2
+    assert all((r.n_lines, r.removed_lines, r.text) == want[r.doc_id] for r in got)
+    chunked = sum(r.removed_lines for r in deduplicate_lines(docs.where("doc_id is not null").distinct()).collect())
+    assert chunked < sum(n for k, (_, n, _) in want.items() if k is not None)
+    assert deduplicate_passages(docs.limit(0)).count() == 0
