@@ -96,7 +96,7 @@ def offline_extractor(prompts: list[str]) -> list[str]:
     """A deterministic stand-in for a model: capitalised words of a prompt are entities, neighbours are related."""
     out = []
     for p in prompts:
-        names = list(dict.fromkeys(w.strip(".,;:!?()\"'") for w in p.split() if w[:1].isupper()))[:8]
+        names = list(dict.fromkeys(w.strip(".,;:!?()\"'") for w in p.split() if w[:1].isupper()))
         names = [n for n in names if n]
         found = {"entities": [{"name": n, "type": "concept", "description": f"{n} as the text has it"} for n in names], "relationships": [{"source": a, "target": b, "description": f"{a} by {b}", "weight": 1.0} for a, b in zip(names, names[1:], strict=False)]}
         out.append(json.dumps(found))

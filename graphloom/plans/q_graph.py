@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import prefixed_hash
-from ..operators import clustering, extraction, graph, merge, registry
+from ..operators import chunking, clustering, extraction, graph, merge, registry
 from . import fixtures as X
 
 QUERIES, SQL = {}, {}
@@ -58,7 +58,7 @@ def implicit_endpoints(s, d):
 
 @query()
 def model_extraction(s, d):
-    chunks = X.documents(s, d).select("doc_id", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.substring("content", 1, 400).alias("content"))
+    chunks = chunking.with_chunk_ids(chunking.token_windows(X.documents(s, d)))
     told = extraction.call_model(chunks, F.col("content"), extraction.offline_extractor)
     return extraction.fact_ids(*extraction.parse_structured(told.select("doc_id", "chunk_id", "output")))[0].select("doc_id", "entity_id", "entity_name", "implicit")
 

@@ -67,6 +67,16 @@ def test_extraction_and_merge(spark):
     assert merge.modal(facts, "e", "v", ["doc"]).first().v == "B"
 
 
+def test_extraction_reads_whole_texts(spark, tmp_path):
+    """Names after the first 400 characters, after the eighth of a chunk and in the last token window."""
+    from graphloom.plans.q_graph import model_extraction
+
+    text = " ".join(["plain"] * 100 + [f"Name{i}" for i in range(20)] + ["plain"] * 3000 + ["Last"])
+    spark.createDataFrame([(1, text), (2, "Alice met Bob."), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {(r.doc_id, r.entity_name) for r in model_extraction(spark, str(tmp_path)).collect()}
+    assert found == {*((1, f"NAME{i}") for i in range(20)), (1, "LAST"), (2, "ALICE"), (2, "BOB")}
+
+
 def test_registry(spark):
     reg = spark.createDataFrame([("e1", "Charles Dickens", "PERSON", ["Boz"], {}, 1), ("e2", "Charles Dickins", "PERSON", [], {}, 2), ("e3", "Of", "X", [], {}, 3)], "entity_id string, canonical_name string, entity_type string, aliases array<string>, metadata map<string,string>, reg_order int")
     q = spark.createDataFrame([("a", "mr charles dickens", "PERSON"), ("b", "boz", ""), ("c", "Charles Dickenz", "PERSON"), ("d", "nobody at all", "")], "query_id string, name string, entity_type string")
