@@ -53,8 +53,16 @@ rels AS (SELECT doc_id, 'rel_' || sha256(least(src, tgt) || '|' || greatest(src,
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An undirected graph of suppliers, parts and nations: src < dst, weight, description, chunk."""
-    lines = read(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")
+    """An undirected graph of suppliers, parts and nations: src < dst, weight, description, chunk. One order in four, as the SQL of its queries has it."""
+    return _edges(spark, sf_dir, read(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0"))
+
+
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same graph of all orders."""
+    return _edges(spark, sf_dir, read(spark, sf_dir, "lineitem"))
+
+
+def _edges(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     supplies = lines.groupBy("l_suppkey", "l_partkey").agg(F.count("*").cast("double").alias("weight"), F.min("l_orderkey").alias("o"))
     a = supplies.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("dst"), "weight", F.concat(F.lit("c"), F.col("o").cast("string")).alias("chunk_id"))
     home = read(spark, sf_dir, "supplier").select(F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("src"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("dst"), F.lit(2.0).alias("weight"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("chunk_id"))

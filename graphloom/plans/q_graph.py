@@ -316,8 +316,11 @@ def incremental_leiden(s, d):
 
 @query()
 def node2vec(s, d):
-    n, e = _sparse(s, d)
-    return graph.node2vec(n.orderBy("id").limit(200), e.join(n.orderBy("id").limit(200).withColumnRenamed("id", "src"), "src", "left_semi"), dims=16, n=2, length=8).select("id", F.size("embedding").alias("dims"))
+    """Every node's vector as its number of dimensions and its length."""
+    e = X.all_edges(s, d)
+    n = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    out = graph.node2vec(n, e, dims=16)
+    return out.select("id", F.size("embedding").alias("dims"), F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x)).alias("norm"))
 
 
 @query("SELECT 'doc-' || md5(text) AS id, count(*) AS n FROM documents GROUP BY 1")

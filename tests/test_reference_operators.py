@@ -121,6 +121,17 @@ def test_clusters(spark):
     assert {r.id: r.cluster for r in single} == {c: f"singleton-{i}" for i, c in enumerate("ABCDEF")}
 
 
+def test_node2vec_has_all_nodes(spark, tmp_path):
+    """Nodes of all orders and suppliers, over 200 of them."""
+    from graphloom.plans.q_graph import node2vec
+
+    spark.range(230).selectExpr("id l_orderkey", "id l_partkey", "id % 7 l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(8).selectExpr("id s_suppkey", "id % 2 s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = node2vec(spark, str(tmp_path)).collect()
+    assert {r.id for r in found} == {*(f"P{i}" for i in range(230)), *(f"S{i}" for i in range(8)), "N0", "N1"} and len(found) == 240
+    assert all(r.dims == 16 and r.norm > 0 for r in found)
+
+
 def test_vectors_and_fusion(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [-1.0, 0.0])], "id int, embedding array<float>")
     assert [r.id for r in vectors.top_k(v, [1.0, 0.0], 2).collect()] == [1, 2]
