@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from . import _dist
 
 
+#: Rounds of depths() before chains are doubled.
+SHORT = 8
+
+
 @dataclass(frozen=True)
 class Tool:
     """A tool's name and its arguments: name -> (type, required). Types: string, integer, number, boolean, array, object."""
@@ -55,33 +59,56 @@ def valid_arguments(name: Column, arguments: Column, tools: tuple[Tool, ...]) ->
     return F.coalesce(out, F.lit(False))
 
 
-def depths(calls: DataFrame, rounds: int = 60) -> DataFrame:
+def depths(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth) of calls(conv_id, call_id, after array<string>): 0 without earlier calls, else one more than the deepest of them; null on or behind a cycle.
 
-    after may name calls that the conversation doesn't have; they don't count. Each round settles the
-    calls whose earlier ones are settled; rounds bound the longest chain, and a longer one is an error.
+    after may name calls that the conversation doesn't have; they don't count. A null conv_id is a
+    conversation too. Each round settles the calls whose earlier ones are settled, until none is left or
+    no more settle: as many rounds as the longest chain has calls. After SHORT of them, chains of calls
+    with one earlier call each are cut short by doubling, so those take logarithmic rounds.
     """
-    nodes = calls.select("conv_id", "call_id").distinct()
-    needs = calls.select("conv_id", "call_id", F.explode("after").alias("before")).distinct()
-    needs = needs.join(nodes.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left_semi")
-    needs = _dist.materialize(needs, "needs")
-    waiting = needs.select("conv_id", "call_id").distinct()
-    settled = _dist.materialize(nodes.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0).cast("long")), "depth0")
-    open_ = needs
-    for turn in range(1, rounds + 1):
-        if not open_.limit(1).count():
-            break
+    keys = ["conv_id", "call_id"]
+    nodes = calls.select(*keys).distinct()
+    needs = calls.select(*keys, F.explode("after").alias("before")).distinct()
+    needs = _dist.materialize(_null_safe(needs, nodes.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left_semi"), "needs")
+    settled = _dist.materialize(_null_safe(nodes, needs.select(*keys).distinct(), keys, "left_anti").withColumn("depth", F.lit(0).cast("long")), "depth0")
+    # step: how much deeper a call is than the earlier one at least
+    open_, turn = needs.withColumn("step", F.lit(1).cast("long")), 0
+    while open_.limit(1).count():
+        turn += 1
+        if turn > SHORT:
+            open_ = _doubled(open_, turn)
         known = settled.select("conv_id", F.col("call_id").alias("before"), "depth")
-        state = open_.join(known, ["conv_id", "before"], "left").groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("depth").alias("done"), F.max("depth").alias("deepest"))
-        fresh = _dist.materialize(state.where("n = done").select("conv_id", "call_id", (F.col("deepest") + 1).alias("depth")), f"depth{turn}")
+        state = _null_safe(open_, known, ["conv_id", "before"], "left").groupBy(*keys).agg(F.count("*").alias("n"), F.count("depth").alias("done"), F.max(F.col("depth") + F.col("step")).alias("depth"))
+        fresh = _dist.materialize(state.where("n = done").select(*keys, "depth"), f"depth{turn}")
         if not fresh.limit(1).count():
             break
-        settled = settled.unionByName(fresh)
-        open_ = _dist.materialize(open_.join(fresh.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), f"open{turn}")
-    else:
-        if open_.limit(1).count():
-            raise ValueError(f"chains of calls are longer than {rounds}")
-    return nodes.join(settled, ["conv_id", "call_id"], "left")
+        settled = _dist.materialize(settled.unionByName(fresh), f"settled{turn}")
+        open_ = _dist.materialize(_null_safe(open_, fresh.select(*keys), keys, "left_anti"), f"open{turn}")
+    return _null_safe(nodes, settled, keys, "left")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """left joined with right on keys, nulls equal to nulls; columns of left, then the others of right."""
+    other = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    match = F.lit(True)
+    for k in keys:
+        match &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(other, match, how).drop(*[f"__{k}" for k in keys])
+
+
+def _doubled(open_: DataFrame, turn: int) -> DataFrame:
+    """open_(conv_id, call_id, before, step) with each earlier call that waits for one call only replaced by that one, steps added.
+
+    A call then reaches twice as far back, and its depth is the same: the replaced one's depth is that
+    of the one it waits for and its step. Of several ways to one call the longest counts.
+    """
+    keys = ["conv_id", "call_id"]
+    single = open_.groupBy(*keys).agg(F.count("*").alias("n"), F.min("before").alias("further"), F.min("step").alias("more")).where("n = 1")
+    single = single.select("conv_id", F.col("call_id").alias("before"), "further", "more")
+    joined = _null_safe(open_, single, ["conv_id", "before"], "left")
+    moved = joined.select(*keys, F.coalesce("further", "before").alias("before"), F.least(F.col("step") + F.coalesce("more", F.lit(0)), F.lit(1 << 60)).alias("step"))  # only cycles get that far
+    return _dist.materialize(moved.groupBy(*keys, "before").agg(F.max("step").alias("step")), f"doubled{turn}")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, tools: tuple[Tool, ...]) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 from graphloom.llm.line_chunks import deduplicate_lines, deduplicate_passages
 from graphloom.llm.token_count import build, token_counts, viterbi
-from graphloom.llm.tool_chat import TURN_TOOLS, Tool, link_calls, turn_calls
+from graphloom.llm.tool_chat import TURN_TOOLS, Tool, depths, link_calls, turn_calls
 
 TOOLS = (Tool("add", (("a", "integer", True), ("b", "number", False))), Tool("say", (("text", "string", True), ("tags", "array", False), ("opt", "object", False), ("on", "boolean", False))), Tool("nothing", ()))
 
@@ -59,6 +59,18 @@ def test_links_against_brute_force(spark):
     assert link_calls(table.limit(0), table.limit(0).selectExpr("conv_id", "turn", "call_id", "name content"), TOOLS).count() == 0
 
 
+def test_long_chains_and_null_conversations(spark):
+    """A chain of 500 calls, one whose calls use the last three, a cycle behind 20 calls, and a chain without a conversation; the last three make 70 rounds."""
+    calls = [(1, f"a{i}", [f"a{i - 1}"] if i else []) for i in range(500)]
+    calls += [(2, f"b{i}", [f"b{j}" for j in (i - 1, i - 2, i - 3) if j >= 0]) for i in range(70)]
+    calls += [(3, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(20)] + [(3, "x", ["y", "c19"]), (3, "y", ["x"]), (3, "z", ["x"])]
+    calls += [(None, f"n{i}", [f"n{i - 1}", "gone"] if i else None) for i in range(12)]
+    table = spark.createDataFrame(calls, "conv_id long, call_id string, after array<string>")
+    got = {(r.conv_id, r.call_id): r.depth for r in depths(table).collect()}
+    assert len(got) == len(calls)
+    assert all(depth == (None if k in "xyz" else int(k[1:])) for (_, k), depth in got.items())
+
+
 def test_turn_calls(spark):
     turns = spark.createDataFrame([(1, t, "user" if t % 2 == 0 else "assistant", "x" * t) for t in range(40)] + [(2, 0, "user", None), (None, 0, "user", "q"), (2, 1, None, "z")], "conv_id long, turn long, role string, text string")
     out = link_calls(*turn_calls(turns), TURN_TOOLS).collect()
