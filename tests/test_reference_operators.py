@@ -121,6 +121,26 @@ def test_clusters(spark):
     assert {r.id: r.cluster for r in single} == {c: f"singleton-{i}" for i, c in enumerate("ABCDEF")}
 
 
+def test_graph_queries_of_whole_tables(spark, tmp_path):
+    """Degrees and the largest component against brute force over all orders."""
+    from graphloom.plans.q_graph import QUERIES, SQL
+
+    lines, home = [(i, i // 2, i % 6) for i in range(60)], [(i, i % 2) for i in range(7)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame(home, "s_suppkey long, s_nationkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    pairs = {(f"P{p}", f"S{x}") for _, p, x in lines} | {(f"N{n}", f"S{x}") for x, n in home}
+    degree = {"gone": 0}
+    for end in (x for p in pairs for x in p):
+        degree[end] = degree.get(end, 0) + 1
+    assert {r.id: r.degree for r in QUERIES["node_degree_all"](spark, str(tmp_path)).collect()} == degree
+    found = {min(degree)}
+    for _ in degree:
+        found |= {x for p in pairs if found & set(p) for x in p}
+    largest = max((found, set(degree) - found - {"gone"}), key=len)
+    assert {r.id for r in QUERIES["largest_component_all"](spark, str(tmp_path)).collect()} == largest
+    assert not any("% 4 = 0" in SQL[q] or "% 5 = 0" in SQL[q] or "% 3 <> 0" in SQL[q] for q in SQL if q.endswith("_all"))
+
+
 def test_node2vec_has_all_nodes(spark, tmp_path):
     """Nodes of all orders and suppliers, over 200 of them."""
     from graphloom.plans.q_graph import node2vec
