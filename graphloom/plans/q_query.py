@@ -65,8 +65,8 @@ def vector_delete(s, d):
     return v.join(v.where("id % 9 = 0").select("id"), "id", "left_anti").select("id")
 
 
-def _retrievers(s, d):
-    return X.read(s, d, "benchmark").select(F.col("item_id").alias("retriever_pos"), (1.0 / (F.col("item_id") % 5 + 1)).alias("weight"), F.concat(F.substring("text", 1, 20), F.lit("\n\n"), F.lit("shared "), (F.col("item_id") % 3).cast("string"), F.lit("\n\n \n\nlast")).alias("result"))
+def _retrievers(s, d, text=F.substring("text", 1, 20)):
+    return X.read(s, d, "benchmark").select(F.col("item_id").alias("retriever_pos"), (1.0 / (F.col("item_id") % 5 + 1)).alias("weight"), F.concat(text, F.lit("\n\n"), F.lit("shared "), (F.col("item_id") % 3).cast("string"), F.lit("\n\n \n\nlast")).alias("result"))
 
 
 _PASSAGES = """p AS (SELECT retriever_pos, weight, pos, passage FROM (SELECT item_id AS retriever_pos, 1.0 / (item_id % 5 + 1) AS weight, unnest([trim(left(text, 20)), 'shared ' || item_id % 3, 'last']) AS passage, unnest([0, 1, 2]) AS pos FROM benchmark))"""
@@ -82,6 +82,22 @@ def rrf_fusion(s, d):
     return vectors.reciprocal_rank_fusion(_retrievers(s, d), 12).withColumn("score", F.round("score", 9))
 
 
+_WHOLE = r"""w AS (SELECT item_id AS retriever_pos, 1.0 / (item_id % 5 + 1) AS weight, list_transform(string_split(text || chr(10) || chr(10) || 'shared ' || item_id % 3 || chr(10) || chr(10) || ' ' || chr(10) || chr(10) || 'last', chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM benchmark),
+p AS (SELECT * FROM (SELECT retriever_pos, weight, unnest(l) AS passage, unnest(range(len(l))) AS pos FROM w) WHERE passage <> '')"""
+
+
+@query(f"WITH {_WHOLE} SELECT retriever_pos, pos, sha256(passage) AS passage FROM p ORDER BY weight DESC, retriever_pos, pos LIMIT 30")
+def weighted_fusion_all(s, d):
+    """Whole texts; each passage as its digest."""
+    return vectors.weighted_fusion(_retrievers(s, d, F.col("text")), 30).withColumn("passage", F.sha2("passage", 256))
+
+
+@query(f"WITH {_WHOLE}, r AS (SELECT *, row_number() OVER (PARTITION BY retriever_pos ORDER BY pos) - 1 AS k FROM p) SELECT sha256(passage) AS passage, round(CAST(sum(weight / (k + 61)) AS DOUBLE), 9) AS score FROM r GROUP BY r.passage ORDER BY round(CAST(sum(weight / (k + 61)) AS DOUBLE), 12) DESC, min((retriever_pos, k)) LIMIT 12")
+def rrf_fusion_all(s, d):
+    """Whole texts; each passage as its digest."""
+    return vectors.reciprocal_rank_fusion(_retrievers(s, d, F.col("text")), 12).select(F.sha2("passage", 256).alias("passage"), F.round("score", 9).alias("score"))
+
+
 @query()
 def rerank(s, d):
     p = X.read(s, d, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("passage"))
@@ -208,6 +224,13 @@ def multihop_merge(s, d):
     return R.merge_hops(c, 50, ["conv_id"])
 
 
+@query("SELECT conv_id, hop, pos, sha256(content) AS content FROM (SELECT *, sum(length(content) // 4) OVER (PARTITION BY conv_id ORDER BY hop DESC, pos ROWS UNBOUNDED PRECEDING) AS u FROM (SELECT conv_id, turn AS hop, turn AS pos, text AS content FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, left(text, 80) ORDER BY turn DESC) = 1)) WHERE u <= 50")
+def multihop_merge_all(s, d):
+    """Whole turns; each as its digest."""
+    c = X.read(s, d, "conversations").select("conv_id", F.col("turn").alias("hop"), F.col("turn").alias("pos"), F.col("text").alias("content"))
+    return R.merge_hops(c, 50, ["conv_id"]).withColumn("content", F.sha2("content", 256))
+
+
 @query("SELECT event_id, 3 AS n, 'Jane Doe' AS last_name FROM events")
 def entity_harvest(s, d):
     text = F.concat(F.lit('It says "'), "event_type", F.lit('" by New York City and Jane Doe, Jane Doe.'))

@@ -141,6 +141,17 @@ def test_graph_queries_of_whole_tables(spark, tmp_path):
     assert not any("% 4 = 0" in SQL[q] or "% 5 = 0" in SQL[q] or "% 3 <> 0" in SQL[q] for q in SQL if q.endswith("_all"))
 
 
+def test_merging_and_fusion_of_whole_texts(spark, tmp_path):
+    """Turns that first differ after 60 characters stay two; items that begin alike are two passages."""
+    from graphloom.plans.q_query import QUERIES
+
+    spark.createDataFrame([(1, 0, "x" * 61 + "a"), (1, 1, "x" * 61 + "b"), (1, 2, "x" * 80 + "c"), (1, 3, "x" * 80 + "d")], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {r.hop for r in QUERIES["multihop_merge_all"](spark, str(tmp_path)).collect()} == {0, 1, 3}
+    spark.createDataFrame([(i, "the same beginning of text " + "ab"[i % 2]) for i in range(2)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name in ("weighted_fusion_all", "rrf_fusion_all"):
+        assert len({r.passage for r in QUERIES[name](spark, str(tmp_path)).collect()}) == 5, name
+
+
 def test_node2vec_has_all_nodes(spark, tmp_path):
     """Nodes of all orders and suppliers, over 200 of them."""
     from graphloom.plans.q_graph import node2vec
