@@ -65,7 +65,8 @@ def vector_delete(s, d):
     return v.join(v.where("id % 9 = 0").select("id"), "id", "left_anti").select("id")
 
 
-def _retrievers(s, d, text=F.substring("text", 1, 20)):
+def _retrievers(s, d, whole=False):
+    text = F.col("text") if whole else F.substring("text", 1, 20)
     return X.read(s, d, "benchmark").select(F.col("item_id").alias("retriever_pos"), (1.0 / (F.col("item_id") % 5 + 1)).alias("weight"), F.concat(text, F.lit("\n\n"), F.lit("shared "), (F.col("item_id") % 3).cast("string"), F.lit("\n\n \n\nlast")).alias("result"))
 
 
@@ -89,13 +90,13 @@ p AS (SELECT * FROM (SELECT retriever_pos, weight, unnest(l) AS passage, unnest(
 @query(f"WITH {_WHOLE} SELECT retriever_pos, pos, sha256(passage) AS passage FROM p ORDER BY weight DESC, retriever_pos, pos LIMIT 30")
 def weighted_fusion_all(s, d):
     """Whole texts; each passage as its digest."""
-    return vectors.weighted_fusion(_retrievers(s, d, F.col("text")), 30).withColumn("passage", F.sha2("passage", 256))
+    return vectors.weighted_fusion(_retrievers(s, d, whole=True), 30).withColumn("passage", F.sha2("passage", 256))
 
 
 @query(f"WITH {_WHOLE}, r AS (SELECT *, row_number() OVER (PARTITION BY retriever_pos ORDER BY pos) - 1 AS k FROM p) SELECT sha256(passage) AS passage, round(CAST(sum(weight / (k + 61)) AS DOUBLE), 9) AS score FROM r GROUP BY r.passage ORDER BY round(CAST(sum(weight / (k + 61)) AS DOUBLE), 12) DESC, min((retriever_pos, k)) LIMIT 12")
 def rrf_fusion_all(s, d):
     """Whole texts; each passage as its digest."""
-    return vectors.reciprocal_rank_fusion(_retrievers(s, d, F.col("text")), 12).select(F.sha2("passage", 256).alias("passage"), F.round("score", 9).alias("score"))
+    return vectors.reciprocal_rank_fusion(_retrievers(s, d, whole=True), 12).select(F.sha2("passage", 256).alias("passage"), F.round("score", 9).alias("score"))
 
 
 @query()
