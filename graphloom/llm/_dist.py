@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
 
@@ -14,6 +15,12 @@ BROADCAST_ROWS = 1_000_000
 _made: list[tuple[SparkSession, str]] = []
 
 
+def in_one_process(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process; local-cluster has executors of its own."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; a temporary folder only where it is unset and Spark runs in one process."""
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -21,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found.get()
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
-        if not spark.sparkContext.master.startswith("local"):
+        if not in_one_process(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         set_to = tempfile.mkdtemp(prefix="graphloom-")
     spark.sparkContext.setCheckpointDir(set_to)
@@ -56,9 +63,10 @@ def _clean() -> None:
             return
 
 
-def row_key(*columns: str) -> Column:
+def row_key(*columns: str | Column) -> Column:
     """A 64-bit key of a row's columns that also tells nulls apart from empty texts."""
-    return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
+    found = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.xxhash64(*[x for c in found for x in (c, c.isNull())])
 
 
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
@@ -66,28 +74,47 @@ def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _matching(docs: DataFrame, keys: DataFrame, rows: int, key: Column, how: str) -> DataFrame:
-    """docs semi- or anti-joined with keys(doc_id, row_key), nulls equal to nulls."""
-    named = keys.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"))
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row"))
-    return docs.withColumn("__key", key).join(small_or_shuffled(named, rows), match, how).drop("__key")
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """Each name, lengthened by underscores until no column has it, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df, dots in their names taken literally."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def matching(docs: DataFrame, keys: DataFrame, rows: int, key: Column, how: str) -> DataFrame:
+    """docs semi- or anti-joined with keys(doc_id, row_key) by doc_id and by key, a column of docs; nulls equal nulls."""
+    id_, row = free_names(docs.columns, "__id", "__row")
+    named = keys.select(F.col("doc_id").alias(id_), F.col("row_key").alias(row))
+    return docs.join(small_or_shuffled(named, rows), F.col("doc_id").eqNullSafe(F.col(id_)) & (key == F.col(row)), how)
 
 
 def keep_marked(docs: DataFrame, marks: DataFrame, key: Column) -> DataFrame:
     """Rows of docs that marks(doc_id, row_key, kept) keeps; key computes row_key from a row of docs.
 
-    Only ids and keys are joined back, so long texts are not shuffled unless very many rows go. Of rows
-    that repeat one another, as many as are marked stay, at most one of each.
+    Only ids and keys are joined back, so long texts are not shuffled unless very many rows go. Where
+    marks keep one of several rows with one doc_id and key, one row stays even if other columns differ:
+    the first by its JSON text. Where they keep all of them, all stay. Columns may be of any type that
+    JSON has, maps included.
     """
-    fate = materialize(marks.groupBy("doc_id", "row_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "marks")
-    gone, repeated = fate.where("not kept"), fate.where("kept and n > 1")
+    fate = materialize(marks.groupBy("doc_id", "row_key").agg(F.sum(F.col("kept").cast("long")).alias("left"), F.count("*").alias("n")), "marks")
+    gone, repeated = fate.where("left = 0"), fate.where("left > 0 and left < n")
     n_gone, n_repeated = gone.count(), repeated.count()
-    out = _matching(docs, gone, n_gone, key, "left_anti") if n_gone else docs
+    out = matching(docs, gone, n_gone, key, "left_anti") if n_gone else docs
     if not n_repeated:
         return out
-    again = _matching(docs, repeated, n_repeated, key, "left_semi").withColumn("__one", row_key(*docs.columns))
-    once = again.groupBy("__one", "doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return _matching(out, repeated, n_repeated, key, "left_anti").unionByName(once)
+    row = F.struct(*columns_of(docs))
+    again = matching(docs, repeated, n_repeated, key, "left_semi").select(F.col("doc_id"), key.alias("key"), row.alias("row"))
+    once = again.groupBy("doc_id", "key").agg(F.min_by("row", F.to_json("row", {"ignoreNullFields": "false"})).alias("row")).select("row.*")
+    return matching(out, repeated, n_repeated, key, "left_anti").unionByName(once)
 
 
 def attach(rows: DataFrame, facts: DataFrame, key: str, size: str, salt: Column, total: int, parts: int = 2000, extra: list[str] | None = None) -> DataFrame:
@@ -118,12 +145,12 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, size: str, salt: Column,
     return out.select(*rows.columns, *[F.coalesce(F.col("__h")[c], F.col("__l")[c]).alias(c) for c in values if c not in rows.columns])
 
 
-def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, root): the smallest id reachable from each id of edges(a, b).
 
     Each round links every id to the smallest of its neighbours and of their links, then halves the
-    remaining paths; tables of each round are written to the shared folder. Ids are longs. Work of a
-    hot id is pre-aggregated: every exchange feeds a minimum.
+    remaining paths, until every path has one link: logarithmic rounds, whose tables are written to the
+    shared folder. Ids are longs. Work of a hot id is pre-aggregated: every exchange feeds a minimum.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
     pairs = materialize(both.distinct(), f"{name}-pairs")
@@ -134,7 +161,7 @@ def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
         low = low.select("a", F.least("a", "low").alias("m"), "links")
         return attach(table, low, "a", "links", F.xxhash64("b"), table.count()).select("a", "b", "m")
 
-    for turn in range(rounds):
+    for turn in itertools.count():
         # large star: larger links of an id go to the smallest one; the id itself does too
         near = lowest(pairs)
         star = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", F.col("m").alias("b")))
@@ -148,4 +175,3 @@ def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
         if not several and not links.join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count():
             return links.select(F.col("a").alias("id"), F.col("b").alias("root")).union(links.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
         pairs = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    raise RuntimeError("components: not settled; raise rounds")

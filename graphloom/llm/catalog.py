@@ -43,7 +43,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each remaining text as its digest."""
     out = deduplicate_lines(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op5_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,12 +125,15 @@ SELECT conv_id, call_id, turn, name, depth, status, valid, sha256(line) AS line_
     "op5_line_chunks": r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
 h AS (SELECT doc_id, w, list_transform(w, lambda x: CAST('0x' || substr(md5(x), 1, 6) AS BIGINT)) AS h FROM d),
-e AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: i = len(w) OR ((h[i] + coalesce(CASE WHEN i > 1 THEN h[i - 1] END, 0) * 257 + coalesce(CASE WHEN i > 2 THEN h[i - 2] END, 0) * 66049) % 1000003) % 4 = 0) AS e FROM h),
-c AS (SELECT doc_id, unnest(range(1, len(e) + 1)) AS no, w, e FROM e),
-k AS (SELECT doc_id, no, e[no] - coalesce(CASE WHEN no > 1 THEN e[no - 1] END, 0) AS n, array_to_string(list_slice(w, coalesce(CASE WHEN no > 1 THEN e[no - 1] END, 0) + 1, e[no]), chr(10)) AS t FROM c),
-m AS (SELECT doc_id, no, n, t, n > 1 AND row_number() OVER (PARTITION BY t, n > 1 ORDER BY doc_id, no) > 1 AS gone FROM k)
-SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS removed_chunks, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS removed_lines,
-  sha256(coalesce(string_agg(t, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS text_sha256 FROM m GROUP BY doc_id
+e AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: i = len(w) OR h[i] < h[i + 1]) AS e FROM h UNION ALL SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: i = len(w) OR h[i] > h[i + 1]) FROM h),
+c AS (SELECT doc_id, w, unnest(e) AS z, unnest(list_prepend(0, e[:-2])) AS a FROM e),
+k AS (SELECT DISTINCT doc_id, a, z - a AS n, array_to_string(list_slice(w, a + 1, z), chr(10)) AS t FROM c WHERE z - a > 1),
+m AS (SELECT doc_id, a, n FROM (SELECT doc_id, a, n, row_number() OVER (PARTITION BY t ORDER BY doc_id, a) AS r FROM k) WHERE r > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(a + 1, a + n + 1)) AS i FROM m),
+x AS (SELECT doc_id, count(*) AS chunks FROM m GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d)
+SELECT l.doc_id, count(*) AS n_lines, coalesce(any_value(chunks), 0) AS removed_chunks, count(g.i) AS removed_lines, sha256(coalesce(string_agg(l.x, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS text_sha256
+FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i LEFT JOIN x ON l.doc_id = x.doc_id GROUP BY l.doc_id
 """,
     "op5_line_passages": r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),

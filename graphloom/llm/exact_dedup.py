@@ -72,7 +72,8 @@ def cuts(marks: np.ndarray, start: int, end: int) -> list[int]:
     return out
 
 
-RECIPE = pa.schema([("doc_id", pa.int64()), ("doc_row", pa.int64()), ("text_sha256", pa.string()), ("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary()))])
+#: Of each row beside its doc_id, whose type is that of the table.
+RECIPE = pa.schema([("doc_row", pa.int64()), ("text_sha256", pa.string()), ("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary()))])
 
 
 def _recipes(id_bits: int):
@@ -96,7 +97,8 @@ def _recipes(id_bits: int):
                 n = part.num_rows
                 rows = pa.array(np.arange(row, row + n, dtype=np.int64))
                 row += n
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), rows, pa.array(whole, pa.string()), pa.array(ids, RECIPE.field("ids").type), pa.array(digests, RECIPE.field("digests").type)], schema=RECIPE)
+                made = [rows, pa.array(whole, pa.string()), pa.array(ids, RECIPE.field("ids").type), pa.array(digests, RECIPE.field("digests").type)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], schema=pa.schema([part.schema.field("doc_id"), *RECIPE]))
 
     return run
 
@@ -108,8 +110,8 @@ def recipes(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     variants: per chunk, which of the digests with that identifier it has (0 for the smallest);
     null where no identifier of the table has several digests.
     """
-    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = _dist.materialize(table.mapInArrow(_recipes(id_bits), "doc_id long, doc_row long, text_sha256 string, ids array<long>, digests array<binary>"), "recipes")
+    table = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    made = _dist.materialize(table.mapInArrow(_recipes(id_bits), f"doc_id {dict(table.dtypes)['doc_id']}, doc_row long, text_sha256 string, ids array<long>, digests array<binary>"), "recipes")
     chunks = made.select(F.explode(F.arrays_zip("ids", "digests")).alias("c")).select(F.col("c.ids").alias("id"), F.col("c.digests").alias("digest"))
     distinct = chunks.groupBy("id", "digest").agg(F.count("*").alias("uses"))
     clash = distinct.groupBy("id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("digest", "uses"))).alias("found")).where("n > 1")
@@ -127,8 +129,10 @@ def exact_duplicates(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, chunks.
 
     Texts are equal when identical after each run of ASCII white space became one space; null counts
-    as empty. Of equal texts the row with the smallest doc_id stays (a null doc_id only if there is
-    no other; of rows that repeat a doc_id, one). Empty tables give no rows; other columns don't matter.
+    as empty. Of equal texts the row with the smallest doc_id, of any type with an order, stays (a null
+    doc_id only if there is no other; of rows that repeat a doc_id, one). A long text is cut into more
+    chunks; it takes memory for its bytes and 40 bytes a chunk in one task, and only the identifiers
+    move. Empty tables give no rows; other columns don't matter.
     """
     made = recipes(docs, id_bits)
     made = made.withColumn("recipe", F.xxhash64("ids", "variants"))
@@ -141,7 +145,7 @@ def exact_duplicates(docs: DataFrame, id_bits: int = 64) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without all but the first of equal texts; the columns of docs stay."""
-    key = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\t-\r]+", " "), 256)
+    """docs without all but the first of equal texts; the columns of docs stay, whatever their names. Of rows with one doc_id and equal texts one stays, even if other columns differ."""
+    key = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\t-\r]+", " "), 256)
     found = exact_duplicates(docs.select("doc_id", "text"))
     return _dist.keep_marked(docs, found.select("doc_id", F.col("text_sha256").alias("row_key"), "kept"), key)

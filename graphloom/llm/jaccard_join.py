@@ -49,7 +49,7 @@ def overlap(size: int | np.ndarray, num: int, den: int):
 
 
 def _sets(k: int, seed: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("doc_row", pa.int64()), ("row_key", pa.int64()), ("size", pa.int64()), ("set_id", pa.int64()), ("set_check", pa.int64())])
+    made = [(name, pa.int64()) for name in ("doc_row", "row_key", "size", "set_id", "set_check")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -60,7 +60,8 @@ def _sets(k: int, seed: int):
                 digests = b"".join(_digest(tokens[at[i] : at[i + 1]], seed) for i in range(len(at) - 1))
                 ids = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.arange(row, row + n, dtype=np.int64)), part.column("row_key"), pa.array(np.diff(at).astype(np.int64)), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy())], schema=schema)
+                columns = [pa.array(np.arange(row, row + n, dtype=np.int64)), part.column("row_key"), pa.array(np.diff(at).astype(np.int64)), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], schema=pa.schema([part.schema.field("doc_id"), *made]))
                 row += n
 
     return run
@@ -273,10 +274,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, see
     |either|; component_id is the smallest doc_id reachable by links, itself included. Null and
     wordless texts have empty sets and link with nothing: their component_id is their doc_id. kept:
     true for one row of each component, that with the smallest doc_id (null ids last; of rows that
-    repeat a doc_id, one), and for each empty set. Empty tables give no rows; other columns don't matter.
+    repeat a doc_id, one), and for each empty set. A doc_id may be of any type with an order. The set of
+    a long text takes 8 bytes a word in the tasks that handle it. Empty tables give no rows; other
+    columns don't matter.
     """
-    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", _dist.row_key("doc_id", "text"))
-    scan_schema = "doc_id long, doc_row long, row_key long, size long, set_id long, set_check long"
+    table = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row_key", _dist.row_key("doc_id", "text"))
+    scan_schema = f"doc_id {dict(table.dtypes)['doc_id']}, doc_row long, row_key long, size long, set_id long, set_check long"
     for attempt in range(seed, seed + 5):
         rows = _dist.materialize(table.mapInArrow(_sets(k, attempt), scan_schema), "sets")
         sets = rows.where("size > 0").groupBy("set_id").agg(F.min("set_check").alias("c0"), F.max("set_check").alias("c1"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_row", "row_key")).alias("first"))
@@ -376,8 +379,6 @@ def _links(table: DataFrame, sets: DataFrame, k: int, num: int, den: int, seed:
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """docs with one document of each component of near copies; the columns of docs stay."""
+    """docs with one document of each component of near copies; the columns of docs stay, whatever their names. Of rows with one doc_id and text one stays, even if other columns differ, unless the text has no words."""
     found = near_duplicates(docs.select("doc_id", "text"), k, num, den)
-    key = _dist.row_key("doc_id", "text")
-    typed = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return _dist.keep_marked(typed, found.select("doc_id", "row_key", "kept"), key)
+    return _dist.keep_marked(docs, found.select("doc_id", "row_key", "kept"), _dist.row_key("doc_id", F.col("text").cast("string")))

@@ -1,22 +1,22 @@
 """Line deduplication by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last lines says where a chunk ends, so a line added or dropped
-moves the boundaries near it only. Chunks of several lines that any other place of the corpus repeats
-are found by hash, compared byte by byte, and removed but for their first place. Such chunks miss most
-repeats of a few lines, whose surroundings move the boundaries; deduplicate_passages finds all of them.
-All steps are DataFrame functions.
+A rolling comparison of the hashes of a line and the next one says where a chunk ends, so a line added
+or dropped moves the boundaries near it only. A text is chunked twice, once where the hash rises and
+once where it falls, as a short repeat that has no whole chunk of the one often has one of the other.
+Chunks of several lines that an earlier place of the corpus has too are found by hash, compared byte
+by byte, and removed. Repeats of a few lines whose surroundings move the boundaries stay;
+deduplicate_passages finds all of them. All steps are DataFrame functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _dist
 
-#: Lines that the rolling hash sees; one boundary in EVERY lines; base and modulus of the hash.
-WINDOW, EVERY, BASE, MODULUS = 3, 4, 257, 1_000_003
-
 
 def line_hash(line: Column) -> Column:
     """24 bits of the line's MD5."""
@@ -28,78 +28,89 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _ends_chunk(hashes: Column, n: Column, i: Column) -> Column:
-    """Whether line i ends a chunk; the last one always does."""
-    rolled = F.get(hashes, i)
-    for back in range(1, WINDOW):
-        rolled = rolled + F.coalesce(F.get(hashes, i - back), F.lit(0).cast("long")) * BASE**back
-    return ((rolled % MODULUS) % EVERY == 0) | (i == n - 1)
-
-
 def _chunks(lines: Column, hashes: Column) -> Column:
+    """(at, n, text) of the chunks of both chunkings: the first line, how many, and their text. A chunk ends where the next line's hash is greater (or less), and with the text."""
+
     def cut(ends: Column) -> Column:
         begin = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
-        return F.transform(ends, lambda e, i: F.struct((e - begin(i)).alias("n"), F.array_join(F.slice(lines, begin(i) + 1, e - begin(i)), "\n").alias("text")))
+        return F.transform(ends, lambda e, i: F.struct(begin(i).alias("at"), (e - begin(i)).alias("n"), F.array_join(F.slice(lines, begin(i) + 1, e - begin(i)), "\n").alias("text")))
 
     n = F.size(hashes)
-    marked = F.filter(F.sequence(F.lit(1), n), lambda e: _ends_chunk(hashes, n, e - 1))
-    return _let(marked, cut)
+    rises = F.filter(F.sequence(F.lit(1), n), lambda e: (e == n) | (F.get(hashes, e - 1) < F.get(hashes, e)))
+    falls = F.filter(F.sequence(F.lit(1), n), lambda e: (e == n) | (F.get(hashes, e - 1) > F.get(hashes, e)))
+    return F.concat(_let(rises, cut), _let(falls, cut))
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with row_key and chunks: array of (n, text), the text's lines in order."""
+    """docs(doc_id, text) with row_key and chunks: array of (at, n, text), of each chunking in order."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     chunks = _let(lines, lambda w: _let(F.transform(w, line_hash), lambda h: _chunks(w, h)))
     return docs.withColumn("row_key", _dist.row_key("doc_id", "text")).withColumn("chunks", chunks)
 
 
-def repeated_places(chunked: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """(doc_id, row_key, places): numbers of the chunks of each row to remove. hash_bits: fewer bits, as in tests, make hashes of different chunks meet."""
-    each = chunked.select("doc_id", "row_key", F.posexplode("chunks").alias("no", "c")).where("c.n > 1")
-    each = each.select("doc_id", "row_key", "no", F.shiftright(F.xxhash64("c.text"), 64 - hash_bits).alias("hash"), F.col("c.text").alias("chunk"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "no")
+def repeated_places(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """(doc_id, row_key, places): (at, n) of the chunks of each row of docs(doc_id, text) to remove. hash_bits: fewer bits, as in tests, make hashes of different chunks meet."""
+    each = with_chunks(docs).select("doc_id", "row_key", F.explode(F.filter("chunks", lambda c: c["n"] > 1)).alias("c")).select("doc_id", "row_key", "c.at", "c.n", F.col("c.text").alias("chunk"))
+    each = each.withColumn("hash", F.shiftright(F.xxhash64("chunk"), 64 - hash_bits))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "at")
     slim = each.groupBy("hash").agg(F.min(place).alias("p0"), F.max(place).alias("p1")).where("p0 <> p1").select("hash")
     slim = _dist.materialize(slim, "hashes")
     met = each.join(_dist.small_or_shuffled(slim.select(F.col("hash").alias("__hash")), slim.count()), F.col("hash") == F.col("__hash")).drop("__hash")
+    met = _dist.materialize(met, "met")
     # byte comparison of all chunks that share a hash
     groups = met.groupBy("hash").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"), F.min(place).alias("first"), F.count("*").alias("uses"))
     groups = _dist.materialize(groups.select("hash", (F.col("low") == F.col("high")).alias("same"), "first", "uses"), "groups")
     total = groups.agg(F.sum("uses")).first()[0] or 0
-    here = F.struct("doc_id", "row_key", "no")
+    here = F.struct("doc_id", "row_key", "at")
+    later = F.col("first").isNotNull() & ~here.eqNullSafe(F.struct("first.doc_id", "first.row_key", "first.at"))
     same = groups.where("same").select("hash", "first", "uses")
-    told = _dist.attach(met.select("doc_id", "row_key", "no", "hash"), same, "hash", "uses", F.xxhash64("doc_id", "row_key", "no"), total)
-    gone = told.where(F.col("first").isNotNull() & ~here.eqNullSafe(F.struct("first.doc_id", "first.row_key", "first.no"))).select("doc_id", "row_key", "no")
+    told = _dist.attach(met.select("doc_id", "row_key", "at", "n", "hash"), same, "hash", "uses", F.xxhash64("doc_id", "row_key", "at"), total)
+    gone = told.where(later).select("doc_id", "row_key", "at", "n")
     clash = groups.where("not same").select(F.col("hash").alias("__hash"))
     n = clash.count()
     if n:  # different chunks with one hash: their texts are the key
         odd = met.join(_dist.small_or_shuffled(clash, n), F.col("hash") == F.col("__hash")).drop("__hash")
         firsts = odd.groupBy("chunk").agg(F.min(place).alias("first")).withColumnRenamed("chunk", "__chunk")
-        later = odd.join(firsts, F.col("chunk") == F.col("__chunk")).where(~here.eqNullSafe(F.struct("first.doc_id", "first.row_key", "first.no")))
-        gone = gone.union(later.select("doc_id", "row_key", "no"))
-    return gone.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set("no")).alias("places"))
+        gone = gone.union(odd.join(firsts, F.col("chunk") == F.col("__chunk")).where(later).select("doc_id", "row_key", "at", "n"))
+    return gone.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("at", "n")).alias("places"))
+
+
+def _without(docs: DataFrame, places: DataFrame, last: Callable[[Column], Column], made: dict[str, Column]) -> DataFrame:
+    """docs(doc_id, text, ...) without the lines from each of a row's places(doc_id, row_key, places) to last(place), and columns `made`, which may use __places, __lines.n and __lines.kept; other columns stay but for clashing names."""
+    named = places.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"), F.col("places").alias("__places"))
+    others = [c for c in docs.columns if c not in {"doc_id", "text"} and c.lower() not in made]
+    each = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("others"))
+    each = each.withColumn("__key", _dist.row_key("doc_id", "text"))
+    # lists have no fixed size, so their entries count as rows; beyond the limit texts are shuffled
+    size = places.agg(F.count("*"), F.sum(F.size("places"))).first()
+    out = each.join(_dist.small_or_shuffled(named, size[0] + (size[1] or 0)), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")), "left")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    start = lambda p: p["at"] if dict(places.dtypes)["places"].startswith("array<struct") else p
+    covered = F.flatten(F.transform("__places", lambda p: F.sequence(start(p), last(p))))
+    left = lambda w: F.when(F.col("__places").isNull(), w).otherwise(F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), covered), lambda i: F.get(w, i)))
+    out = out.withColumn("__lines", _let(lines, lambda w: F.struct(F.size(w).cast("long").alias("n"), left(w).alias("kept"))))
+    text = F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.array_join("__lines.kept", "\n"))
+    return out.select("doc_id", text.alias("text"), *[F.col("others")[c].alias(c) for c in others], *[v.alias(k) for k, v in made.items()])
 
 
 def deduplicate_lines(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """docs(doc_id, text, ...) with the remaining text, and n_lines, n_chunks, removed_chunks, removed_lines of each row.
+    """docs(doc_id, text, ...) with the remaining text, and n_lines, removed_chunks, removed_lines of each row.
 
     Lines end at line feeds. Chunks of one line stay; of equal chunks of several lines the one in the
     smallest doc_id (nulls last), then the first in its text, stays, wherever else they repeat, the same
-    text included. Rows that repeat both doc_id and text count as one and get equal results. Null texts
-    have one empty line and stay null; other columns stay, a clashing name with the value computed here.
+    text included; a removed line has an equal one at an earlier place, so one of each line stays. Rows
+    that repeat both doc_id and text count as one and get equal results. Null texts have one empty line
+    and stay null. A long text is chunked in one task, whose memory holds its lines some times over.
+    Other columns stay, a clashing name with the value computed here.
     """
     kind = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    found = _dist.materialize(repeated_places(with_chunks(kind), hash_bits), "places")
-    named = found.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"), "places")
-    made = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
-    others = [c for c in docs.columns if c not in {"doc_id", "text", *made}]
-    each = with_chunks(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("__none"), *others).alias("others")))
-    out = each.join(_dist.small_or_shuffled(named, found.count()), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__row")), "left")
-    places = F.coalesce("places", F.array().cast("array<int>"))
-    left = F.filter("chunks", lambda c, i: ~F.array_contains(places, i))
-    gone = F.filter("chunks", lambda c, i: F.array_contains(places, i))
-    lines = F.aggregate(gone, F.lit(0), lambda acc, c: acc + c["n"])
-    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda c: c["text"]), "\n"))
-    return out.withColumns({"n_lines": F.aggregate("chunks", F.lit(0).cast("long"), lambda acc, c: acc + c["n"]), "n_chunks": F.size("chunks").cast("long"), "removed_chunks": F.size(places).cast("long"), "removed_lines": lines.cast("long"), "text": text}).select("doc_id", "text", *[F.col("others")[c].alias(c) for c in others], *made)
+    found = _dist.materialize(repeated_places(kind, hash_bits), "places")
+    removed = F.when(F.col("__places").isNull(), 0).otherwise(F.size("__places")).cast("long")
+    return _without(docs, found, lambda p: p["at"] + p["n"] - 1, {"n_lines": F.col("__lines.n"), "removed_chunks": removed, "removed_lines": _gone()})
+
+
+def _gone() -> Column:
+    return (F.col("__lines.n") - F.size("__lines.kept")).cast("long")
 
 
 #: Consecutive lines that make a passage.
@@ -135,17 +146,4 @@ def deduplicate_passages(docs: DataFrame) -> DataFrame:
     """
     kind = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = _dist.materialize(repeated_passages(kind), "repeats")
-    named = found.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"), F.col("places").alias("__places"))
-    made = ["n_lines", "removed_lines"]
-    others = [c for c in docs.columns if c not in {"doc_id", "text", *made}]
-    each = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("__none"), *others).alias("others"))
-    each = each.withColumn("__key", _dist.row_key("doc_id", "text"))
-    # lists have no fixed size, so their entries count as rows; beyond the limit texts are shuffled
-    size = found.agg(F.count("*"), F.sum(F.size("places"))).first()
-    out = each.join(_dist.small_or_shuffled(named, size[0] + (size[1] or 0)), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    covered = F.flatten(F.transform("__places", lambda p: F.sequence(p, p + (PASSAGE - 1))))
-    left = lambda w: F.when(F.col("__places").isNull(), w).otherwise(F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), covered), lambda i: F.get(w, i)))
-    out = out.withColumn("__lines", _let(lines, lambda w: F.struct(F.size(w).cast("long").alias("n"), left(w).alias("kept"))))
-    text = F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.array_join("__lines.kept", "\n"))
-    return out.select("doc_id", text.alias("text"), *[F.col("others")[c].alias(c) for c in others], F.col("__lines.n").alias("n_lines"), (F.col("__lines.n") - F.size("__lines.kept")).cast("long").alias("removed_lines"))
+    return _without(docs, found, lambda p: p + (PASSAGE - 1), {"n_lines": F.col("__lines.n"), "removed_lines": _gone()})

@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._dist import columns_of, free_names
 from ._words import Words, slices, text_bytes
 from .kneser_ney import held_out
 
@@ -146,29 +147,28 @@ def _stated(part: pa.RecordBatch) -> np.ndarray:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (label, place, index, value): features as packed 16-bit numbers and 32-bit values."""
     for batch in batches:
         for part in slices(batch, "text"):
             offsets, index, values = features(part.column("text"), _stated(part))
-            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in (pa.array(index, pa.int32()), pa.array(values, pa.float32()))]
-            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("place"), *lists], names=["label", "place", "index", "value"])
+            packed = [pa.array([x[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary()) for x in (index.astype("<u2"), values.astype("<f4"))]
+            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("place"), *packed], names=["label", "place", "index", "value"])
 
 
-def _inputs(docs: DataFrame) -> DataFrame:
-    """docs with text and stated; only these reach the features."""
-    stated = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    return docs.withColumns({"text": F.col("text").cast("string"), "stated": stated})
+def _stated_chars(docs: DataFrame) -> Column:
+    return F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample: int = SAMPLE) -> FactorMachine:
-    """A machine for labels(doc_id, quality) of the rows that aren't held out, at most `sample` of them."""
+    """A machine for labels(doc_id, quality) of the rows that aren't held out, at most `sample` of them, however often a doc_id repeats in either table."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(folds, fold))
     known = known.select(F.col("doc_id"), (F.col("quality") > 0).cast("double").alias("label"), F.xxhash64(F.lit(11), "doc_id").alias("place"))
     known = known.orderBy("place", "doc_id", "label").limit(sample)
-    rows = _inputs(docs.select("doc_id", "text", *(["n_chars"] if "n_chars" in docs.columns else []))).join(F.broadcast(known), "doc_id")
-    found = rows.select("label", "place", "text", "stated").mapInArrow(_featured, "label double, place long, index array<int>, value array<float>").toPandas()
-    found = found.assign(n=found["index"].map(len)).sort_values(["place", "label", "n"], kind="stable") if len(found) else found
-    pairs = list(zip(found["index"], found["value"], strict=True))
-    return fit([(np.asarray(i, np.int64), np.asarray(v, float)) for i, v in pairs], np.asarray(found["label"], float))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), _stated_chars(docs).alias("stated"))
+    rows = texts.join(F.broadcast(known), "doc_id").select("label", "place", "text", "stated")
+    found = rows.mapInArrow(_featured, "label double, place long, index binary, value binary").orderBy("place", "label", F.length("index"), "index", "value").limit(sample).toArrow()
+    pairs = [(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(found["index"].to_pylist(), found["value"].to_pylist(), strict=True)]
+    return fit(pairs, found["label"].to_numpy().astype(float))
 
 
 def _scores(machine):
@@ -176,18 +176,19 @@ def _scores(machine):
         for batch in batches:
             for part in slices(batch, "text"):
                 score = machine.value.score(*features(part.column("text"), _stated(part)))
-                columns = [part.column(i) for i, name in enumerate(part.schema.names) if name != "stated"]
                 names = [name for name in part.schema.names if name != "stated"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(name) for name in names], pa.array(score)], names=[*names, "score"])
 
     return run
 
 
-def _scored(docs: DataFrame, machine: FactorMachine, columns: list[str]) -> DataFrame:
+def _scored(docs: DataFrame, machine: FactorMachine, columns: list[str], score: str) -> DataFrame:
+    """Columns of docs, and the score of its text under the name `score`. Inside, columns go by their place, so their names can't clash."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # N_FEATURES * (FACTORS + 1) numbers, whatever the input
-    table = _inputs(docs).select(*columns, "stated")
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in table.dtypes if c != "stated")
-    return table.mapInArrow(_scores(shared), f"{schema}, score double")
+    inner = ["text" if c == "text" else f"c{i}" for i, c in enumerate(columns)]
+    table = docs.select(*[(F.col("text").cast("string") if c == "text" else F.col(f"`{c}`")).alias(n) for c, n in zip(columns, inner, strict=True)], _stated_chars(docs).alias("stated"))
+    schema = ", ".join(f"{c} {kind}" for c, kind in table.dtypes if c != "stated")
+    return table.mapInArrow(_scores(shared), f"{schema}, score double").toDF(*columns, score)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample: int = SAMPLE) -> DataFrame:
@@ -200,16 +201,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int
     """
     machine = train(docs, labels, folds, fold, sample)
     tagged = docs.select("doc_id", held_out(folds, fold).alias("held_out"), "text", *(["n_chars"] if "n_chars" in docs.columns else []))
-    scored = _scored(tagged, machine, ["doc_id", "held_out", "text"]).drop("text")
+    scored = _scored(tagged, machine, ["doc_id", "held_out", "text"], "score").drop("text")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """docs that the classifier scores `least` or more; the columns of docs stay."""
+    """docs that the classifier scores `least` or more; the columns of docs stay, whatever their names."""
     machine = train(docs, labels, **options)
-    renamed = docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs
-    scored = _scored(renamed, machine, renamed.columns)
-    kept = scored.where(F.col("score") >= least).drop("score")
-    return kept.withColumnRenamed("__score", "score") if "score" in docs.columns else kept
-
-
+    (score,) = free_names(docs.columns, "score")
+    return _scored(docs, machine, docs.columns, score).where(F.col(score) >= least).select(*columns_of(docs))

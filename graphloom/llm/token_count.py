@@ -27,6 +27,8 @@ from ._words import BYTE_VALUES, mix, powers, slices, text_bytes
 #: Fixed values of the tokenizer rules: what a space becomes, and the penalty of an unknown character.
 SPACE, UNKNOWN = "▁", 10.0
 TEXT_BYTES = 8 << 20
+#: Bytes of the words that are counted at once, a byte position at a time.
+SHORT_WORD = 512
 #: Bytes of all pieces that a vocabulary may have; it is sent to all workers.
 MOST_VOCABULARY = 64 << 20
 
@@ -149,6 +151,67 @@ def viterbi(a: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.ndarray
     return out
 
 
+def count_one(a: Automaton, data: bytes) -> tuple[int, int, float]:
+    """The same for one word: the steps of viterbi() in plain Python, which a byte of one word costs a fraction of."""
+    n = len(data)
+    best, count, unknowns, after_unknown = [-math.inf] * (n + 1), [0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+    best[0] = 0.0
+    state, char = 0, 0
+    table, piece, link, lengths, scores, single = a.next, a.piece, a.link, a.lengths, a.scores, a.single
+    known: dict[int, list[tuple[int, float, bool]]] = {}
+    for t in range(n):
+        byte = data[t]
+        state = int(table[state, byte])
+        if byte & 0xC0 != 0x80:
+            char = t
+        if t + 1 < n and data[t + 1] & 0xC0 == 0x80:
+            continue
+        ways = known.get(state)
+        if ways is None:
+            ways, at = [], state if piece[state] >= 0 else int(link[state])
+            while at > 0:
+                p = int(piece[at])
+                ways.append((int(lengths[p]), float(scores[p]), bool(single[p])))
+                at = int(link[at])
+            known[state] = ways
+        end, own = t + 1, False
+        for length, weight, is_char in ways:
+            source = end - length
+            score = weight + best[source]
+            if score > best[end]:
+                best[end], count[end], unknowns[end] = score, count[source] + 1, unknowns[source]
+            own |= is_char
+        if not own:
+            score = a.unknown + best[char]
+            if score > best[end]:
+                fresh = not after_unknown[char]
+                best[end], count[end], unknowns[end], after_unknown[end] = score, count[char] + fresh, unknowns[char] + fresh, True
+    return count[n], unknowns[n], best[n]
+
+
+def count_each(a: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """viterbi() over all words: those of up to SHORT_WORD bytes at once, longer ones, which few words would share the steps of, one by one."""
+    short = ends - starts <= SHORT_WORD
+    out = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64), np.empty(len(starts))
+    for x, y in zip(out, viterbi(a, data, starts[short], ends[short]), strict=True):
+        x[short] = y
+    for i in np.flatnonzero(~short):
+        out[0][i], out[1][i], out[2][i] = count_one(a, data[starts[i] : ends[i]].tobytes())
+    return out
+
+
+def _unlike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Words whose bytes aren't those of the words `like`."""
+    sizes = ends - starts
+    same = sizes == sizes[like]
+    some = np.flatnonzero(same)
+    lens = sizes[some]
+    step = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+    equal = data[np.repeat(starts[some], lens) + step] == data[np.repeat(starts[like[some]], lens) + step]
+    same[some] = np.logical_and.reduceat(equal, np.cumsum(lens) - lens) if len(some) else True
+    return np.flatnonzero(~same)
+
+
 def _built() -> dict[str, Automaton]:
     """A worker's automaton, kept between tasks: functions are unpickled anew for each, sys isn't."""
     return sys.__dict__.setdefault("_graphloom_automaton", {})
@@ -178,7 +241,11 @@ def count_words(a: Automaton, texts: pa.Array) -> tuple[np.ndarray, ...]:
     place = np.arange(len(data)) - np.repeat(starts, ends - starts)
     hashes = mix(np.add.reduceat(BYTE_VALUES[data] * powers(int(place.max()) + 1)[place], starts) + (ends - starts).astype(np.uint64))
     _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    found = viterbi(a, data, starts[first], ends[first])
+    # words count as one only if their bytes are equal; those that merely share a hash stand for themselves
+    odd = _unlike(data, starts, ends, first[inverse])
+    inverse[odd] = len(first) + np.arange(len(odd))
+    first = np.concatenate([first, odd])
+    found = count_each(a, data, starts[first], ends[first])
     sums = [np.concatenate([[0], np.cumsum(x[inverse])])[rows] for x in found]
     return np.diff(rows), *[np.diff(s) for s in sums]
 
@@ -206,7 +273,8 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFr
     Spaces become SPACE, with one put in front of a text that doesn't begin with it, and begin words;
     n_tokens: pieces of the best segmentation of all words, n_unknown of them unknown; score: sum of
     their log probabilities, an unknown's character each costing the penalty. Null and empty texts have
-    none. Rows that repeat one another get equal results; empty tables give no rows; other columns
+    none. Long texts and long words are counted whole, in time and memory in proportion to their bytes.
+    Rows that repeat one another get equal results; empty tables give no rows; other columns
     don't matter.
     """
     kind = dict(docs.dtypes)["doc_id"]

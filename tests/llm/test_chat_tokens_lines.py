@@ -83,7 +83,7 @@ VOCABULARY = [("▁", -2.0), ("▁a", -2.5), ("a", -3.0), ("b", -3.0), ("ab", -6
 
 def texts():
     rng = random.Random(11)
-    out = [None, "", " ", "a", "a ", "  a  b", "abcabc", "é日本語 x", "zzz zz\nz", "▁a▁▁b", "a\tb", "日本日", "q" * 3000]
+    out = [None, "", " ", "a", "a ", "  a  b", "abcabc", "é日本語 x", "zzz zz\nz", "▁a▁▁b", "a\tb", "日本日", "q" * 3000, "日本日éabc" * 400, "x" + "ab" * 900 + " " + "é" * 700]
     return out + ["".join(rng.choices("abcé日本 z", k=rng.randrange(30))) for _ in range(300)]
 
 
@@ -100,6 +100,16 @@ def test_counts_against_library(spark):
     assert token_counts(docs.limit(0), vocabulary).count() == 0
 
 
+def test_words_that_share_a_hash():
+    import numpy as np
+
+    from graphloom.llm.token_count import _unlike
+
+    data = np.frombuffer("▁ab▁ac▁ab▁abc".encode(), np.uint8)
+    starts, ends = np.array([0, 5, 10, 15]), np.array([5, 10, 15, 21])
+    assert list(_unlike(data, starts, ends, np.zeros(4, np.int64))) == [1, 3]
+
+
 def test_score_is_the_best(spark):
     import numpy as np
 
@@ -124,7 +134,7 @@ def test_lines(spark):
     seen = set()
     for i, t in enumerate(texts):
         r = full[i, None] if (i, None) in full else next(x for k, x in full.items() if k[0] == i)
-        kept = (r.text or "").split("\n") if r.removed_chunks < r.n_chunks else []
+        kept = (r.text or "").split("\n") if r.removed_lines < r.n_lines else []
         assert r.n_lines == len((t or "").split("\n")) == len(kept) + r.removed_lines
         assert (r.text is None) == (t is None)
         seen.update(kept)

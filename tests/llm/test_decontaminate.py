@@ -50,6 +50,8 @@ def test_against_brute_force(spark):
     got = {r.doc_id: tuple(r)[1:6] for r in contamination(docs, bench).collect()}
     want = brute(texts, items)
     assert got == dict(enumerate(want))
+    # hashes in blocks
+    assert {r.doc_id: tuple(r)[1:6] for r in contamination(docs, bench, block=40).collect()} == got
     kept = {r.doc_id for r in decontaminate(docs, bench).collect()}
     assert kept == {i for i, w in enumerate(want) if not w[4]}
 
@@ -62,3 +64,16 @@ def test_spans_and_odd_tables(spark):
     assert decontaminate(docs, bench).count() == 2
     assert contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     assert contamination(docs.limit(0), bench).count() == 0
+
+
+def test_clashing_names_and_long_texts(spark):
+    """Columns named like the operator's own, and texts of over a megabyte with a hit at their end."""
+    long_ = "clean words here " * 60_000
+    rows = [(1, "x a b c d e f g h i j y", 1, 2, 3, {"k": 1}), (2, long_ + "a b c d e f g h i j", 1, 2, 3, None), (3, long_, 1, 2, 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, spans int, __id int, Row_Key int, m map<string,int>")
+    bench = spark.createDataFrame([(7, "A B C D E F G H I J")], "item_id long, text string")
+    cut = decontaminate(docs, bench, remove="spans")
+    assert cut.columns == docs.columns
+    assert {r.doc_id: (len(r.text), r.spans) for r in cut.collect()} == {1: (3, 1), 2: (len(long_) - 1, 1), 3: (len(long_), 1)}
+    assert [tuple(r) for r in decontaminate(docs, bench).collect()] == [rows[2]]
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in contamination(docs, bench).collect()} == {1: (12, 10), 2: (180_010, 10), 3: (180_000, 0)}

@@ -95,3 +95,28 @@ def test_near_drop_and_odd_rows(spark):
     assert out.columns == docs.columns
     assert sorted((r.doc_id, (r.text or "")[-3:]) for r in out.collect()) == [(2, "end"), (9, ""), (10, ""), (11, "")]
     assert drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_repeated_ids(spark):
+    """Rows with one doc_id and text that differ elsewhere, with maps, string ids and clashing names."""
+    rows = [("3", "a b c d e f", "en", {"k": 1}), ("3", "a b c d e f", "de", {"k": 1}), ("3", "a  b c d e f", "en", {}), ("4", "a b c d e f g", "en", None), (None, "other words", "en", None), (None, "other words", "de", None), ("5", "", "en", None), ("5", "", "de", None), ("6", None, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, __key string, Kept map<string,int>")
+    left = drop_exact_duplicates(docs)
+    assert left.columns == docs.columns
+    found = sorted((str(r.doc_id), r.text) for r in left.collect())
+    assert [f[0] for f in found] == ["3", "4", "5", "None"]
+    near = sorted((str(r.doc_id), r.text) for r in drop_near_duplicates(docs, k=2, num=1, den=2).collect())
+    assert [f[0] for f in near] == ["3", "5", "5", "6", "None"]
+    whole = {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size) for r in exact_duplicates(docs).collect()}
+    assert {v for k, v in whole.items() if k[0] == "3"} == {("3", 3)}
+    assert drop_exact_duplicates(docs.limit(0)).count() == drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_long_texts(spark):
+    """Texts of over a megabyte: exact and near copies of one, and another one."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
+    texts = [" ".join(words), "  ".join(words), " ".join([*words[:-1], "end"]), " ".join(reversed(words))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in drop_exact_duplicates(docs).collect()} == {0, 2, 3}
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}

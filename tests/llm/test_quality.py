@@ -58,3 +58,15 @@ def test_odd_tables(spark):
     assert quality_scores(table.limit(0), known).count() == 0
     assert {r.score for r in quality_scores(table, known.limit(0)).collect()} == {0.5}
     assert quality_scores(table.drop("n_chars"), known).count() == len(docs)
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    """Columns named like the operator's own, dots and maps, and one doc_id in far more rows than the sample."""
+    docs, labels = fixture(60)
+    table = spark.createDataFrame(docs, DOCS).selectExpr("doc_id", "text", "score `Score`", "n_chars", "1 stated", "'x' `a.b`", "map('k', source) c0")
+    known = spark.createDataFrame(labels, LABELS)
+    many = table.unionByName(table.where("doc_id = 1").select("*").join(spark.range(500).select(), how="cross"))
+    kept = keep_quality(many, known, sample=100)
+    assert kept.columns == table.columns and dict(kept.dtypes)["c0"] == "map<string,string>"
+    same = {r.doc_id for r in quality_scores(many, known, sample=100).where("predicted = 1").collect()}
+    assert {r.doc_id for r in kept.collect()} == same
