@@ -9,7 +9,7 @@ import pytest
 
 from graphloom.llm.kneser_ney import END, START, Reader, discounts, lm_scores, train
 from graphloom.llm.license_scan import BASE, license_scan
-from graphloom.llm.source_mix import permute, taken, targets
+from graphloom.llm.source_mix import mixture, permute, taken, targets
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,24 +45,40 @@ def test_license_against_brute_force(spark):
     assert license_scan(docs.limit(0)).count() == 0
 
 
-def test_targets_and_permutation():
-    assert targets([10, 10, 10], [1, 1, 1]) == [15, 15, 15]
-    got = targets([10, 100, 100], [5, 2, 1])
-    assert got[0] == 20 and sum(got) == pytest.approx(315) and all(g <= 2 * s for g, s in zip(got, [10, 100, 100]))
-    assert targets([0, 0], [1, 2]) == [0, 0] and targets([], []) == []
+def goals(sizes, weights, share=1.5, most=2):
+    """Targets by the rule: fill what is above, share the rest out again."""
+    out, open_ = {}, set(range(len(sizes)))
+    while open_:
+        unit = (share * sum(sizes) - sum(out.values())) / sum(weights[i] for i in open_)
+        above = {i for i in open_ if unit * weights[i] > most * sizes[i]}
+        out |= {i: most * sizes[i] for i in above} or {i: unit * weights[i] for i in open_}
+        open_ = open_ - above if above else set()
+    return [out[i] for i in range(len(sizes))]
+
+
+def test_targets_and_permutation(spark):
+    for sizes, weights in (([10, 10, 10], [1, 1, 1]), ([10, 100, 100], [5, 2, 1]), ([0, 0], [1, 2]), ([3, 50, 7, 900, 0, 20, 11], [5, 2, 1, 5, 2, 1, 5]), ([1, 2, 4, 8, 16, 32, 1000], [1] * 7)):
+        table = spark.createDataFrame([(i, n, float(w)) for i, (n, w) in enumerate(zip(sizes, weights))], "i int, words long, weight double")
+        assert [r.target for r in targets(table).orderBy("i").collect()] == pytest.approx(goals(sizes, weights))
+    assert targets(spark.createDataFrame([], "words long, weight double")).count() == 0
     for n in (1, 2, 3, 17, 1000):
         for key in (0, 5, 10**9):
             assert sorted(permute(np.arange(n), n, key)) == list(range(n))
 
 
-def test_mix(spark):
+def mix_fixture(spark):
     rng = random.Random(3)
     rows = []
     for i in range(400):
         source = rng.choice(["a", "b", "é", "Z", None, ""]) if i % 3 else "hot"
-        rows.append((i, None if i % 50 == 7 else " ".join(["w"] * rng.choice([0, 1, 40, 200, 900])), source, "x"))
-    rows.append((1000, "w " * 30_000, "one", "x"))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, taken string")
+        n = rng.choice([0, 1, 40, 200, 900])
+        rows.append((i, None if i % 50 == 7 else " ".join(f"{i}w{j}" for j in range(n)), source, "x"))
+    rows.append((1000, "\t".join(f"1000w{j}" for j in range(30_000)), "one", "x"))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string, taken string")
+
+
+def test_mix(spark):
+    rows, docs = mix_fixture(spark)
     got = taken(docs, block_words=16, shard_slots=64).drop("row", "source").collect()
     again = taken(docs.repartition(7), block_words=16, shard_slots=64).drop("row", "source").collect()
     assert sorted(got, key=str) == sorted(again, key=str)
@@ -72,7 +88,7 @@ def test_mix(spark):
     for i, s in source.items():
         sizes[s] += size[i]
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
-    goal = dict(zip(names, targets([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])))
+    goal = dict(zip(names, goals([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])))
     sums = Counter()
     for r in got:
         assert (r.size, r.source_size) == (size[r.doc_id], sizes[source[r.doc_id]]) and r.target == pytest.approx(goal[source[r.doc_id]])
@@ -84,6 +100,69 @@ def test_mix(spark):
     assert [r.taken for r in taken(docs.where("size(split(text, ' ')) < 0 or text is null")).collect()] == [0] * 8
 
 
+
+def check_mix(rows, pieces, block, shard_slots):
+    """A mix against its rules: every document is packed once, blocks are whole, laps are permutations, shards are full."""
+    by_block, by_slot, shards = {}, {}, Counter()
+    for r in pieces:
+        by_block.setdefault((r.sid, r.block), set()).add((r.at_word, r.row, r.from_word, r.words))
+        assert by_slot.setdefault((r.sid, r.slot), (r.block, r.shard)) == (r.block, r.shard)
+    blocks, slots = Counter(s for s, _ in by_block), Counter(s for s, _ in by_slot)
+    for (_, b), found in by_block.items():
+        at = 0
+        for begin, _, _, n in sorted(found):
+            assert begin == at and n > 0
+            at += n
+        assert at <= block
+    for sid, n in slots.items():
+        assert {s for i, s in by_slot if i == sid} == set(range(n))
+        uses = Counter(by_slot[sid, s][0] for s in range(n))
+        assert max(uses.values()) - (min(uses.values()) if n >= blocks[sid] else 0) <= 1 and max(uses.values()) <= 2
+    for _, shard in by_slot.values():
+        shards[shard] += 1
+    full = sorted(shards)[:-1]
+    assert all(shards[x] == shard_slots for x in full) and shards[max(shards)] <= shard_slots
+    return by_slot
+
+
+def test_mix_against_its_rules(spark):
+    rows, docs = mix_fixture(spark)
+    documents, pieces = mixture(docs, block_words=16, shard_slots=64, texts=True)
+    pieces = pieces.collect()
+    by_slot = check_mix(rows, pieces, 16, 64)
+    words = {r[0]: SPACE.findall(r[1] or "") for r in rows}
+    spans = {(r.doc_id, r.from_word, r.words): r.text for r in pieces}
+    assert all(t == " ".join(words[d][f : f + n]) for (d, f, n), t in spans.items())
+    # what a document gives is what its pieces give, and each piece of a document that is used twice has the same place
+    sums = Counter()
+    for r in pieces:
+        sums[r.doc_id] += r.words
+    assert {r.doc_id: r.taken for r in taken(docs, block_words=16, shard_slots=64).collect()} == {d: sums[d] for d in words}
+    # shards mix: the hot source's share of each is near that of all
+    hot = next(r.sid for r in pieces if r.source == "hot")
+    share = sum(s == hot for s, _ in by_slot) / len(by_slot)
+    by_shard = Counter((s == hot, shard) for (s, _), (_, shard) in by_slot.items())
+    full = [x for x in {shard for _, shard in by_slot.values()} if by_shard[True, x] + by_shard[False, x] == 64]
+    assert np.mean([abs(by_shard[True, x] / 64 - share) for x in full]) < 0.12
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    """A source for each document, in groups of a few sources; and groups that are joined by a shuffle."""
+    from graphloom.llm import source_mix
+
+    monkeypatch.setattr(source_mix, "GROUP", 3)
+    rows = [(i, " ".join(["w"] * (i % 40)), f"s{i:03d}", "x") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, sid string")
+    documents, pieces = mixture(docs, block_words=8, shard_slots=32)
+    found = pieces.collect()
+    check_mix(rows, found, 8, 32)
+    want = goals([i % 40 for i in range(300)], [(5, 2, 1)[i % 3] for i in range(300)])
+    assert [r.target for r in documents.orderBy("doc_id").collect()] == pytest.approx(want)
+    sums = Counter()
+    for r in found:
+        sums[r.doc_id] += r.words
+    assert all(abs(sums[i] - want[i]) <= 16 for i in range(300))
+
 def test_language_model_against_brute_force(spark):
     rng = random.Random(2)
     vocab = ["a", "B", "b", "é", "É"] + [f"w{i}" for i in range(25)]
