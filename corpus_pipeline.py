@@ -13,7 +13,7 @@ from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.exact_dedup import drop_exact_duplicates
 from graphloom.llm.jaccard_join import drop_near_duplicates
 from graphloom.llm.quality_fm import keep_quality
-from graphloom.llm.source_mix import taken
+from graphloom.llm.source_mix import mixed_texts
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by document: source, size, the source's size and target, and how many words the mix takes, repeats counted. Documents that it takes none of go."""
-    return taken(docs).where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
+    """The mixed corpus: what each slot of each shard takes of which document, with its words, repeats written out."""
+    return mixed_texts(docs)
 
 
 STAGES = [("quality_classifier", quality), ("exact_dedup", exact), ("ngram_jaccard_join", near), ("benchmark_decontamination", clean), ("source_mixing", mixed)]
