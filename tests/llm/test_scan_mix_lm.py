@@ -209,13 +209,34 @@ def test_language_model_against_brute_force(spark):
 def test_model_shards(spark, monkeypatch):
     from graphloom.llm import kneser_ney
 
-    docs = spark.createDataFrame([("x y z x y",), ("y z",)], "text string")
+    rng = random.Random(2)
+    hot = " ".join(f"h {rng.choice('abcdefgxyz')}{rng.randrange(9)}" for _ in range(400))  # every other word follows h
+    docs = spark.createDataFrame([("x y z x y",), ("y z",), (hot,)], "text string")
     one = train(docs)
-    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 2)
-    several = train(docs)
-    assert several.context_bits > 0 == one.context_bits and several.sums == one.sums
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 50)
+    several = train(docs.repartition(3))
+    assert several.shards.bits > 3 and one.shards.bits == 0 and several.sums == one.sums
+    assert len(several.shards.hot) and several.shards.width.max() > 1 and not len(one.shards.hot)
     import pyarrow as pa
 
-    a, b = (Reader(m).score(pa.array(["x y", "q z y"])) for m in (one, several))
-    assert all(np.array_equal(a[k], b[k]) for k in a)
+    a, b = (Reader(m).score(pa.array(["x y", "q z y", "h a1 h q", hot, "", None])) for m in (one, several))
+    assert all(np.allclose(a[k], b[k], rtol=1e-12) for k in a)
     assert START != END
+
+
+def test_counts_beyond_32_bits_and_keys_that_meet(tmp_path, monkeypatch):
+    """Packed counts of many tasks that add up to over 2^32; words whose hashes share the bits that a key keeps."""
+    import pandas as pd
+
+    from graphloom.llm import kneser_ney
+
+    most = 2**32 - 1
+    contexts, words = np.array([7, 9], np.uint64), np.array([1 << 63, (1 << 63) + 1, 5], np.uint64)
+    row = (0, contexts.tobytes(), np.array([2, 1], "<u4").tobytes(), words.tobytes(), np.array([most, 1, 2], "<u4").tobytes())
+    frame = pd.DataFrame([row] * 3, columns=["shard", "contexts", "runs", "words", "counts"])
+    kneser_ney._merge_pairs(str(tmp_path), 0, 1)(frame)
+    turn, head, total, one, two, more, keys, counts = kneser_ney._read(str(tmp_path), "pairs-0", 8)
+    assert turn[0] > 0 and list(head) == [7, 9] and list(total) == [3 * most + 3, 6] and list(more) == [2, 1] and list(one) == list(two) == [0, 0]
+    index = np.array([0, 0, 1])
+    at, found = kneser_ney._find(keys, kneser_ney._keys(index, words, 2, int(turn[0])))
+    assert found.all() and list(counts[at]) == [3 * most, 3, 6] and counts.dtype.itemsize == 8
