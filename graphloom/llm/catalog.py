@@ -30,6 +30,16 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL has: places and labels of the base phrases."""
+    return license_scan(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL has: sizes and targets."""
+    return taken(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 def op2_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line as its digest and length."""
     linked = link_calls(*turn_calls(read(spark, sf_dir, "conversations")), TURN_TOOLS)
@@ -88,9 +98,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scores": op10_lm_scores,
+    "license_phrases": license_phrases,
+    "mix_targets": mix_targets,
 }
 
 SQL: dict[str, str] = {
+    "license_phrases": r"""
+WITH p AS (SELECT * FROM (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) t(g, label)),
+d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) - len(g) + 2), lambda i: list_slice(w, i, i + len(g) - 1) = g)) - 1 AS i FROM d, p WHERE len(w) >= len(g)),
+a AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+""",
+    "mix_targets": r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\t-\r]+'), lambda x: x <> '')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n, [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS w FROM d GROUP BY source),
+u AS (SELECT 0 AS k, (SELECT 1.5 * sum(n) / sum(w) FROM s) AS unit
+  UNION ALL SELECT k + 1, (SELECT (1.5 * sum(n) - coalesce(sum(2 * n) FILTER (2 * n < unit * w), 0)) / sum(w) FILTER (2 * n >= unit * w) FROM s) FROM u WHERE k < 50 AND unit IS NOT NULL),
+l AS (SELECT max_by(unit, k) AS unit FROM u WHERE unit IS NOT NULL)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, round(least(2 * n, unit * w), 6) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, l
+""",
     "op6_exact_dedup": r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\t-\r]+', ' ', 'g')) AS h FROM documents),
 g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY h)

@@ -45,6 +45,19 @@ def test_license_against_brute_force(spark):
     assert license_scan(docs.limit(0)).count() == 0
 
 
+def test_license_spans_are_verified(spark):
+    """A whole text with changes, its grams strewn in other text, a repeated part, and a text of over a megabyte."""
+    from graphloom.llm.license_scan import TEXTS
+
+    isc = dict((label, t) for t, label in TEXTS)["isc"].split(" ")
+    changed = [w if i % 12 else "other" for i, w in enumerate(isc)]
+    strewn = " ".join(" ".join(isc[i : i + 4]) + " but here quite other words that belong elsewhere" for i in range(0, len(isc), 4))
+    texts = [" ".join(isc), " ".join(changed), strewn, " ".join(isc[:8]) + " " + " ".join(isc[:8]), "filler text " * 60_000 + " ".join(isc) + " mit license"]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(5)] == ["isc", "isc", "", "", "isc,mit"]
+    assert got[0].score == 1 and 0.7 <= got[1].score < 1 and got[2].score < 0.7 and got[3].score < 0.7 and got[4].first_word == 120_000 + len(isc)
+
+
 def goals(sizes, weights, share=1.5, most=2):
     """Targets by the rule: fill what is above, share the rest out again."""
     out, open_ = {}, set(range(len(sizes)))
