@@ -14,7 +14,9 @@ the prefix, the more of its tokens must match.
 4. Sets so linked form clusters; whole shingle sets of those only are read again. Clusters are joined
    in blocks of bounded size, where each document takes the prefix length with the lowest estimated
    cost, pairs must share as many prefix tokens as the shorter of both asks for, and pairs of sets that
-   aren't connected yet are verified exactly.
+   aren't connected yet are verified exactly. A large cluster is cut in parts by the least hash of each
+   set, which near copies mostly share; after the parts' own links, those parts meet that still have
+   candidates in different components, and of them the sets with such candidates only.
 
 Blocks give a spanning forest of the links, never all pairs of a group.
 """
@@ -37,7 +39,7 @@ from ._words import Words, shingles, signed, slices
 
 #: Share of a set by which the levels lengthen a prefix.
 LEVELS = (0.0, 0.025, 0.05)
-#: Shingles in a part of a cluster, and in a pool of small clusters.
+#: Shingles in a part of a cluster, and in a pool of small clusters. A set with more is a part of its own.
 PART_TOKENS, POOL_TOKENS = 1_000_000, 500_000
 #: Sets that may have a light token. Pairs of a light token are at most half that for each of its rows.
 LIGHT = 24
@@ -146,9 +148,9 @@ def _kept(num: int, den: int, levels: dict[int, int]):
     return run
 
 
-def _whole(k: int, seed: int):
-    """The whole shingle sets of rows (doc_id, text, set_id, root, parts), of a set once in a task."""
-    schema = pa.schema([("set_id", pa.int64()), ("root", pa.int64()), ("parts", pa.int64()), ("tokens", pa.binary())])
+def _whole(k: int):
+    """The whole shingle sets of rows (text, set_id, cluster, side, pool) in place of their texts."""
+    kept = ["set_id", "cluster", "side", "pool"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +158,7 @@ def _whole(k: int, seed: int):
                 words = Words(part.column("text"))
                 tokens, at = shingles(words, words.hashes(), k)
                 packed = [tokens[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column("set_id"), part.column("root"), part.column("parts"), pa.array(packed, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(packed, pa.binary())], names=[*kept, "tokens"])
 
     return run
 
@@ -252,12 +254,12 @@ def link_block(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) ->
 def _blocks(num: int, den: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
-        for _, cluster in frame.groupby("root", sort=True):
+        for _, cluster in frame.groupby("cluster", sort=True):
             cluster = cluster.drop_duplicates("set_id").sort_values("set_id", kind="stable")
             if len(cluster) < 2:
                 continue
             ids = cluster.set_id.to_numpy()
-            labels = link_block([np.frombuffer(t, np.uint64) for t in cluster.tokens], cluster.part.to_numpy(), num, den)
+            labels = link_block([np.frombuffer(t, np.uint64) for t in cluster.tokens], cluster.side.to_numpy(), num, den)
             linked = np.flatnonzero(labels != np.arange(len(ids)))
             a.append(ids[linked])
             b.append(ids[labels[linked]])
@@ -343,7 +345,7 @@ def _links(table: DataFrame, sets: DataFrame, k: int, num: int, den: int, seed:
     counted = counted.select(F.col("p.x.set_id").alias("a"), F.col("p.y.set_id").alias("b"), F.least("p.x.need", "p.y.need").alias("least"))
     side = lambda c: by_set.select(F.col("set_id").alias(c), F.col("all").alias(f"{c}_tokens"))
     both = counted.join(side("a"), "a").join(side("b"), "b")
-    near = both.where(F.size(F.array_intersect("a_tokens", "b_tokens")) >= F.col("least")).select("a", "b")
+    pairs = _dist.materialize(both.where(F.size(F.array_intersect("a_tokens", "b_tokens")) >= F.col("least")).select("a", "b"), "pairs")
     # heavy tokens: whole sets of those that could do with heavy tokens alone, in order of frequency among them
     costly = _dist.materialize(by_set.where(F.size("heavy") >= F.col("need")).select("set_id"), "costly")
     rows = _dist.materialize(_texts(table, sets, costly).select("text", "set_id").mapInArrow(_tokens(k), "token long, set_id long"), "tokens")
@@ -360,22 +362,65 @@ def _links(table: DataFrame, sets: DataFrame, k: int, num: int, den: int, seed:
     low = rest.groupBy("token").agg(F.min("set_id").alias("low"), F.count("*").alias("uses")).where("uses > 1")
     low = _dist.materialize(low, "heavy")
     joined = _dist.attach(rest, low, "token", "uses", F.xxhash64("set_id", "token"), low.agg(F.sum("uses")).first()[0] or 0)
-    near = near.union(joined.where("low is not null and low <> set_id").select("set_id", "low")).distinct()
+    near = pairs.union(joined.where("low is not null and low <> set_id").select("set_id", "low")).distinct()
     clusters = _dist.components(near, "clusters")
-    sized = clusters.join(promising.select(F.col("set_id").alias("id"), "size"), "id")
-    sized = _dist.materialize(sized, "sized")
+    low = F.col("tokens")[0].alias("low")  # nearly the least hash of the set: near copies mostly have one
+    sized = _dist.materialize(clusters.join(promising.select(F.col("set_id").alias("id"), "size", low), "id"), "sized")
     weights = sized.groupBy("root").agg(F.sum("size").alias("weight"), F.count("*").alias("members"))
     told = _dist.attach(sized, weights, "root", "members", F.xxhash64("id"), sized.count())
-    chosen = _dist.materialize(told.select(F.col("id").alias("set_id"), "root", F.ceil(F.col("weight") / PART_TOKENS).alias("parts")), "chosen")
-    texts = _texts(table, sets, chosen)
-    whole = texts.select("text", "set_id", "root", "parts").mapInArrow(_whole(k, seed), "set_id long, root long, parts long, tokens binary")
+    told = _dist.materialize(told.select(F.col("id").alias("set_id"), "root", "size", "low", "weight"), "weighed")
     pools = max(1, math.ceil((sized.agg(F.sum("size")).first()[0] or 0) / POOL_TOKENS))
-    whole = whole.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("set_id"), F.col("parts"))).otherwise(F.lit(0)))
-    # each part of a large cluster meets every other one
-    whole = whole.withColumn("other", F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.lit(0).cast("long")))))
-    large = F.col("parts") > 1
-    pooled = whole.select("set_id", "root", "part", "tokens", F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(pools))).alias("pool"), F.least("part", "other").alias("p0"), F.greatest("part", "other").alias("p1"), large.alias("large"))
-    return pooled.groupBy("large", "pool", "p0", "p1").applyInPandas(_blocks(num, den), "a long, b long")
+    zero = F.lit(0).cast("long")
+    chosen = told.where(F.col("weight") <= PART_TOKENS).select("set_id", F.col("root").alias("cluster"), zero.alias("side"), F.pmod(F.xxhash64("root"), F.lit(pools)).alias("pool"))
+    parts = _parts(told.where(F.col("weight") > PART_TOKENS))
+    large = parts.limit(1).count() > 0
+    if large:
+        chosen = chosen.union(parts.select("set_id", F.col("part").alias("cluster"), zero.alias("side"), F.col("part").alias("pool")))
+
+    def links(rows: DataFrame) -> DataFrame:
+        whole = _texts(table, sets, rows).select("text", "set_id", "cluster", "side", "pool").mapInArrow(_whole(k), "set_id long, cluster long, side long, pool long, tokens binary")
+        return whole.groupBy("pool").applyInPandas(_blocks(num, den), "a long, b long")
+
+    if not large:
+        return links(chosen)
+    inner = _dist.materialize(links(chosen), "inner")
+    return inner.union(links(_open_blocks(parts, inner, pairs, rest)))
+
+
+def _parts(sets: DataFrame) -> DataFrame:
+    """(set_id, root, part): parts of large clusters, sets(set_id, root, size, low, weight), of about PART_TOKENS shingles at most. Sets with one low share a part, or parts of their own if they are many."""
+    group = F.xxhash64("root", "low")
+    groups = sets.groupBy("root", "low").agg(F.sum("size").alias("tokens"), F.count("*").alias("members")).withColumn("group", F.xxhash64("root", "low"))
+    told = _dist.attach(sets.withColumn("group", group), groups, "group", "members", F.xxhash64("set_id"), sets.count(), extra=["root", "low"])
+    own = F.xxhash64("root", "low", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("tokens") / PART_TOKENS)))
+    shared = F.xxhash64("root", F.pmod(F.xxhash64("low"), F.ceil(F.col("weight") * 2 / PART_TOKENS)))
+    return _dist.materialize(told.select("set_id", "root", F.when(F.col("tokens") * 2 > PART_TOKENS, own).otherwise(shared).alias("part")), "parts")
+
+
+def _open_blocks(parts: DataFrame, inner: DataFrame, pairs: DataFrame, rest: DataFrame) -> DataFrame:
+    """(set_id, cluster, side, pool): pairs of parts of a large cluster that candidates of different components connect, with the sets that have such candidates.
+
+    What the parts' own links connect needs no further comparing, so a group of near copies that is spread
+    over many parts leaves little; sets that share no candidate never meet.
+    """
+    roots = _dist.components(inner, "inner").withColumnRenamed("id", "set_id").withColumnRenamed("root", "component")
+    members = _dist.materialize(parts.join(roots, "set_id", "left").select("set_id", "part", F.coalesce("component", "set_id").alias("component")), "members")
+    side = lambda c: members.select(F.col("set_id").alias(c), F.col("part").alias(f"{c}_part"), F.col("component").alias(f"{c}_component"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where("a_part <> b_part and a_component <> b_component")
+    met = _dist.materialize(met.select("a", "b", F.least("a_part", "b_part").alias("p0"), F.greatest("a_part", "b_part").alias("p1")), "met")
+    at = _dist.materialize(rest.join(members, "set_id"), "tokens-of-parts")
+    by_part = at.groupBy("token", "part").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    token = by_part.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("part", "c0", "c1"))).alias("parts"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("c0 <> c1 and size(parts) > 1")
+    token = _dist.materialize(token.select("token", "parts"), "open-tokens")
+    # tokens of one passage are in the same parts, so lists are made distinct before they are paired
+    lists = token.select("parts").distinct()
+    two = lists.select(F.explode(F.flatten(F.transform("parts", lambda x, i: F.transform(F.filter(F.slice("parts", F.lit(1), i), lambda y: (x["c0"] != x["c1"]) | (y["c0"] != y["c1"]) | (x["c0"] != y["c0"])), lambda y: F.struct(y["part"].alias("p0"), x["part"].alias("p1")))))).alias("p"))
+    blocks = _dist.materialize(two.select("p.p0", "p.p1").union(met.select("p0", "p1")).distinct(), "blocks")
+    uses = at.groupBy("token").agg(F.count("*").alias("uses"))
+    open_ = _dist.attach(at.select("set_id", "token"), token.select("token", F.lit(True).alias("open")).join(uses, "token"), "token", "uses", F.xxhash64("set_id", "token"), at.count()).where("open").select("set_id")
+    sets = open_.union(met.select("a")).union(met.select("b")).distinct().join(members.select("set_id", "part"), "set_id")
+    sides = blocks.select(F.explode(F.array(F.struct(F.col("p0").alias("part")), F.struct(F.col("p1").alias("part")))).alias("s"), F.xxhash64("p0", "p1").alias("block")).select("s.part", "block")
+    return sets.join(sides, "part").select("set_id", F.col("block").alias("cluster"), F.col("part").alias("side"), F.col("block").alias("pool"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:

@@ -120,3 +120,33 @@ def test_long_texts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in drop_exact_duplicates(docs).collect()} == {0, 2, 3}
     assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+def test_near_in_a_chained_cluster_of_many_parts(spark, monkeypatch):
+    """A cluster of over ten parts: a group of near copies that fills several parts, and texts chained by common passages."""
+    from graphloom.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "PART_TOKENS", 600)
+    monkeypatch.setattr(jaccard_join, "LIGHT", 2)
+    rng = random.Random(12)
+    word = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passages, base, texts = [word(60) for _ in range(4)], word(70), []
+    for i in range(45):
+        t = list(base)
+        t[rng.randrange(70)] = f"edit{i % 9}"
+        texts.append(" ".join(t))
+    for i in range(40):
+        t = passages[i % 4] + word(9) + (passages[(i + 1) % 4][:25] if i % 3 else base[:20])
+        texts += [" ".join(t), " ".join([*t[:-1], "last"])][: 1 + i % 2]
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    seen, real = [], jaccard_join._open_blocks
+    monkeypatch.setattr(jaccard_join, "_open_blocks", lambda parts, *more: seen.append(parts.select("part").distinct().count()) or real(parts, *more))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component_id for r in near_duplicates(docs, k=3, num=4, den=5).orderBy("doc_id").collect()] == root
+    assert seen and seen[0] >= 10
