@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,16 +53,8 @@ rels AS (SELECT doc_id, 'rel_' || sha256(least(src, tgt) || '|' || greatest(src,
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An undirected graph of suppliers, parts and nations: src < dst, weight, description, chunk. One order in four, as the SQL of its queries has it."""
-    return _edges(spark, sf_dir, read(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0"))
-
-
-def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same graph of all orders."""
-    return _edges(spark, sf_dir, read(spark, sf_dir, "lineitem"))
-
-
-def _edges(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """An undirected graph of suppliers, parts and nations over all orders: src < dst, weight, description, chunk."""
+    lines = read(spark, sf_dir, "lineitem")
     supplies = lines.groupBy("l_suppkey", "l_partkey").agg(F.count("*").cast("double").alias("weight"), F.min("l_orderkey").alias("o"))
     a = supplies.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("dst"), "weight", F.concat(F.lit("c"), F.col("o").cast("string")).alias("chunk_id"))
     home = read(spark, sf_dir, "supplier").select(F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("src"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("dst"), F.lit(2.0).alias("weight"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("chunk_id"))
@@ -72,17 +62,13 @@ def _edges(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
 
 
 EDGES = """
-edges AS (SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst, CAST(count(*) AS DOUBLE) AS weight, 'c' || min(l_orderkey) AS chunk_id FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY l_suppkey, l_partkey
+edges AS (SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst, CAST(count(*) AS DOUBLE) AS weight, 'c' || min(l_orderkey) AS chunk_id FROM lineitem GROUP BY l_suppkey, l_partkey
  UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey, 2.0, 'n' || s_nationkey FROM supplier),
 nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)
 """
 
 
-#: The same of all orders.
-ALL_EDGES = EDGES.replace(" WHERE l_orderkey % 4 = 0", "")
-
-
-def nodes(spark: SparkSession, sf_dir: str, edges: Callable[[SparkSession, str], DataFrame] = edges) -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
 
@@ -100,30 +86,19 @@ membership AS (SELECT 'C' || c_custkey AS id, 0 AS level, c_mktsegment AS cluste
 
 
 def customer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with consecutive keys, and customers of orders with consecutive keys, know each other; chunks: the orders. Two customers in three and one order in five, as the SQL of its queries has it."""
-    return _customer_edges(spark, sf_dir, "c_custkey % 3 <> 0", "o_orderkey % 5 = 0")
-
-
-def all_customer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same graph of all customers and orders."""
-    return _customer_edges(spark, sf_dir, "true", "true")
-
-
-def _customer_edges(spark: SparkSession, sf_dir: str, customers: str, orders: str) -> DataFrame:
+    """Customers with consecutive keys, and customers of orders with consecutive keys, know each other; chunks: the orders."""
     c = read(spark, sf_dir, "customer").select("c_custkey")
     name = lambda col: F.concat(F.lit("C"), col.cast("string"))
-    chain = c.where(customers).select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"), F.lit(0).cast("long").alias("o")).join(c.select(F.col("c_custkey").alias("b")), "b", "left_semi")
+    chain = c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"), F.lit(0).cast("long").alias("o")).join(c.select(F.col("c_custkey").alias("b")), "b", "left_semi")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    near = o.select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.col("o_custkey").alias("a")).join(o, "o_orderkey").where(orders).where("a <> o_custkey")
+    near = o.select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.col("o_custkey").alias("a")).join(o, "o_orderkey").where("a <> o_custkey")
     both = chain.select("a", "b", "o").union(near.select("a", F.col("o_custkey").alias("b"), F.col("o_orderkey").alias("o")))
     pair = both.select(F.least(name(F.col("a")), name(F.col("b"))).alias("src"), F.greatest(name(F.col("a")), name(F.col("b"))).alias("dst"), "o")
     return pair.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"), F.concat(F.lit("o"), F.min("o").cast("string")).alias("chunk_id"))
 
 
 CUSTOMER_EDGES = """
-near0 AS (SELECT c_custkey AS a, c_custkey + 1 AS b, 0 AS o FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)
- UNION ALL SELECT x.o_custkey, y.o_custkey, y.o_orderkey FROM orders x JOIN orders y ON y.o_orderkey = x.o_orderkey + 1 WHERE y.o_orderkey % 5 = 0 AND x.o_custkey <> y.o_custkey),
+near0 AS (SELECT c_custkey AS a, c_custkey + 1 AS b, 0 AS o FROM customer WHERE c_custkey + 1 IN (SELECT c_custkey FROM customer)
+ UNION ALL SELECT x.o_custkey, y.o_custkey, y.o_orderkey FROM orders x JOIN orders y ON y.o_orderkey = x.o_orderkey + 1 WHERE x.o_custkey <> y.o_custkey),
 cedges AS (SELECT least('C' || a, 'C' || b) AS src, greatest('C' || a, 'C' || b) AS dst, CAST(count(*) AS DOUBLE) AS weight, 'o' || min(o) AS chunk_id FROM near0 GROUP BY 1, 2)
 """
-#: The same of all customers and orders.
-ALL_CUSTOMER_EDGES = CUSTOMER_EDGES.replace("c_custkey % 3 <> 0 AND ", "").replace("y.o_orderkey % 5 = 0 AND ", "")

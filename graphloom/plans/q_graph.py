@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import prefixed_hash
 from ..operators import chunking, clustering, extraction, graph, merge, registry
+from ..sources.store import materialize
 from . import fixtures as X
 
 QUERIES, SQL = {}, {}
@@ -63,11 +64,14 @@ def model_extraction(s, d):
     return extraction.fact_ids(*extraction.parse_structured(told.select("doc_id", "chunk_id", "output")))[0].select("doc_id", "entity_id", "entity_name", "implicit")
 
 
-@query(f"WITH {X.DOC_ENTITIES} SELECT doc_id, count(DISTINCT chunk_id) * 3 AS chunks, count(DISTINCT entity_name) AS entities, count(DISTINCT entity_name) < greatest(3, floor(count(DISTINCT chunk_id) * 2.0)) AS low FROM (SELECT doc_id, chunk_id, entity_name FROM ents) GROUP BY doc_id")
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\r\\n]+'), lambda x: x <> '') AS w FROM documents),
+e AS (SELECT doc_id, (len(w) + 55) // 56 AS chunks, len(list_distinct(list_filter(w, lambda x: ord(x) BETWEEN 65 AND 90))) AS entities FROM w WHERE len(w) > 0)
+SELECT doc_id, chunks, entities, entities < greatest(3, floor(chunks * 2.0)) AS low FROM e""")
 def low_yield_check(s, d):
-    e = X.doc_entities(s, d)
-    out = extraction.low_yield(e, e.select("doc_id", "chunk_id").distinct())
-    return out.withColumn("chunks", F.col("chunks") * 3)
+    """Capitalised words of all token windows as entities."""
+    chunks = chunking.token_windows(X.documents(s, d), 64, 8)
+    words = chunks.select("doc_id", F.explode(F.split("content", r"[ \t\r\n]+")).alias("entity_name")).where(F.ascii("entity_name").between(65, 90))
+    return extraction.low_yield(words, chunks)
 
 
 @query("SELECT s_suppkey, list_sort([s_name || ' Co', 'the ' || s_name]) AS aliases FROM supplier")
@@ -113,9 +117,9 @@ def node_merge_existing(s, d):
 
 
 @query(f"WITH {X.EDGES} SELECT src, dst, weight * 2 AS weight, 1 AS \"order\", src LIKE 'N%' AS src_is_new FROM edges")
-def edge_merge_existing(s, d, edges=X.edges):
-    e = edges(s, d).select("src", "dst", "weight", F.lit(1).alias("order"))
-    merged, new = merge.merge_edges(e, e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit(3).alias("order")), X.nodes(s, d, edges).where("id not like 'N%'"))
+def edge_merge_existing(s, d):
+    e = X.edges(s, d).select("src", "dst", "weight", F.lit(1).alias("order"))
+    merged, new = merge.merge_edges(e, e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit(3).alias("order")), X.nodes(s, d).where("id not like 'N%'"))
     return merged.join(new.select(F.col("id").alias("src"), F.lit(True).alias("is_new")), "src", "left").select("src", "dst", "weight", "order", F.coalesce("is_new", F.lit(False)).alias("src_is_new"))
 
 
@@ -196,73 +200,69 @@ def entity_mentions(s, d):
 
 
 @query(f"WITH {X.EDGES}, q AS (SELECT id FROM nodes UNION ALL SELECT 'gone') SELECT q.id, count(e.id) AS degree FROM q LEFT JOIN (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) e ON q.id = e.id GROUP BY q.id")
-def node_degree(s, d, edges=X.edges):
-    return graph.degrees(X.nodes(s, d, edges).union(s.createDataFrame([("gone",)], "id string")), edges(s, d))
+def node_degree(s, d):
+    return graph.degrees(X.nodes(s, d).union(s.createDataFrame([("gone",)], "id string")), X.edges(s, d))
 
 
 @query(f"WITH {X.EDGES}, g AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id) SELECT p.src, p.dst, coalesce(a.n, 0) + coalesce(b.n, 0) AS degree FROM (SELECT src, dst FROM edges UNION ALL SELECT 'N1', 'gone') p LEFT JOIN g a ON p.src = a.id LEFT JOIN g b ON p.dst = b.id")
-def edge_degree(s, d, edges=X.edges):
-    e = edges(s, d)
+def edge_degree(s, d):
+    e = X.edges(s, d)
     return graph.edge_degrees(e.select("src", "dst").union(s.createDataFrame([("N1", "gone")], "src string, dst string")), e)
 
 
 @query(f"WITH {X.EDGES} SELECT src AS id, dst AS other, weight FROM edges WHERE src LIKE 'N%' UNION ALL SELECT dst, src, weight FROM edges WHERE dst LIKE 'N%'")
-def incident_edges(s, d, edges=X.edges):
-    return graph.both_ways(edges(s, d), "weight").where("id like 'N%'")
+def incident_edges(s, d):
+    return graph.both_ways(X.edges(s, d), "weight").where("id like 'N%'")
 
 
 @query(f"WITH {X.EDGES} SELECT dst AS src, src AS dst, weight, chunk_id FROM edges UNION ALL SELECT 'S1', 'nothing', NULL, NULL")
-def edge_lookup(s, d, edges=X.edges):
-    e = edges(s, d)
+def edge_lookup(s, d):
+    e = X.edges(s, d)
     return graph.edge_lookup(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")).union(s.createDataFrame([("S1", "nothing")], "src string, dst string")), e)
 
 
 @query(f"WITH {X.EDGES} SELECT src, dst FROM edges WHERE src NOT LIKE 'N%' AND dst NOT LIKE '%5'")
-def graph_delete_cascade(s, d, edges=X.edges):
-    n = X.nodes(s, d, edges)
-    return graph.delete_nodes(n, edges(s, d), n.where("id like 'N%' or id like 'S%5'"))[1].select("src", "dst")
+def graph_delete_cascade(s, d):
+    n = X.nodes(s, d)
+    return graph.delete_nodes(n, X.edges(s, d), n.where("id like 'N%' or id like 'S%5'"))[1].select("src", "dst")
 
 
 @query(f"WITH {X.EDGES} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, weight, chunk_id FROM edges")
-def canonical_edges(s, d, edges=X.edges):
-    return graph.canonical(edges(s, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "chunk_id"))
-
+def canonical_edges(s, d):
+    return graph.canonical(X.edges(s, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "chunk_id"))
 
-_SPARSE = "sparse AS (SELECT src, dst FROM edges WHERE src LIKE 'P%' AND CAST(substr(dst, 2) AS INT) % 3 = 0), sn AS (SELECT src AS id FROM sparse UNION SELECT dst FROM sparse)"
 
+_LOWER = "l{i} AS (SELECT id, min(c) AS c FROM (SELECT id, c FROM l{p} UNION ALL SELECT b.id, l{p}.c FROM b JOIN l{p} ON b.o = l{p}.id) GROUP BY id)"
 
-def _sparse(s, d):
-    e = X.edges(s, d).where("src like 'P%' and cast(substr(dst, 2) as int) % 3 = 0")
-    return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e
 
-
-@query(f"""WITH RECURSIVE {X.EDGES}, {_SPARSE}, r AS (SELECT id, id AS root FROM sn UNION SELECT CASE WHEN s.src = r.id THEN s.dst ELSE s.src END, root FROM r JOIN sparse s ON s.src = r.id OR s.dst = r.id),
-c AS (SELECT id, min(root) AS c FROM r GROUP BY id), b AS (SELECT c FROM c GROUP BY c ORDER BY count(*) DESC, c LIMIT 1) SELECT id FROM c WHERE c = (SELECT c FROM b)""")
+@query(f"""WITH {X.EDGES}, b AS (SELECT src AS id, dst AS o FROM edges UNION ALL SELECT dst, src FROM edges), l0 AS (SELECT id, id AS c FROM nodes),
+{', '.join(_LOWER.format(i=i, p=i - 1) for i in range(1, 13))}, b1 AS (SELECT c FROM l12 GROUP BY c ORDER BY count(*) DESC, c LIMIT 1) SELECT id FROM l12 WHERE c = (SELECT c FROM b1)""")
 def largest_component(s, d):
-    return graph.largest_component(*_sparse(s, d))
+    """SQL: the smallest label within twelve edges, more than the graph's diameter."""
+    return graph.largest_component(X.nodes(s, d), X.edges(s, d))
 
 
 @query(f"WITH {X.EDGES}, b AS (SELECT src AS id, dst AS o FROM edges UNION ALL SELECT dst, src FROM edges), f0 AS (SELECT 'N1' AS id), f1 AS (SELECT id FROM f0 UNION SELECT o FROM b WHERE id IN (SELECT id FROM f0)) SELECT id FROM f1 UNION SELECT o FROM b WHERE id IN (SELECT id FROM f1)")
-def frontier_k_hop(s, d, edges=X.edges):
-    return graph.frontier(X.nodes(s, d, edges), edges(s, d), s.createDataFrame([("N1",), ("gone",)], "id string"), 2)
+def frontier_k_hop(s, d):
+    return graph.frontier(X.nodes(s, d), X.edges(s, d), s.createDataFrame([("N1",), ("gone",)], "id string"), 2)
 
 
 @query(f"WITH {X.EDGES}, f AS (SELECT 'N1' AS id UNION SELECT dst FROM edges WHERE src = 'N1') SELECT (SELECT count(*) FROM nodes) AS nodes, count(*) AS frontier, count(*) FILTER (id LIKE 'S%') AS clustered, count(*) >= 2 AND count(*) <= (SELECT count(*) FROM nodes) * 0.5 AND count(*) FILTER (id LIKE 'S%') > 0 AS incremental FROM f")
-def incremental_eligibility(s, d, edges=X.edges):
-    n, e = X.nodes(s, d, edges), edges(s, d)
+def incremental_eligibility(s, d):
+    n, e = X.nodes(s, d), X.edges(s, d)
     return graph.incremental_choice(n, graph.frontier(n, e, s.createDataFrame([("N1",)], "id string")), n.where("id like 'S%'"), 3)
 
 
 @query(f"WITH {X.EDGES} SELECT id, 0 AS level, 'singleton-' || (row_number() OVER (ORDER BY id) - 1) AS cluster FROM nodes")
-def singleton_clusters(s, d, edges=X.edges):
-    return graph.singleton_clusters(X.nodes(s, d, edges))
+def singleton_clusters(s, d):
+    return graph.singleton_clusters(X.nodes(s, d))
 
 
 @query(f"""WITH {X.CUSTOMER_EDGES}, {X.MEMBERSHIP}, m AS (SELECT id, cluster FROM membership WHERE level = 0), e AS (SELECT a.cluster AS ca, b.cluster AS cb FROM cedges JOIN m a ON src = a.id JOIN m b ON dst = b.id),
 p AS (SELECT ca AS c, CASE WHEN ca = cb THEN 1.0 ELSE 0.0 END AS i FROM e UNION ALL SELECT cb, 0.0 FROM e), g AS (SELECT c, sum(i) AS i, count(*) AS deg FROM p GROUP BY c)
 SELECT round(CAST(sum(i) * 2 / sum(deg) - sum(CAST(deg AS DOUBLE) * deg) / (sum(deg) * sum(deg)) AS DOUBLE), 9) AS modularity FROM g""")
-def modularity(s, d, edges=X.customer_edges):
-    return graph.modularity(edges(s, d), X.membership(s, d).where("level = 0")).select(F.round("modularity", 9).alias("modularity"))
+def modularity(s, d):
+    return graph.modularity(X.customer_edges(s, d), X.membership(s, d).where("level = 0")).select(F.round("modularity", 9).alias("modularity"))
 
 
 def _chunks(e):
@@ -272,8 +272,8 @@ def _chunks(e):
 @query(f"""WITH {X.CUSTOMER_EDGES}, {X.MEMBERSHIP}, b AS (SELECT src AS id, src, dst, chunk_id FROM cedges UNION ALL SELECT dst, src, dst, chunk_id FROM cedges),
 g AS (SELECT level, cluster, count(DISTINCT m.id) AS nodes, count(DISTINCT (src, dst)) FILTER (src IS NOT NULL) AS edges, count(DISTINCT chunk_id) AS chunks FROM membership m LEFT JOIN b ON m.id = b.id GROUP BY 1, 2)
 SELECT level, cluster, nodes, edges, chunks, round(chunks / max(chunks) OVER (), 9) AS occurrence FROM g""")
-def community_schema(s, d, edges=X.customer_edges):
-    e = edges(s, d)
+def community_schema(s, d):
+    e = X.customer_edges(s, d)
     out = graph.community_schema(X.membership(s, d), e, _chunks(e))
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     count = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(n(c)).alias(c)
@@ -297,29 +297,27 @@ _STEP = """r{i} AS (SELECT n.id, 0.85 * coalesce(g.got, 0) + 0.15 * n.seed AS ra
 @query(f"""WITH {X.EDGES}, b AS (SELECT src AS id, dst AS o, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges), t AS (SELECT id, sum(weight) AS t FROM b GROUP BY id),
 mv AS (SELECT b.id, o, weight / t AS share FROM b JOIN t ON b.id = t.id), pn AS (SELECT id, CASE WHEN id IN ('N1', 'N2') THEN 0.5 ELSE 0.0 END AS seed FROM nodes), r0 AS (SELECT id, seed AS rank FROM pn),
 {', '.join(_STEP.format(i=i, p=i - 1) for i in range(1, 6))} SELECT id, round(CAST(rank AS DOUBLE), 9) AS rank FROM r5""")
-def ppr_fixed_iterations(s, d, edges=X.edges):
+def ppr_fixed_iterations(s, d):
     seeds = s.createDataFrame([("N1",), ("N2",)], "id string")
-    return graph.pagerank(X.nodes(s, d, edges), edges(s, d), seeds, iterations=5).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(X.nodes(s, d), X.edges(s, d), seeds, iterations=5).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query()
 def leiden_levels(s, d):
-    return clustering.leiden(*_sparse(s, d))
+    return clustering.leiden(X.nodes(s, d), X.edges(s, d))
 
 
 @query()
 def incremental_leiden(s, d):
-    n, e = _sparse(s, d)
-    old = clustering.leiden(n, e, (2.0,))
+    n, e = X.nodes(s, d), X.edges(s, d)
+    old = materialize(clustering.leiden(n, e, (2.0,)))
     return clustering.incremental_leiden(n, e, old, n.orderBy("id").limit(3), 1)
 
 
 @query()
 def node2vec(s, d):
     """Every node's vector as its number of dimensions and its length."""
-    e = X.all_edges(s, d)
-    n = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    out = graph.node2vec(n, e, dims=16)
+    out = graph.node2vec(X.nodes(s, d), X.edges(s, d), dims=16)
     return out.select("id", F.size("embedding").alias("dims"), F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x)).alias("norm"))
 
 
@@ -328,18 +326,6 @@ def legacy_ids(s, d):
     return X.documents(s, d).select(prefixed_hash("doc-", F.col("content"), "md5").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query()
-def largest_component_all(s, d):
-    return graph.largest_component(X.nodes(s, d, X.all_edges), X.all_edges(s, d))
-
-
-def _all(f, edges, part: str, whole: str):
-    """Register f over a graph of the whole tables; the query of its own name keeps the part that its SQL fixes."""
-    QUERIES[f"{f.__name__}_all"] = lambda s, d: f(s, d, edges)
-    SQL[f"{f.__name__}_all"] = SQL[f.__name__].replace(part, whole)
-
-
-for _f in (edge_merge_existing, node_degree, edge_degree, incident_edges, edge_lookup, graph_delete_cascade, canonical_edges, frontier_k_hop, incremental_eligibility, singleton_clusters, ppr_fixed_iterations):
-    _all(_f, X.all_edges, X.EDGES, X.ALL_EDGES)
-for _f in (modularity, community_schema):
-    _all(_f, X.all_customer_edges, X.CUSTOMER_EDGES, X.ALL_CUSTOMER_EDGES)
+# second names of queries that took a part of the tables before
+for _f in (largest_component, edge_merge_existing, node_degree, edge_degree, incident_edges, edge_lookup, graph_delete_cascade, canonical_edges, frontier_k_hop, incremental_eligibility, singleton_clusters, ppr_fixed_iterations, modularity, community_schema):
+    QUERIES[f"{_f.__name__}_all"], SQL[f"{_f.__name__}_all"] = _f, SQL[_f.__name__]

@@ -65,22 +65,8 @@ def vector_delete(s, d):
     return v.join(v.where("id % 9 = 0").select("id"), "id", "left_anti").select("id")
 
 
-def _retrievers(s, d, whole=False):
-    text = F.col("text") if whole else F.substring("text", 1, 20)
-    return X.read(s, d, "benchmark").select(F.col("item_id").alias("retriever_pos"), (1.0 / (F.col("item_id") % 5 + 1)).alias("weight"), F.concat(text, F.lit("\n\n"), F.lit("shared "), (F.col("item_id") % 3).cast("string"), F.lit("\n\n \n\nlast")).alias("result"))
-
-
-_PASSAGES = """p AS (SELECT retriever_pos, weight, pos, passage FROM (SELECT item_id AS retriever_pos, 1.0 / (item_id % 5 + 1) AS weight, unnest([trim(left(text, 20)), 'shared ' || item_id % 3, 'last']) AS passage, unnest([0, 1, 2]) AS pos FROM benchmark))"""
-
-
-@query(f"WITH {_PASSAGES} SELECT retriever_pos, CASE WHEN pos = 2 THEN 3 ELSE pos END AS pos, passage FROM p ORDER BY weight DESC, retriever_pos, pos LIMIT 30")
-def weighted_fusion(s, d):
-    return vectors.weighted_fusion(_retrievers(s, d), 30)
-
-
-@query(f"WITH {_PASSAGES} SELECT passage, round(CAST(sum(weight / (pos + 61)) AS DOUBLE), 9) AS score FROM p GROUP BY passage ORDER BY round(CAST(sum(weight / (pos + 61)) AS DOUBLE), 12) DESC, min((retriever_pos, pos)) LIMIT 12")
-def rrf_fusion(s, d):
-    return vectors.reciprocal_rank_fusion(_retrievers(s, d), 12).withColumn("score", F.round("score", 9))
+def _retrievers(s, d):
+    return X.read(s, d, "benchmark").select(F.col("item_id").alias("retriever_pos"), (1.0 / (F.col("item_id") % 5 + 1)).alias("weight"), F.concat("text", F.lit("\n\n"), F.lit("shared "), (F.col("item_id") % 3).cast("string"), F.lit("\n\n \n\nlast")).alias("result"))
 
 
 _WHOLE = r"""w AS (SELECT item_id AS retriever_pos, 1.0 / (item_id % 5 + 1) AS weight, list_transform(string_split(text || chr(10) || chr(10) || 'shared ' || item_id % 3 || chr(10) || chr(10) || ' ' || chr(10) || chr(10) || 'last', chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM benchmark),
@@ -88,15 +74,15 @@ p AS (SELECT * FROM (SELECT retriever_pos, weight, unnest(l) AS passage, unnest(
 
 
 @query(f"WITH {_WHOLE} SELECT retriever_pos, pos, sha256(passage) AS passage FROM p ORDER BY weight DESC, retriever_pos, pos LIMIT 30")
-def weighted_fusion_all(s, d):
+def weighted_fusion(s, d):
     """Whole texts; each passage as its digest."""
-    return vectors.weighted_fusion(_retrievers(s, d, whole=True), 30).withColumn("passage", F.sha2("passage", 256))
+    return vectors.weighted_fusion(_retrievers(s, d), 30).withColumn("passage", F.sha2("passage", 256))
 
 
 @query(f"WITH {_WHOLE}, r AS (SELECT *, row_number() OVER (PARTITION BY retriever_pos ORDER BY pos) - 1 AS k FROM p) SELECT sha256(passage) AS passage, round(CAST(sum(weight / (k + 61)) AS DOUBLE), 9) AS score FROM r GROUP BY r.passage ORDER BY round(CAST(sum(weight / (k + 61)) AS DOUBLE), 12) DESC, min((retriever_pos, k)) LIMIT 12")
-def rrf_fusion_all(s, d):
+def rrf_fusion(s, d):
     """Whole texts; each passage as its digest."""
-    return vectors.reciprocal_rank_fusion(_retrievers(s, d, whole=True), 12).select(F.sha2("passage", 256).alias("passage"), F.round("score", 9).alias("score"))
+    return vectors.reciprocal_rank_fusion(_retrievers(s, d), 12).select(F.sha2("passage", 256).alias("passage"), F.round("score", 9).alias("score"))
 
 
 @query()
@@ -213,37 +199,46 @@ def grounding_confidence(s, d):
     return _answers(s, d).select("answer_id", F.round("confidence", 9).alias("confidence"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'multihop' WHEN 'view' THEN 'global' ELSE 'local' END AS mode FROM events")
-def route_mode(s, d):
-    q = F.when(F.col("event_type") == "click", "Compare both, then summarise").when(F.col("event_type") == "view", "What are the main themes overall?").otherwise("Where is it?")
-    return X.read(s, d, "events").select("event_id", R.route(q).alias("mode"))
+_ASKED = """q AS (SELECT conv_id, turn, CASE turn % 9 WHEN 0 THEN 'What do they have IN COMMON? ' WHEN 1 THEN 'Give a high-level broad view: ' WHEN 2 THEN 'Which authors are related to it? ' WHEN 3 THEN 'Main ideas across all? ' WHEN 4 THEN 'Who else also wrote ' ELSE '' END || text AS q FROM conversations)"""
 
 
-@query("SELECT conv_id, hop, pos, content FROM (SELECT *, sum(length(content) // 4) OVER (PARTITION BY conv_id ORDER BY hop DESC, pos ROWS UNBOUNDED PRECEDING) AS u FROM (SELECT conv_id, turn AS hop, turn AS pos, left(text, 60) AS content FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, left(text, 60) ORDER BY turn DESC) = 1)) WHERE u <= 50")
-def multihop_merge(s, d):
-    c = X.read(s, d, "conversations").select("conv_id", F.col("turn").alias("hop"), F.col("turn").alias("pos"), F.substring("text", 1, 60).alias("content"))
-    return R.merge_hops(c, 50, ["conv_id"])
+def _score(patterns):
+    return " + ".join(f"CAST(regexp_matches(q, '{p}', 'i') AS INT)" for p in patterns)
+
+
+@query(f"WITH {_ASKED} SELECT conv_id, turn, CASE WHEN {_score(R.MULTIHOP)} >= 1 THEN 'multihop' WHEN {_score(R.OVERVIEW)} >= 1 THEN 'global' ELSE 'local' END AS mode FROM q")
+def route_mode(s, d):
+    """All turns as questions, some with a wording in front."""
+    front = F.col("turn") % 9
+    fronts = ("What do they have IN COMMON? ", "Give a high-level broad view: ", "Which authors are related to it? ", "Main ideas across all? ", "Who else also wrote ")
+    asked = F.concat(F.coalesce(*[F.when(front == i, t) for i, t in enumerate(fronts)], F.lit("")), "text")
+    return X.read(s, d, "conversations").select("conv_id", "turn", R.route(asked).alias("mode"))
 
 
 @query("SELECT conv_id, hop, pos, sha256(content) AS content FROM (SELECT *, sum(length(content) // 4) OVER (PARTITION BY conv_id ORDER BY hop DESC, pos ROWS UNBOUNDED PRECEDING) AS u FROM (SELECT conv_id, turn AS hop, turn AS pos, text AS content FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, left(text, 80) ORDER BY turn DESC) = 1)) WHERE u <= 50")
-def multihop_merge_all(s, d):
+def multihop_merge(s, d):
     """Whole turns; each as its digest."""
     c = X.read(s, d, "conversations").select("conv_id", F.col("turn").alias("hop"), F.col("turn").alias("pos"), F.col("text").alias("content"))
     return R.merge_hops(c, 50, ["conv_id"]).withColumn("content", F.sha2("content", 256))
 
 
-@query("SELECT event_id, 3 AS n, 'Jane Doe' AS last_name FROM events")
+_NAMES = r"""list_distinct(list_concat(regexp_extract_all(t, '"([^"\n]{2,60})"', 1), regexp_extract_all(t, '([A-Z][a-z]+(?: [A-Z][a-z]+)+)', 1)))"""
+
+
+@query(f"WITH d AS (SELECT doc_id, coalesce(text, '') || ' by \"' || lang || '\" in New York City' AS t FROM documents) SELECT doc_id, CAST(len({_NAMES}) AS BIGINT) AS n, sha256(array_to_string(list_sort({_NAMES}), '|')) AS names FROM d")
 def entity_harvest(s, d):
-    text = F.concat(F.lit('It says "'), "event_type", F.lit('" by New York City and Jane Doe, Jane Doe.'))
-    found = R.harvest(text)
-    return X.read(s, d, "events").select("event_id", F.size(found).alias("n"), F.element_at(found, -1).alias("last_name"))
+    """Names of whole documents; the list as its digest."""
+    found = R.harvest(F.concat(F.coalesce("text", F.lit("")), F.lit(' by "'), "lang", F.lit('" in New York City')))
+    return X.read(s, d, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.sha2(F.array_join(F.array_sort(found), "|"), 256).alias("names"))
 
 
-@query("SELECT conv_id, turn, 2 AS n, 'two' AS second FROM conversations")
+@query(r"""WITH q AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN [text, 'second'] ELSE list_filter(list_transform(string_split('1. ' || text || chr(10) || '- two' || chr(10) || chr(10), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s*([-*]|\d+[.)])\s*', ''), '\s+$', '')), lambda x: x <> '') END AS l FROM conversations)
+SELECT conv_id, turn, CAST(len(l) AS BIGINT) AS n, sha256(array_to_string(l, '|')) AS questions FROM q""")
 def question_decomposition(s, d):
-    answer = F.when(F.col("turn") % 2 == 0, '["one", "two"]').otherwise("1. one\n- two\n\n")
+    """Turns as questions in a JSON array, or as a list of lines; the list as its digest."""
+    answer = F.when(F.col("turn") % 2 == 0, F.to_json(F.array("text", F.lit("second")))).otherwise(F.concat(F.lit("1. "), "text", F.lit("\n- two\n\n")))
     got = R.sub_questions(answer)
-    return X.read(s, d, "conversations").select("conv_id", "turn", F.size(got).alias("n"), got[1].alias("second"))
+    return X.read(s, d, "conversations").select("conv_id", "turn", F.size(got).cast("long").alias("n"), F.sha2(F.array_join(got, "|"), 256).alias("questions"))
 
 
 @query(f"WITH {X.CUSTOMER_EDGES}, {X.MEMBERSHIP} SELECT level, cluster, count(*) AS nodes FROM membership WHERE level = 1 GROUP BY 1, 2")
@@ -347,3 +342,8 @@ def corpus_positions(s, d):
     row = lambda k: F.struct(F.lit(f"t{k}").alias("title"), F.col("text").alias("body"))
     rows = X.read(s, d, "benchmark").select(F.col("item_id").alias("pos"), F.array(row(0), row(1)).alias("context"))
     return datasets.running_contexts(rows).select("id", "title")
+
+
+# second names of queries that took prefixes of the texts before
+for _f in (weighted_fusion, rrf_fusion, multihop_merge):
+    QUERIES[f"{_f.__name__}_all"], SQL[f"{_f.__name__}_all"] = _f, SQL[_f.__name__]

@@ -48,9 +48,9 @@ def kv_upsert(s, d):
     return tables.upsert(c, rows, "c_custkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def kv_delete(s, d):
-    keys = X.read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    keys = X.read(s, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return tables.delete(X.read(s, d, "customer").select("c_custkey", "c_name"), keys, "c_custkey")
 
 
@@ -122,12 +122,11 @@ def greedy_token_bins(s, d):
 
 
 @query(r"""SELECT doc_id, md5(upper(replace(regexp_replace(t, '[\x00-\x1f\x7f]', '', 'g'), 'ß', 'ss'))) AS name, CASE WHEN kind = '' THEN '"UNKNOWN"' ELSE kind END AS kind,
-regexp_replace(regexp_replace(lower(left(t, 60)), '^dr\.? ', ''), '^prof\.? ', '') AS registry FROM (SELECT doc_id, text AS t, CASE WHEN doc_id % 4 = 0 THEN '' ELSE upper(lang) END AS kind FROM (SELECT doc_id, lang, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN 'Dr. Prof ' || text ELSE text END, '\s+', ' ', 'g') AS text FROM documents))""")
+md5(regexp_replace(regexp_replace(lower(trim(t)), '^dr\.? ', ''), '^prof\.? ', '')) AS registry FROM (SELECT doc_id, text AS t, CASE WHEN doc_id % 4 = 0 THEN '' ELSE upper(lang) END AS kind FROM (SELECT doc_id, lang, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN 'Dr. Prof ' || text ELSE text END, '\s+', ' ', 'g') AS text FROM documents))""")
 def clean_names(s, d):
     docs = X.read(s, d, "documents").select("doc_id", "lang", F.regexp_replace(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Dr. Prof "), "text")).otherwise(F.col("text")), r"\s+", " ").alias("t"))
     kind = F.when(F.col("doc_id") % 4 == 0, " \n").otherwise(F.col("lang"))
-    trimmed = F.regexp_replace(F.substring("t", 1, 60), r"\s+$", "")
-    return docs.where(F.col("t").isNotNull()).select("doc_id", F.md5(T.entity_name(F.col("t"))).alias("name"), T.entity_type(kind).alias("kind"), F.when(F.substring("t", 60, 1) == " ", F.concat(T.registry_name(trimmed), F.lit(" "))).otherwise(T.registry_name(trimmed)).alias("registry"))
+    return docs.where(F.col("t").isNotNull()).select("doc_id", F.md5(T.entity_name(F.col("t"))).alias("name"), T.entity_type(kind).alias("kind"), F.md5(T.registry_name(F.col("t"))).alias("registry"))
 
 
 @query("SELECT c_custkey, 'entity_' || sha256('default:' || lower(c_name)) AS entity_id, 'rel_' || sha256(least(c_name, 'N' || c_nationkey) || '|' || greatest(c_name, 'N' || c_nationkey) || '|lives in') AS relationship_id, sha256('extract|tiny|llm|fast') AS extraction_hash, 'doc-' || md5(c_name) AS doc_id FROM customer")

@@ -100,16 +100,15 @@ def validate_answer(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
     return g.select("answer_id", "used", text.alias("answer"), conf.alias("confidence"))
 
 
-#: Wordings that ask for several steps, and for an overview of all; counted, first kind first.
-MULTIHOP = (r"\bwho .* (?:of|by) the .* (?:of|who|that)\b", r"\bboth\b", r"\bcompare", r"\brelationship between\b", r"\bconnect", r"\bbefore\b.*\bafter\b", r"\bthen\b", r"\band (?:also|then)\b", r"\bwhich .* (?:that|who) .* (?:also|and)\b")
-OVERVIEW = (r"\boverall\b", r"\bsummar", r"\bmain (?:theme|topic|idea)", r"\bin general\b", r"\boverview\b", r"\btrends?\b", r"\bacross (?:all|the)\b", r"\bwhat are the (?:key|main|major)\b")
+#: Patterns of questions that ask for several steps, and for an overview of all; letter case doesn't matter.
+MULTIHOP = (r"\bwho.*also\b", r"\bboth.*and\b", r"\bconnect(?:ion|ed|s)?\b", r"\brelationship\b", r"\bcompared?\b", r"\bin common\b", r"\bbetween\b", r"\brelated to\b", r"\bassociate with\b")
+OVERVIEW = (r"\bthemes?\b", r"\boverall\b", r"\bin general\b", r"\bsummariz(?:e|ing)\b", r"\bacross\b", r"\bmain ideas?\b", r"\bhigh-level\b", r"\bbroad view\b")
 
 
-def route(question: Column) -> Column:
-    """multihop, global or local, by which wordings a question has."""
-    q = F.lower(question)
-    hits = lambda patterns: sum((q.rlike(p).cast("int") for p in patterns), F.lit(0))
-    return F.when(hits(MULTIHOP) > 0, "multihop").when(hits(OVERVIEW) > 0, "global").otherwise("local")
+def route(question: Column, least: int = 1) -> Column:
+    """multihop if `least` or more of its patterns match, else global likewise, else local."""
+    hits = lambda patterns: sum((question.rlike(f"(?i){p}").cast("int") for p in patterns), F.lit(0))
+    return F.when(hits(MULTIHOP) >= least, "multihop").when(hits(OVERVIEW) >= least, "global").otherwise("local")
 
 
 def sub_questions(answer: Column) -> Column:
