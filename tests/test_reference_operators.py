@@ -6,7 +6,7 @@ from graphloom.functions import text as T
 from graphloom.operators import chunking, clustering, extraction, graph, merge, registry, tables, vectors
 from graphloom.plans import evaluation, retrieval
 from graphloom.plans.engine import FAIL, Config, Engine, QueryParam
-from graphloom.sources.store import Store, import_json
+from graphloom.sources.store import Store, import_json, materialize
 
 
 def one(spark, **columns):
@@ -115,12 +115,29 @@ def test_clusters(spark):
     inc = clustering.incremental_leiden(n, e, m, n.where("id = 'A'"), 3)
     rows = {r.id: r.cluster for r in inc.collect()}
     assert rows["A"].startswith("inc-3-l0-") and rows["F"].startswith("l0_") and len(rows) == 6
-    labels = {r.id: r.label for r in clustering.propagate(n, e).collect()}
-    assert len(labels) == 6
     single = graph.singleton_clusters(n).collect()
     assert {r.id: r.cluster for r in single} == {c: f"singleton-{i}" for i, c in enumerate("ABCDEF")}
 
 
+def test_clusters_of_planted_groups(spark):
+    """Eight dense groups with a few links between them: modularity near that of the groups, at each resolution; connected clusters."""
+    import random
+
+    rng = random.Random(6)
+    pairs = {(f"g{i // 12}n{i}", f"g{j // 12}n{j}") for i in range(96) for j in range(i) if rng.random() < (0.6 if i // 12 == j // 12 else 0.01)}
+    e = spark.createDataFrame([(min(p), max(p), 1.0) for p in pairs], "src string, dst string, weight double")
+    n = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    found = materialize(clustering.leiden(n, e))
+    planted = graph.modularity(e, n.withColumn("cluster", F.substring("id", 1, 2))).first().modularity
+    for level, gamma in enumerate((2.0, 1.0, 0.5)):
+        m = found.where(f"level = {level}")
+        assert m.count() == n.count()
+        if gamma == 1:
+            assert graph.modularity(e, m).first().modularity > planted - 0.02
+        inner = e.join(m.select(F.col("id").alias("src"), F.col("cluster").alias("a")), "src").join(m.select(F.col("id").alias("dst"), F.col("cluster").alias("b")), "dst").where("a = b")
+        assert graph.components(n, inner.select("src", "dst")).select("component").distinct().count() == m.select("cluster").distinct().count()
+
+
 def test_graph_queries_of_whole_tables(spark, tmp_path):
     """Degrees and the largest component against brute force over all orders."""
     from graphloom.plans.q_graph import QUERIES, SQL
