@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import COMPLETE_MARK, RECORD_MARK, TUPLE_MARK, UNKNOWN_TYPE, clean, entity_id, entity_name, entity_type, is_number, relationship_id, split_markers
+from ..functions.text import COMPLETE_MARK, RECORD_MARK, TUPLE_MARK, UNKNOWN_TYPE, clean, entity_id, entity_name, entity_type, is_number, relationship_id, split_markers, strip
+from ..sources.store import materialize
 
 
 def parse_records(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,6 +93,111 @@ def call_model(chunks: DataFrame, prompt: Column, model: Callable[[list[str]], l
     return chunks.withColumn("__prompt", prompt).mapInPandas(run, f"{schema}, output string, error string")
 
 
+def parse_output(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Like parse_structured, with texts that aren't such JSON read in the tuple format."""
+    structured = F.coalesce(F.from_json("output", OUTPUT_SCHEMA)["entities"].isNotNull(), F.lit(False))
+    a, b = parse_structured(texts.where(structured)), parse_records(texts.where(~structured & F.col("output").isNotNull()))
+    return a[0].unionByName(b[0]), a[1].unionByName(b[1])
+
+
+def retried(chunks: DataFrame, told: DataFrame, prompt: Column, model: Callable[[list[str]], list[str]]) -> DataFrame:
+    """told(chunk_id, ..., output, error) with rows that have no output asked once more, one prompt at a time."""
+    failed = materialize(told.where("output is null").select("chunk_id"))
+    if not failed.limit(1).count():
+        return told
+    again = call_model(chunks.join(failed, "chunk_id", "left_semi"), prompt, model, 1)
+    return told.where("output is not null").unionByName(again)
+
+
+def call_in_groups(chunks: DataFrame, model: Callable[[list[str]], list[str]], batch: int = 5, text: str = "content") -> DataFrame:
+    """chunks(chunk_id, ...) with output and error: `batch` chunks of a partition to a prompt, each under its id; the answer is a JSON object of an output for each id.
+
+    A chunk that the answer lacks, or all of a prompt that failed, is asked for alone.
+    """
+    columns = chunks.columns
+
+    def one(content: str) -> tuple[str | None, str | None]:
+        try:
+            return model([content])[0], None
+        except Exception as error:  # kept in the row for a later retry
+            return None, str(error)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out: list[tuple[str | None, str | None]] = []
+            for i in range(0, len(frame), batch):
+                part = frame.iloc[i : i + batch]
+                found: dict = {}
+                if len(part) > 1:
+                    try:
+                        asked = "\n".join(f"[{c}]\n{t}" for c, t in zip(part.chunk_id, part[text], strict=True))
+                        found = json.loads(model([GROUP_MARK + asked])[0])
+                    except Exception:
+                        found = {}
+                out += [(json.dumps(found[c]), None) if isinstance(found, dict) and c in found else one(t) for c, t in zip(part.chunk_id, part[text], strict=True)]
+            yield frame[columns].assign(output=[a for a, _ in out], error=[e for _, e in out])
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in chunks.dtypes)
+    return chunks.mapInPandas(run, f"{schema}, output string, error string")
+
+
+#: Begins a prompt of several chunks, each under its id in square brackets.
+GROUP_MARK = "Extract from each text below; answer with a JSON object that has an entry for each id.\n"
+
+
+def extract(chunks: DataFrame, model: Callable[[list[str]], list[str]], batch: int = 5, rounds: int = 0, more: Callable[[str], bool] | None = None, grouped: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(told, entities, relationships) of chunks(doc_id, chunk_id, content): model calls in batches or as grouped prompts, gleaning rounds, a retry of what failed, answers read as JSON or tuples."""
+    prompt = F.col("content")
+    told = call_in_groups(chunks, model, batch) if grouped else call_model(chunks, prompt, model, batch, rounds, more)
+    told = materialize(retried(chunks, materialize(told), prompt, model))
+    return told, *parse_output(told.select("doc_id", "chunk_id", "output"))
+
+
+#: Entity and relation types that a local recogniser is asked for.
+ENTITY_TYPES = ("person", "organization", "location", "event", "product", "technology", "date", "money", "film", "actor", "director", "award")
+RELATION_TYPES = (
+    "directed", "acted_in", "spouse_of", "parent_of", "child_of", "sibling_of", "born_in", "died_in", "located_in", "works_for", "founded_by", "member_of", "happened_in", "happened_on", "is_a", "also_known_as", "created_by", "released", "married_to", "mother_of", "father_of", "son_of",
+    "daughter_of", "brother_of", "sister_of",
+)
+
+
+def recogniser(load: Callable[[], Callable]) -> Callable[[list[str]], list[str]]:
+    """An extractor from a local recogniser, loaded once a worker: load() gives a function (texts, entity types, relation types) -> for each text (entities [(name, type)], relations [(source, type, target)]). A relation stays if both its ends are entities of the text; its weight is 1."""
+
+    def model(prompts: list[str]) -> list[str]:
+        import sys
+
+        kept = sys.__dict__.setdefault("_graphloom_recognisers", {})
+        if load not in kept:
+            kept[load] = load()
+        out = []
+        for entities, relations in kept[load](prompts, ENTITY_TYPES, RELATION_TYPES):
+            names = {n.strip().upper() for n, _ in entities}
+            fits = [(a, kind, b) for a, kind, b in relations if a.strip().upper() in names and b.strip().upper() in names]
+            out.append(json.dumps({"entities": [{"name": n, "type": t, "description": f"{n} ({t})"} for n, t in entities], "relationships": [{"source": a, "target": b, "description": f"{a} {kind} {b}", "weight": 1.0} for a, kind, b in fits]}))
+        return out
+
+    return model
+
+
+def extract_aliases(entities: DataFrame, chunks: DataFrame, model: Callable[[list[str]], list[str]], batch: int = 10, most_chunks: int = 5, most_failed: float = 0.5) -> DataFrame:
+    """(entity_id, alias): a model's aliases of entities(entity_id, entity_name, chunk_id), from up to `most_chunks` of the chunks(chunk_id, content) that name them.
+
+    A prompt has one entity and its chunks; the answer is a JSON array of names. Names that differ from
+    the entity's in case only go. Raises if more than `most_failed` of the prompts fail.
+    """
+    rank = F.row_number().over(Window.partitionBy("entity_id").orderBy("chunk_id"))
+    near = entities.select("entity_id", "entity_name", "chunk_id").distinct().withColumn("n", rank).where(F.col("n") <= most_chunks).join(chunks.select("chunk_id", "content"), "chunk_id")
+    asked = near.groupBy("entity_id").agg(F.min("entity_name").alias("entity_name"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "content"))), lambda x: x["content"]), "\n").alias("text"))
+    prompt = F.concat(F.lit("Other names of "), "entity_name", F.lit(" in these texts, as a JSON array:\n"), "text")
+    told = materialize(call_model(asked, prompt, model, batch).select("entity_id", "entity_name", "output", "error"))
+    n, failed = told.agg(F.count("*"), F.count("error")).first()
+    if failed > n * most_failed:
+        raise RuntimeError(f"{failed} of {n} prompts for aliases failed")
+    each = told.select("entity_id", "entity_name", F.explode(F.from_json("output", "array<string>")).alias("alias"))
+    return each.select("entity_id", "entity_name", strip(F.col("alias")).alias("alias")).where((F.col("alias") != "") & (F.lower("alias") != F.lower("entity_name"))).select("entity_id", "alias").distinct()
+
+
 def offline_extractor(prompts: list[str]) -> list[str]:
     """A deterministic stand-in for a model: capitalised words of a prompt are entities, neighbours are related."""
     out = []

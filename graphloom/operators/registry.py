@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fuzzy_ratio, registry_name
+from ..functions.text import fuzzy_ratio, registry_name, relationship_id
+from ..sources.store import materialize
 
 
 def register(registry: DataFrame, rows: DataFrame) -> DataFrame:
@@ -39,19 +42,35 @@ def resolve_exact(queries: DataFrame, registry: DataFrame) -> DataFrame:
     return queries.withColumn("__key", registry_name(F.col("name"))).join(index, F.col("__key") == F.col("__name"), "left").drop("__key", "__name")
 
 
+def _letters(name: Column) -> Column:
+    """A name's letters, each with its number among equal ones: a bag as a set."""
+    letters = F.split(name, "")
+    return F.transform(F.filter(letters, lambda c: c != ""), lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == c)).cast("string")))
+
+
 def fuzzy_pairs(queries: DataFrame, registry: DataFrame, threshold: float) -> DataFrame:
-    """(query_id, entity_id, reg_order, score, entity_type, query_type): names with a ratio of at least threshold.
+    """(query_id, entity_id, reg_order, score, entity_type, query_type): names with a ratio of at least threshold, which is above 0.
 
-    Equal lengths within the ratio's bound, 2 min / (a + b) >= threshold, and a shared letter pair block
-    the pairs before any ratio is computed; two names with a ratio over 1/2 share one.
+    A ratio of t asks for t (a + b) / 2 equal letters of names of a and b letters, so for t / (2 - t) a of
+    the first's: two such names share one of each other's rarest letters, as many as are left beyond that
+    number, and one. The pairs that meet at a rare letter are cut by length and by common letters before
+    any ratio is computed. Names without letters match nothing.
     """
-    names = registry.select("entity_id", "reg_order", "entity_type", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("raw")).withColumn("b", registry_name(F.col("raw"))).select("entity_id", "reg_order", "entity_type", "b")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    left = queries.select("query_id", F.coalesce("entity_type", F.lit("")).alias("query_type"), registry_name(F.col("name")).alias("a")).withColumn("gram", F.explode(grams(F.col("a"))))
-    right = names.withColumn("gram", F.explode(grams(F.col("b"))))
-    la, lb = F.length("a"), F.length("b")
-    near = left.join(right, "gram").where(2 * F.least(la, lb) >= threshold * (la + lb)).drop("gram").distinct()
-    return near.withColumn("score", fuzzy_ratio(F.col("a"), F.col("b"))).where(F.col("score") >= threshold).groupBy("query_id", "entity_id", "reg_order", "entity_type", "query_type").agg(F.max("score").alias("score"))
+    names = registry.select("entity_id", "reg_order", "entity_type", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("raw")).select("entity_id", "reg_order", "entity_type", registry_name(F.col("raw")).alias("b")).distinct()
+    asked = queries.select("query_id", F.coalesce("entity_type", F.lit("")).alias("query_type"), registry_name(F.col("name")).alias("a"))
+    bags = materialize(names.select(F.col("b").alias("name")).union(asked.select("a")).where("name <> ''").distinct().withColumn("bag", _letters(F.col("name"))))
+    each = bags.select("name", F.size("bag").alias("n"), F.explode("bag").alias("letter"))
+    uses = each.groupBy("letter").agg(F.count("*").alias("uses"))
+    ordered = each.join(F.broadcast(uses), "letter")  # as many rows as there are letters and repeats of them in a name
+    least = F.ceil(F.col("n") * (threshold / (2 - threshold)) - 1e-9)
+    first = ordered.groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "letter"))).alias("l")).select("name", "n", F.explode(F.slice("l", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("l")).select("name", "n", "l.letter")
+    left = first.join(asked.select(F.col("a").alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias("a"), F.col("n").alias("na"), "letter")
+    right = first.join(names.select(F.col("b").alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias("b"), F.col("n").alias("nb"), "letter")
+    near = left.join(right, "letter").where(2 * F.least("na", "nb") >= threshold * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b", "na", "nb").distinct()
+    bag = lambda c: bags.select(F.col("name").alias(c), F.col("bag").alias(f"bag_{c}"))
+    near = near.join(bag("a"), "a").join(bag("b"), "b").where(2 * F.size(F.array_intersect("bag_a", "bag_b")) >= threshold * (F.col("na") + F.col("nb")) - 1e-9)
+    scored = near.select("a", "b", fuzzy_ratio(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= threshold)
+    return asked.join(scored, "a").join(names, "b").groupBy("query_id", "entity_id", "reg_order", "entity_type", "query_type").agg(F.max("score").alias("score"))
 
 
 def resolve_fuzzy(queries: DataFrame, registry: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -75,27 +94,75 @@ def candidates(queries: DataFrame, registry: DataFrame, threshold: float = 0.92,
 def mentions(texts: DataFrame, registry: DataFrame) -> DataFrame:
     """(text_id, entity_id): entities of which a name or alias is part of the text, whatever the case; one row for each.
 
-    The text's distinct letter triples meet the first triple of a name in a hash join, then the whole
-    name is compared, so no text meets every name; names of one or two letters meet letters and pairs.
+    A name is looked for where its rarest letter triple stands, so no text meets every name: triples of
+    texts, ids only, meet triples of names in a hash join; the texts of what is left are fetched after and
+    compared. Names of one or two letters meet letters and pairs.
     """
     names = registry.select("entity_id", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("raw")).select("entity_id", F.lower("raw").alias("name")).where("name <> ''").distinct()
-    head = lambda c: F.substring(c, 1, 3)
-    long_ = names.where(F.length("name") >= 3).withColumn("gram", head(F.col("name")))
-    low = texts.select("text_id", F.lower("text").alias("text")).withColumn("c", F.split("text", ""))
-    at = lambda i: F.coalesce(F.get("c", i), F.lit(""))  # noqa: E731  letters of an array, as a substring walks the text from its start
-    each = F.sequence(F.lit(0), F.size("c") - 1)
-    grams = low.where("text <> ''").select("text_id", "text", F.explode(F.array_distinct(F.transform(each, lambda i: F.concat(at(i), at(i + 1), at(i + 2))))).alias("gram"))
-    found = grams.join(long_, "gram").where(F.contains("text", "name")).select("text_id", "entity_id")
+    low = texts.select("text_id", F.lower("text").alias("text")).where("text <> ''")
+    letters = lambda c: F.split(c, "")
+    at = lambda w, i: F.coalesce(F.get(w, i), F.lit(""))  # noqa: E731  letters of an array, as a substring walks the text from its start
+    runs = lambda w, n: F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.concat(*[at(w, i + j) for j in range(n)]))
+    distinct = lambda c, n: F.transform(F.array(letters(c)), lambda w: F.array_distinct(runs(w, n)))[0]
+    grams = materialize(low.select("text_id", F.explode(distinct(F.col("text"), 3)).alias("gram")).distinct())
+    uses = grams.groupBy("gram").agg(F.count("*").alias("uses"))
+    inside = names.where(F.length("name") >= 3).select("entity_id", "name", F.explode(F.filter(distinct(F.col("name"), 3), lambda g: F.length(g) == 3)).alias("gram"))
+    rare = inside.join(uses, "gram", "left").groupBy("entity_id", "name").agg(F.min_by("gram", F.struct(F.coalesce("uses", F.lit(0).cast("long")).alias("u"), "gram")).alias("gram"))
+    met = grams.join(rare, "gram").select(F.col("text_id").alias("__id"), "entity_id", "name")
+    found = low.join(met, F.col("text_id").eqNullSafe(F.col("__id"))).where(F.contains("text", "name")).select("text_id", "entity_id")
     few = names.where(F.length("name") < 3).select("entity_id", F.col("name").alias("gram"))
-    parts = low.where("text <> ''").select("text_id", F.explode(F.array_distinct(F.concat("c", F.transform(each, lambda i: F.concat(at(i), at(i + 1)))))).alias("gram"))
-    short = parts.join(few, "gram").select("text_id", "entity_id")
+    short = low.select("text_id", F.explode(F.array_distinct(F.concat(distinct(F.col("text"), 1), distinct(F.col("text"), 2)))).alias("gram")).join(few, "gram").select("text_id", "entity_id")
     return found.union(short).distinct()
 
 
-def link_manifest(manifest: DataFrame, registry: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """manifest(doc_id, entity_id, entity_name, entity_type) with linked_id: the exact registry entity, or else the only fuzzy candidate, or else its own id."""
+def link_manifest(manifest: DataFrame, registry: DataFrame, threshold: float = 0.92, decide: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+    """manifest(entity_id, entity_name, entity_type, ...) with linked_id: the exact registry entity, or else the only fuzzy candidate, or else the one of several that a model decides for, or else its own id.
+
+    decide: a model asked with the name and the candidates' ids and names; its answer {"entity_id": ...} counts
+    if that is one of them.
+    """
     queries = manifest.select(F.col("entity_id").alias("query_id"), F.col("entity_name").alias("name"), "entity_type").dropDuplicates(["query_id"])
     exact = resolve_exact(queries, registry).select("query_id", F.col("entity_id").alias("exact"))
-    near = candidates(queries, registry, threshold, 2).groupBy("query_id").agg(F.count("*").alias("n"), F.first("entity_id").alias("only"))
-    links = exact.join(near, "query_id", "left").select(F.col("query_id").alias("entity_id"), F.coalesce("exact", F.when(F.col("n") == 1, F.col("only"))).alias("found"))
+    near = candidates(queries, registry, threshold, 3).join(registry.select("entity_id", "canonical_name"), "entity_id")
+    near = near.groupBy("query_id").agg(F.count("*").alias("n"), F.first("entity_id").alias("only"), F.array_sort(F.collect_list(F.struct("rank", "entity_id", "canonical_name"))).alias("options"))
+    links = materialize(exact.join(near, "query_id", "left"))
+    chosen = F.coalesce("exact", F.when(F.col("n") == 1, F.col("only")))
+    if decide:
+        from .extraction import call_model
+
+        asked = links.where("exact is null and n > 1").join(queries, "query_id").select("query_id", "name", "options")
+        listed = F.array_join(F.transform("options", lambda o: F.concat(o["entity_id"], F.lit(": "), o["canonical_name"])), "\n")
+        told = call_model(asked, F.concat(F.lit("Which of these is "), "name", F.lit('? Answer {"entity_id": ...}\n'), listed), decide)
+        said = F.from_json("output", "entity_id string")["entity_id"]
+        links = links.join(told.where(F.array_contains(F.transform("options", lambda o: o["entity_id"]), said)).select("query_id", said.alias("decided")), "query_id", "left")
+        chosen = F.coalesce(chosen, F.col("decided"))
+    links = links.select(F.col("query_id").alias("entity_id"), chosen.alias("found"))
     return manifest.join(links, "entity_id", "left").withColumn("linked_id", F.coalesce("found", "entity_id")).drop("found")
+
+
+def apply_links(entities: DataFrame, rels: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts with entity ids replaced by the linked ones: entities meet under one id, relationships get the keys of their new ends, those whose ends meet go."""
+    remap = linked.where("linked_id <> entity_id").select(F.col("entity_id").alias("old_id"), F.col("linked_id").alias("new_id")).distinct()
+    e = entities.join(remap, F.col("entity_id") == F.col("old_id"), "left").withColumn("entity_id", F.coalesce("new_id", "entity_id")).drop("old_id", "new_id")
+    r = rels
+    for end in ("src_id", "tgt_id"):
+        r = r.join(remap, F.col(end) == F.col("old_id"), "left").withColumn(end, F.coalesce("new_id", end)).drop("old_id", "new_id")
+    return e, r.where("src_id <> tgt_id").withColumn("relationship_id", relationship_id(F.col("src_id"), F.col("tgt_id"), F.col("relation_type")))
+
+
+def remove(registry: DataFrame, gone: DataFrame) -> DataFrame:
+    """registry without the entities of gone(entity_id), and so without their names."""
+    return registry.join(gone.select("entity_id").distinct(), "entity_id", "left_anti")
+
+
+def by_type(registry: DataFrame, kind: str) -> DataFrame:
+    return registry.where(F.col("entity_type") == kind)
+
+
+def export_registry(registry: DataFrame, path: str) -> None:
+    """JSON lines, one an entity, aliases as a list, in the order of registration."""
+    registry.select("entity_id", "canonical_name", "entity_type", "aliases", "metadata", "reg_order").orderBy("reg_order", "entity_id").write.mode("overwrite").json(path)
+
+
+def import_registry(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("entity_id string, canonical_name string, entity_type string, aliases array<string>, metadata map<string,string>, reg_order long").json(path)

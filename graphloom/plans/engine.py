@@ -7,17 +7,22 @@ from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.model import AnswerCache
+from ..functions.text import n_tokens
 from ..operators import chunking, clustering, extraction, graph, merge, registry, tables, vectors
 from ..sources.store import Store, materialize
-from . import retrieval
+from . import answers, reports, retrieval
 
+#: What is said without an answer.
 FAIL = "Sorry, I'm not able to provide an answer to that question."
+UNGROUNDED = "I don't have enough information to answer this question."
 
 
 @dataclass
 class QueryParam:
-    """Limits of a query; defaults as documented for each mode."""
+    """Limits of a query. Names and defaults of the public interface."""
 
     mode: str = "global"
     only_need_context: bool = False
@@ -40,6 +45,35 @@ class QueryParam:
         return cls(**{k: v for k, v in values.items() if k in known})
 
 
+@dataclass
+class Grounding:
+    """Limits of grounded answers."""
+
+    max_answer_length: int = 50
+    require_entity_match: bool = True
+    fuzzy_match_threshold: float = 0.85
+    fallback_message: str = UNGROUNDED
+
+
+@dataclass
+class Hops:
+    """Limits of multi-hop retrieval."""
+
+    max_hops: int = 4
+    entities_per_hop: int = 10
+    context_token_budget: int = 8000
+
+
+@dataclass
+class GroundedAnswer:
+    answer: str
+    entity_ids: list[str] = field(default_factory=list)
+    canonical_entities: list[str] = field(default_factory=list)
+    confidence: float = 0.0
+    raw_response: str | None = None
+    validation_errors: list[str] = field(default_factory=list)
+
+
 @dataclass
 class Config:
     chunk_tokens: int = 1200
@@ -53,7 +87,23 @@ class Config:
     enable_naive_rag: bool = True
     embed: Callable = field(default_factory=vectors.hashing_embedder)
     extractor: Callable = extraction.offline_extractor
+    gleaning: int = 0
+    glean_more: Callable[[str], bool] | None = None
+    grouped_extraction: bool = False
+    aliases: Callable | None = None
+    link_entities: bool = False
+    link_decider: Callable | None = None
+    summarise: Callable | None = None
+    summary_tokens: int = 500
+    reporter: Callable = reports.offline_reporter
+    report_tokens: int = 12000
+    global_mapper: Callable = answers.offline_mapper
     answer: Callable[[str], str] = lambda prompt: prompt[:500]
+    answer_stream: Callable[[str], Iterator[str]] | None = None
+    cache_answers: bool = False
+    frontier_limit: float = 0.5
+    grounding: Grounding = field(default_factory=Grounding)
+    hops: Hops = field(default_factory=Hops)
     api_key: str | None = None
 
     def __post_init__(self):
@@ -87,55 +137,123 @@ class Engine:
         return self.insert_documents(tables.insert_strings(self.spark.createDataFrame(rows, "content string"), known))
 
     def insert_documents(self, docs: DataFrame, force: bool = False) -> int:
-        """Insert or replace docs(doc_id, content): only new, changed and reconfigured ones are chunked and extracted again; facts of the others are kept and everything derived follows from the facts."""
+        """Insert or replace docs(doc_id, content): only new, changed and reconfigured ones are chunked and extracted again, and only what their old and new facts touch is merged, embedded, clustered and reported again."""
         c = self.config
-        schema = "doc_id string, content string, content_hash string, extraction_hash string"
-        stored = self._read("documents", schema)
+        stored = self._read("documents", "doc_id string, content string, content_hash string, extraction_hash string")
         mark = self.spark.range(1).select(tables.extraction_hash(c.extractor.__name__, "model", "llm", c.quality).alias("h")).first().h
         todo = materialize(tables.changes(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content"), stored, mark, force).where("status <> 'unchanged'"))
         n = todo.count()
         if not n:
             return 0
         chunks = chunking.with_chunk_ids(chunking.token_windows(todo, c.chunk_tokens, c.chunk_overlap))
-        told = materialize(extraction.call_model(chunks, F.col("content"), c.extractor, c.extraction_batch))
-        parsed = extraction.parse_structured(told.select("doc_id", "chunk_id", "output"))
-        entities, rels = extraction.fact_ids(*parsed)
-        fact_e = entities.select("doc_id", "chunk_id", "ord", "entity_id", "entity_name", "entity_type", "description")
-        fact_r = rels.select("doc_id", "chunk_id", "ord", "relationship_id", F.col("src_id").alias("src"), F.col("tgt_id").alias("tgt"), "relation_type", "description", "weight")
-        keep = lambda name, df: df if not self.store.has(name) else self.store.read(name).join(todo.select("doc_id"), "doc_id", "left_anti").unionByName(df)
-        documents = keep("documents", todo.select("doc_id", "content", "content_hash", F.lit(mark).alias("extraction_hash")))
-        all_chunks = keep("chunks", told.select("doc_id", "chunk_id", "chunk_order_index", "tokens", "content"))
-        all_e, all_r = materialize(keep("doc_entity", fact_e)), materialize(keep("doc_relationship", fact_r))
-        self.store.commit(documents=documents, chunks=all_chunks, doc_entity=all_e, doc_relationship=all_r, **self._derived(all_e, all_r, told, all_chunks))
+        told, entities, rels = extraction.extract(materialize(chunks), c.extractor, c.extraction_batch, c.gleaning, c.glean_more, c.grouped_extraction)
+        entities, rels = extraction.fact_ids(entities, rels)
+        if c.link_entities and self.store.has("entities"):
+            entities, rels = registry.apply_links(entities, rels, registry.link_manifest(entities, self.registry(), decide=c.link_decider))
+        fact_e = materialize(entities.select("doc_id", "chunk_id", "ord", "entity_id", "entity_name", "entity_type", "description"))
+        fact_r = materialize(rels.select("doc_id", "chunk_id", "ord", "relationship_id", F.col("src_id").alias("src"), F.col("tgt_id").alias("tgt"), "relation_type", "description", "weight"))
+        ids = todo.select("doc_id")
+        old = lambda name, like: self.store.read(name) if self.store.has(name) else like.limit(0)
+        put = lambda name, df: old(name, df).join(ids, "doc_id", "left_anti").select(*df.columns).unionByName(df)
+        gone = lambda name, df, key: old(name, df).join(ids, "doc_id", "left_semi").select(key).union(df.select(key)).distinct()
+        touched = materialize(gone("doc_entity", fact_e, "entity_id"))
+        pair = lambda df: graph.canonical(df.select(F.col("src"), F.col("tgt").alias("dst")))
+        pairs = materialize(pair(old("doc_relationship", fact_r).join(ids, "doc_id", "left_semi")).union(pair(fact_r)).distinct())
+        fresh_chunks = told.select("doc_id", "chunk_id", "chunk_order_index", "tokens", "content")
+        new = {
+            "documents": put("documents", todo.select("doc_id", "content", "content_hash", F.lit(mark).alias("extraction_hash"))),
+            "chunks": put("chunks", fresh_chunks),
+            "doc_entity": materialize(put("doc_entity", fact_e)),
+            "doc_relationship": materialize(put("doc_relationship", fact_r)),
+        }
+        if c.aliases:
+            found = extraction.extract_aliases(fact_e, fresh_chunks, c.aliases)
+            new["entity_aliases"] = old("entity_aliases", found).unionByName(found).distinct()
+        vec = vectors.embed(fresh_chunks.select(F.col("chunk_id").alias("id"), "doc_id", "content"), "content", c.embed).drop("content")
+        new["chunk_vectors"] = put("chunk_vectors", vec)
+        self.store.commit(**new, **self._derived(new["doc_entity"], new["doc_relationship"], touched, pairs))
         return n
 
-    def _derived(self, e: DataFrame, r: DataFrame, told: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
+    def _combined(self, e: DataFrame) -> DataFrame:
+        nodes = merge.combine_entities(merge.accumulate_entities(e))
         c = self.config
-        nodes = materialize(merge.combine_entities(merge.accumulate_entities(e)))
-        edges = merge.combine_relationships(merge.accumulate_relationships(r)).where("src <> tgt")
-        text = r.groupBy("relationship_id").agg(F.array_join(F.array_sort(F.collect_set("description")), "<SEP>").alias("description"))
-        edges = materialize(edges.join(text, "relationship_id"))
+        if c.summarise:
+            short, long_ = merge.needs_summary(nodes, n_tokens(F.col("description")), c.summary_tokens)
+            told = extraction.call_model(long_, F.col("description"), c.summarise).withColumn("description", F.coalesce("output", "description"))
+            nodes = short.drop("tokens").unionByName(told.drop("tokens", "output", "error"))
+        return nodes
+
+    def _links(self, r: DataFrame) -> DataFrame:
+        """(src, dst, weight, description, chunk_ids): relationships between two entities as one undirected edge."""
+        ends = r.where("src <> tgt").withColumnRenamed("tgt", "dst")
+        return graph.canonical(ends).groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.array_join(F.array_sort(F.collect_set("description")), "<SEP>").alias("description"))
+
+    def _derived(self, e: DataFrame, r: DataFrame, touched: DataFrame | None = None, pairs: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Tables that follow from the facts. touched(entity_id), pairs(src, dst): what a change may have altered; without them all is made anew."""
+        c = self.config
+        if touched is None or not self.store.has("entities"):
+            nodes = materialize(self._combined(e))
+            links = materialize(self._links(r))
+            changed = nodes.select("entity_id")
+            stored_vec = None
+        else:
+            fresh = materialize(self._combined(e.join(touched, "entity_id", "left_semi")))
+            nodes = materialize(self.store.read("entities").join(touched, "entity_id", "left_anti").unionByName(fresh))
+            near = graph.canonical(r.withColumnRenamed("tgt", "dst")).join(pairs, ["src", "dst"], "left_semi").withColumnRenamed("dst", "tgt")
+            links = materialize(self.store.read("relationships").join(pairs, ["src", "dst"], "left_anti").unionByName(self._links(near)))
+            changed, stored_vec = touched, self.store.read("entity_vectors")
+        rows = nodes.join(changed, "entity_id", "left_semi").select(F.col("entity_id").alias("id"), F.concat_ws(" - ", "entity_name", "description").alias("content"))
+        vec = vectors.embed(rows, "content", c.embed).drop("content")
+        if stored_vec is not None:
+            vec = stored_vec.join(changed.withColumnRenamed("entity_id", "id"), "id", "left_anti").unionByName(vec)
         ids = nodes.select(F.col("entity_id").alias("id"))
-        links = graph.canonical(edges.withColumnRenamed("tgt", "dst")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.min("description").alias("description"))
-        links = materialize(links)
-        membership = materialize(clustering.leiden(ids, links, c.resolutions, c.cluster_seed))
+        membership, updates, only = self._clustered(ids, links, changed.withColumnRenamed("entity_id", "id") if stored_vec is not None else None)
         node_chunks = e.select(F.col("entity_id").alias("id"), "chunk_id").distinct()
-        schema = graph.community_schema(membership, links, node_chunks)
-        names = nodes.select(F.col("entity_id").alias("id"), "entity_name")
-        report = membership.join(names, "id").groupBy("level", "cluster").agg(F.concat(F.lit("# Community\n\n"), F.array_join(F.slice(F.array_sort(F.collect_set("entity_name")), 1, 50), ", ")).alias("report"))
-        reports = schema.select("level", "cluster", "occurrence").join(report, ["level", "cluster"]).withColumn("rating", F.lit(5.0))
-        vec = vectors.embed(nodes.select(F.col("entity_id").alias("id"), F.concat_ws(" - ", "entity_name", "description").alias("content")), "content", c.embed)
-        cvec = vectors.embed(chunks.select(F.col("chunk_id").alias("id"), "content"), "content", c.embed)
-        return {"entities": nodes, "relationships": links, "membership": membership, "communities": schema, "reports": reports, "entity_vectors": vec.drop("content"), "chunk_vectors": cvec.drop("content")}
+        schema = materialize(graph.community_schema(membership, links, node_chunks))
+        told = graph.degrees(ids, links).join(nodes.withColumnRenamed("entity_id", "id"), "id")
+        subs = graph.sub_communities(membership)
+        report = reports.community_reports(membership, told, links, schema, subs, c.reporter, c.report_tokens, self.store.read("reports") if only is not None else None, only)
+        counter = self.spark.range(1).select(F.lit(updates).cast("long").alias("updates"))
+        return {"entities": nodes, "relationships": links, "membership": membership, "communities": schema, "reports": report, "entity_vectors": vec, "clustering": counter}
+
+    def _clustered(self, ids: DataFrame, links: DataFrame, changed: DataFrame | None) -> tuple[DataFrame, int, DataFrame | None]:
+        """(membership, updates since the last full run, clusters to report again or None for all): the changed nodes' surroundings alone if they are few, else all."""
+        c = self.config
+        if changed is not None and self.store.has("membership"):
+            old = self.store.read("membership").join(ids, "id", "left_semi").select("id", "level", "cluster")
+            updates = self.store.read("clustering").first().updates if self.store.has("clustering") else 0
+            reached = materialize(graph.frontier(ids, links, changed))
+            choice = graph.incremental_choice(ids, reached, old.where("level = 0").select("id"), updates, c.frontier_limit, c.max_incremental_updates).first()
+            if choice.incremental:
+                now = materialize(clustering.incremental_leiden(ids, links, old, changed, updates + 1, seed=c.cluster_seed))
+                moved = clustering.affected_clusters(self.store.read("membership"), now)
+                near = now.join(changed, "id", "left_semi").select("cluster")
+                return now, updates + 1, materialize(moved.union(near).distinct())
+        return materialize(clustering.leiden(ids, links, c.resolutions, c.cluster_seed)), 0, None
+
+    def append(self, docs: DataFrame, extractor: Callable | None = None) -> int:
+        """Documents and chunks that the store doesn't have yet, extracted by a function of one's own; clusters and reports are made anew. Changed documents are not looked for."""
+        known = self._read("documents", "doc_id string").select("doc_id")
+        fresh = materialize(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content").join(known, "doc_id", "left_anti"))
+        kept, self.config.extractor = self.config.extractor, extractor or self.config.extractor
+        try:
+            n = self.insert_documents(fresh)
+        finally:
+            self.config.extractor = kept
+        if n:
+            self.rebuild()
+        return n
 
     def rebuild(self) -> int:
         """Derive everything from the stored facts again, without extraction."""
-        e, r = self.store.read("doc_entity"), self.store.read("doc_relationship")
-        return self.store.commit(**self._derived(e, r, e, self.store.read("chunks")))
+        return self.store.commit(**self._derived(self.store.read("doc_entity"), self.store.read("doc_relationship")))
 
-    def _hits(self, name: str, question: str, k: int) -> DataFrame:
-        from pyspark.sql.window import Window
+    def integrity(self) -> tuple[int, int]:
+        """(expected, found): distinct entities of the facts, and how many of them the graph has."""
+        row = merge.integrity(self.store.read("doc_entity"), self.store.read("entities").withColumnRenamed("entity_id", "id")).first()
+        return row.expected, row.found
 
+    def _hits(self, name: str, question: str, k: int) -> DataFrame:
         vector = [float(x) for x in self.config.embed([question])[0]]
         top = vectors.top_k(self.store.read(name), vector, k)
         return top.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("similarity"), "id")) - 1).select("id", "ord")
@@ -148,10 +266,13 @@ class Engine:
             hits = self._hits("chunk_vectors", question, p.top_k).withColumnRenamed("id", "chunk_id")
             return retrieval.naive_context(hits, s.read("chunks"), p.naive_max_token_for_text_unit).first()["context"] or None
         if p.mode == "global":
-            chosen = retrieval.global_selection(s.read("communities").select("level", "cluster", "occurrence"), s.read("reports").drop("level", "occurrence"), p.level, p.global_max_consider_community, p.global_min_community_rating)
-            rows = chosen.orderBy(F.desc("occurrence"), F.desc("rating"), "cluster").limit(p.global_max_consider_community).collect()
-            return "\n\n".join(r.report for r in rows) or None
-        if p.mode not in ("local", "entity_grounded"):
+            return self._global_points(question, p)
+        if p.mode == "multihop":
+            return self._hop_context(question, p)
+        if p.mode == "entity_grounded":
+            found = self.grounded_rows(question, p.top_k)
+            return answers.entity_list(found) if found else None
+        if p.mode != "local":
             raise ValueError(f"mode: {p.mode}")
         if not self.config.enable_local:
             raise ValueError("local mode is off")
@@ -162,31 +283,101 @@ class Engine:
         nodes = s.read("entities").withColumnRenamed("entity_id", "id")
         nodes = graph.degrees(nodes, edges).join(nodes, "id")
         node_chunks = s.read("doc_entity").select(F.col("entity_id").alias("id"), "chunk_id").distinct()
-        reports = retrieval.related_communities(hits, s.read("membership"), s.read("reports").drop("level", "occurrence"), p.level, p.local_max_token_for_community_report, p.local_community_single_one)
+        found = retrieval.related_communities(hits, s.read("membership"), s.read("reports").select("cluster", "report", "rating"), p.level, p.local_max_token_for_community_report, p.local_community_single_one)
         chunks = retrieval.related_chunks(hits, node_chunks, edges, s.read("chunks"), p.local_max_token_for_text_unit)
-        return retrieval.local_context(hits, nodes, reports, retrieval.related_edges(hits, edges, p.local_max_token_for_local_context), chunks).first()["context"]
+        return retrieval.local_context(hits, nodes, found, retrieval.related_edges(hits, edges, p.local_max_token_for_local_context), chunks).first()["context"]
+
+    def _global_points(self, question: str, p: QueryParam) -> str | None:
+        """Points that the map model makes of groups of reports within the budget, best first."""
+        s = self.store
+        chosen = retrieval.global_selection(s.read("communities").select("level", "cluster", "occurrence"), s.read("reports").select("cluster", "rating", "report"), p.level, p.global_max_consider_community, p.global_min_community_rating)
+        return answers.global_points(materialize(chosen), question, self.config.global_mapper, p.global_max_token_for_community_report)
+
+    def _hop_context(self, question: str, p: QueryParam) -> str | None:
+        """Contexts of the question's parts, asked one after the other; names found by one go with the next."""
+        h, states, carry = self.config.hops, [], []
+        for part in answers.decompose(question, self.config.answer, h.max_hops):
+            local = QueryParam(mode="local", only_need_context=True, top_k=h.entities_per_hop, level=p.level)
+            asked = f"{part} ({', '.join(carry)})" if carry else part
+            pieces, names = answers.hop_pieces(self.context(asked, local) or "")
+            carry = names[: h.entities_per_hop]
+            states.append(pieces)
+        return answers.merge_hop_texts(self.spark, states, h.context_token_budget) or None
+
+    def grounded_rows(self, question: str, top_k: int = 30, mode: str = "local") -> list:
+        """Entities for a question, at most top_k, in order: nearest by vector, with neighbours for mode multihop, or those named in it for naive."""
+        s = self.store
+        if mode == "naive":
+            found = registry.mentions(self.spark.createDataFrame([(0, question)], "text_id int, text string"), self.registry())
+            hits = found.join(self.registry(), "entity_id").select(F.col("entity_id").alias("id"), F.col("canonical_name").alias("name"))
+            order = Window.orderBy("name")
+            hits = hits.withColumn("ord", F.row_number().over(order) - 1).select("id", "ord")
+        else:
+            hits = materialize(self._hits("entity_vectors", question, top_k))
+            if mode == "multihop":
+                near = graph.both_ways(s.read("relationships")).join(hits, "id").select(F.col("other").alias("id"), (F.col("ord") + top_k).alias("ord"))
+                hits = hits.select("id", "ord").union(near).groupBy("id").agg(F.min("ord").alias("ord")).orderBy("ord", "id").limit(top_k)
+        nodes = s.read("entities").withColumnRenamed("entity_id", "id")
+        return retrieval.grounded_context(hits, self.registry(), nodes, s.read("relationships")).orderBy("ord", "id").collect()
+
+    def grounded(self, question: str, top_k: int = 30, mode: str = "local") -> GroundedAnswer:
+        """An answer that names entities found for the question only, by their canonical names."""
+        g = self.config.grounding
+        rows = self.grounded_rows(question, top_k, mode)
+        if not rows:
+            return GroundedAnswer(g.fallback_message, validation_errors=["No entities retrieved"])
+        raw = self._answer(answers.grounded_prompt(question, rows, g.fallback_message)).strip()
+        used = answers.named_in(raw, rows)
+        errors = []
+        if not used and g.require_entity_match:
+            errors.append("Answer does not reference any retrieved entities")
+            known = {r.entity_id: r.canonical_name for r in self.registry().join(registry.mentions(self.spark.createDataFrame([(0, raw)], "text_id int, text string"), self.registry()), "entity_id").collect()}
+            used = sorted(known.items(), key=lambda x: x[1])
+            if not used:
+                return GroundedAnswer(g.fallback_message, raw_response=raw, validation_errors=errors)
+        text = answers.joined(raw, [name for _, name in used])
+        score = answers.confidence([i for i, _ in used], [r.id for r in rows])
+        return GroundedAnswer(text, [i for i, _ in used], [n for _, n in used], score, raw if raw != text else None, errors)
+
+    def _answer(self, prompt: str) -> str:
+        """The model's answer, kept in the store if the config says so."""
+        if not self.config.cache_answers:
+            return self.config.answer(prompt)
+        rows = self.spark.createDataFrame([(prompt,)], "p string")
+        ask = lambda todo, text: self.spark.createDataFrame([(r.args_hash, self.config.answer(r.prompt)) for r in todo.collect()], "args_hash string, output string")
+        return AnswerCache(self.store).call(rows, F.col("p"), ask).first().output
+
+    def _prompt(self, question: str, context: str, param: QueryParam) -> str:
+        return f"{context}\n\nQuestion: {question}\nForm: {param.response_type}"
 
     def query(self, question: str, param: QueryParam | None = None) -> str:
         """The answer of the configured model to a question and its context, or the context itself."""
         param = param or QueryParam()
+        if param.mode == "entity_grounded" and not param.only_need_context:
+            return self.grounded(question, param.top_k).answer
         context = self.context(question, param)
         if context is None:
             return FAIL
-        if param.only_need_context:
-            return context
-        return self.config.answer(f"{context}\n\nQuestion: {question}\nForm: {param.response_type}")
+        return context if param.only_need_context else self._answer(self._prompt(question, context, param))
 
     def stream(self, question: str, param: QueryParam | None = None) -> Iterator[str]:
-        """The same answer in pieces of words."""
-        for i, word in enumerate(self.query(question, param).split(" ")):
-            yield (" " if i else "") + word
+        """The same answer piece by piece as a streaming model gives it; a model that doesn't stream, or a grounded answer, which is checked whole, comes in one piece."""
+        param = param or QueryParam()
+        if self.config.answer_stream is None or param.mode == "entity_grounded" or param.only_need_context:
+            yield self.query(question, param)
+            return
+        context = self.context(question, param)
+        yield from [FAIL] if context is None else self.config.answer_stream(self._prompt(question, context, param))
 
     def registry(self) -> DataFrame:
-        e = self.store.read("entities")
-        return e.select("entity_id", F.col("entity_name").alias("canonical_name"), "entity_type", F.array().cast("array<string>").alias("aliases"), F.xxhash64("entity_id").alias("reg_order"))
+        """Entities by name with their aliases."""
+        e = self.store.read("entities").select("entity_id", F.col("entity_name").alias("canonical_name"), "entity_type", F.create_map().cast("map<string,string>").alias("metadata"), F.xxhash64("entity_id").alias("reg_order"))
+        if not self.store.has("entity_aliases"):
+            return e.withColumn("aliases", F.array().cast("array<string>"))
+        found = self.store.read("entity_aliases").groupBy("entity_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+        return e.join(found, "entity_id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
     def mentioned(self, text: str) -> list[str]:
         """Names of known entities in a text."""
         found = registry.mentions(self.spark.createDataFrame([(0, text)], "text_id int, text string"), self.registry())
         return sorted(r.canonical_name for r in found.join(self.registry(), "entity_id").select("canonical_name").collect())
-
