@@ -107,9 +107,9 @@ def source_ids(text: Column) -> Column:
 
 
 def scalar_kind(text: Column) -> Column:
-    """null, boolean, integer, float or string: what a lenient reader takes a bare value for."""
-    t = F.lower(strip(text))
-    return F.when(t.isin("null", "none"), "null").when(t.isin("true", "false"), "boolean").when(t.rlike(r"^[-+]?[0-9]+$"), "integer").when(t.rlike(r"^[-+]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)(e[-+]?[0-9]+)?$"), "float").otherwise("string")
+    """null, boolean, integer, float or string: what a lenient reader takes a bare value for. Only null, true and false in lower case are no strings; a number with a point is a float."""
+    t = strip(text)
+    return F.when(t == "null", "null").when(t.isin("true", "false"), "boolean").when(t.rlike(r"^[-+]?[0-9]+$"), "integer").when(t.rlike(r"^[-+]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"), "float").otherwise("string")
 
 
 def answer_words(text: Column) -> Column:
@@ -142,32 +142,25 @@ def balanced_object(text: str) -> str | None:
     return None
 
 
-def _bare(text: str):
-    text = text.strip()
-    low = text.lower()
-    if low in ("null", "none"):
-        return None
-    if low in ("true", "false"):
-        return low == "true"
-    for kind in (int, float):
-        try:
-            return kind(text)
-        except ValueError:
-            pass
-    return text.strip("\"'")
+#: Words that lenient reading takes for constants, and its pattern of a key and value.
+CONSTANTS = {"null": None, "true": True, "false": False}
+FIELD = r'"?(\w+)"?\s*:\s*(\{[^}]*\}|".*?"|[^,}]+)'
 
 
-_FIELD = re.compile(r'["\']?([A-Za-z_]\w*)["\']?\s*:\s*(\{[^{}]*\}?|"(?:[^"\\]|\\.)*"|[^,{}\n\]]+)')
+def _bare(text: str):
+    """A constant, a number (with a point a float) or else the text without quotes."""
+    if text in CONSTANTS:
+        return CONSTANTS[text]
+    try:
+        return float(text) if "." in text else int(text)
+    except ValueError:
+        return text.strip('"')
 
 
 def lenient_fields(text: str) -> dict:
     """key: value pairs of broken JSON, one level of nesting included."""
-    out = {}
-    body = text.strip()
-    body = body[1:] if body.startswith("{") else body
-    for key, value in _FIELD.findall(body):
-        out[key] = lenient_fields(value) if value.startswith("{") else _bare(value)
-    return out
+    found = re.findall(FIELD, text.strip().removeprefix("{"), re.S)
+    return {key: lenient_fields(value) if value.strip().startswith("{") else _bare(value.strip()) for key, value in found}
 
 
 def response_json(text: str) -> dict:

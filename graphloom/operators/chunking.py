@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,65 +32,49 @@ def with_chunk_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_id", prefixed_hash("chunk-", F.concat_ws(":", F.col("doc_id").cast("string"), order, "content"))).dropDuplicates(["chunk_id"])
 
 
-class SeparatorSplitter:
-    """Cuts a token list at separators and merges the parts greedily up to a size.
+def spans(text: str, separators: Sequence[str] = SEPARATORS, keep: str = "end") -> list[tuple[int, int]]:
+    """(begin, end) of the parts of a text between separators, of which the first in the list that fits counts; empty parts go.
 
     keep: "end" or "start" leaves a separator with the part before or after it; "" drops it.
     """
+    found = list(re.finditer("|".join(map(re.escape, separators)), text)) if separators else []
+    ends = [m.end() if keep == "end" else m.start() for m in found] + [len(text)]
+    begins = [0] + [m.start() if keep == "start" else m.end() for m in found]
+    return [(a, b) for a, b in zip(begins, ends, strict=True) if a < b]
 
-    def __init__(self, separators: Sequence[Sequence], size: int = 4000, overlap: int = 200, keep: str = "end", length: Callable[[Sequence], int] = len):
-        self.separators = [list(s) for s in sorted(separators, key=len, reverse=True) if len(s)]
-        self.size, self.overlap, self.keep, self.length = size, overlap, keep, length
-
-    def parts(self, tokens: list) -> list[list]:
-        out, now, i = [], [], 0
-        while i < len(tokens):
-            mark = next((s for s in self.separators if tokens[i : i + len(s)] == s), None)
-            if mark is None:
-                now.append(tokens[i])
-                i += 1
-                continue
-            if self.keep == "end":
-                now = now + mark
-            if now:
-                out.append(now)
-            now = list(mark) if self.keep == "start" else []
-            i += len(mark)
-        return [*out, now] if now else out
-
-    def strided(self, tokens: list) -> list[list]:
-        """Windows of a part that is too long; a last one that only repeats the overlap is dropped."""
-        step = max(self.size - self.overlap, 1)
-        found = [tokens[i : i + self.size] for i in range(0, len(tokens), step)]
-        return [w for i, w in enumerate(found) if i == 0 or len(w) > self.overlap]
-
-    def split(self, tokens: list) -> list[list]:
-        merged, now = [], []
-        for part in self.parts(tokens):
-            if now and len(now) + len(part) > self.size:
-                merged.append(now)
-                now = []
-            now = now + part
-        if now:
-            merged.append(now)
-        out: list[list] = []
-        for k, chunk in enumerate(merged):
-            if len(chunk) > self.size:
-                out += self.strided(chunk)
-            elif k and self.overlap and out:
-                out.append((merged[k - 1][-self.overlap :] + chunk)[: self.size])
-            else:
-                out.append(chunk)
-        return out
+
+def pack(sizes: Sequence[int], most: int) -> list[tuple[int, int]]:
+    """(first, behind the last) of consecutive groups whose sizes are at most `most` together; a larger one is alone."""
+    out, begin, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > begin and held + n > most:
+            out.append((begin, i))
+            begin, held = i, 0
+        held += n
+    return [*out, (begin, len(sizes))] if sizes else []
+
+
+def separator_pieces(text: str, separators: Sequence[str] = SEPARATORS, size: int = 4000, overlap: int = 200, keep: str = "end") -> list[str]:
+    """Chunks of a text that end at separators: parts in groups of up to `size` characters.
+
+    With an overlap each chunk but the first begins with the end of the one before it and is cut to the
+    size. A text that is one group over the size is cut in windows, of which one that only repeats the
+    overlap goes; other groups over the size stay whole.
+    """
+    parts = spans(text, separators, keep)
+    chunks = ["".join(text[x:y] for x, y in parts[a:b]) for a, b in pack([y - x for x, y in parts], size)]
+    if len(chunks) == 1 and len(chunks[0]) > size:
+        whole, step = chunks[0], size - overlap
+        return [whole[i : i + size] for i in range(0, len(whole), step) if len(whole) - i > overlap]
+    return [c if not overlap or not i else (chunks[i - 1][-overlap:] + c)[:size] for i, c in enumerate(chunks)]
 
 
 def separator_chunks(docs: DataFrame, size: int = 1200, overlap: int = 100, separators: Sequence[str] = SEPARATORS) -> DataFrame:
     """Like token_windows, with chunks that end at separators; tokens are characters."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        splitter = SeparatorSplitter([list(s) for s in separators], size, overlap)
         for frame in frames:
-            rows = [(d, i, len(c), "".join(c).strip()) for d, text in zip(frame.doc_id, frame.content, strict=True) for i, c in enumerate(splitter.split(list(text or "")))]
+            rows = [(d, i, len(c), c.strip()) for d, text in zip(frame.doc_id, frame.content, strict=True) for i, c in enumerate(separator_pieces(text or "", separators, size, overlap))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_order_index", "tokens", "content"])
 
     kind = dict(docs.dtypes)["doc_id"]

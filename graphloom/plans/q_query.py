@@ -141,13 +141,37 @@ def local_relations(s, d):
     return R.related_edges(hits, e, 80).select("src", "dst", "weight", "rank")
 
 
-@query()
+_CELL = "CASE WHEN regexp_matches({0}, '^[-+]?[0-9]*\\.?[0-9]+$') THEN {0} ELSE '\"' || {0} || '\"' END"
+
+
+def _csv(*cells):
+    return " || ',' || chr(9) || ".join(_CELL.format(f"CAST({c} AS VARCHAR)") for c in cells)
+
+
+def _fenced(title, header, line, rows, order):
+    head = " || ',' || chr(9) || ".join(f"'\"{h}\"'" for h in ["id", *header])
+    return f"SELECT '-----{title}-----' || chr(10) || '```csv' || chr(10) || {head} || coalesce(chr(10) || string_agg({line}, chr(10) ORDER BY k), '') || chr(10) || '```' AS s FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS k FROM {rows})"
+
+
+@query(f"""WITH {X.CUSTOMER_EDGES}, {X.MEMBERSHIP}, {_REPORTS}, {_HITS}, {_CHUNKS}, g AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM cedges UNION ALL SELECT dst FROM cedges) GROUP BY id),
+rc AS (SELECT cluster, count(*) AS hits FROM hits JOIN membership USING (id) WHERE level <= 1 GROUP BY cluster),
+r0 AS (SELECT *, sum({_NTOK.format('report')} + 1) OVER (ORDER BY hits DESC, rating DESC, cluster ROWS UNBOUNDED PRECEDING) AS u FROM rc JOIN reports USING (cluster)), r AS (SELECT * FROM r0 WHERE u <= 3200),
+n AS (SELECT h.ord, c.c_name AS entity_name, c.c_mktsegment AS entity_type, 'of nation ' || c.c_nationkey AS description, coalesce(g.n, 0) AS degree FROM hits h JOIN customer c ON h.ord = c.c_custkey LEFT JOIN g ON g.id = h.id),
+e0 AS (SELECT src, dst, weight, 'knows through ' || chunk_id AS description, a.n + b.n AS rank FROM cedges JOIN g a ON src = a.id JOIN g b ON dst = b.id WHERE src IN (SELECT id FROM hits) OR dst IN (SELECT id FROM hits)),
+e AS (SELECT * FROM (SELECT *, sum({_NTOK.format('description')} + 1) OVER (ORDER BY rank DESC, weight DESC, src, dst ROWS UNBOUNDED PRECEDING) AS u FROM e0) WHERE u <= 4800),
+own AS (SELECT chunk_id, min(ord) AS ord, arg_min(id, ord) AS id FROM hits JOIN nc USING (id) GROUP BY chunk_id),
+sh AS (SELECT x.chunk_id, count(*) AS relations FROM (SELECT DISTINCT own.chunk_id, b.o FROM own JOIN b ON own.id = b.id) x JOIN nc ON nc.id = x.o AND nc.chunk_id = x.chunk_id GROUP BY 1),
+c0 AS (SELECT own.chunk_id, ord, coalesce(relations, 0) AS relations, 'text of ' || own.chunk_id AS content FROM own LEFT JOIN sh USING (chunk_id)),
+c AS (SELECT * FROM (SELECT *, sum({_NTOK.format('content')} + 1) OVER (ORDER BY ord, relations DESC, chunk_id ROWS UNBOUNDED PRECEDING) AS u FROM c0) WHERE u <= 4000)
+SELECT sha256(w.s || chr(10) || x.s || chr(10) || y.s || chr(10) || z.s) AS context FROM ({_fenced('Reports', ['content'], _csv('k', 'report'), 'r', 'hits DESC, rating DESC, cluster')}) w, ({_fenced('Entities', ['entity', 'type', 'description', 'rank'], _csv('k', 'entity_name', 'entity_type', 'description', 'degree'), 'n', 'ord')}) x,
+({_fenced('Relationships', ['source', 'target', 'description', 'weight', 'rank'], _csv('k', 'src', 'dst', 'description', 'weight', 'rank'), 'e', 'rank DESC, weight DESC, src, dst')}) y, ({_fenced('Sources', ['content'], _csv('k', 'content'), 'c', 'ord, relations DESC, chunk_id')}) z""")
 def local_context(s, d):
     nodes, e, hits = _graph(s, d)
     node_chunks = graph.both_ways(e, "chunk_id").select("id", "chunk_id").distinct()
     chunks = node_chunks.select("chunk_id").distinct().withColumn("content", F.concat(F.lit("text of "), "chunk_id"))
     told = graph.degrees(nodes.join(hits.select("id"), "id", "left_semi"), e)
-    return R.local_context(hits, nodes.join(told, "id"), R.related_communities(hits, X.membership(s, d), _reports(s, d).drop("level"), 1), R.related_edges(hits, e), R.related_chunks(hits, node_chunks, e, chunks))
+    out = R.local_context(hits, nodes.join(told, "id"), R.related_communities(hits, X.membership(s, d), _reports(s, d).drop("level"), 1), R.related_edges(hits, e), R.related_chunks(hits, node_chunks, e, chunks))
+    return out.select(F.sha2("context", 256).alias("context"))
 
 
 @query(f"WITH {X.MEMBERSHIP}, {_REPORTS}, t AS (SELECT * FROM reports WHERE level <= 1 ORDER BY occurrence DESC, cluster LIMIT 60) SELECT cluster, round(occurrence, 6) AS occurrence, rating FROM t WHERE rating >= 3")
@@ -181,15 +205,15 @@ def grounded_context(s, d):
 
 def _answers(s, d):
     n = X.read(s, d, "nation")
-    answers = n.groupBy(F.col("n_regionkey").alias("answer_id")).agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("n_nationkey") % 3 == 0, F.upper("n_name")))), "; ").alias("answer"))
+    answers = n.groupBy(F.col("n_regionkey").alias("answer_id")).agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("n_nationkey") % 3 == 0, F.upper("n_name")))), "; ").alias("answer")).withColumn("answer", F.when(F.col("answer_id") % 2 == 0, F.regexp_replace("answer", "; ", " and ")).otherwise(F.col("answer")))
     got = n.select(F.col("n_regionkey").alias("answer_id"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("canonical_name"), F.array(F.lit("")).alias("aliases"))
     return R.validate_answer(answers, got)
 
 
-_VALID = """a AS (SELECT n_regionkey AS answer_id, string_agg(upper(n_name), '; ') FILTER (n_nationkey % 3 = 0) AS answer FROM nation GROUP BY 1), r AS (SELECT answer_id, n_nationkey AS ord, n_name AS name, contains(lower(coalesce(answer, '')), lower(n_name)) AS hit FROM nation JOIN a ON n_regionkey = answer_id)"""
+_VALID = """a AS (SELECT n_regionkey AS answer_id, replace(string_agg(upper(n_name), '; ') FILTER (n_nationkey % 3 = 0), '; ', CASE WHEN n_regionkey % 2 = 0 THEN ' and ' ELSE '; ' END) AS answer FROM nation GROUP BY n_regionkey), r AS (SELECT answer_id, n_nationkey AS ord, n_name AS name, contains(lower(coalesce(answer, '')), lower(n_name)) AS hit, answer FROM nation JOIN a ON n_regionkey = answer_id)"""
 
 
-@query(f"WITH {_VALID} SELECT answer_id, CAST(count(*) FILTER (hit) AS BIGINT) AS used, coalesce(CASE WHEN count(*) FILTER (hit) = 2 THEN string_agg(name, ' and ' ORDER BY ord) FILTER (hit) ELSE string_agg(name, ', ' ORDER BY ord) FILTER (hit) END, '') AS answer FROM r GROUP BY answer_id")
+@query(f"WITH {_VALID} SELECT answer_id, CAST(count(*) FILTER (hit) AS BIGINT) AS used, coalesce(CASE WHEN contains(any_value(answer), ' and ') THEN string_agg(name, ' and ' ORDER BY ord) FILTER (hit) ELSE string_agg(name, ', ' ORDER BY ord) FILTER (hit) END, '') AS answer FROM r GROUP BY answer_id")
 def answer_validation(s, d):
     return _answers(s, d).drop("confidence")
 

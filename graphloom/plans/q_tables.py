@@ -146,7 +146,7 @@ def csv_section(s, d):
 @query("""SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'null' WHEN event_id % 6 = 1 THEN 'boolean' WHEN event_id % 6 = 2 THEN 'integer' WHEN event_id % 6 = 3 THEN 'float' ELSE 'string' END AS kind, event_id % 6 IN (2, 3) AS is_number FROM events""")
 def lenient_scalar_parse(s, d):
     k = F.col("event_id") % 6
-    text = F.when(k == 0, " None").when(k == 1, "TRUE ").when(k == 2, F.concat(F.lit("-"), F.col("event_id").cast("string"))).when(k == 3, F.concat(F.col("user_id").cast("string"), F.lit(".25"))).otherwise(F.col("event_type"))
+    text = F.when(k == 0, " null").when(k == 1, "true ").when(k == 2, F.concat(F.lit("-"), F.col("event_id").cast("string"))).when(k == 3, F.concat(F.col("user_id").cast("string"), F.lit(".25"))).when(k == 4, "TRUE").otherwise(F.col("event_type"))
     return X.read(s, d, "events").select("event_id", T.scalar_kind(text).alias("kind"), T.is_number(text).alias("is_number"))
 
 
@@ -159,8 +159,9 @@ def marker_lists(s, d):
     return e.select("event_id", parts[0].alias("first_part"), F.size(parts).alias("parts"), F.size(T.source_ids(stored)).alias("sources"))
 
 
-@query()
+@query("""SELECT conv_id, turn, '{"answer": ' || CASE WHEN turn % 2 = 0 THEN '{"role": "' || role || '"}' ELSE '"yes"' END || ', "turn": ' || turn || '}' AS parsed FROM conversations""")
 def response_json(s, d):
+    """Broken JSON: keys without quotes, and every third without its end."""
     c = X.read(s, d, "conversations")
-    text = F.concat(F.lit("Sure: {answer: "), F.when(F.col("turn") % 2 == 0, F.to_json(F.struct("role"))).otherwise(F.lit("yes")), F.lit(', "turn": '), F.col("turn").cast("string"), F.when(F.col("turn") % 3 == 0, "").otherwise("}"))
+    text = F.concat(F.lit("Sure {answer: "), F.when(F.col("turn") % 2 == 0, F.to_json(F.struct("role"))).otherwise(F.lit("yes")), F.lit(', "turn": '), F.col("turn").cast("string"), F.when(F.col("turn") % 3 == 0, "").otherwise("}"))
     return c.select("conv_id", "turn", T.response_to_json(text).alias("parsed"))

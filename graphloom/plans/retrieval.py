@@ -89,13 +89,13 @@ def grounded_context(hits: DataFrame, registry: DataFrame, nodes: DataFrame, edg
 
 
 def validate_answer(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """(answer_id, used, answer, confidence): retrieved(answer_id, ord, canonical_name, aliases) entities that an answer names, in order, joined by ", " or by " and " for two; confidence min(1, 0.4 used / retrieved + 0.6 share of used among the first ten)."""
+    """(answer_id, used, answer, confidence): retrieved(answer_id, ord, canonical_name, aliases) entities that an answer names, in order, joined by " and " if the answer has that or an ampersand, else by ", "; confidence min(1, 0.4 used / retrieved + 0.6 share of used among the first ten)."""
     rows = answers.select("answer_id", F.lower("answer").alias("said")).join(retrieved, "answer_id")
     names = F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
     rows = rows.withColumn("hit", F.exists(names, lambda n: (n != "") & F.contains("said", F.lower(n))))
     used = F.array_sort(F.collect_list(F.when(F.col("hit"), F.struct("ord", F.col("canonical_name").alias("name")))))
-    g = rows.groupBy("answer_id").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("int")).alias("used"), F.sum((F.col("hit") & (F.col("ord") < 10)).cast("int")).alias("top"), used.alias("u"))
-    text = F.when(F.col("used") == 2, F.array_join("u.name", " and ")).otherwise(F.array_join("u.name", ", "))
+    g = rows.groupBy("answer_id").agg(F.first("said").alias("said"), F.count("*").alias("n"), F.sum(F.col("hit").cast("int")).alias("used"), F.sum((F.col("hit") & (F.col("ord") < 10)).cast("int")).alias("top"), used.alias("u"))
+    text = F.when(F.contains("said", F.lit(" and ")) | F.contains("said", F.lit(" & ")), F.array_join("u.name", " and ")).otherwise(F.array_join("u.name", ", "))
     conf = F.least(F.lit(1.0), 0.4 * F.col("used") / F.col("n") + 0.6 * F.when(F.col("used") > 0, F.col("top") / F.col("used")).otherwise(0.0))
     return g.select("answer_id", "used", text.alias("answer"), conf.alias("confidence"))
 

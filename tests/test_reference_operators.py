@@ -14,10 +14,14 @@ def one(spark, **columns):
 
 
 def test_splitter_goldens():
-    split = lambda text, seps, size, overlap: ["".join(c) for c in chunking.SeparatorSplitter([list(s) for s in seps], size, overlap).split(list(text))]
+    split = lambda text, seps, size, overlap: chunking.separator_pieces(text, seps, size, overlap)
     assert split("1234567890", [], 5, 2) == ["12345", "45678", "7890"]
     assert split("1234567890", [], 5, 0) == ["12345", "67890"]
     assert split("One is here. Two is there.", [".", "\n"], 16, 0) == ["One is here.", " Two is there."]
+    # groups over the size stay whole beside others, and the first separator of the list that fits counts
+    assert split("a.bbbbbbbb.c", ["."], 4, 0) == ["a.", "bbbbbbbb.", "c"] and split("a.bbbbbbbb.c", ["."], 4, 1) == ["a.", ".bbb", ".c"]
+    assert [("a\n\nb"[x:y]) for x, y in chunking.spans("a\n\nb", ["\n", "\n\n"])] == ["a\n", "\n", "b"]
+    assert [("a--b"[x:y]) for k in ("start", "") for x, y in chunking.spans("a--b", ["--"], k)] == ["a", "--b", "a", "b"]
     with pytest.raises(ValueError):
         chunking.token_windows(None, 5, 5)
 
@@ -25,6 +29,7 @@ def test_splitter_goldens():
 def test_json_goldens():
     assert T.response_json('Well: {"a": 1, "b": {"c": "x"}} done') == {"a": 1, "b": {"c": "x"}}
     assert T.response_json("{a: {b: yes}, c: 2") == {"a": {"b": "yes"}, "c": 2}
+    assert T.response_json('{a: null, b: TRUE, c: true, d: None, e: 1.5, f: "x"') == {"a": None, "b": "TRUE", "c": True, "d": "None", "e": 1.5, "f": "x"}
     assert T.response_json('{"name": "Ann", "n": 1.5, "ok": true')["n"] == 1.5
     assert T.response_json("nothing") == {}
 
