@@ -71,8 +71,8 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return naive.select("dataset", "run_id", "score", (F.col("score") - F.col("naive")).alias("delta"), (F.col("score") > F.col("naive")).alias("won"))
 
 
-def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """A Markdown table of a small report."""
-    found = rows.limit(limit).collect()
+def markdown(rows: DataFrame) -> str:
+    """A Markdown table of all rows of a report, read one after the other."""
+    cell = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    return "\n".join([*lines, *("| " + " | ".join(f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in found)])
+    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows.toLocalIterator())])
