@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import UNKNOWN_TYPE, join_unique
+from ..sources.store import materialize
 
 
 def accumulate_entities(facts: DataFrame) -> DataFrame:
@@ -29,6 +30,7 @@ def modal(facts: DataFrame, by: str, value: str, position: list[str]) -> DataFra
 
 def combine_entities(manifest: DataFrame) -> DataFrame:
     """Corpus entities of manifest(doc_id, entity_id, entity_name, entity_type, descriptions, source_chunk_ids): modal name and type, joined descriptions and sources."""
+    manifest = materialize(manifest.select("doc_id", "entity_id", "entity_name", "entity_type", "descriptions", "source_chunk_ids"))  # read three times
     name = modal(manifest, "entity_id", "entity_name", ["doc_id"])
     kind = modal(manifest, "entity_id", "entity_type", ["doc_id"])
     lists = manifest.groupBy("entity_id").agg(F.flatten(F.collect_set("descriptions")).alias("d"), F.flatten(F.collect_set("source_chunk_ids")).alias("s"))
