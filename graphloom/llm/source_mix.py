@@ -216,7 +216,9 @@ def mixture(docs: DataFrame, block_words: int = 128, shard_slots: int = 4096, sh
     first = F.floor(F.col("start") / block_words)
     last = F.floor((F.col("start") + F.col("size") - 1) / block_words)
     columns = ["row", "doc_id", "source", "sid"]
-    parts = placed.select(*columns, "start", "size", *([split.alias("w")] if texts else []), F.explode(F.sequence(first, last)).alias("block"))
+    if texts:
+        placed = placed.withColumn("w", split)  # before blocks are told apart, so once a document
+    parts = placed.select(*columns, "start", "size", *(["w"] if texts else []), F.explode(F.sequence(first, last)).alias("block"))
     begin = F.greatest(F.col("start"), F.col("block") * block_words)
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
     parts = parts.select(*columns, "block", *(["w"] if texts else []), (begin - F.col("start")).alias("from_word"), (begin - F.col("block") * block_words).alias("at_word"), (end - begin).alias("words"))
