@@ -41,6 +41,14 @@ def edge_lookup(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(e, (F.least("src", "dst") == F.col("__a")) & (F.greatest("src", "dst") == F.col("__b")), "left").drop("__a", "__b")
 
 
+def existence(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs(src, dst) with both_nodes: the graph has both ends, and is_edge: it has an edge between them, in either direction."""
+    a, b = (nodes.select(F.col("id").alias(f"__{x}"), F.lit(True).alias(f"__has_{x}")).distinct() for x in "ab")
+    e = canonical(edges.select("src", "dst")).distinct().select(F.col("src").alias("__s"), F.col("dst").alias("__d"), F.lit(True).alias("__edge"))
+    out = pairs.join(a, F.col("src") == F.col("__a"), "left").join(b, F.col("dst") == F.col("__b"), "left").join(e, (F.least("src", "dst") == F.col("__s")) & (F.greatest("src", "dst") == F.col("__d")), "left")
+    return out.select(*pairs.columns, (F.col("__has_a").isNotNull() & F.col("__has_b").isNotNull()).alias("both_nodes"), F.col("__edge").isNotNull().alias("is_edge"))
+
+
 def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the nodes of gone(id) and their edges."""
     ids = gone.select("id").distinct()
