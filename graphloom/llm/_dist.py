@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a table that may be broadcast when its rows have a fixed size of some tens of bytes.
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch: 10,000 texts, Spark's own number, may be gigabytes at once where texts are long.
+ARROW_ROWS = 1000
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -74,6 +76,14 @@ def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, for functions over Arrow batches of texts; the session's batches have at most ARROW_ROWS rows from here on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def free_names(columns: list[str], *names: str) -> list[str]:
     """Each name, lengthened by underscores until no column has it, whatever the case."""
     taken, out = {c.lower() for c in columns}, []

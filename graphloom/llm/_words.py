@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _U = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,6 +81,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()
 
 
 class Words:

@@ -111,7 +111,7 @@ def recipes(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     null where no identifier of the table has several digests.
     """
     table = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    made = _dist.materialize(table.mapInArrow(_recipes(id_bits), f"doc_id {dict(table.dtypes)['doc_id']}, doc_row long, text_sha256 string, ids array<long>, digests array<binary>"), "recipes")
+    made = _dist.materialize(_dist.small_batches(table).mapInArrow(_recipes(id_bits), f"doc_id {dict(table.dtypes)['doc_id']}, doc_row long, text_sha256 string, ids array<long>, digests array<binary>"), "recipes")
     chunks = made.select(F.explode(F.arrays_zip("ids", "digests")).alias("c")).select(F.col("c.ids").alias("id"), F.col("c.digests").alias("digest"))
     distinct = chunks.groupBy("id", "digest").agg(F.count("*").alias("uses"))
     clash = distinct.groupBy("id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("digest", "uses"))).alias("found")).where("n > 1")

@@ -40,7 +40,7 @@ from ._words import Words, shingles, signed, slices
 #: Share of a set by which the levels lengthen a prefix.
 LEVELS = (0.0, 0.025, 0.05)
 #: Shingles in a part of a cluster, and in a pool of small clusters. A set with more is a part of its own.
-PART_TOKENS, POOL_TOKENS = 1_000_000, 500_000
+PART_TOKENS, POOL_TOKENS = 500_000, 250_000
 #: Sets that may have a light token. Pairs of a light token are at most half that for each of its rows.
 LIGHT = 24
 
@@ -281,6 +281,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, see
     columns don't matter.
     """
     table = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row_key", _dist.row_key("doc_id", "text"))
+    table = _dist.small_batches(table)
     scan_schema = f"doc_id {dict(table.dtypes)['doc_id']}, doc_row long, row_key long, size long, set_id long, set_check long"
     for attempt in range(seed, seed + 5):
         rows = _dist.materialize(table.mapInArrow(_sets(k, attempt), scan_schema), "sets")
@@ -372,9 +373,10 @@ def _links(table: DataFrame, sets: DataFrame, k: int, num: int, den: int, seed:
     pools = max(1, math.ceil((sized.agg(F.sum("size")).first()[0] or 0) / POOL_TOKENS))
     zero = F.lit(0).cast("long")
     chosen = told.where(F.col("weight") <= PART_TOKENS).select("set_id", F.col("root").alias("cluster"), zero.alias("side"), F.pmod(F.xxhash64("root"), F.lit(pools)).alias("pool"))
-    parts = _parts(told.where(F.col("weight") > PART_TOKENS))
-    large = parts.limit(1).count() > 0
+    many = told.where(F.col("weight") > PART_TOKENS)
+    large = many.limit(1).count() > 0
     if large:
+        parts = _parts(many)
         chosen = chosen.union(parts.select("set_id", F.col("part").alias("cluster"), zero.alias("side"), F.col("part").alias("pool")))
 
     def links(rows: DataFrame) -> DataFrame:

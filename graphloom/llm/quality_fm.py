@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._dist import columns_of, free_names
+from ._dist import columns_of, free_names, small_batches
 from ._words import Words, slices, text_bytes
 from .kneser_ney import held_out
 
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sam
     known = known.orderBy("place", "doc_id", "label").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), _stated_chars(docs).alias("stated"))
     rows = texts.join(F.broadcast(known), "doc_id").select("label", "place", "text", "stated")
-    found = rows.mapInArrow(_featured, "label double, place long, index binary, value binary").orderBy("place", "label", F.length("index"), "index", "value").limit(sample).toArrow()
+    found = small_batches(rows).mapInArrow(_featured, "label double, place long, index binary, value binary").orderBy("place", "label", F.length("index"), "index", "value").limit(sample).toArrow()
     pairs = [(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(found["index"].to_pylist(), found["value"].to_pylist(), strict=True)]
     return fit(pairs, found["label"].to_numpy().astype(float))
 
@@ -188,7 +188,7 @@ def _scored(docs: DataFrame, machine: FactorMachine, columns: list[str], score:
     inner = ["text" if c == "text" else f"c{i}" for i, c in enumerate(columns)]
     table = docs.select(*[(F.col("text").cast("string") if c == "text" else F.col(f"`{c}`")).alias(n) for c, n in zip(columns, inner, strict=True)], _stated_chars(docs).alias("stated"))
     schema = ", ".join(f"{c} {kind}" for c, kind in table.dtypes if c != "stated")
-    return table.mapInArrow(_scores(shared), f"{schema}, score double").toDF(*columns, score)
+    return small_batches(table).mapInArrow(_scores(shared), f"{schema}, score double").toDF(*columns, score)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample: int = SAMPLE) -> DataFrame:

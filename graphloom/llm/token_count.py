@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _dist
 from ._words import BYTE_VALUES, mix, powers, slices, text_bytes
 
 #: Fixed values of the tokenizer rules: what a space becomes, and the penalty of an unknown character.
@@ -280,7 +281,7 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFr
     kind = dict(docs.dtypes)["doc_id"]
     shared = _Shared(docs.sparkSession.sparkContext.broadcast(vocabulary))
     table = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return table.mapInArrow(_counts(shared), f"doc_id {kind}, n_words long, n_tokens long, n_unknown long, score double")
+    return _dist.small_batches(table).mapInArrow(_counts(shared), f"doc_id {kind}, n_words long, n_tokens long, n_unknown long, score double")
 
 
 class _Shared:
