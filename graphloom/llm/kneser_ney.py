@@ -38,7 +38,9 @@ _U = np.uint64
 #: Hashes of the mark before a text and of the end token.
 START, END = (int(x) for x in mix(np.array([101, 102], _U)))
 #: Text bytes for a shard, and tokens that a task sorts at once.
-SHARD_BYTES, FLUSH_TOKENS = 12_000_000, 4_000_000
+SHARD_BYTES, FLUSH_TOKENS = 12_000_000, 2_000_000
+#: Text bytes whose words are looked up at once.
+LOOKUP_BYTES = 2 << 20
 #: A context with more tokens than this many shards is dealt by word; the files of such contexts' numbers.
 HOT_SHARDS, HOT_FILES = 4, 64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -133,7 +135,7 @@ def _count(shards: Shards):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, before, held = [], [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", LOOKUP_BYTES):
                 t, b, _ = sequence(part.column("text"))
                 tokens.append(t)
                 before.append(b)
@@ -150,7 +152,7 @@ def _count(shards: Shards):
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (context, n, bytes) of each slice: contexts with a 256th of its tokens or more, with their counts; and under context 0 all tokens and bytes."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", LOOKUP_BYTES):
             _, before, _ = sequence(part.column("text"))
             found, n = np.unique(before, return_counts=True)
             some = n * 256 >= len(before)
@@ -389,7 +391,7 @@ class Reader:
 def train(docs: DataFrame) -> Model:
     """Count docs(text) whole; null texts are an end token alone."""
     spark = docs.sparkSession
-    text = docs.select(F.col("text").cast("string").alias("text"))
+    text = _dist.small_batches(docs.select(F.col("text").cast("string").alias("text")))
     shards = plan(text)
     folder = local_path(_dist.new_path(spark, "kneser-ney"))
     os.makedirs(folder, exist_ok=True)
@@ -406,7 +408,7 @@ def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", LOOKUP_BYTES):
                 got = reader.score(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *[pa.array(got[n]) for n in names]], names=["doc_id", "held_out", *names])
 
