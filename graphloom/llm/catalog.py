@@ -16,6 +16,7 @@ from .license_scan import license_scan
 from .line_chunks import deduplicate_lines, deduplicate_passages
 from .quality_fm import quality_scores
 from .source_mix import taken
+from .token_alignment import aligned
 from .token_count import token_counts, zipf_vocabulary
 from .tool_chat import TURN_TOOLS, link_calls, turn_calls
 
@@ -93,6 +94,10 @@ def op11_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), BYTE_TOKENIZER)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(read(spark, sf_dir, "documents"), BYTE_TOKENIZER, VOCABULARY)[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_tool_chat": op2_tool_chat,
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_lm_scores": op10_lm_scores,
     "op11_bestfit_packing": op11_bestfit_packing,
+    "op12_token_alignment": op12_token_alignment,
     "license_phrases": license_phrases,
     "mix_targets": mix_targets,
 }
