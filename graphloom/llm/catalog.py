@@ -14,6 +14,7 @@ from .jaccard_join import near_duplicates
 from .kneser_ney import lm_scores
 from .license_scan import license_scan
 from .line_chunks import deduplicate_lines, deduplicate_passages
+from .merkle_manifest import manifest, without_line_ends
 from .quality_fm import quality_scores
 from .source_mix import taken
 from .token_alignment import aligned
@@ -98,6 +99,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(read(spark, sf_dir, "documents"), BYTE_TOKENIZER, VOCABULARY)[0]
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified against texts that lost their line ends."""
+    return manifest(read(spark, sf_dir, "documents"), without_line_ends())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_tool_chat": op2_tool_chat,
@@ -112,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scores": op10_lm_scores,
     "op11_bestfit_packing": op11_bestfit_packing,
     "op12_token_alignment": op12_token_alignment,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "license_phrases": license_phrases,
     "mix_targets": mix_targets,
 }
@@ -136,6 +143,27 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, r
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\t-\r]+', ' ', 'g')) AS h FROM documents),
 g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY h)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, n.h AS text_sha256 FROM n JOIN g ON n.h = g.h
+""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, text,
+  list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda y, i: CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)) % 2 = 1 AS even FROM documents),
+l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(t) || ':' || t, '-')) AS other FROM (SELECT *, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS t FROM d)),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM l),
+t AS (SELECT 0 AS k, source, i, leaf AS h, n FROM p
+  UNION ALL SELECT k + 1, source, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY k, source, i // 3, n),
+r AS (SELECT source, h AS subroot, k AS height, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS k, i, subroot AS h, n FROM r
+  UNION ALL SELECT k + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY k, i // 3, n),
+s AS (SELECT p.doc_id, p.source, p.i, t.k, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < p.i // CAST(pow(3, t.k) AS BIGINT)), '') AS a, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > p.i // CAST(pow(3, t.k) AS BIGINT)), '') AS b
+  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source AND t.n > 1 AND t.i // 3 = p.i // CAST(pow(3, t.k + 1) AS BIGINT) GROUP BY p.doc_id, p.source, p.i, t.k
+  UNION ALL SELECT p.doc_id, p.source, p.i, r.height + u.k, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < r.i // CAST(pow(3, u.k) AS BIGINT)), ''), coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > r.i // CAST(pow(3, u.k) AS BIGINT)), '')
+  FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source JOIN u ON u.n > 1 AND u.i // 3 = r.i // CAST(pow(3, u.k + 1) AS BIGINT) GROUP BY p.doc_id, p.source, p.i, r.height, u.k),
+f AS (SELECT source, i, 0 AS k, other AS h FROM p
+  UNION ALL SELECT f.source, f.i, f.k + 1, sha256(s.a || f.h || s.b) FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source AND f.i = s.i AND f.k = s.k),
+g AS (SELECT source, i, max_by(h, k) AS folded_root FROM f GROUP BY source, i),
+x AS (SELECT source, i, sha256(string_agg(a || b, '' ORDER BY k)) AS proof_sha256 FROM s GROUP BY source, i)
+SELECT p.doc_id, p.leaf, r.subroot, u.h AS root, coalesce(x.proof_sha256, sha256('')) AS proof_sha256, g.folded_root, g.folded_root = u.h AS verified
+FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source JOIN u ON u.n = 1 JOIN g ON p.source IS NOT DISTINCT FROM g.source AND p.i = g.i LEFT JOIN x ON p.source IS NOT DISTINCT FROM x.source AND p.i = x.i
 """,
     "op9_decontamination": r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
