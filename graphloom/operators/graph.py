@@ -136,6 +136,18 @@ def community_schema(membership: DataFrame, edges: DataFrame, chunks: DataFrame)
     return out.crossJoin(F.broadcast(most)).withColumn("occurrence", F.when(F.col("chunk_ids").isNull(), 0.0).otherwise(n / F.col("most"))).drop("most")
 
 
+def community_counts(membership: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """community_schema() with numbers in place of lists: level, cluster, nodes, edges, chunks, occurrence. No row follows the size of a community."""
+    key = ["level", "cluster"]
+    members = membership.groupBy(*key).agg(F.count("*").alias("nodes"))
+    around = both_ways(edges).join(membership, "id").select(*key, F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct().groupBy(*key).agg(F.count("*").alias("edges"))
+    found = membership.join(chunks, "id").select(*key, "chunk_id").distinct().groupBy(*key).agg(F.count("*").alias("chunks"))
+    zero = F.lit(0).cast("long")
+    out = members.join(around, key, "left").join(found, key, "left").withColumns({"edges": F.coalesce("edges", zero), "chunks": F.coalesce("chunks", zero)})
+    most = found.agg(F.max("chunks").alias("most"))
+    return out.crossJoin(F.broadcast(most)).withColumn("occurrence", F.when(F.col("chunks") == 0, 0.0).otherwise(F.col("chunks") / F.col("most"))).drop("most")
+
+
 def sub_communities(membership: DataFrame, next_level_only: bool = True) -> DataFrame:
     """(level, cluster, sub): clusters of the next level (or any deeper one) all of whose nodes are in the cluster."""
     a = membership.select("id", F.col("level").alias("l"), F.col("cluster").alias("c"))

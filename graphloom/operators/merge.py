@@ -68,6 +68,12 @@ def canonical_entities(facts: DataFrame, preferred: DataFrame) -> DataFrame:
     return ids.join(preferred.select("entity_name", F.col("entity_id").alias("old")), "entity_name", "left").select("entity_name", F.coalesce("old", "entity_id").alias("entity_id"))
 
 
+def contributions(entities: DataFrame, rels: DataFrame) -> DataFrame:
+    """(key, doc_id): a row for each document that contributes to an entity, an entity name or a relationship."""
+    key = lambda kind, c: F.concat(F.lit(f"{kind}::"), F.col(c)).alias("key")
+    return entities.select(key("entity", "entity_id"), "doc_id").union(entities.select(key("entity_name", "entity_name"), "doc_id")).union(rels.select(key("relationship", "relationship_id"), "doc_id")).distinct()
+
+
 def contribution_index(entities: DataFrame, rels: DataFrame) -> DataFrame:
     """(key, doc_ids): which documents contribute to each entity, entity name and relationship. A view over the facts, so it is never stale."""
     key = lambda kind, c: F.concat(F.lit(f"{kind}::"), F.col(c))

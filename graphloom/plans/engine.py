@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields
 
@@ -12,14 +13,39 @@ from pyspark.sql.window import Window
 from ..functions.model import AnswerCache
 from ..functions.text import n_tokens
 from ..operators import chunking, clustering, extraction, graph, merge, registry, tables, vectors
-from ..sources.store import Store, materialize
+from ..sources.store import Change, Conflict, Store, materialize, scratch
 from . import answers, reports, retrieval
 
+DOCUMENTS = "doc_id string, content string, content_hash string, extraction_hash string"
+FAILED = "doc_id string, chunk_id string, attempts int, error string"
+
 #: What is said without an answer.
 FAIL = "Sorry, I'm not able to provide an answer to that question."
 UNGROUNDED = "I don't have enough information to answer this question."
 
 
+def fingerprint(value) -> str:
+    """A text that differs between functions of different code, defaults or enclosed values; other callables go by their type and attributes, a `version` among them if they have one."""
+    code = getattr(value, "__code__", None)
+    if code is not None:
+        inner = [fingerprint(c) if hasattr(c, "co_code") else repr(c) for c in code.co_consts]
+        enclosed = []
+        for cell in value.__closure__ or ():
+            try:
+                enclosed.append(fingerprint(cell.cell_contents))
+            except ValueError:  # not bound yet
+                enclosed.append("")
+        return repr(("function", code.co_code.hex(), code.co_names, inner, enclosed, [fingerprint(d) for d in value.__defaults__ or ()]))
+    if hasattr(value, "co_code"):
+        return repr((value.co_code.hex(), value.co_names, [fingerprint(c) if hasattr(c, "co_code") else repr(c) for c in value.co_consts]))
+    if hasattr(value, "func") and hasattr(value, "args"):  # a partial
+        return repr((fingerprint(value.func), value.args, sorted((value.keywords or {}).items())))
+    if isinstance(value, type) or not callable(value):
+        return repr(value)
+    kept = {k: v for k, v in vars(value).items() if isinstance(v, str | int | float | bool | tuple)} if hasattr(value, "__dict__") else {}
+    return repr((type(value).__module__, type(value).__qualname__, sorted(kept.items())))
+
+
 @dataclass
 class QueryParam:
     """Limits of a query. Names and defaults of the public interface."""
@@ -84,6 +110,7 @@ class Config:
     cluster_seed: int = 0xDEADBEEF
     max_incremental_updates: int = 10
     enable_local: bool = True
+    enable_communities: bool = True
     enable_naive_rag: bool = True
     embed: Callable = field(default_factory=vectors.hashing_embedder)
     extractor: Callable = extraction.offline_extractor
@@ -105,6 +132,9 @@ class Config:
     grounding: Grounding = field(default_factory=Grounding)
     hops: Hops = field(default_factory=Hops)
     api_key: str | None = None
+    most_attempts: int = 10
+    buckets: int = 32
+    keep_states: int = 5
 
     def __post_init__(self):
         if self.quality not in ("fast", "balanced", "thorough"):
@@ -112,6 +142,11 @@ class Config:
         if not 0 <= self.chunk_overlap < self.chunk_tokens:
             raise ValueError("chunk_overlap must be smaller than chunk_tokens")
 
+    def facts_hash(self) -> str:
+        """A digest of all that shapes a document's facts: functions by their code, defaults and enclosed values, and the settings of chunking and extraction."""
+        shapes = ("chunk_tokens", "chunk_overlap", "quality", "extractor", "gleaning", "glean_more", "grouped_extraction", "aliases", "link_entities", "link_decider")
+        return hashlib.sha256(repr([(n, fingerprint(getattr(self, n))) for n in shapes]).encode()).hexdigest()
+
     def for_logs(self) -> dict:
         """Values with keys hidden and functions by name."""
         show = lambda k, v: "***" if v and "key" in k else getattr(v, "__name__", type(v).__name__) if callable(v) else v
@@ -122,7 +157,8 @@ class Engine:
     """Tables of a corpus in a store, and queries over them. An insert publishes all its tables at once or none."""
 
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None):
-        self.spark, self.store, self.config = spark, Store(spark, path), config or Config()
+        self.spark, self.config = spark, config or Config()
+        self.store = Store(spark, path, self.config.buckets)
 
     def _empty(self, schema: str) -> DataFrame:
         return self.spark.createDataFrame([], schema)
@@ -133,46 +169,110 @@ class Engine:
     def insert(self, texts: list[str] | str) -> int:
         """Insert strings; equal ones and those already there change nothing. Returns how many documents were processed."""
         rows = [(t,) for t in ([texts] if isinstance(texts, str) else texts)]
-        known = self._read("documents", "doc_id string, content string, content_hash string, extraction_hash string").select("doc_id")
+        known = self._read("documents", DOCUMENTS).select("doc_id")
         return self.insert_documents(tables.insert_strings(self.spark.createDataFrame(rows, "content string"), known))
 
-    def insert_documents(self, docs: DataFrame, force: bool = False) -> int:
-        """Insert or replace docs(doc_id, content): only new, changed and reconfigured ones are chunked and extracted again, and only what their old and new facts touch is merged, embedded, clustered and reported again."""
+    def _retrying(self, work: Callable[[Change], int | None], tries: int = 5) -> int:
+        """work(change) and its publication, begun anew on the newest state if another writer was there first. None: nothing to publish."""
+        for turn in range(tries):
+            with scratch(self.spark):
+                change = self.store.change()
+                n = work(change)
+                if n is None:
+                    return 0
+                try:
+                    change.publish()
+                except Conflict:
+                    if turn == tries - 1:
+                        raise
+                    continue
+            self.store.vacuum(self.config.keep_states)
+            return n
+        raise AssertionError
+
+    def insert_documents(self, docs: DataFrame, force: bool = False, also: Callable[[Change], None] | None = None) -> int:
+        """Insert or replace docs(doc_id, content): only new, changed and reconfigured ones are chunked and extracted again, and only what their old and new facts touch is merged, embedded, clustered and reported again.
+
+        Chunks whose model call fails are kept in failed_chunks with the error, and each later insert asks
+        for them first, up to most_attempts times. Returns how many documents got facts or lost them.
+        also: what else to write in the same change.
+        """
+        return self._retrying(lambda change: self._insert(change, docs, force, also))
+
+    def _insert(self, change: Change, docs: DataFrame, force: bool, also: Callable[[Change], None] | None) -> int | None:
         c = self.config
-        stored = self._read("documents", "doc_id string, content string, content_hash string, extraction_hash string")
-        mark = self.spark.range(1).select(tables.extraction_hash(c.extractor.__name__, "model", "llm", c.quality).alias("h")).first().h
+        stored = change.read("documents") if change.has("documents") else self._empty(DOCUMENTS)
+        mark = c.facts_hash()
         todo = materialize(tables.changes(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content"), stored, mark, force).where("status <> 'unchanged'"))
-        n = todo.count()
-        if not n:
+        ids = todo.select("doc_id")
+        failed = change.read("failed_chunks") if change.has("failed_chunks") else self._empty(FAILED)
+        again = materialize(failed.where(F.col("attempts") < c.most_attempts).join(ids, "doc_id", "left_anti"))
+        n, n_again = todo.count(), again.select("doc_id").distinct().count()
+        if not n and not n_again:
+            if also is None:
+                return None
+            also(change)
             return 0
-        chunks = chunking.with_chunk_ids(chunking.token_windows(todo, c.chunk_tokens, c.chunk_overlap))
+        chunks = chunking.with_chunk_ids(chunking.token_windows(todo, c.chunk_tokens, c.chunk_overlap)).withColumn("attempts", F.lit(0))
+        if n_again:
+            kept = change.read("chunks").join(again.select("doc_id", "chunk_id", "attempts"), ["doc_id", "chunk_id"])
+            chunks = kept.select(*chunks.columns).unionByName(chunks)
         told, entities, rels = extraction.extract(materialize(chunks), c.extractor, c.extraction_batch, c.gleaning, c.glean_more, c.grouped_extraction)
         entities, rels = extraction.fact_ids(entities, rels)
-        if c.link_entities and self.store.has("entities"):
+        if c.link_entities and change.has("entities"):
             entities, rels = registry.apply_links(entities, rels, registry.link_manifest(entities, self.registry(), decide=c.link_decider))
         fact_e = materialize(entities.select("doc_id", "chunk_id", "ord", "entity_id", "entity_name", "entity_type", "description"))
         fact_r = materialize(rels.select("doc_id", "chunk_id", "ord", "relationship_id", F.col("src_id").alias("src"), F.col("tgt_id").alias("tgt"), "relation_type", "description", "weight"))
-        ids = todo.select("doc_id")
-        old = lambda name, like: self.store.read(name) if self.store.has(name) else like.limit(0)
-        put = lambda name, df: old(name, df).join(ids, "doc_id", "left_anti").select(*df.columns).unionByName(df)
-        gone = lambda name, df, key: old(name, df).join(ids, "doc_id", "left_semi").select(key).union(df.select(key)).distinct()
-        touched = materialize(gone("doc_entity", fact_e, "entity_id"))
-        pair = lambda df: graph.canonical(df.select(F.col("src"), F.col("tgt").alias("dst")))
-        pairs = materialize(pair(old("doc_relationship", fact_r).join(ids, "doc_id", "left_semi")).union(pair(fact_r)).distinct())
-        fresh_chunks = told.select("doc_id", "chunk_id", "chunk_order_index", "tokens", "content")
-        new = {
-            "documents": put("documents", todo.select("doc_id", "content", "content_hash", F.lit(mark).alias("extraction_hash"))),
-            "chunks": put("chunks", fresh_chunks),
-            "doc_entity": materialize(put("doc_entity", fact_e)),
-            "doc_relationship": materialize(put("doc_relationship", fact_r)),
-        }
+        change.merge("documents", todo.select("doc_id", "content", "content_hash", F.lit(mark).alias("extraction_hash")), "doc_id", ids)
+        fresh = told.join(ids, "doc_id", "left_semi").select("doc_id", "chunk_id", "chunk_order_index", "tokens", "content")
+        change.merge("chunks", fresh, "doc_id", ids)
+        still = told.where("output is null").select("doc_id", "chunk_id", (F.col("attempts") + 1).alias("attempts"), "error")
+        change.merge("failed_chunks", still, "doc_id", ids.union(again.select("doc_id")))
         if c.aliases:
-            found = extraction.extract_aliases(fact_e, fresh_chunks, c.aliases)
-            new["entity_aliases"] = old("entity_aliases", found).unionByName(found).distinct()
-        vec = vectors.embed(fresh_chunks.select(F.col("chunk_id").alias("id"), "doc_id", "content"), "content", c.embed).drop("content")
-        new["chunk_vectors"] = put("chunk_vectors", vec)
-        self.store.commit(**new, **self._derived(new["doc_entity"], new["doc_relationship"], touched, pairs))
-        return n
+            found = extraction.extract_aliases(fact_e, told.select("doc_id", "chunk_id", "content"), c.aliases)
+            old = change.read("entity_aliases") if change.has("entity_aliases") else found.limit(0)
+            change.merge("entity_aliases", found.join(old, ["entity_id", "alias"], "left_anti"), "entity_id")
+        vec = vectors.embed(fresh.select(F.col("chunk_id").alias("id"), "doc_id", "content"), "content", c.embed).drop("content")
+        change.merge("chunk_vectors", vec, "doc_id", ids)
+        self._facts(change, ids, fact_e, fact_r)
+        if also:
+            also(change)
+        return n + n_again
+
+    def delete_documents(self, ids: DataFrame) -> int:
+        """Take documents of ids(doc_id) out, and all that only they contributed. Returns how many there were."""
+
+        def work(change: Change) -> int | None:
+            if not change.has("documents"):
+                return None
+            gone = materialize(change.read("documents").join(ids.select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_semi").select("doc_id"))
+            n = gone.count()
+            if not n:
+                return None
+            for name in ("documents", "chunks", "chunk_vectors", "failed_chunks"):
+                change.merge(name, change.read(name).limit(0), "doc_id", gone)
+            self._facts(change, gone, change.read("doc_entity").limit(0), change.read("doc_relationship").limit(0))
+            return n
+
+        return self._retrying(work)
+
+    def _facts(self, change: Change, ids: DataFrame, fact_e: DataFrame, fact_r: DataFrame) -> None:
+        """Put facts in place of those of the documents ids(doc_id), bring the contribution index up to date by the difference, and derive what the old and new facts touch."""
+        had = change.has("doc_entity")
+        old_e = materialize(change.read("doc_entity").join(ids, "doc_id", "left_semi")) if had else fact_e.limit(0)
+        old_r = materialize(change.read("doc_relationship").join(ids, "doc_id", "left_semi")) if had else fact_r.limit(0)
+        change.merge("doc_entity", fact_e, "doc_id", ids)
+        change.merge("doc_relationship", fact_r, "doc_id", ids)
+        was, now = materialize(merge.contributions(old_e, old_r)), materialize(merge.contributions(fact_e, fact_r))
+        if change.has("contributions"):  # chunks that were asked again add to what their documents have
+            index = change.read("contributions")
+            same = now.join(was, was.columns, "left_anti").join(index, was.columns, "left_semi")
+            now = materialize(now.join(same, was.columns, "left_anti"))
+        change.merge("contributions", now, "key", was)
+        touched = materialize(old_e.select("entity_id").union(fact_e.select("entity_id")).distinct())
+        pair = lambda df: graph.canonical(df.select(F.col("src"), F.col("tgt").alias("dst")))
+        pairs = materialize(pair(old_r).union(pair(fact_r)).distinct())
+        self._derive(change, touched, pairs)
 
     def _combined(self, e: DataFrame) -> DataFrame:
         nodes = merge.combine_entities(merge.accumulate_entities(e))
@@ -188,45 +288,55 @@ class Engine:
         ends = r.where("src <> tgt").withColumnRenamed("tgt", "dst")
         return graph.canonical(ends).groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.array_join(F.array_sort(F.collect_set("description")), "<SEP>").alias("description"))
 
-    def _derived(self, e: DataFrame, r: DataFrame, touched: DataFrame | None = None, pairs: DataFrame | None = None) -> dict[str, DataFrame]:
-        """Tables that follow from the facts. touched(entity_id), pairs(src, dst): what a change may have altered; without them all is made anew."""
+    def _derive(self, change: Change, touched: DataFrame | None = None, pairs: DataFrame | None = None) -> None:
+        """Write the tables that follow from the facts. touched(entity_id), pairs(src, dst): what a change may have altered; without them all is made anew."""
         c = self.config
-        if touched is None or not self.store.has("entities"):
-            nodes = materialize(self._combined(e))
-            links = materialize(self._links(r))
-            changed = nodes.select("entity_id")
-            stored_vec = None
+        e, r = change.read("doc_entity"), change.read("doc_relationship")
+        partly = touched is not None and change.has("entities")
+        if not partly:
+            nodes, links = materialize(self._combined(e)), self._links(r)
+            change.state.pop("entities", None), change.state.pop("relationships", None), change.state.pop("entity_vectors", None)
+            changed, gone_nodes, gone_links = nodes.select("entity_id"), None, None
         else:
-            fresh = materialize(self._combined(e.join(touched, "entity_id", "left_semi")))
-            nodes = materialize(self.store.read("entities").join(touched, "entity_id", "left_anti").unionByName(fresh))
+            # the index says which documents have facts of what was touched
+            named = touched.select(F.concat(F.lit("entity::"), "entity_id").alias("key"), "entity_id")
+            docs = change.read("contributions").join(named, "key", "left_semi").select("doc_id").distinct()
+            nodes = materialize(self._combined(e.join(docs, "doc_id", "left_semi").join(touched, "entity_id", "left_semi")))
             near = graph.canonical(r.withColumnRenamed("tgt", "dst")).join(pairs, ["src", "dst"], "left_semi").withColumnRenamed("dst", "tgt")
-            links = materialize(self.store.read("relationships").join(pairs, ["src", "dst"], "left_anti").unionByName(self._links(near)))
-            changed, stored_vec = touched, self.store.read("entity_vectors")
-        rows = nodes.join(changed, "entity_id", "left_semi").select(F.col("entity_id").alias("id"), F.concat_ws(" - ", "entity_name", "description").alias("content"))
+            links = self._links(near)
+            changed, gone_nodes, gone_links = touched, touched, pairs
+        rows = nodes.select(F.col("entity_id").alias("id"), F.concat_ws(" - ", "entity_name", "description").alias("content"))
         vec = vectors.embed(rows, "content", c.embed).drop("content")
-        if stored_vec is not None:
-            vec = stored_vec.join(changed.withColumnRenamed("entity_id", "id"), "id", "left_anti").unionByName(vec)
+        change.merge("entities", nodes, "entity_id", gone_nodes)
+        change.merge("relationships", links, "src", gone_links)
+        change.merge("entity_vectors", vec, "id", gone_nodes.withColumnRenamed("entity_id", "id") if partly else None)
+        if not c.enable_communities:  # neither clusters nor reports; naive, grounded and rank-based retrieval need none
+            return
+        nodes, links = change.read("entities"), change.read("relationships")
         ids = nodes.select(F.col("entity_id").alias("id"))
-        membership, updates, only = self._clustered(ids, links, changed.withColumnRenamed("entity_id", "id") if stored_vec is not None else None)
+        membership, updates, only = self._clustered(change, ids, links, changed.withColumnRenamed("entity_id", "id") if partly else None)
         node_chunks = e.select(F.col("entity_id").alias("id"), "chunk_id").distinct()
-        schema = materialize(graph.community_schema(membership, links, node_chunks))
+        schema = materialize(graph.community_counts(membership, links, node_chunks))
         told = graph.degrees(ids, links).join(nodes.withColumnRenamed("entity_id", "id"), "id")
         subs = graph.sub_communities(membership)
-        report = reports.community_reports(membership, told, links, schema, subs, c.reporter, c.report_tokens, self.store.read("reports") if only is not None else None, only)
-        counter = self.spark.range(1).select(F.lit(updates).cast("long").alias("updates"))
-        return {"entities": nodes, "relationships": links, "membership": membership, "communities": schema, "reports": report, "entity_vectors": vec, "clustering": counter}
+        report = reports.community_reports(membership, told, links, schema, subs, c.reporter, c.report_tokens, change.read("reports") if only is not None else None, only)
+        change.put("membership", membership)
+        change.put("communities", schema)
+        change.put("reports", report)
+        change.put("clustering", self.spark.range(1).select(F.lit(updates).cast("long").alias("updates")))
 
-    def _clustered(self, ids: DataFrame, links: DataFrame, changed: DataFrame | None) -> tuple[DataFrame, int, DataFrame | None]:
+    def _clustered(self, change: Change, ids: DataFrame, links: DataFrame, changed: DataFrame | None) -> tuple[DataFrame, int, DataFrame | None]:
         """(membership, updates since the last full run, clusters to report again or None for all): the changed nodes' surroundings alone if they are few, else all."""
         c = self.config
-        if changed is not None and self.store.has("membership"):
-            old = self.store.read("membership").join(ids, "id", "left_semi").select("id", "level", "cluster")
-            updates = self.store.read("clustering").first().updates if self.store.has("clustering") else 0
+        if changed is not None and change.has("membership"):
+            stored = change.read("membership")
+            old = stored.join(ids, "id", "left_semi").select("id", "level", "cluster")
+            updates = change.read("clustering").first().updates if change.has("clustering") else 0
             reached = materialize(graph.frontier(ids, links, changed))
             choice = graph.incremental_choice(ids, reached, old.where("level = 0").select("id"), updates, c.frontier_limit, c.max_incremental_updates).first()
             if choice.incremental:
                 now = materialize(clustering.incremental_leiden(ids, links, old, changed, updates + 1, seed=c.cluster_seed))
-                moved = clustering.affected_clusters(self.store.read("membership"), now)
+                moved = clustering.affected_clusters(stored, now)
                 near = now.join(changed, "id", "left_semi").select("cluster")
                 return now, updates + 1, materialize(moved.union(near).distinct())
         return materialize(clustering.leiden(ids, links, c.resolutions, c.cluster_seed)), 0, None
@@ -246,7 +356,12 @@ class Engine:
 
     def rebuild(self) -> int:
         """Derive everything from the stored facts again, without extraction."""
-        return self.store.commit(**self._derived(self.store.read("doc_entity"), self.store.read("doc_relationship")))
+        self._retrying(lambda change: self._derive(change) or 0)
+        return self.store.snapshot()
+
+    def contributions(self) -> DataFrame:
+        """(key, doc_id): which documents contribute to each entity, entity name and relationship, as kept by the changes."""
+        return self.store.read("contributions")
 
     def integrity(self) -> tuple[int, int]:
         """(expected, found): distinct entities of the facts, and how many of them the graph has."""
@@ -266,6 +381,8 @@ class Engine:
             hits = self._hits("chunk_vectors", question, p.top_k).withColumnRenamed("id", "chunk_id")
             return retrieval.naive_context(hits, s.read("chunks"), p.naive_max_token_for_text_unit).first()["context"] or None
         if p.mode == "global":
+            if not self.config.enable_communities:
+                raise ValueError("global mode is off")
             return self._global_points(question, p)
         if p.mode == "multihop":
             return self._hop_context(question, p)
@@ -274,7 +391,7 @@ class Engine:
             return answers.entity_list(found) if found else None
         if p.mode != "local":
             raise ValueError(f"mode: {p.mode}")
-        if not self.config.enable_local:
+        if not self.config.enable_local or not self.config.enable_communities:
             raise ValueError("local mode is off")
         hits = materialize(self._hits("entity_vectors", question, p.top_k))
         if not hits.limit(1).count():

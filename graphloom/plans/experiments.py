@@ -86,7 +86,7 @@ def ranked_nodes(engine: Engine, question: str, param: QueryParam, k: int = 20)
 def tree_search(engine: Engine, question: str, param: QueryParam) -> str:
     """Contents of the summary tree's nodes, of all levels, whose vectors have the greatest dot product with the question's. The tree is built anew when the chunks have changed."""
     s = engine.store
-    mark = s.state()["chunks"]
+    mark = json.dumps(s.state()["chunks"], sort_keys=True)
     if not s.has("tree") or s.read("tree_of").first().version != mark:
         leaves = s.read("chunks").select(F.col("chunk_id").alias("node_id"), "content").join(s.read("chunk_vectors").select(F.col("id").alias("node_id"), "embedding"), "node_id")
         s.commit(tree=vectors.build_tree(leaves), tree_of=engine.spark.createDataFrame([(mark,)], "version string"))

@@ -91,6 +91,8 @@ def community_reports(membership: DataFrame, nodes: DataFrame, edges: DataFrame,
         parsed = told.withColumn("r", F.from_json("report_json", REPORT))
         rows = parsed.join(keys.drop("level"), "cluster").select("level", "cluster", "occurrence", F.col("r.title").alias("title"), F.coalesce("r.rating", F.lit(0.0)).alias("rating"), F.coalesce(report_text(F.col("r")), F.lit("")).alias("report"), "report_json")
         done = materialize(rows if done is None else done.unionByName(rows.select(*COLUMNS)))
+    if done is None:  # no communities
+        done = membership.sparkSession.createDataFrame([], "level int, cluster string, occurrence double, title string, rating double, report string, report_json string")
     return done
 
 
