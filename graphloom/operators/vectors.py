@@ -1,4 +1,4 @@
-"""Vector tables: exact and approximate top-k, thresholds, rank fusion, reranking, summary trees."""
+"""Vector tables: exact top-k, thresholds, rank fusion, reranking, summary trees."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.store import materialize
+from .vector_index import exact
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,32 +34,8 @@ def top_k(vectors: DataFrame, query: list[float], k: int, threshold: float | Non
 
 
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, similarity, rank) for queries(query_id, embedding), a stated set: blocks of queries are sent to the vectors' tasks, which keep k of each, then one window ranks what is left."""
-    rows = queries.select("query_id", "embedding").collect()  # the caller's questions
-    ids = [r.query_id for r in rows]
-    matrix = np.array([r.embedding for r in rows], float)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-
-    def run(frames):
-        best: dict = {}
-        for frame in frames:
-            block = np.array(frame["embedding"].tolist(), float)
-            block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-12)
-            sims = matrix @ block.T
-            names = frame["id"].to_numpy()
-            for i in range(len(ids)):
-                near = np.argpartition(-sims[i], min(k, sims.shape[1]) - 1)[:k]
-                edge = sims[i][near].min() if len(near) else 0
-                near = np.flatnonzero(sims[i] >= edge)
-                old = best.get(i, [])
-                best[i] = sorted(old + [(-sims[i][j], names[j]) for j in near])[:k]
-        out = [(ids[i], n, -s) for i, found in best.items() for s, n in found]
-        yield pd.DataFrame(out, columns=["query_id", "id", "similarity"])
-
-    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
-    found = vectors.select("id", "embedding").mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    """(query_id, id, similarity, rank) for queries(query_id, embedding), a stated set, against all vectors: an exact scan of blocks by blocks."""
+    return exact(vectors, queries, k)
 
 
 def embed(rows: DataFrame, text: str, model: Callable[[list[str]], np.ndarray], batch: int = 32) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.model import AnswerCache
 from ..functions.text import n_tokens
 from ..operators import chunking, clustering, extraction, graph, merge, registry, tables, vectors
+from ..operators.vector_index import VectorIndex
 from ..sources.store import Change, Conflict, Store, materialize, scratch
 from . import answers, reports, retrieval
 
@@ -135,6 +136,8 @@ class Config:
     most_attempts: int = 10
     buckets: int = 32
     keep_states: int = 5
+    vector_index: bool = False
+    index_probes: int | None = None
 
     def __post_init__(self):
         if self.quality not in ("fast", "balanced", "thorough"):
@@ -232,13 +235,27 @@ class Engine:
             found = extraction.extract_aliases(fact_e, told.select("doc_id", "chunk_id", "content"), c.aliases)
             old = change.read("entity_aliases") if change.has("entity_aliases") else found.limit(0)
             change.merge("entity_aliases", found.join(old, ["entity_id", "alias"], "left_anti"), "entity_id")
-        vec = vectors.embed(fresh.select(F.col("chunk_id").alias("id"), "doc_id", "content"), "content", c.embed).drop("content")
+        vec = materialize(vectors.embed(fresh.select(F.col("chunk_id").alias("id"), "doc_id", "content"), "content", c.embed).drop("content"))
         change.merge("chunk_vectors", vec, "doc_id", ids)
+        self._index(change, "chunk_vectors", vec, ids)
         self._facts(change, ids, fact_e, fact_r)
         if also:
             also(change)
         return n + n_again
 
+    def _index(self, change: Change, name: str, fresh: DataFrame, gone: DataFrame) -> None:
+        """Bring the index of a vector table up to date, before or after the table itself: gone(doc_id or entity id) leave it, fresh(id, embedding) come in."""
+        if not self.config.vector_index:
+            return
+        index = VectorIndex(self.store, f"{name}_index")
+        if not change.has(f"{name}_index_centres"):
+            index.build(fresh, change=change)
+            return
+        if "doc_id" in gone.columns:
+            gone = self.store.read(name).join(gone, "doc_id", "left_semi").select("id")
+        index.delete(gone, change)
+        index.add(fresh, change)
+
     def delete_documents(self, ids: DataFrame) -> int:
         """Take documents of ids(doc_id) out, and all that only they contributed. Returns how many there were."""
 
@@ -249,6 +266,7 @@ class Engine:
             n = gone.count()
             if not n:
                 return None
+            self._index(change, "chunk_vectors", change.read("chunk_vectors").limit(0), gone)
             for name in ("documents", "chunks", "chunk_vectors", "failed_chunks"):
                 change.merge(name, change.read(name).limit(0), "doc_id", gone)
             self._facts(change, gone, change.read("doc_entity").limit(0), change.read("doc_relationship").limit(0))
@@ -306,7 +324,10 @@ class Engine:
             links = self._links(near)
             changed, gone_nodes, gone_links = touched, touched, pairs
         rows = nodes.select(F.col("entity_id").alias("id"), F.concat_ws(" - ", "entity_name", "description").alias("content"))
-        vec = vectors.embed(rows, "content", c.embed).drop("content")
+        vec = materialize(vectors.embed(rows, "content", c.embed).drop("content"))
+        if not partly:
+            change.state.pop("entity_vectors_index_centres", None)
+        self._index(change, "entity_vectors", vec, changed.select(F.col("entity_id").alias("id")))
         change.merge("entities", nodes, "entity_id", gone_nodes)
         change.merge("relationships", links, "src", gone_links)
         change.merge("entity_vectors", vec, "id", gone_nodes.withColumnRenamed("entity_id", "id") if partly else None)
@@ -370,7 +391,11 @@ class Engine:
 
     def _hits(self, name: str, question: str, k: int) -> DataFrame:
         vector = [float(x) for x in self.config.embed([question])[0]]
-        top = vectors.top_k(self.store.read(name), vector, k)
+        if self.config.vector_index and self.store.has(f"{name}_index_centres"):
+            asked = self.spark.createDataFrame([(0, vector)], "query_id int, embedding array<double>")
+            top = VectorIndex(self.store, f"{name}_index").search(asked, k, self.config.index_probes)
+        else:
+            top = vectors.top_k(self.store.read(name), vector, k)
         return top.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("similarity"), "id")) - 1).select("id", "ord")
 
     def context(self, question: str, param: QueryParam) -> str | None:

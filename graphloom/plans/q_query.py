@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import graph, vectors
+from ..operators.vector_index import VectorIndex, recall
 from ..sources import datasets
+from ..sources.store import Store, shared_dir
 from . import evaluation as E
 from . import fixtures as X
 from . import retrieval as R
@@ -59,6 +63,17 @@ def vector_top_k_batch(s, d):
     return vectors.top_k_each(v, queries, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("SELECT count(*) AS queries, 10 * count(*) AS wanted, TRUE AS reached FROM embeddings WHERE vec_id % 100 = 0 AND (SELECT count(*) FROM embeddings) >= 10")
+def vector_index_recall(s, d):
+    """Whether an index of all vectors finds at least nine in ten of the exact ten nearest of each query."""
+    v = _vectors(s, d)
+    queries = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index = VectorIndex(Store(s, f"{shared_dir(s)}/index-{uuid.uuid4().hex}"))
+    index.build(v)
+    found = recall(index.search(queries, 10), vectors.top_k_each(v, queries, 10))
+    return found.select("queries", "wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 9 <> 0")
 def vector_delete(s, d):
     v = _vectors(s, d)
