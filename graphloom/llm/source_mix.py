@@ -25,6 +25,8 @@ from . import _dist
 from ._words import mix
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Blocks that a source has at least; those of small sources are shorter, down to a word, so that whole blocks come near any target.
+LEAST_BLOCKS = 64
 #: Sources that are drawn as one by a shard and told apart after.
 GROUP = 4096
 #: Slots that a task expands, and slots that it holds at once.
@@ -202,26 +204,26 @@ def mixture(docs: DataFrame, block_words: int = 128, shard_slots: int = 4096, sh
     found = numbered(found, "key", "sources").withColumnRenamed("rank", "sid").withColumn("sid", F.col("sid").cast("long"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
     known = targets(_dist.materialize(found.withColumn("weight", weight), "weighted"), share, most)
-    blocks = F.ceil(F.col("words") / block_words)
-    known = known.withColumn("blocks", blocks).withColumn("slots", F.when(F.col("words") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("words")), F.floor(most * F.col("blocks")))).otherwise(0).cast("long"))
-    known = _dist.materialize(known.select("key", "docs", "sid", F.col("words").alias("source_size"), "target", "blocks", "slots"), "known")
+    length = F.least(F.lit(block_words), F.greatest(F.lit(1), F.ceil(F.col("words") / LEAST_BLOCKS)))
+    known = known.withColumn("length", length.cast("long")).withColumn("blocks", F.ceil(F.col("words") / F.col("length"))).withColumn("slots", F.when(F.col("words") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("words")), F.floor(most * F.col("blocks")))).otherwise(0).cast("long"))
+    known = _dist.materialize(known.select("key", "docs", "sid", F.col("words").alias("source_size"), "target", "length", "blocks", "slots"), "known")
     total, rows = known.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
-    told = _dist.attach(sized, known.select("key", "docs", "sid", "source_size", "target"), "key", "docs", F.concat(F.lit("#"), F.col("row").cast("string")), rows)
+    told = _dist.attach(sized, known.select("key", "docs", "sid", "source_size", "target", "length"), "key", "docs", F.concat(F.lit("#"), F.col("row").cast("string")), rows)
     documents = told.select("doc_id", "row", "source", "size", "source_size", "target")
     if not total:
         return documents, None
     bits = max(6, math.ceil(math.log2(rows / 20_000 + 1)))
-    placed = told.where("size > 0").select("row", "doc_id", "source", "sid", "size", "at", F.shiftright("at", 64 - bits).alias("coarse"), *(["text"] if texts else []))
+    placed = told.where("size > 0").select("row", "doc_id", "source", "sid", "length", "size", "at", F.shiftright("at", 64 - bits).alias("coarse"), *(["text"] if texts else []))
     placed = running(placed, "sid", "coarse", ["at", "row"], "size", "start")
-    first = F.floor(F.col("start") / block_words)
-    last = F.floor((F.col("start") + F.col("size") - 1) / block_words)
+    first = F.floor(F.col("start") / F.col("length"))
+    last = F.floor((F.col("start") + F.col("size") - 1) / F.col("length"))
     columns = ["row", "doc_id", "source", "sid"]
     if texts:
         placed = placed.withColumn("w", split)  # before blocks are told apart, so once a document
-    parts = placed.select(*columns, "start", "size", *(["w"] if texts else []), F.explode(F.sequence(first, last)).alias("block"))
-    begin = F.greatest(F.col("start"), F.col("block") * block_words)
-    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    parts = parts.select(*columns, "block", *(["w"] if texts else []), (begin - F.col("start")).alias("from_word"), (begin - F.col("block") * block_words).alias("at_word"), (end - begin).alias("words"))
+    parts = placed.select(*columns, "length", "start", "size", *(["w"] if texts else []), F.explode(F.sequence(first, last)).alias("block"))
+    begin = F.greatest(F.col("start"), F.col("block") * F.col("length"))
+    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length"))
+    parts = parts.select(*columns, "block", *(["w"] if texts else []), (begin - F.col("start")).alias("from_word"), (begin - F.col("block") * F.col("length")).alias("at_word"), (end - begin).alias("words"))
     if texts:
         parts = parts.withColumn("text", F.array_join(F.slice("w", (F.col("from_word") + 1).cast("int"), F.col("words").cast("int")), " ")).drop("w")
     takes = _takes(spark, known, total, shard_slots, seed)
@@ -246,7 +248,7 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: shard, slot, at_word, doc_id, source, from_word, words, text. A slot's pieces in the order of at_word are block_words words, fewer at a source's end; slot numbers are those of a source, so a shard's slots are told apart by (source, slot)."""
+    """The mixed corpus: shard, slot, at_word, doc_id, source, from_word, words, text. A slot's pieces in the order of at_word are block_words words, fewer in small sources and at a source's end; slot numbers are those of a source, so a shard's slots are told apart by (source, slot)."""
     pieces = mixture(docs, texts=True, **options)[1]
     columns = ["shard", "slot", "at_word", "doc_id", "source", "from_word", "words", "text"]
     if pieces is None:
