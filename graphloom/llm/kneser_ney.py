@@ -191,11 +191,21 @@ def _write(folder: str, name: str, *arrays: np.ndarray) -> None:
     os.replace(temporary, f"{folder}/{name}")
 
 
-def _read(folder: str, name: str, n: int) -> list[np.ndarray] | None:
-    """The n arrays of a file, mapped."""
-    path = f"{folder}/{name}"
-    if not os.path.exists(path):
+#: Kinds of files.
+PAIRS, WORDS, HOT = "pairs", "words", "hot"
+
+
+def _code(kind: str, number: int) -> int:
+    return 3 * number + (PAIRS, WORDS, HOT).index(kind)
+
+
+def _read(model: Model, kind: str, number: int, n: int) -> list[np.ndarray] | None:
+    """The n arrays of a file, mapped; None if training wrote no such file. One that it wrote and that isn't there is an error."""
+    if not model.wrote(_code(kind, number)):
         return None
+    path = f"{model.folder}/{kind}-{number}"
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"{path} is missing: do all workers share that folder?")
     heads, at, out = np.fromfile(path, "<i8", 2 * n).reshape(n, 2), 16 * n, []
     for length, size in heads.tolist():
         out.append(np.memmap(path, f"<u{size}", "r", at, (length,)) if length else np.zeros(0, f"<u{size}"))
@@ -233,7 +243,7 @@ def _merge_pairs(folder: str, word_bits: int, hot_from: int):
                 break
             turn += 1  # two words of a context share a key
         _write(folder, f"pairs-{shard}", np.array([turn], "<u8"), context[at], *[_narrow(x) for x in numbers], keys[order], _narrow(counts[order]))
-        rows = [(-1, b"", b"", b"", np.array(_steps(counts), "<i8").tobytes())]
+        rows = [(-1, np.array([shard], "<i8").tobytes(), b"", b"", np.array(_steps(counts), "<i8").tobytes())]
         if shard >= hot_from:
             part = (context[at] % _U(HOT_FILES)).astype(np.int64)
             rows += [(-2 - int(p), context[at][part == p].tobytes(), b"", b"", np.stack([x[part == p] for x in numbers]).astype("<i8").tobytes()) for p in np.unique(part)]
@@ -249,6 +259,7 @@ def _merge_pairs(folder: str, word_bits: int, hot_from: int):
     return run
 
 
+#: Numbers to be summed; beside them the codes of the files written.
 _SUMS = ["pair1", "pair2", "pair3", "pair4", "word1", "word2", "word3", "word4", "more", "distinct", "tokens", "contexts"]
 
 
@@ -259,21 +270,22 @@ def _merge_words(folder: str):
         shard = int(frame.shard.iloc[0])
         if shard == -1:
             pair = np.sum([np.frombuffer(s, "<i8") for s in frame.sums], axis=0)
-            return pd.DataFrame([[*pair[:4].tolist(), *[0] * 8]], columns=_SUMS)
+            files = [_code(PAIRS, int(i)) for x in frame.words for i in np.frombuffer(x, "<i8")]
+            return pd.DataFrame([[*pair[:4].tolist(), *[0] * 8, files]], columns=[*_SUMS, "files"])
         if shard < -1:
             context = np.concatenate([np.frombuffer(x, _U) for x in frame.words])
             numbers = np.concatenate([np.frombuffer(x, "<i8").reshape(4, -1) for x in frame.sums], axis=1)
             order = np.argsort(context, kind="stable")
             at = _runs(context[order])
             _write(folder, f"hot-{-2 - shard}", context[order][at], *[_narrow(np.add.reduceat(x[order], at)) for x in numbers])
-            return pd.DataFrame([[0] * 12], columns=_SUMS)
+            return pd.DataFrame([[*[0] * 12, [_code(HOT, -2 - shard)]]], columns=[*_SUMS, "files"])
         word, uses, contexts = (np.concatenate([np.frombuffer(x, _U) for x in frame[c]]) for c in ("words", "uses", "contexts"))
         order = np.argsort(word, kind="stable")
         word = word[order]
         at = _runs(word)
         uses, contexts = np.add.reduceat(uses[order], at), np.add.reduceat(contexts[order], at)
         _write(folder, f"words-{shard}", word[at], _narrow(uses), _narrow(contexts))
-        return pd.DataFrame([[0, 0, 0, 0, *_steps(contexts), len(at), int(uses.sum()), int(contexts.sum())]], columns=_SUMS)
+        return pd.DataFrame([[0, 0, 0, 0, *_steps(contexts), len(at), int(uses.sum()), int(contexts.sum()), [_code(WORDS, shard)]]], columns=[*_SUMS, "files"])
 
     return run
 
@@ -293,6 +305,7 @@ class Model:
     shards: Shards
     word_bits: int
     sums: dict[str, int] = field(default_factory=dict)
+    files: dict[int, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
         s = self.sums
@@ -303,6 +316,12 @@ class Model:
         self.spare = sum(d * n for d, n in zip(self.word_discounts, (s["word1"], s["word2"], s["more"]), strict=True)) / self.contexts if self.contexts else 1.0
 
 
+    def wrote(self, code: int) -> bool:
+        """Whether training wrote the file of a code: bitmaps of 2^15 codes."""
+        bits = self.files.get(code >> 15)
+        return bits is not None and bool(bits[(code & 32767) >> 3] >> (code & 7) & 1)
+
+
 def _find(array: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, found) of sorted queries in a sorted array."""
     at = np.searchsorted(array, wanted)
@@ -315,11 +334,11 @@ class Reader:
 
     def __init__(self, model: Model):
         self.m = model
-        self.pairs = lru_cache(4096)(lambda s: _read(model.folder, f"pairs-{s}", 8))
-        self.words = lru_cache(4096)(lambda s: _read(model.folder, f"words-{s}", 3))
+        self.pairs = lru_cache(4096)(lambda s: _read(model, PAIRS, s, 8))
+        self.words = lru_cache(4096)(lambda s: _read(model, WORDS, s, 3))
         self.hot = []
         if len(model.shards.hot):
-            files = [f for f in (_read(model.folder, f"hot-{p}", 5) for p in range(HOT_FILES)) if f]
+            files = [f for f in (_read(model, HOT, p, 5) for p in range(HOT_FILES)) if f]
             order = np.argsort(np.concatenate([f[0] for f in files]))
             self.hot = [np.concatenate([f[i].astype(_U) for f in files])[order] for i in range(5)]
 
@@ -397,9 +416,12 @@ def train(docs: DataFrame) -> Model:
     os.makedirs(folder, exist_ok=True)
     counted = text.mapInArrow(_count(shards), _PACKED_DDL)
     words = counted.groupBy("shard").applyInPandas(_merge_pairs(folder, shards.bits, 1 << shards.bits), "shard long, words binary, uses binary, contexts binary, sums binary")
-    sums = words.groupBy("shard").applyInPandas(_merge_words(folder), ", ".join(f"{c} long" for c in _SUMS))
+    sums = words.groupBy("shard").applyInPandas(_merge_words(folder), ", ".join([*(f"{c} long" for c in _SUMS), "files array<long>"]))
+    sums = _dist.materialize(sums, "sums")
     row = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS]).first()
-    return Model(folder, shards, shards.bits, row.asDict())
+    code = sums.select(F.explode("files").alias("code"))
+    bits = code.groupBy(F.shiftright("code", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("code").bitwiseAND(32767)).alias("bits"))
+    return Model(folder, shards, shards.bits, row.asDict(), {r.part: bytes(r.bits) for r in bits.collect()})  # a bit for each file
 
 
 def _score(model: Model):

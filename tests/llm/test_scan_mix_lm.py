@@ -176,6 +176,31 @@ def test_mix_of_many_sources(spark, monkeypatch):
         sums[r.doc_id] += r.words
     assert all(abs(sums[i] - want[i]) <= 16 for i in range(300))
 
+def test_small_sources_come_near_their_targets(spark):
+    """Sources of 1 to 1,000 words, with the production block length: within 5 % of their targets, or a word."""
+    sizes = [1, 2, 3, 5, 9, 17, 40, 63, 64, 65, 100, 127, 128, 129, 130, 131, 200, 255, 257, 300, 400, 555, 777, 900, 1000, 999, 130, 130, 1, 2]
+    docs = spark.createDataFrame([(i * 2 + half, " ".join(["w"] * (n // 2 + half * (n % 2))), f"s{i:03d}") for i, n in enumerate(sizes) for half in (0, 1)], "doc_id long, text string, source string")
+    want = goals(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))])
+    got = Counter()
+    for r in taken(docs).collect():
+        assert 0 <= r.taken <= 2 * r.size
+        got[r.doc_id // 2] += r.taken
+    assert all(abs(got[i] - w) <= max(1, 0.05 * w) for i, w in enumerate(want)), [(n, w, got[i]) for i, (n, w) in enumerate(zip(sizes, want)) if abs(got[i] - w) > max(1, 0.05 * w)]
+
+
+def test_a_lost_model_file_is_an_error(spark):
+    import os
+
+    import pyarrow as pa
+
+    model = train(spark.createDataFrame([("the cat sat on the mat",)], "text string"))
+    assert Reader(model).score(pa.array(["the cat"]))["n_known"][0] == 3
+    for name in [n for n in os.listdir(model.folder) if n.startswith("pairs-")]:
+        os.rename(f"{model.folder}/{name}", f"{model.folder}/away-{name}")
+    with pytest.raises(FileNotFoundError):
+        Reader(model).score(pa.array(["the cat"]))
+
+
 def test_language_model_against_brute_force(spark):
     rng = random.Random(2)
     vocab = ["a", "B", "b", "é", "É"] + [f"w{i}" for i in range(25)]
@@ -248,7 +273,9 @@ def test_counts_beyond_32_bits_and_keys_that_meet(tmp_path, monkeypatch):
     row = (0, contexts.tobytes(), np.array([2, 1], "<u4").tobytes(), words.tobytes(), np.array([most, 1, 2], "<u4").tobytes())
     frame = pd.DataFrame([row] * 3, columns=["shard", "contexts", "runs", "words", "counts"])
     kneser_ney._merge_pairs(str(tmp_path), 0, 1)(frame)
-    turn, head, total, one, two, more, keys, counts = kneser_ney._read(str(tmp_path), "pairs-0", 8)
+    sums = dict.fromkeys(kneser_ney._SUMS, 0)
+    model = kneser_ney.Model(str(tmp_path), None, 0, sums, {0: bytes([1 << kneser_ney._code("pairs", 0)])})
+    turn, head, total, one, two, more, keys, counts = kneser_ney._read(model, "pairs", 0, 8)
     assert turn[0] > 0 and list(head) == [7, 9] and list(total) == [3 * most + 3, 6] and list(more) == [2, 1] and list(one) == list(two) == [0, 0]
     index = np.array([0, 0, 1])
     at, found = kneser_ney._find(keys, kneser_ney._keys(index, words, 2, int(turn[0])))
