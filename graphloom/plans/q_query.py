@@ -261,7 +261,9 @@ def multihop_merge(s, d):
     return R.merge_hops(c, 50, ["conv_id"]).withColumn("content", F.sha2("content", 256))
 
 
-_NAMES = r"""list_distinct(list_concat(regexp_extract_all(t, '"([^"\n]{2,60})"', 1), regexp_extract_all(t, '([A-Z][a-z]+(?: [A-Z][a-z]+)+)', 1)))"""
+#: Letters beyond ASCII become word characters that no name has, as this engine's word ends know ASCII only.
+_PLAIN = r"regexp_replace(p, '[^\x00-\x7F\P{L}]', '_', 'g')"
+_NAMES = rf"""list_distinct(flatten(list_transform(string_split(t, chr(10) || chr(10)), lambda p: list_concat(regexp_extract_all(p, '"([^"]+)"', 1), list_filter(regexp_extract_all({_PLAIN}, '\b([A-Z][a-z]+)\b', 1), lambda w: w NOT IN ('The', 'This', 'That', 'These', 'Those', 'A', 'An')), regexp_extract_all({_PLAIN}, '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b', 1)))))"""
 
 
 @query(f"WITH d AS (SELECT doc_id, coalesce(text, '') || ' by \"' || lang || '\" in New York City' AS t FROM documents) SELECT doc_id, CAST(len({_NAMES}) AS BIGINT) AS n, sha256(array_to_string(list_sort({_NAMES}), '|')) AS names FROM d")

@@ -118,11 +118,21 @@ def sub_questions(answer: Column) -> Column:
     return F.when(answer.rlike(r"^\s*\["), F.coalesce(parsed, lines)).otherwise(lines)
 
 
+#: Words that begin sentences and are no names.
+NO_NAMES = ("The", "This", "That", "These", "Those", "A", "An")
+
+
 def harvest(context: Column) -> Column:
-    """Names in a context: quoted ones, then capitalised word runs, distinct in order."""
-    quoted = F.regexp_extract_all(context, F.lit(r'"([^"\n]{2,60})"'), 1)
-    capital = F.regexp_extract_all(context, F.lit(r"([A-Z][a-z]+(?: [A-Z][a-z]+)+)"), 1)
-    return F.array_distinct(F.concat(quoted, capital))
+    """Names in a context, distinct: of each paragraph what is quoted, capitalised words but NO_NAMES, then runs of capitalised words."""
+    found = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), 1)
+    word = r"(?U)\b([A-Z][a-z]+)\b"
+    run = r"(?U)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
+
+    def of(paragraph: Column) -> Column:
+        words = F.filter(found(paragraph, word), lambda w: ~w.isin(*NO_NAMES))
+        return F.concat(found(paragraph, '"([^"]+)"'), words, found(paragraph, run))
+
+    return F.array_distinct(F.flatten(F.transform(F.split(F.coalesce(context, F.lit("")), "\n\n", -1), of)))
 
 
 def merge_hops(contexts: DataFrame, budget: int, by: list[str]) -> DataFrame:

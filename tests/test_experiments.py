@@ -82,6 +82,16 @@ def test_fuzzy_names_against_brute_force(spark):
         assert {(r.query_id, r.entity_id) for r in registry.fuzzy_pairs(asked, reg, threshold).collect()} == want
 
 
+def test_names_of_hops(spark):
+    from graphloom.plans.retrieval import harvest
+
+    long_name = "q" * 70
+    text = f'The "{long_name}" of Paris and New York\nCity. "open\n\nThis "a" An éAbc Zoë Xyz9'
+    got = spark.createDataFrame([(text,), (None,), ("",)], "c string").select(harvest(F.col("c")).alias("n")).collect()
+    assert list(got[0].n) == [long_name, "Paris", "New", "York", "City", "The", "New York\nCity", "a", "This", "An"]
+    assert got[1].n == got[2].n == []
+
+
 def test_linking(spark, tmp_path):
     reg = spark.createDataFrame([("e1", "Charles Dickens", "P", ["Boz"], {}, 1), ("e2", "Charles Dickins", "P", [], {}, 2), ("e3", "Ann", "P", [], {}, 3)], "entity_id string, canonical_name string, entity_type string, aliases array<string>, metadata map<string,string>, reg_order int")
     m = spark.createDataFrame([("d", "m1", "boz", "P"), ("d", "m2", "Charles Dickenz", "P"), ("d", "m3", "Nobody", "P")], "doc_id string, entity_id string, entity_name string, entity_type string")
