@@ -307,6 +307,19 @@ def leiden_levels(s, d):
     return clustering.leiden(X.nodes(s, d), X.edges(s, d))
 
 
+@query("""WITH c AS (SELECT 'c' || c_custkey AS id, n_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'n' || n_nationkey, n_nationkey, n_regionkey FROM nation),
+l AS (SELECT id, min(id) OVER (PARTITION BY r) AS parent, min(id) OVER (PARTITION BY n) AS low FROM c)
+SELECT id, 0 AS level, parent AS cluster, NULL AS parent FROM l UNION ALL SELECT id, 1, parent || '/' || low, parent FROM l""")
+def nested_communities(s, d):
+    """Customers around their nations, nations of a region linked: regions are the clusters, nations the clusters in them."""
+    n = X.read(s, d, "nation")
+    hub = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
+    around = X.read(s, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(hub("n_nationkey").alias("src"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("dst"))
+    other = n.select(F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias("m"))
+    linked = n.join(other, (F.col("n_regionkey") == F.col("r")) & (F.col("n_nationkey") < F.col("m"))).select(hub("n_nationkey").alias("src"), hub("m").alias("dst"))
+    return clustering.nested(around.union(linked), (0.05, 1.0))
+
+
 @query()
 def incremental_leiden(s, d):
     n, e = X.nodes(s, d), X.edges(s, d)
