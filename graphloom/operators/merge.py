@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import UNKNOWN_TYPE, join_unique
 from ..sources.store import materialize
+from . import graph
 
 
 def accumulate_entities(facts: DataFrame) -> DataFrame:
-    """One row per (doc_id, entity_id) of facts(doc_id, entity_id, entity_name, entity_type, description, chunk_id, ord): the first name and type, sorted distinct descriptions and chunk ids."""
+    """One row per (doc_id, entity_id) of facts(doc_id, entity_id, entity_name, entity_type, description, chunk_id, ord): the first name and type (of those at one place the smallest), sorted distinct descriptions and chunk ids."""
     return facts.groupBy("doc_id", "entity_id").agg(
-        F.min_by("entity_name", "ord").alias("entity_name"), F.min_by("entity_type", "ord").alias("entity_type"), F.array_sort(F.collect_set("description")).alias("descriptions"), F.array_sort(F.collect_set("chunk_id")).alias("source_chunk_ids")
+        F.min_by("entity_name", F.struct("ord", "entity_name")).alias("entity_name"), F.min_by("entity_type", F.struct("ord", "entity_type")).alias("entity_type"), F.array_sort(F.collect_set("description")).alias("descriptions"), F.array_sort(F.collect_set("chunk_id")).alias("source_chunk_ids")
     )
 
 
@@ -68,6 +69,38 @@ def canonical_entities(facts: DataFrame, preferred: DataFrame) -> DataFrame:
     return ids.join(preferred.select("entity_name", F.col("entity_id").alias("old")), "entity_name", "left").select("entity_name", F.coalesce("old", "entity_id").alias("entity_id"))
 
 
+def identities(facts: DataFrame, previous: DataFrame) -> DataFrame:
+    """(entity_id, entity_name, canonical_id) for each id and name that occur together in facts(entity_id, entity_name, entity_type): ids that share a name, also over other ids and names, are one entity and get one canonical id.
+
+    The canonical id is one that previous(entity_id, entity_name, canonical_id) had as such, as long as facts
+    have it (the smallest of several); else it is chosen by canonical_entities(). An id that shares no name
+    is its own. Ids meet through the smallest id of each name, so no name pairs all of its ids.
+    """
+    each = materialize(facts.select("entity_id", "entity_name").distinct())
+    hubs = each.groupBy("entity_name").agg(F.min("entity_id").alias("src"), F.count("*").alias("n")).where("n > 1")
+    links = materialize(each.join(hubs, "entity_name").where("entity_id <> src").select("src", F.col("entity_id").alias("dst")).distinct())
+    own = each.withColumn("canonical_id", F.col("entity_id"))
+    if links.isEmpty():
+        return own
+    nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
+    groups = materialize(graph.components(nodes, links).select(F.col("id").alias("entity_id"), F.col("component").alias("group")))
+    before = groups.join(previous.select(F.col("canonical_id").alias("entity_id")).distinct(), "entity_id", "left_semi").groupBy("group").agg(F.min("entity_id").alias("entity_id"))
+    counted = facts.join(groups, "entity_id").select(F.col("group").alias("entity_name"), "entity_id", "entity_type")
+    chosen = canonical_entities(counted, before.withColumnRenamed("group", "entity_name")).select(F.col("entity_name").alias("group"), F.col("entity_id").alias("chosen"))
+    found = groups.join(chosen, "group").select("entity_id", "chosen")
+    return own.join(found, "entity_id", "left").select("entity_id", "entity_name", F.coalesce("chosen", "canonical_id").alias("canonical_id"))
+
+
+def remap_of(identities: DataFrame) -> DataFrame:
+    """(old_id, new_id): the ids of identities that aren't canonical, with the ones that are."""
+    return identities.where("entity_id <> canonical_id").select(F.col("entity_id").alias("old_id"), F.col("canonical_id").alias("new_id")).distinct()
+
+
+def remap_entities(rows: DataFrame, remap: DataFrame) -> DataFrame:
+    """rows(entity_id, ...) with the ids that remap(old_id, new_id) names replaced."""
+    return rows.join(remap, F.col("entity_id") == F.col("old_id"), "left").withColumn("entity_id", F.coalesce("new_id", "entity_id")).drop("old_id", "new_id")
+
+
 def contributions(entities: DataFrame, rels: DataFrame) -> DataFrame:
     """(key, doc_id): a row for each document that contributes to an entity, an entity name or a relationship."""
     key = lambda kind, c: F.concat(F.lit(f"{kind}::"), F.col(c)).alias("key")

@@ -18,6 +18,7 @@ from ..sources.store import Change, Conflict, Store, materialize, scratch
 from . import answers, reports, retrieval
 
 DOCUMENTS = "doc_id string, content string, content_hash string, extraction_hash string"
+IDENTITIES = "entity_id string, entity_name string, canonical_id string"
 FAILED = "doc_id string, chunk_id string, attempts int, error string"
 
 #: What is said without an answer.
@@ -287,10 +288,9 @@ class Engine:
             same = now.join(was, was.columns, "left_anti").join(index, was.columns, "left_semi")
             now = materialize(now.join(same, was.columns, "left_anti"))
         change.merge("contributions", now, "key", was)
-        touched = materialize(old_e.select("entity_id").union(fact_e.select("entity_id")).distinct())
-        pair = lambda df: graph.canonical(df.select(F.col("src"), F.col("tgt").alias("dst")))
-        pairs = materialize(pair(old_r).union(pair(fact_r)).distinct())
-        self._derive(change, touched, pairs)
+        touched = materialize(old_e.select("entity_id", "entity_name").union(fact_e.select("entity_id", "entity_name")).distinct())
+        ends = materialize(old_r.select("src", "tgt").union(fact_r.select("src", "tgt")).distinct())
+        self._derive(change, touched, ends)
 
     def _combined(self, e: DataFrame) -> DataFrame:
         nodes = merge.combine_entities(merge.accumulate_entities(e))
@@ -306,23 +306,59 @@ class Engine:
         ends = r.where("src <> tgt").withColumnRenamed("tgt", "dst")
         return graph.canonical(ends).groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.array_join(F.array_sort(F.collect_set("description")), "<SEP>").alias("description"))
 
-    def _derive(self, change: Change, touched: DataFrame | None = None, pairs: DataFrame | None = None) -> None:
-        """Write the tables that follow from the facts. touched(entity_id), pairs(src, dst): what a change may have altered; without them all is made anew."""
+    def _regrouped(self, change: Change, touched: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(facts, old, new) of all entities that the ids and names of touched(entity_id, entity_name) belong to: their facts as documents told them, and their identities before and after.
+
+        An identity group holds all names of its ids, so the groups that a touched id or name is in are closed
+        together with touched itself: no other document's id can join or leave them.
+        """
+        known = change.read("identities")
+        met = known.join(touched.select("entity_id").distinct(), "entity_id", "left_semi").select("canonical_id").union(known.join(touched.select("entity_name").distinct(), "entity_name", "left_semi").select("canonical_id")).distinct()
+        old = materialize(known.join(met, "canonical_id", "left_semi").select(known.columns))
+        ids = materialize(old.select("entity_id").union(touched.select("entity_id")).distinct())
+        facts = materialize(change.read("doc_entity").join(self._documents_of(change, ids), "doc_id", "left_semi").join(ids, "entity_id", "left_semi"))
+        return facts, old, materialize(merge.identities(facts, old))
+
+    def _documents_of(self, change: Change, ids: DataFrame) -> DataFrame:
+        """(doc_id): documents with facts of ids(entity_id), as the contribution index says."""
+        keys = ids.select(F.concat(F.lit("entity::"), "entity_id").alias("key"))
+        return change.read("contributions").join(keys, "key", "left_semi").select("doc_id").distinct()
+
+    def _derive(self, change: Change, touched: DataFrame | None = None, ends: DataFrame | None = None) -> None:
+        """Write the tables that follow from the facts. touched(entity_id, entity_name), ends(src, tgt): what a change may have altered; without them all is made anew.
+
+        Facts keep the ids that documents told; identities says which of them are one entity. Ids that a
+        change gives another canonical id take along the relationships that other documents have with them.
+        """
         c = self.config
         e, r = change.read("doc_entity"), change.read("doc_relationship")
-        partly = touched is not None and change.has("entities")
+        partly = touched is not None and change.has("entities") and change.has("identities")
         if not partly:
-            nodes, links = materialize(self._combined(e)), self._links(r)
-            change.state.pop("entities", None), change.state.pop("relationships", None), change.state.pop("entity_vectors", None)
+            same = materialize(merge.identities(e, change.read("identities") if change.has("identities") else self._empty(IDENTITIES)))
+            for name in ("identities", "entities", "relationships", "entity_vectors"):
+                change.state.pop(name, None)
+            change.merge("identities", same, "entity_id")
+            remap = materialize(merge.remap_of(same))
+            nodes, links = materialize(self._combined(merge.remap_entities(e, remap))), self._links(merge.remap_relationships(r, remap))
             changed, gone_nodes, gone_links = nodes.select("entity_id"), None, None
         else:
-            # the index says which documents have facts of what was touched
-            named = touched.select(F.concat(F.lit("entity::"), "entity_id").alias("key"), "entity_id")
-            docs = change.read("contributions").join(named, "key", "left_semi").select("doc_id").distinct()
-            nodes = materialize(self._combined(e.join(docs, "doc_id", "left_semi").join(touched, "entity_id", "left_semi")))
-            near = graph.canonical(r.withColumnRenamed("tgt", "dst")).join(pairs, ["src", "dst"], "left_semi").withColumnRenamed("dst", "tgt")
+            before = materialize(merge.remap_of(change.read("identities")))
+            facts, old, same = self._regrouped(change, touched)
+            change.merge("identities", same, "entity_id", old)
+            remap = materialize(merge.remap_of(change.read("identities")))
+            nodes = materialize(self._combined(merge.remap_entities(facts, remap)))
+            now = same.select("entity_id", F.col("canonical_id").alias("now")).distinct()
+            moved = materialize(old.select("entity_id", "canonical_id").distinct().join(now, "entity_id").where("canonical_id <> now").select("entity_id"))
+            if not moved.isEmpty():
+                theirs = r.join(self._documents_of(change, moved), "doc_id", "left_semi").select("src", "tgt")
+                at = lambda end: theirs.join(moved.withColumnRenamed("entity_id", end), end, "left_semi").select("src", "tgt")
+                ends = materialize(ends.union(at("src")).union(at("tgt")).distinct())
+            pair = lambda m: graph.canonical(merge.remap_relationships(ends, m).withColumnRenamed("tgt", "dst"))
+            pairs = materialize(pair(before).union(pair(remap)).distinct())
+            near = graph.canonical(merge.remap_relationships(r, remap).withColumnRenamed("tgt", "dst")).join(pairs, ["src", "dst"], "left_semi").withColumnRenamed("dst", "tgt")
             links = self._links(near)
-            changed, gone_nodes, gone_links = touched, touched, pairs
+            changed = materialize(old.select("canonical_id").union(same.select("canonical_id")).distinct().withColumnRenamed("canonical_id", "entity_id"))
+            gone_nodes, gone_links = changed, pairs
         rows = nodes.select(F.col("entity_id").alias("id"), F.concat_ws(" - ", "entity_name", "description").alias("content"))
         vec = materialize(vectors.embed(rows, "content", c.embed).drop("content"))
         if not partly:
@@ -336,7 +372,7 @@ class Engine:
         nodes, links = change.read("entities"), change.read("relationships")
         ids = nodes.select(F.col("entity_id").alias("id"))
         membership, updates, only = self._clustered(change, ids, links, changed.withColumnRenamed("entity_id", "id") if partly else None)
-        node_chunks = e.select(F.col("entity_id").alias("id"), "chunk_id").distinct()
+        node_chunks = merge.remap_entities(e, remap).select(F.col("entity_id").alias("id"), "chunk_id").distinct()
         schema = materialize(graph.community_counts(membership, links, node_chunks))
         told = graph.degrees(ids, links).join(nodes.withColumnRenamed("entity_id", "id"), "id")
         subs = graph.sub_communities(membership)
@@ -384,9 +420,17 @@ class Engine:
         """(key, doc_id): which documents contribute to each entity, entity name and relationship, as kept by the changes."""
         return self.store.read("contributions")
 
+    def _remap(self) -> DataFrame:
+        """(old_id, new_id): ids that facts have and entities don't."""
+        return merge.remap_of(self._read("identities", IDENTITIES))
+
+    def _entity_facts(self) -> DataFrame:
+        """Entity facts under canonical ids."""
+        return merge.remap_entities(self.store.read("doc_entity"), self._remap())
+
     def integrity(self) -> tuple[int, int]:
         """(expected, found): distinct entities of the facts, and how many of them the graph has."""
-        row = merge.integrity(self.store.read("doc_entity"), self.store.read("entities").withColumnRenamed("entity_id", "id")).first()
+        row = merge.integrity(self._entity_facts(), self.store.read("entities").withColumnRenamed("entity_id", "id")).first()
         return row.expected, row.found
 
     def _hits(self, name: str, question: str, k: int) -> DataFrame:
@@ -424,7 +468,7 @@ class Engine:
         edges = s.read("relationships")
         nodes = s.read("entities").withColumnRenamed("entity_id", "id")
         nodes = graph.degrees(nodes, edges).join(nodes, "id")
-        node_chunks = s.read("doc_entity").select(F.col("entity_id").alias("id"), "chunk_id").distinct()
+        node_chunks = self._entity_facts().select(F.col("entity_id").alias("id"), "chunk_id").distinct()
         found = retrieval.related_communities(hits, s.read("membership"), s.read("reports").select("cluster", "report", "rating"), p.level, p.local_max_token_for_community_report, p.local_community_single_one)
         chunks = retrieval.related_chunks(hits, node_chunks, edges, s.read("chunks"), p.local_max_token_for_text_unit)
         return retrieval.local_context(hits, nodes, found, retrieval.related_edges(hits, edges, p.local_max_token_for_local_context), chunks).first()["context"]
@@ -516,7 +560,7 @@ class Engine:
         e = self.store.read("entities").select("entity_id", F.col("entity_name").alias("canonical_name"), "entity_type", F.create_map().cast("map<string,string>").alias("metadata"), F.xxhash64("entity_id").alias("reg_order"))
         if not self.store.has("entity_aliases"):
             return e.withColumn("aliases", F.array().cast("array<string>"))
-        found = self.store.read("entity_aliases").groupBy("entity_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+        found = merge.remap_entities(self.store.read("entity_aliases"), self._remap()).groupBy("entity_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
         return e.join(found, "entity_id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
     def mentioned(self, text: str) -> list[str]:
