@@ -121,6 +121,37 @@ def modularity(edges: DataFrame, clusters: DataFrame, gamma: float = 1.0, weight
     return sums.select((F.col("inside") * 2 / F.col("two_m") - gamma * F.col("squares") / (F.col("two_m") * F.col("two_m"))).alias("modularity"))
 
 
+def modularity_sums(edges: DataFrame, clusters: DataFrame, weighted: bool = False) -> DataFrame:
+    """(cluster, inside, degree): weights of edges(src, dst, weight) inside each cluster of clusters(id, cluster) and of all edge ends in it. Edges of which an end has no cluster don't count."""
+    w = F.col("weight").cast("double") if weighted else F.lit(1.0)
+    end = lambda x: clusters.select(F.col("id").alias(x), F.col("cluster").alias(f"c_{x}"))
+    ends = edges.select("src", "dst", w.alias("w")).join(end("src"), "src").join(end("dst"), "dst")
+    at = lambda c, inside: F.struct(F.col(c).alias("cluster"), inside.alias("inside"), F.col("w").alias("degree"))
+    both = F.array(at("c_src", F.when(F.col("c_src") == F.col("c_dst"), F.col("w")).otherwise(0.0)), at("c_dst", F.lit(0.0)))
+    return ends.select(F.inline(both)).groupBy("cluster").agg(F.sum("inside").alias("inside"), F.sum("degree").alias("degree"))
+
+
+def updated_sums(sums: DataFrame, old_edges: DataFrame, new_edges: DataFrame, old_clusters: DataFrame, new_clusters: DataFrame, touched: DataFrame, weighted: bool = False) -> DataFrame:
+    """modularity_sums() of the new edges and clusters from those of the old ones: only edges at a node of touched(id), or at one that changed its cluster, are summed. touched: an end of each edge that came, went or has another weight."""
+    moved = old_clusters.select("id", "cluster").exceptAll(new_clusters.select("id", "cluster")).union(new_clusters.select("id", "cluster").exceptAll(old_clusters.select("id", "cluster")))
+    near = materialize(touched.select("id").union(moved.select("id")).distinct())
+
+    def part(edges: DataFrame, clusters: DataFrame) -> DataFrame:
+        of = lambda x: edges.join(near.withColumnRenamed("id", x), x, "left_semi").select(*edges.columns)
+        other = edges.join(near.withColumnRenamed("id", "src"), "src", "left_anti").select(*edges.columns).join(near.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
+        return modularity_sums(of("src").unionByName(other), clusters, weighted)
+
+    gone = part(old_edges, old_clusters).select("cluster", (-F.col("inside")).alias("inside"), (-F.col("degree")).alias("degree"))
+    every = sums.select("cluster", "inside", "degree").unionByName(gone).unionByName(part(new_edges, new_clusters))
+    return every.groupBy("cluster").agg(F.sum("inside").alias("inside"), F.sum("degree").alias("degree")).where("degree > 0.5e-9")
+
+
+def modularity_of(sums: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """One row: the modularity of modularity_sums(); null without edges."""
+    total = sums.agg(F.sum("inside").alias("inside"), F.sum("degree").alias("two_m"), F.sum(F.col("degree") * F.col("degree")).alias("squares"))
+    return total.select((F.col("inside") * 2 / F.col("two_m") - gamma * F.col("squares") / (F.col("two_m") * F.col("two_m"))).alias("modularity"))
+
+
 def community_schema(membership: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row per cluster of membership(id, level, cluster): nodes, incident edges (those that leave it too), chunk ids of chunks(id, chunk_id), occurrence: its distinct chunks over the most of any.
 
@@ -200,17 +231,53 @@ def fallback_seeds(nodes: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
     return degrees(nodes, edges).orderBy(F.desc("degree"), "id").limit(k).select("id")
 
 
+#: Equal parts of a node's steps: draws are whole numbers below about this, so intervals neither overlap nor leave gaps.
+UNITS = 1 << 48
+#: Edges of a node whose weights one window adds up.
+BLOCK_EDGES = 4096
+#: Cells that one row gives at once.
+RUN = 1024
+
+
+def steps(edges: DataFrame) -> DataFrame:
+    """(id, cell, low, high, other, units, width): where a step from a node leads. A draw u below the node's units falls in cell u div width, and the one row of it with low <= u < high names the neighbour, in proportion to the weight.
+
+    A node has as many cells as edges, so all its cells have two rows an edge at most and a drawn cell has
+    two rows on average, whatever the degree; a hub's cells spread over all partitions. Units are added up
+    in blocks of a node's edges, then over the blocks. units, width: those of `other`, for the step after.
+    Edges without a positive weight are never taken.
+    """
+    links = both_ways(edges, "weight").where("weight > 0").groupBy("id", "other").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+    links = materialize(links)
+    sums = links.groupBy("id").agg(F.sum("weight").alias("total"), F.count("*").alias("n"))
+    unit = F.greatest(F.floor(F.col("weight") / F.col("total") * UNITS), F.lit(1)).cast("long")
+    block = F.pmod(F.xxhash64("other"), F.ceil(F.col("n") / BLOCK_EDGES))
+    placed = materialize(links.join(sums, "id").select("id", "other", "n", unit.alias("u"), block.alias("block")))
+    blocks = placed.groupBy("id", "block").agg(F.sum("u").alias("u"), F.max("n").alias("n"))
+    before = F.sum("u").over(Window.partitionBy("id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("u")
+    blocks = materialize(blocks.select("id", "block", "n", "u", before.alias("start")))
+    nodes = blocks.groupBy("id").agg(F.sum("u").alias("units"), F.max("n").alias("n")).select("id", "units", F.ceil(F.col("units") / F.col("n")).alias("width"))
+    high = F.sum("u").over(Window.partitionBy("id", "block").orderBy("other").rowsBetween(Window.unboundedPreceding, 0)) + F.col("start")
+    ranges = placed.drop("n").join(blocks.select("id", "block", "start"), ["id", "block"]).withColumn("high", high).withColumn("low", F.col("high") - F.col("u"))
+    ranges = ranges.join(nodes.select("id", F.col("width").alias("own")), "id").withColumns({"first": F.expr("low div own"), "last": F.expr("(high - 1) div own")})
+    runs = ranges.withColumn("run", F.explode(F.sequence("first", "last", F.lit(RUN).cast("long"))))
+    cells = runs.withColumn("cell", F.explode(F.sequence("run", F.least(F.col("run") + RUN - 1, "last"))))
+    ahead = nodes.withColumnRenamed("id", "other")
+    return cells.select("id", "cell", "low", "high", "other").join(ahead, "other").select("id", "cell", "low", "high", "other", "units", "width")
+
+
 def walks(nodes: DataFrame, edges: DataFrame, n: int = 10, length: int = 40, seed: int = 1) -> DataFrame:
-    """(walk, path): random walks from every node, steps drawn by edge weight; each step is one join against the cumulative weights of a node."""
-    w = Window.partitionBy("id").orderBy("other")
-    total = F.sum("weight").over(Window.partitionBy("id"))
-    links = both_ways(edges, "weight").select("id", "other", (F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0)) / total).alias("high"), "weight", total.alias("total"))
-    links = materialize(links.withColumn("low", F.col("high") - F.col("weight") / F.col("total")))
-    now = nodes.select("id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("no")).withColumns({"walk": F.concat_ws("/", "id", F.col("no").cast("string")), "path": F.array("id")}).select("walk", F.col("id").alias("at"), "path")
+    """(walk, path): random walks from every node, neighbours drawn by edge weight; from nodes without edges they don't leave. Each step is one hash join of the walkers with the cells of steps(), two rows a walker on average, also at hubs."""
+    table = materialize(steps(edges))
+    own = table.groupBy(F.col("other").alias("id")).agg(F.first("units").alias("units"), F.first("width").alias("width"))  # every node with an edge is another's neighbour, or its own
+    start = nodes.select("id").join(own, "id", "left").withColumn("no", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    now = start.select(F.concat_ws("/", "id", F.col("no").cast("string")).alias("walk"), F.col("id").alias("at"), "units", "width", F.array("id").alias("path"))
+    cells = table.select(F.col("id").alias("__at"), F.col("cell").alias("__cell"), "low", "high", "other", F.col("units").alias("__units"), F.col("width").alias("__width"))
     for step in range(length - 1):
-        draw = F.pmod(F.xxhash64("walk", F.lit(seed * 1000 + step)), F.lit(1 << 40)) / float(1 << 40)
-        chosen = now.withColumn("draw", draw).join(links, (F.col("at") == F.col("id")) & (F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high")), "left")
-        now = chosen.select("walk", F.coalesce("other", "at").alias("at"), F.when(F.col("other").isNull(), F.col("path")).otherwise(F.concat("path", F.array("other"))).alias("path"))
+        drawn = now.withColumn("draw", F.pmod(F.xxhash64("walk", F.lit(seed * 1000 + step)), F.col("units"))).withColumn("cell", F.expr("draw div width"))
+        met = drawn.join(cells, (F.col("at") == F.col("__at")) & (F.col("cell") == F.col("__cell")) & (F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high")), "left")
+        path = F.when(F.col("other").isNull(), F.col("path")).otherwise(F.concat("path", F.array("other")))
+        now = met.select("walk", F.coalesce("other", "at").alias("at"), F.col("__units").alias("units"), F.col("__width").alias("width"), path.alias("path"))
         if step % 8 == 7:
             now = materialize(now)
     return now.select("walk", "path")

@@ -48,27 +48,61 @@ def _letters(name: Column) -> Column:
     return F.transform(F.filter(letters, lambda c: c != ""), lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == c)).cast("string")))
 
 
-def fuzzy_pairs(queries: DataFrame, registry: DataFrame, threshold: float) -> DataFrame:
-    """(query_id, entity_id, reg_order, score, entity_type, query_type): names with a ratio of at least threshold, which is above 0.
+def _pairs_of_letters(name: Column) -> Column:
+    """A name's pairs of letters that follow each other, each with its number among equal ones."""
+    pairs = F.transform(F.sequence(F.lit(0), F.length(name) - 2), lambda i: F.substring(name, i + 1, F.lit(2)))
+    return F.transform(F.array(pairs), lambda p: F.transform(p, lambda x, i: F.concat(x, F.size(F.filter(F.slice(p, 1, i + 1), lambda y: y == x)).cast("string"))))[0]
+
+
+def rare_prefix(features: DataFrame, need: Column) -> DataFrame:
+    """(name, n, feature): of each name's features(name, n, size, feature) the rarest, as many as there are beyond `need`, and one. Two names that share `need` features share one of these."""
+    uses = features.groupBy("feature").agg(F.count("*").alias("uses"))
+    ordered = features.join(uses, "feature").groupBy("name", "n", "size").agg(F.array_sort(F.collect_list(F.struct("uses", "feature"))).alias("l"))
+    return ordered.select("name", "n", F.explode(F.slice("l", F.lit(1), (F.col("size") - need + 1).cast("int"))).alias("l")).select("name", "n", "l.feature")
+
 
-    A ratio of t asks for t (a + b) / 2 equal letters of names of a and b letters, so for t / (2 - t) a of
-    the first's: two such names share one of each other's rarest letters, as many as are left beyond that
-    number, and one. The pairs that meet at a rare letter are cut by length and by common letters before
-    any ratio is computed. Names without letters match nothing.
+def near_names(asked: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, na, nb): names of asked(a) and names(b), with their lengths, that can have a ratio of at least threshold; none that has is missing.
+
+    A ratio of t asks for m = t (a + b) / 2 equal letters in blocks between which at least one letter is
+    left over, a + b - 2 m in all: so for 3 m - (a + b) - 1 equal pairs of letters, and b is t / (2 - t) a
+    or longer. Names long enough for that to be one or more meet at one of their rarest pairs of letters;
+    shorter ones, and all below thresholds of two thirds, at one of their rarest letters, of which they
+    share t / (2 - t) a. What meets is cut by length and by common pairs or letters.
     """
+    t = threshold
+    every = materialize(names.select(F.col("b").alias("name")).union(asked.select("a")).where("name <> ''").distinct().withColumns({"n": F.length("name"), "bag": _letters(F.col("name"))}))
+    least_pairs = F.ceil(F.col("n") * (2 / (2 - t) * (1.5 * t - 1)) - 1 - 1e-9)
+    long_ = (least_pairs >= 1) & (F.col("n") >= 2)
+    pairs = materialize(every.where(long_).select("name", "n", _pairs_of_letters(F.col("name")).alias("pairs")))
+    side = lambda prefix, of, c: prefix.join(of.select(F.col(c).alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), "feature")
+    fits = 2 * F.least("na", "nb") >= t * (F.col("na") + F.col("nb")) - 1e-9
+
+    by_pair = rare_prefix(pairs.select("name", "n", F.size("pairs").alias("size"), F.explode("pairs").alias("feature")), least_pairs)
+    met = side(by_pair, asked, "a").join(side(by_pair, names, "b"), "feature").where(fits).select("a", "b", "na", "nb").distinct()
+    of = lambda c: pairs.select(F.col("name").alias(c), F.col("pairs").alias(f"pairs_{c}"))
+    shared = F.size(F.array_intersect("pairs_a", "pairs_b"))
+    met = met.join(of("a"), "a").join(of("b"), "b").where(shared >= (F.col("na") + F.col("nb")) * (1.5 * t - 1) - 1 - 1e-9).select("a", "b", "na", "nb")
+
+    some = every.where(~long_)  # and names of their lengths
+    reach = some.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    few = every.crossJoin(F.broadcast(reach)).where(F.col("n") * t <= F.col("most") * (2 - t) + 1e-9).drop("most")  # a table of one row
+    by_letter = rare_prefix(few.select("name", "n", F.size("bag").alias("size"), F.explode("bag").alias("feature")), F.ceil(F.col("n") * (t / (2 - t)) - 1e-9))
+    by_letter = by_letter.withColumn("long", long_)
+    ends = [side(by_letter.where(w), x, c) for x, c in ((asked, "a"), (names, "b")) for w in ("not long", "long")]
+    meet = lambda x, y: x.join(y, "feature").where(fits).select("a", "b", "na", "nb")
+    short = meet(ends[0], ends[2]).union(meet(ends[0], ends[3])).union(meet(ends[1], ends[2])).distinct()
+    found = materialize(met.union(short).distinct())
+    bag = lambda c: every.select(F.col("name").alias(c), F.col("bag").alias(f"bag_{c}"))
+    enough = 2 * F.size(F.array_intersect("bag_a", "bag_b")) >= t * (F.col("na") + F.col("nb")) - 1e-9
+    return found.join(bag("a"), "a").join(bag("b"), "b").where(enough).select("a", "b", "na", "nb")
+
+
+def fuzzy_pairs(queries: DataFrame, registry: DataFrame, threshold: float) -> DataFrame:
+    """(query_id, entity_id, reg_order, score, entity_type, query_type): names with a ratio of at least threshold, which is above 0. Only pairs of near_names() are compared. Names without letters match nothing."""
     names = registry.select("entity_id", "reg_order", "entity_type", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("raw")).select("entity_id", "reg_order", "entity_type", registry_name(F.col("raw")).alias("b")).distinct()
     asked = queries.select("query_id", F.coalesce("entity_type", F.lit("")).alias("query_type"), registry_name(F.col("name")).alias("a"))
-    bags = materialize(names.select(F.col("b").alias("name")).union(asked.select("a")).where("name <> ''").distinct().withColumn("bag", _letters(F.col("name"))))
-    each = bags.select("name", F.size("bag").alias("n"), F.explode("bag").alias("letter"))
-    uses = each.groupBy("letter").agg(F.count("*").alias("uses"))
-    ordered = each.join(F.broadcast(uses), "letter")  # as many rows as there are letters and repeats of them in a name
-    least = F.ceil(F.col("n") * (threshold / (2 - threshold)) - 1e-9)
-    first = ordered.groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "letter"))).alias("l")).select("name", "n", F.explode(F.slice("l", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("l")).select("name", "n", "l.letter")
-    left = first.join(asked.select(F.col("a").alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias("a"), F.col("n").alias("na"), "letter")
-    right = first.join(names.select(F.col("b").alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias("b"), F.col("n").alias("nb"), "letter")
-    near = left.join(right, "letter").where(2 * F.least("na", "nb") >= threshold * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b", "na", "nb").distinct()
-    bag = lambda c: bags.select(F.col("name").alias(c), F.col("bag").alias(f"bag_{c}"))
-    near = near.join(bag("a"), "a").join(bag("b"), "b").where(2 * F.size(F.array_intersect("bag_a", "bag_b")) >= threshold * (F.col("na") + F.col("nb")) - 1e-9)
+    near = near_names(asked, names, threshold)
     scored = near.select("a", "b", fuzzy_ratio(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= threshold)
     return asked.join(scored, "a").join(names, "b").groupBy("query_id", "entity_id", "reg_order", "entity_type", "query_type").agg(F.max("score").alias("score"))
 
