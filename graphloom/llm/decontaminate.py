@@ -126,6 +126,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
     # spans have no fixed size, so this join may shuffle texts
     joined = docs.join(met.toDF(id_, row, spans), F.col("doc_id").eqNullSafe(F.col(id_)) & (key == F.col(row)), "left")
     pieces = F.regexp_extract_all(text, F.lit(_PIECE), 0)
-    rest = F.filter(pieces, lambda p, i: ~F.exists(spans, lambda s: (s["pos"] <= i) & (i < s["end"])))
+    # places as sets, so the work grows with the words and the spans, not with their product
+    inside = F.flatten(F.transform(spans, lambda s: F.sequence(s["pos"].cast("int"), s["end"].cast("int") - 1)))
+    left = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), inside)
+    rest = F.transform(F.array(pieces), lambda p: F.transform(left(p), lambda i: F.get(p, i)))[0]
     cut = F.when(F.col(spans).isNull(), text).otherwise(F.concat(F.array_join(rest, ""), F.regexp_extract(text, _TAIL, 0)))
     return joined.select(*[cut.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

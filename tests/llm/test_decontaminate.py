@@ -77,3 +77,16 @@ def test_clashing_names_and_long_texts(spark):
     assert {r.doc_id: (len(r.text), r.spans) for r in cut.collect()} == {1: (3, 1), 2: (len(long_) - 1, 1), 3: (len(long_), 1)}
     assert [tuple(r) for r in decontaminate(docs, bench).collect()] == [rows[2]]
     assert {r.doc_id: (r.n_words, r.n_hit) for r in contamination(docs, bench).collect()} == {1: (12, 10), 2: (180_010, 10), 3: (180_000, 0)}
+
+
+def test_many_spans_of_one_long_text(spark):
+    import time
+
+    item = " ".join(f"bench{k}" for k in range(10))
+    text = ", ".join(f"{item} own{k}" for k in range(8000))  # 88,000 words, 8,000 spans
+    docs = spark.createDataFrame([(1, text), (2, item), (3, "")], "doc_id int, text string")
+    bench = spark.createDataFrame([("b", item)], "item_id string, text string")
+    begun = time.monotonic()
+    found = {r.doc_id: r.text for r in decontaminate(docs, bench, remove="spans").collect()}
+    assert found[1].split() == [f"own{k}" for k in range(8000)] and found[2].strip() == "" and found[3] == ""
+    print("seconds:", time.monotonic() - begun)
