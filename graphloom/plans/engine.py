@@ -111,6 +111,7 @@ class Config:
     resolutions: tuple[float, ...] = (2.0, 1.0, 0.5)
     cluster_seed: int = 0xDEADBEEF
     max_incremental_updates: int = 10
+    modularity_drop: float = 0.1
     enable_local: bool = True
     enable_communities: bool = True
     enable_naive_rag: bool = True
@@ -368,10 +369,12 @@ class Engine:
         change.merge("relationships", links, "src", gone_links)
         change.merge("entity_vectors", vec, "id", gone_nodes.withColumnRenamed("entity_id", "id") if partly else None)
         if not c.enable_communities:  # neither clusters nor reports; naive, grounded and rank-based retrieval need none
+            if change.has("community_sums"):  # of an earlier graph from now on: the next clustering is a full one
+                change.state.pop("community_sums")
             return
         nodes, links = change.read("entities"), change.read("relationships")
         ids = nodes.select(F.col("entity_id").alias("id"))
-        membership, updates, only = self._clustered(change, ids, links, changed.withColumnRenamed("entity_id", "id") if partly else None)
+        membership, only = self._clustered(change, ids, links, changed.withColumnRenamed("entity_id", "id") if partly else None)
         node_chunks = merge.remap_entities(e, remap).select(F.col("entity_id").alias("id"), "chunk_id").distinct()
         schema = materialize(graph.community_counts(membership, links, node_chunks))
         told = graph.degrees(ids, links).join(nodes.withColumnRenamed("entity_id", "id"), "id")
@@ -380,23 +383,41 @@ class Engine:
         change.put("membership", membership)
         change.put("communities", schema)
         change.put("reports", report)
-        change.put("clustering", self.spark.range(1).select(F.lit(updates).cast("long").alias("updates")))
 
-    def _clustered(self, change: Change, ids: DataFrame, links: DataFrame, changed: DataFrame | None) -> tuple[DataFrame, int, DataFrame | None]:
-        """(membership, updates since the last full run, clusters to report again or None for all): the changed nodes' surroundings alone if they are few, else all."""
+    def _clustered(self, change: Change, ids: DataFrame, links: DataFrame, changed: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        """(membership, clusters to report again or None for all): the changed nodes' surroundings alone if they are few, else all.
+
+        The first level's modularity is kept by sums a cluster, which a change brings up to date from its own
+        edges and nodes. If it is more than modularity_drop below that of the last full run, all is clustered
+        anew. Writes community_sums and clustering(updates, modularity, baseline).
+        """
         c = self.config
-        if changed is not None and change.has("membership"):
-            stored = change.read("membership")
+        first = lambda m: m.where("level = 0").select("id", "cluster")
+        if changed is not None and all([change.has(n) for n in ("membership", "clustering", "community_sums")]):
+            stored, last = change.read("membership"), change.read("clustering").first()
             old = stored.join(ids, "id", "left_semi").select("id", "level", "cluster")
-            updates = change.read("clustering").first().updates if change.has("clustering") else 0
+            updates = last.updates
             reached = materialize(graph.frontier(ids, links, changed))
             choice = graph.incremental_choice(ids, reached, old.where("level = 0").select("id"), updates, c.frontier_limit, c.max_incremental_updates).first()
             if choice.incremental:
                 now = materialize(clustering.incremental_leiden(ids, links, old, changed, updates + 1, seed=c.cluster_seed))
-                moved = clustering.affected_clusters(stored, now)
-                near = now.join(changed, "id", "left_semi").select("cluster")
-                return now, updates + 1, materialize(moved.union(near).distinct())
-        return materialize(clustering.leiden(ids, links, c.resolutions, c.cluster_seed)), 0, None
+                before = self.store._table("relationships", change.base_state["relationships"])
+                sums = materialize(graph.updated_sums(change.read("community_sums"), before, links, first(stored), first(now), changed))
+                worth = graph.modularity_of(sums).first().modularity
+                if last.baseline is None or worth is None or worth >= last.baseline - c.modularity_drop:
+                    self._clustering_state(change, sums, updates + 1, worth, last.baseline)
+                    moved = clustering.affected_clusters(stored, now)
+                    near = now.join(changed, "id", "left_semi").select("cluster")
+                    return now, materialize(moved.union(near).distinct())
+        whole = materialize(clustering.leiden(ids, links, c.resolutions, c.cluster_seed))
+        sums = materialize(graph.modularity_sums(links, first(whole)))
+        worth = graph.modularity_of(sums).first().modularity
+        self._clustering_state(change, sums, 0, worth, worth)
+        return whole, None
+
+    def _clustering_state(self, change: Change, sums: DataFrame, updates: int, worth: float | None, baseline: float | None) -> None:
+        change.put("community_sums", sums)
+        change.put("clustering", self.spark.createDataFrame([(updates, worth, baseline)], "updates long, modularity double, baseline double"))
 
     def append(self, docs: DataFrame, extractor: Callable | None = None) -> int:
         """Documents and chunks that the store doesn't have yet, extracted by a function of one's own; clusters and reports are made anew. Changed documents are not looked for."""

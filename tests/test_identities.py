@@ -3,9 +3,11 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from graphloom.functions.text import UNKNOWN_TYPE
-from graphloom.operators import merge
+from graphloom.operators import clustering, graph, merge
 from graphloom.plans.engine import Config, Engine
+from pyspark.sql import functions as F
 from test_changes import index_is_whole, state_of
 
 FACTS_E = "doc_id string, chunk_id string, ord long, entity_id string, entity_name string, entity_type string, description string"
@@ -137,3 +139,26 @@ def test_one_name_of_very_many_ids(spark):
     found = {r.entity_id: r.canonical_id for r in merge.identities(facts, before).collect()}
     assert found == plain(many, {}) and found["z"] == "i0500" and found["alone"] == "alone"
     assert merge.identities(facts.limit(0), before).count() == 0
+
+
+def test_modularity_is_kept_and_a_drop_clusters_all_anew(spark, tmp_path, monkeypatch):
+    by_letter = lambda ids, *_, **__: ids.select("id", F.lit(0).alias("level"), F.substring("id", 1, 1).alias("cluster"))
+    for name in ("leiden", "incremental_leiden"):  # how nodes are clustered isn't the question here
+        monkeypatch.setattr(clustering, name, by_letter)
+
+    def clique(doc, names):
+        ids = [(n, n.upper(), "PERSON") for n in names]
+        return ids, [(a, b) for a in names for b in names if a < b]
+
+    engine = Engine(spark, str(tmp_path / "e"), Config(buckets=1, resolutions=(1.0,), frontier_limit=1.0))
+    docs = {str(k): clique(k, [f"{'abcd'[k]}{i}" for i in range(3)]) for k in range(4)}
+    docs["bridge"] = [(n, n.upper(), "PERSON") for n in ("a0", "b0", "c0", "d0")], [("a0", "b0"), ("b0", "c0"), ("c0", "d0")]
+    put(engine, docs)
+    state = lambda: engine.store.read("clustering").first()
+    full = lambda: graph.modularity(engine.store.read("relationships"), engine.store.read("membership").where("level = 0")).first()[0]
+    assert state().updates == 0 and state().baseline == state().modularity == pytest.approx(full())
+    put(engine, {"more": ([("a1", "A1", "PERSON"), ("e", "E", "PERSON")], [("a1", "e")])})
+    assert state().updates == 1 and state().modularity == pytest.approx(full())
+    engine.config.modularity_drop = -1.0  # any change is a drop
+    put(engine, {"more": None})
+    assert state().updates == 0 and state().baseline == state().modularity == pytest.approx(full())
