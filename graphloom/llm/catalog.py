@@ -61,7 +61,7 @@ def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-def op5_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each remaining text as its digest."""
     out = deduplicate_passages(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -109,7 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tool_chat": op2_tool_chat,
     "op4_token_counts": op4_token_counts,
     "op5_line_chunks": op5_line_chunks,
-    "op5_line_passages": op5_line_passages,
+    "line_passages": line_passages,
     "op3_source_mix": op3_source_mix,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_jaccard_join": op7_jaccard_join,
@@ -194,9 +194,10 @@ SELECT conv_id, call_id, turn, name, depth, status, valid, sha256(line) AS line_
     "op5_line_chunks": r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
 h AS (SELECT doc_id, w, list_transform(w, lambda x: CAST('0x' || substr(md5(x), 1, 6) AS BIGINT)) AS h FROM d),
-e AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: i = len(w) OR h[i] < h[i + 1]) AS e FROM h UNION ALL SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: i = len(w) OR h[i] > h[i + 1]) FROM h),
-c AS (SELECT doc_id, w, unnest(e) AS z, unnest(list_prepend(0, e[:-2])) AS a FROM e),
-k AS (SELECT DISTINCT doc_id, a, z - a AS n, array_to_string(list_slice(w, a + 1, z), chr(10)) AS t FROM c WHERE z - a > 1),
+r AS (SELECT doc_id, w, list_transform(range(1, len(w)), lambda i: (h[i] * 257 + h[i + 1]) % 3) AS r FROM h),
+e AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: i = len(w) OR r[i] <> v) AS e FROM r, (VALUES (0), (1), (2)) AS classes(v)),
+c AS (SELECT doc_id, w, least(unnest(e) + 1, len(w)) AS z, greatest(unnest(list_prepend(0, e[:-2])) - 1, 0) AS a FROM e),
+k AS (SELECT DISTINCT doc_id, a, z - a AS n, array_to_string(list_slice(w, a + 1, z), chr(10)) AS t FROM c WHERE z - a > 1 AND strlen(array_to_string(list_slice(w, a + 1, z), chr(10))) >= 16),
 m AS (SELECT doc_id, a, n FROM (SELECT doc_id, a, n, row_number() OVER (PARTITION BY t ORDER BY doc_id, a) AS r FROM k) WHERE r > 1),
 g AS (SELECT DISTINCT doc_id, unnest(range(a + 1, a + n + 1)) AS i FROM m),
 x AS (SELECT doc_id, count(*) AS chunks FROM m GROUP BY doc_id),
@@ -204,7 +205,7 @@ l AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d)
 SELECT l.doc_id, count(*) AS n_lines, coalesce(any_value(chunks), 0) AS removed_chunks, count(g.i) AS removed_lines, sha256(coalesce(string_agg(l.x, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS text_sha256
 FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i LEFT JOIN x ON l.doc_id = x.doc_id GROUP BY l.doc_id
 """,
-    "op5_line_passages": r"""
+    "line_passages": r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
 p AS (SELECT doc_id, i, w[i] || chr(10) || w[i + 1] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k FROM p) WHERE k > 1),

@@ -1,11 +1,13 @@
 """Line deduplication by content-defined chunks of lines.
 
-A rolling comparison of the hashes of a line and the next one says where a chunk ends, so a line added
-or dropped moves the boundaries near it only. A text is chunked twice, once where the hash rises and
-once where it falls, as a short repeat that has no whole chunk of the one often has one of the other.
-Chunks of several lines that an earlier place of the corpus has too are found by hash, compared byte
-by byte, and removed. Repeats of a few lines whose surroundings move the boundaries stay;
-deduplicate_passages finds all of them. All steps are DataFrame functions.
+A rolling hash over the hashes of WINDOW consecutive lines says whether a chunk may end after the
+first of them, so a line added or dropped moves the boundaries near it only. A chunk includes the
+windows of both its boundaries, so what draws a chunk lies in it, and equal lines give equal chunks
+wherever they stand. The hash has CLASSES values; there is a chunking for each, with a boundary where
+the hash has any other value. With three classes the first and the last window of a repeated run of
+lines are both boundaries in one of the chunkings, whose chunks between them make up the run: every
+repeat of WINDOW + 1 or more lines is found. Chunks of several lines that an earlier place of the
+corpus has too are found by hash, compared byte by byte, and removed. All steps are DataFrame functions.
 """
 
 from __future__ import annotations
@@ -28,29 +30,50 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _chunks(lines: Column, hashes: Column) -> Column:
-    """(at, n, text) of the chunks of both chunkings: the first line, how many, and their text. A chunk ends where the next line's hash is greater (or less), and with the text."""
+#: Lines that a boundary is drawn from, values of the rolling hash, its base, and the bytes below which a chunk stays.
+WINDOW, CLASSES, BASE, LEAST_BYTES = 2, 3, 257, 16
+
+
+def _classes(hashes: Column) -> Column:
+    """Class of the rolling hash over the WINDOW lines from each line on; null where the text ends within them."""
+
+    def rolled(h: Column, i: Column) -> Column:
+        value = h
+        for k in range(1, WINDOW):
+            value = value * BASE + F.get(hashes, i + k)
+        return F.pmod(value, F.lit(CLASSES))
+
+    return F.transform(hashes, rolled)
+
+
+def _chunks(lines: Column, classes: Column) -> Column:
+    """(at, n, text) of the chunks of all chunkings: the first line, how many, and their text; also those of one line or few bytes."""
+    n = F.size(lines)
 
     def cut(ends: Column) -> Column:
-        begin = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
-        return F.transform(ends, lambda e, i: F.struct(begin(i).alias("at"), (e - begin(i)).alias("n"), F.array_join(F.slice(lines, begin(i) + 1, e - begin(i)), "\n").alias("text")))
+        def chunk(e: Column, i: Column) -> Column:
+            at = F.when(i > 0, F.get(ends, i - 1) - 1).otherwise(F.lit(0))
+            size = F.least(e + (WINDOW - 1), n) - at
+            return F.struct(at.alias("at"), size.alias("n"), F.array_join(F.slice(lines, at + 1, size), "\n").alias("text"))
+
+        return F.transform(ends, chunk)
+
+    def ends(c: int) -> Column:
+        return F.filter(F.sequence(F.lit(1), n), lambda e: (e == n) | (F.get(classes, e - 1) != c))
 
-    n = F.size(hashes)
-    rises = F.filter(F.sequence(F.lit(1), n), lambda e: (e == n) | (F.get(hashes, e - 1) < F.get(hashes, e)))
-    falls = F.filter(F.sequence(F.lit(1), n), lambda e: (e == n) | (F.get(hashes, e - 1) > F.get(hashes, e)))
-    return F.concat(_let(rises, cut), _let(falls, cut))
+    return F.array_distinct(F.concat(*[_let(ends(c), cut) for c in range(CLASSES)]))
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with row_key and chunks: array of (at, n, text), of each chunking in order."""
+    """docs(doc_id, text) with row_key and chunks: array of (at, n, text), each once."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    chunks = _let(lines, lambda w: _let(F.transform(w, line_hash), lambda h: _chunks(w, h)))
+    chunks = _let(lines, lambda w: _let(F.transform(w, line_hash), lambda h: _let(_classes(h), lambda c: _chunks(w, c))))
     return docs.withColumn("row_key", _dist.row_key("doc_id", "text")).withColumn("chunks", chunks)
 
 
 def repeated_places(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     """(doc_id, row_key, places): (at, n) of the chunks of each row of docs(doc_id, text) to remove. hash_bits: fewer bits, as in tests, make hashes of different chunks meet."""
-    each = with_chunks(docs).select("doc_id", "row_key", F.explode(F.filter("chunks", lambda c: c["n"] > 1)).alias("c")).select("doc_id", "row_key", "c.at", "c.n", F.col("c.text").alias("chunk"))
+    each = with_chunks(docs).select("doc_id", "row_key", F.explode(F.filter("chunks", lambda c: (c["n"] > 1) & (F.octet_length(c["text"]) >= LEAST_BYTES))).alias("c")).select("doc_id", "row_key", "c.at", "c.n", F.col("c.text").alias("chunk"))
     each = each.withColumn("hash", F.shiftright(F.xxhash64("chunk"), 64 - hash_bits))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "at")
     slim = each.groupBy("hash").agg(F.min(place).alias("p0"), F.max(place).alias("p1")).where("p0 <> p1").select("hash")
@@ -96,7 +119,7 @@ def _without(docs: DataFrame, places: DataFrame, last: Callable[[Column], Column
 def deduplicate_lines(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     """docs(doc_id, text, ...) with the remaining text, and n_lines, removed_chunks, removed_lines of each row.
 
-    Lines end at line feeds. Chunks of one line stay; of equal chunks of several lines the one in the
+    Lines end at line feeds. Chunks of one line or under LEAST_BYTES bytes stay; of equal other chunks of several lines the one in the
     smallest doc_id (nulls last), then the first in its text, stays, wherever else they repeat, the same
     text included; a removed line has an equal one at an earlier place, so one of each line stays. Rows
     that repeat both doc_id and text count as one and get equal results. Null texts have one empty line

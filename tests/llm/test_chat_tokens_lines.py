@@ -166,3 +166,25 @@ def test_passages_against_brute_force(spark):
     chunked = sum(r.removed_lines for r in deduplicate_lines(docs.where("doc_id is not null").distinct()).collect())
     assert chunked < sum(n for k, (_, n, _) in want.items() if k is not None)
     assert deduplicate_passages(docs.limit(0)).count() == 0
+
+
+def test_chunks_find_every_repeat_of_three_lines(spark):
+    """Runs of three to six lines at any place, and lines inserted before them; what a pair of lines alone repeats may stay."""
+    rng = random.Random(6)
+    runs = [[f"run {k} has line {i} of its own" for i in range(3 + k % 4)] for k in range(40)]
+    own = lambda n: [f"own line {rng.random()}" for _ in range(n)]
+    rows = [(i, "\n".join(own(rng.randrange(4)) + rng.choice(runs) + own(rng.randrange(1, 4)) + rng.choice(runs) + own(rng.randrange(3)))) for i in range(120)]
+    signed = [(200 + i, f"letter {i}\n\nThanks!") for i in range(5)]  # a repeat of few bytes
+    long_ = (300, "\n".join(f"row {i % 1500} of a long text" for i in range(4000)))
+    seen, want = set(), {}
+    for i, t in [*rows, *signed, long_]:
+        w, gone = t.split("\n"), set()
+        for at in range(len(w) - 2):
+            three = tuple(w[at : at + 3])
+            if three in seen:
+                gone |= {at, at + 1, at + 2}
+            seen.add(three)
+        want[i] = "\n".join(x for at, x in enumerate(w) if at not in gone)
+    got = {r.doc_id: r for r in deduplicate_lines(spark.createDataFrame([*rows, *signed, long_], "doc_id long, text string")).collect()}
+    assert {k: r.text for k, r in got.items()} == want
+    assert got[300].removed_lines == 2500 and all(got[i].removed_lines == 0 for i, _ in signed)
