@@ -3,29 +3,49 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import prefixed_hash, strip, words
+from ..functions.tokens import Tokenizer
 
 #: Where separator chunking may cut.
 SEPARATORS = ("\n\n", "\r\n\r\n", "\n", "\r\n", "。", "．", ".", "！", "!", "？", "?", " ", "\t", "　", "​")
 
 
-def token_windows(docs: DataFrame, size: int = 1200, overlap: int = 100) -> DataFrame:
-    """(doc_id, chunk_order_index, tokens, content) of docs(doc_id, content): windows of `size` tokens that begin every size - overlap ones, over the whole length; texts without tokens have none."""
+def token_windows(docs: DataFrame, size: int = 1200, overlap: int = 100, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """(doc_id, chunk_order_index, tokens, content) of docs(doc_id, content): windows of `size` tokens that begin every size - overlap ones, over the whole length; texts without tokens have none.
+
+    Tokens are words, or those of a tokenizer, whose decoder then gives the contents.
+    """
     step = size - overlap
     if step <= 0:
         raise ValueError("overlap must be smaller than the window")
+    if tokenizer:
+        return _encoded(docs, tokenizer, lambda ids: [ids[i : i + size] for i in range(0, len(ids), step)])
     split = docs.select("doc_id", words(F.col("content")).alias("w")).where(F.size("w") > 0)
     each = split.select("doc_id", "w", F.posexplode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step))).alias("order", "at"))
     content = strip(F.array_join(F.slice("w", F.col("at") + 1, F.lit(size)), " "))
     return each.select("doc_id", F.col("order").cast("long").alias("chunk_order_index"), F.least(F.lit(size), F.size("w") - F.col("at")).cast("long").alias("tokens"), content.alias("content"))
 
 
+def _encoded(docs: DataFrame, tokenizer: Tokenizer, pieces: Callable[[list[int]], list[list[int]]]) -> DataFrame:
+    """(doc_id, chunk_order_index, tokens, content) of pieces(ids) of each document's ids, decoded; one document at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode, decode = tokenizer.make()
+        for frame in frames:
+            for d, text in zip(frame.doc_id, frame.content, strict=True):
+                parts = pieces(encode([text or ""])[0])
+                rows = [(d, i, len(p), t.strip()) for i, (p, t) in enumerate(zip(parts, decode(parts), strict=True))]
+                yield pd.DataFrame(rows, columns=["doc_id", "chunk_order_index", "tokens", "content"])
+
+    return docs.select("doc_id", "content").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, chunk_order_index long, tokens long, content string")
+
+
 def with_chunk_ids(chunks: DataFrame) -> DataFrame:
     """chunks with chunk_id, the hash of document, order and content; equal ones collapse."""
     order = F.col("chunk_order_index").cast("string")
@@ -69,8 +89,13 @@ def separator_pieces(text: str, separators: Sequence[str] = SEPARATORS, size: in
     return [c if not overlap or not i else (chunks[i - 1][-overlap:] + c)[:size] for i, c in enumerate(chunks)]
 
 
-def separator_chunks(docs: DataFrame, size: int = 1200, overlap: int = 100, separators: Sequence[str] = SEPARATORS) -> DataFrame:
-    """Like token_windows, with chunks that end at separators; tokens are characters."""
+def separator_chunks(docs: DataFrame, size: int = 1200, overlap: int = 100, separators: Sequence[str] = SEPARATORS, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """Like token_windows, with chunks that end at separators. Tokens are characters, or those of a tokenizer, in whose ids those of a separator are looked for."""
+    if tokenizer:
+        # one character an id, so that ids are cut as texts are
+        spelt = lambda ids: "".join(map(chr, ids))
+        marks = [spelt(i) for i in tokenizer.make()[0](list(separators)) if i]
+        return _encoded(docs, tokenizer, lambda ids: [[ord(c) for c in p] for p in separator_pieces(spelt(ids), marks, size, overlap)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -13,7 +13,7 @@ from ..functions.model import Model
 from ..functions.text import csv_row, n_tokens
 from ..operators import vectors
 from ..operators.extraction import call_model
-from .retrieval import harvest, merge_hops, reduce_points, sub_questions
+from .retrieval import Size, harvest, merge_hops, reduce_points, sub_questions
 
 MAP = "Points of these reports that help to answer the question, as JSON {points: [{description, score}]}.\n"
 
@@ -29,16 +29,16 @@ def offline_mapper(prompts: list[str]) -> list[str]:
     return out
 
 
-def global_points(chosen: DataFrame, question: str, model: Model, budget: int = 16384) -> str | None:
+def global_points(chosen: DataFrame, question: str, model: Model, budget: int = 16384, size: Size = n_tokens) -> str | None:
     """The text of the points that a model makes of groups of chosen(cluster, occurrence, rating, report) within the budget; the best within the budget, by analyst; None without points."""
     order = ["neg_occurrence", "neg_rating", "cluster"]
-    rows = chosen.select("cluster", "report", "rating", "occurrence", (-F.col("occurrence")).alias("neg_occurrence"), (-F.col("rating")).alias("neg_rating"), n_tokens(F.col("report")).alias("tokens"), F.lit(0).alias("one"))
+    rows = chosen.select("cluster", "report", "rating", "occurrence", (-F.col("occurrence")).alias("neg_occurrence"), (-F.col("rating")).alias("neg_rating"), size(F.col("report")).alias("tokens"), F.lit(0).alias("one"))
     bins = greedy_bins(rows, "cluster", "tokens", budget, order, ["one"])  # of the communities that a query considers
     line = csv_row(F.col("cluster"), F.regexp_replace("report", r"\s+", " "), F.col("rating"), F.col("occurrence"))
     groups = rows.join(bins, ["one", "cluster"]).groupBy("bin").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
     prompt = F.concat(F.lit(f"{MAP}{question.strip().replace(chr(10), ' ')}\nid,content,rating,importance\n"), "lines")
     told = call_model(groups, prompt, model, 1).select(F.col("bin").alias("analyst"), F.col("output").alias("answer"))
-    points = reduce_points(told, budget).orderBy(F.desc("score"), "analyst", "pos").collect()
+    points = reduce_points(told, budget, size).orderBy(F.desc("score"), "analyst", "pos").collect()
     return "\n".join(f"----Analyst {r.analyst}----\nImportance Score: {r.score:g}\n{r.description}\n" for r in points) or None
 
 

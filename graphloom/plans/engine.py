@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.model import AnswerCache
-from ..functions.text import n_tokens
+from ..functions.tokens import Tokenizer, size_by
 from ..operators import chunking, clustering, extraction, graph, merge, registry, tables, vectors
 from ..operators.vector_index import VectorIndex
 from ..sources.store import Change, Conflict, Store, materialize, scratch
@@ -106,6 +106,7 @@ class GroundedAnswer:
 class Config:
     chunk_tokens: int = 1200
     chunk_overlap: int = 100
+    tokenizer: Tokenizer | None = None
     extraction_batch: int = 5
     quality: str = "balanced"
     resolutions: tuple[float, ...] = (2.0, 1.0, 0.5)
@@ -149,7 +150,7 @@ class Config:
 
     def facts_hash(self) -> str:
         """A digest of all that shapes a document's facts: functions by their code, defaults and enclosed values, and the settings of chunking and extraction."""
-        shapes = ("chunk_tokens", "chunk_overlap", "quality", "extractor", "gleaning", "glean_more", "grouped_extraction", "aliases", "link_entities", "link_decider")
+        shapes = ("chunk_tokens", "chunk_overlap", "quality", "extractor", "gleaning", "glean_more", "grouped_extraction", "aliases", "link_entities", "link_decider", *(["tokenizer"] if self.tokenizer else []))
         return hashlib.sha256(repr([(n, fingerprint(getattr(self, n))) for n in shapes]).encode()).hexdigest()
 
     def for_logs(self) -> dict:
@@ -218,7 +219,7 @@ class Engine:
                 return None
             also(change)
             return 0
-        chunks = chunking.with_chunk_ids(chunking.token_windows(todo, c.chunk_tokens, c.chunk_overlap)).withColumn("attempts", F.lit(0))
+        chunks = chunking.with_chunk_ids(chunking.token_windows(todo, c.chunk_tokens, c.chunk_overlap, c.tokenizer)).withColumn("attempts", F.lit(0))
         if n_again:
             kept = change.read("chunks").join(again.select("doc_id", "chunk_id", "attempts"), ["doc_id", "chunk_id"])
             chunks = kept.select(*chunks.columns).unionByName(chunks)
@@ -297,7 +298,7 @@ class Engine:
         nodes = merge.combine_entities(merge.accumulate_entities(e))
         c = self.config
         if c.summarise:
-            short, long_ = merge.needs_summary(nodes, n_tokens(F.col("description")), c.summary_tokens)
+            short, long_ = merge.needs_summary(nodes, size_by(c.tokenizer)(F.col("description")), c.summary_tokens)
             told = extraction.call_model(long_, F.col("description"), c.summarise).withColumn("description", F.coalesce("output", "description"))
             nodes = short.drop("tokens").unionByName(told.drop("tokens", "output", "error"))
         return nodes
@@ -379,7 +380,7 @@ class Engine:
         schema = materialize(graph.community_counts(membership, links, node_chunks))
         told = graph.degrees(ids, links).join(nodes.withColumnRenamed("entity_id", "id"), "id")
         subs = graph.sub_communities(membership)
-        report = reports.community_reports(membership, told, links, schema, subs, c.reporter, c.report_tokens, change.read("reports") if only is not None else None, only)
+        report = reports.community_reports(membership, told, links, schema, subs, c.reporter, c.report_tokens, change.read("reports") if only is not None else None, only, size_by(c.tokenizer))
         change.put("membership", membership)
         change.put("communities", schema)
         change.put("reports", report)
@@ -469,7 +470,7 @@ class Engine:
             if not self.config.enable_naive_rag:
                 raise ValueError("naive mode is off")
             hits = self._hits("chunk_vectors", question, p.top_k).withColumnRenamed("id", "chunk_id")
-            return retrieval.naive_context(hits, s.read("chunks"), p.naive_max_token_for_text_unit).first()["context"] or None
+            return retrieval.naive_context(hits, s.read("chunks"), p.naive_max_token_for_text_unit, size_by(self.config.tokenizer)).first()["context"] or None
         if p.mode == "global":
             if not self.config.enable_communities:
                 raise ValueError("global mode is off")
@@ -490,15 +491,15 @@ class Engine:
         nodes = s.read("entities").withColumnRenamed("entity_id", "id")
         nodes = graph.degrees(nodes, edges).join(nodes, "id")
         node_chunks = self._entity_facts().select(F.col("entity_id").alias("id"), "chunk_id").distinct()
-        found = retrieval.related_communities(hits, s.read("membership"), s.read("reports").select("cluster", "report", "rating"), p.level, p.local_max_token_for_community_report, p.local_community_single_one)
-        chunks = retrieval.related_chunks(hits, node_chunks, edges, s.read("chunks"), p.local_max_token_for_text_unit)
-        return retrieval.local_context(hits, nodes, found, retrieval.related_edges(hits, edges, p.local_max_token_for_local_context), chunks).first()["context"]
+        found = retrieval.related_communities(hits, s.read("membership"), s.read("reports").select("cluster", "report", "rating"), p.level, p.local_max_token_for_community_report, p.local_community_single_one, size_by(self.config.tokenizer))
+        chunks = retrieval.related_chunks(hits, node_chunks, edges, s.read("chunks"), p.local_max_token_for_text_unit, size_by(self.config.tokenizer))
+        return retrieval.local_context(hits, nodes, found, retrieval.related_edges(hits, edges, p.local_max_token_for_local_context, size_by(self.config.tokenizer)), chunks).first()["context"]
 
     def _global_points(self, question: str, p: QueryParam) -> str | None:
         """Points that the map model makes of groups of reports within the budget, best first."""
         s = self.store
         chosen = retrieval.global_selection(s.read("communities").select("level", "cluster", "occurrence"), s.read("reports").select("cluster", "rating", "report"), p.level, p.global_max_consider_community, p.global_min_community_rating)
-        return answers.global_points(materialize(chosen), question, self.config.global_mapper, p.global_max_token_for_community_report)
+        return answers.global_points(materialize(chosen), question, self.config.global_mapper, p.global_max_token_for_community_report, size_by(self.config.tokenizer))
 
     def _hop_context(self, question: str, p: QueryParam) -> str | None:
         """Contexts of the question's parts, asked one after the other; names found by one go with the next."""

@@ -14,7 +14,7 @@ from ..functions.text import csv_row, n_tokens, response_to_json
 from ..operators.extraction import call_model
 from ..operators.graph import both_ways
 from ..sources.store import materialize
-from .retrieval import pack_communities, pack_sub_reports, report_text
+from .retrieval import Size, pack_communities, pack_sub_reports, report_text
 
 #: Nodes or edges beyond which a community is told by the reports of its sub-communities.
 LARGE = 100
@@ -44,15 +44,15 @@ def _lines(rows: DataFrame, order: list[Column], *cells: Column) -> DataFrame:
     return rows.groupBy("level", "cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
 
 
-def describe(members: DataFrame, nodes: DataFrame, edges: DataFrame, subs: DataFrame, reports: DataFrame, budget: int) -> DataFrame:
+def describe(members: DataFrame, nodes: DataFrame, edges: DataFrame, subs: DataFrame, reports: DataFrame, budget: int, size: Size = n_tokens) -> DataFrame:
     """(level, cluster, prompt) of the communities of one level: entities and relations within the budget, or for large ones the reports of their sub-communities and what those don't cover."""
     key = ["level", "cluster"]
     inside = both_ways(edges).join(members, "id").groupBy(*key).agg((F.count("*") / 2).alias("links"))
     sizes = members.groupBy(*key).agg(F.count("*").alias("n")).join(inside, key, "left")
     large = materialize(sizes.where((F.col("n") > LARGE) | (F.col("links") > LARGE)).select(*key))
-    told, left = pack_sub_reports(subs.join(large, key, "left_semi"), reports, members.join(large, key, "left_semi"), budget // 2)
+    told, left = pack_sub_reports(subs.join(large, key, "left_semi"), reports, members.join(large, key, "left_semi"), budget // 2, size)
     rest = materialize(members.join(large, key, "left_anti").unionByName(left.select(*members.columns)).unionByName(members.join(large, key, "left_semi").join(subs.select(*key).distinct(), key, "left_anti")).distinct())
-    n, e = pack_communities(rest, nodes, edges, budget // 2 if large.limit(1).count() else budget)
+    n, e = pack_communities(rest, nodes, edges, budget // 2 if large.limit(1).count() else budget, size)
     names = nodes.select("id", "entity_name")
     e = e.join(names.select(F.col("id").alias("src"), F.col("entity_name").alias("from")), "src", "left").join(names.select(F.col("id").alias("dst"), F.col("entity_name").alias("to")), "dst", "left")
     sections = [
@@ -67,7 +67,7 @@ def describe(members: DataFrame, nodes: DataFrame, edges: DataFrame, subs: DataF
     return out.select(*key, F.concat(F.lit(ASK), F.concat_ws("\n", *texts)).alias("prompt"))
 
 
-def community_reports(membership: DataFrame, nodes: DataFrame, edges: DataFrame, schema: DataFrame, subs: DataFrame, model: Model = offline_reporter, budget: int = 12000, existing: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+def community_reports(membership: DataFrame, nodes: DataFrame, edges: DataFrame, schema: DataFrame, subs: DataFrame, model: Model = offline_reporter, budget: int = 12000, existing: DataFrame | None = None, only: DataFrame | None = None, size: Size = n_tokens) -> DataFrame:
     """COLUMNS of each community of membership(id, level, cluster): the model's report on it, as Markdown and as JSON.
 
     Levels are told from the deepest up, so that large communities can use the reports below them.
@@ -86,7 +86,7 @@ def community_reports(membership: DataFrame, nodes: DataFrame, edges: DataFrame,
         if done is not None:
             members = members.join(done.select("cluster"), "cluster", "left_anti").select("id", "level", "cluster")
         empty = members.sparkSession.createDataFrame([], "cluster string, report string, occurrence double")
-        asked = describe(materialize(members), nodes, edges, subs.where(F.col("level") == level), done.select("cluster", "report", "occurrence") if done is not None else empty, budget)
+        asked = describe(materialize(members), nodes, edges, subs.where(F.col("level") == level), done.select("cluster", "report", "occurrence") if done is not None else empty, budget, size)
         told = call_model(asked, F.col("prompt"), model).select("level", "cluster", response_to_json(F.col("output")).alias("report_json"))
         parsed = told.withColumn("r", F.from_json("report_json", REPORT))
         rows = parsed.join(keys.drop("level"), "cluster").select("level", "cluster", "occurrence", F.col("r.title").alias("title"), F.coalesce("r.rating", F.lit(0.0)).alias("rating"), F.coalesce(report_text(F.col("r")), F.lit("")).alias("report"), "report_json")

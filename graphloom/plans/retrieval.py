@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,28 +12,31 @@ from ..functions.budget import within_budget
 from ..functions.text import csv_row, n_tokens
 from ..operators.graph import both_ways, edge_degrees
 
+#: How budgets measure a text: text -> tokens.
+Size = Callable[[Column], Column]
+
 
-def related_communities(hits: DataFrame, membership: DataFrame, reports: DataFrame, level: int = 2, budget: int = 3200, single: bool = False) -> DataFrame:
+def related_communities(hits: DataFrame, membership: DataFrame, reports: DataFrame, level: int = 2, budget: int = 3200, single: bool = False, size: Size = n_tokens) -> DataFrame:
     """reports(cluster, report, rating) of the clusters up to a level that the hits(id) are in, most hits first, then best rated, within the budget; single: the first only."""
     counted = hits.select("id").join(membership, "id").where(F.col("level") <= level).groupBy("cluster").agg(F.count("*").alias("hits"))
-    rows = counted.join(reports, "cluster").withColumn("tokens", n_tokens(F.col("report")))
+    rows = counted.join(reports, "cluster").withColumn("tokens", size(F.col("report")))
     out = within_budget(rows, "tokens", budget, [F.desc("hits"), F.desc("rating"), F.col("cluster")])
     return out.orderBy(F.desc("hits"), F.desc("rating"), "cluster").limit(1) if single else out
 
 
-def related_chunks(hits: DataFrame, node_chunks: DataFrame, edges: DataFrame, chunks: DataFrame, budget: int = 4000) -> DataFrame:
+def related_chunks(hits: DataFrame, node_chunks: DataFrame, edges: DataFrame, chunks: DataFrame, budget: int = 4000, size: Size = n_tokens) -> DataFrame:
     """(chunk_id, ord, relations, content): chunks of hits(id, ord) under the first hit that has them, in order of hits, then by how many one-hop neighbours share them, within the budget."""
     own = hits.join(node_chunks, "id").groupBy("chunk_id").agg(F.min_by(F.struct("ord", "id"), "ord").alias("h"))
     near = own.select("chunk_id", F.col("h.id").alias("id")).join(both_ways(edges), "id").select("chunk_id", F.col("other").alias("id")).distinct().join(node_chunks, ["id", "chunk_id"], "left_semi")
     shared = near.groupBy("chunk_id").agg(F.count("*").alias("relations"))
-    rows = own.join(shared, "chunk_id", "left").join(chunks.select("chunk_id", "content"), "chunk_id").select("chunk_id", F.col("h.ord").alias("ord"), F.coalesce("relations", F.lit(0).cast("long")).alias("relations"), "content", n_tokens(F.col("content")).alias("tokens"))
+    rows = own.join(shared, "chunk_id", "left").join(chunks.select("chunk_id", "content"), "chunk_id").select("chunk_id", F.col("h.ord").alias("ord"), F.coalesce("relations", F.lit(0).cast("long")).alias("relations"), "content", size(F.col("content")).alias("tokens"))
     return within_budget(rows, "tokens", budget, [F.col("ord"), F.desc("relations"), F.col("chunk_id")]).drop("tokens")
 
 
-def related_edges(hits: DataFrame, edges: DataFrame, budget: int = 4800) -> DataFrame:
+def related_edges(hits: DataFrame, edges: DataFrame, budget: int = 4800, size: Size = n_tokens) -> DataFrame:
     """(src, dst, weight, description, rank): distinct edges at hits(id), those between nodes of high degree first, then heavy ones, within the budget of their descriptions."""
     at = both_ways(edges).join(hits.select("id").distinct(), "id", "left_semi").select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
-    rows = edge_degrees(at, edges).withColumnRenamed("degree", "rank").join(edges, ["src", "dst"]).withColumn("tokens", n_tokens(F.col("description")))
+    rows = edge_degrees(at, edges).withColumnRenamed("degree", "rank").join(edges, ["src", "dst"]).withColumn("tokens", size(F.col("description")))
     return within_budget(rows, "tokens", budget, [F.desc("rank"), F.desc("weight"), F.col("src"), F.col("dst")]).select("src", "dst", "weight", "description", "rank")
 
 
@@ -67,16 +72,16 @@ def global_selection(communities: DataFrame, reports: DataFrame, level: int = 2,
 POINTS = "points array<struct<description:string,score:double>>"
 
 
-def reduce_points(answers: DataFrame, budget: int = 16384) -> DataFrame:
+def reduce_points(answers: DataFrame, budget: int = 16384, size: Size = n_tokens) -> DataFrame:
     """(analyst, pos, description, score) of answers(analyst, answer: JSON of POINTS): points with a description, score 1 if none, above 0, best first, within the budget."""
     each = answers.select("analyst", F.posexplode(F.from_json("answer", POINTS)["points"]).alias("pos", "p")).where("p.description is not null")
-    rows = each.select("analyst", "pos", F.col("p.description").alias("description"), F.coalesce("p.score", F.lit(1.0)).alias("score")).where("score > 0").withColumn("tokens", n_tokens(F.col("description")))
+    rows = each.select("analyst", "pos", F.col("p.description").alias("description"), F.coalesce("p.score", F.lit(1.0)).alias("score")).where("score > 0").withColumn("tokens", size(F.col("description")))
     return within_budget(rows, "tokens", budget, [F.desc("score"), F.col("analyst"), F.col("pos")]).drop("tokens")
 
 
-def naive_context(hits: DataFrame, chunks: DataFrame, budget: int = 12000) -> DataFrame:
+def naive_context(hits: DataFrame, chunks: DataFrame, budget: int = 12000, size: Size = n_tokens) -> DataFrame:
     """One row: contents of the hits' chunks(chunk_id, ord) in order, within the budget, with a mark between them."""
-    rows = hits.join(chunks.select("chunk_id", "content"), "chunk_id").withColumn("tokens", n_tokens(F.col("content")))
+    rows = hits.join(chunks.select("chunk_id", "content"), "chunk_id").withColumn("tokens", size(F.col("content")))
     fit = within_budget(rows, "tokens", budget, [F.col("ord")])
     return fit.agg(F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("c")).select(F.array_join("c.content", "--New Chunk--\n").alias("context"))
 
@@ -143,12 +148,12 @@ def merge_hops(contexts: DataFrame, budget: int, by: list[str]) -> DataFrame:
     return one.withColumn("__used", used).where(F.col("__used") <= budget).drop("__used")
 
 
-def pack_rows(rows: DataFrame, by: list[str], text: Column, order: list[Column], budget: Column | int) -> DataFrame:
+def pack_rows(rows: DataFrame, by: list[str], text: Column, order: list[Column], budget: Column | int, size: Size = n_tokens) -> DataFrame:
     """rows of each community within a budget of the tokens of their text."""
-    return within_budget(rows.withColumn("tokens", n_tokens(text)), "tokens", budget, order, by)
+    return within_budget(rows.withColumn("tokens", size(text)), "tokens", budget, order, by)
 
 
-def pack_communities(membership: DataFrame, nodes: DataFrame, edges: DataFrame, budget: int = 12000) -> tuple[DataFrame, DataFrame]:
+def pack_communities(membership: DataFrame, nodes: DataFrame, edges: DataFrame, budget: int = 12000, size: Size = n_tokens) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) rows of each cluster for its report: the budget is split by their counts, each part sorted by degree."""
     key = ["level", "cluster"]
     n = membership.join(nodes, "id")
@@ -156,14 +161,14 @@ def pack_communities(membership: DataFrame, nodes: DataFrame, edges: DataFrame,
     e = edge_degrees(e, edges)
     counts = n.groupBy(*key).agg(F.count("*").alias("nn")).join(e.groupBy(*key).agg(F.count("*").alias("ne")), key, "left")
     share = counts.select(*key, F.floor(budget * F.col("nn") / (F.col("nn") + F.coalesce("ne", F.lit(0)))).alias("for_nodes"))
-    kept_n = pack_rows(n.join(share, key), key, F.concat_ws(" ", "entity_name", "description"), [F.desc("degree"), F.col("id")], F.col("for_nodes"))
-    kept_e = pack_rows(e.join(share, key), key, F.col("description"), [F.desc("degree"), F.col("src"), F.col("dst")], budget - F.col("for_nodes"))
+    kept_n = pack_rows(n.join(share, key), key, F.concat_ws(" ", "entity_name", "description"), [F.desc("degree"), F.col("id")], F.col("for_nodes"), size)
+    kept_e = pack_rows(e.join(share, key), key, F.col("description"), [F.desc("degree"), F.col("src"), F.col("dst")], budget - F.col("for_nodes"), size)
     return kept_n.drop("for_nodes", "tokens"), kept_e.drop("for_nodes", "tokens")
 
 
-def pack_sub_reports(subs: DataFrame, reports: DataFrame, membership: DataFrame, budget: int = 12000) -> tuple[DataFrame, DataFrame]:
+def pack_sub_reports(subs: DataFrame, reports: DataFrame, membership: DataFrame, budget: int = 12000, size: Size = n_tokens) -> tuple[DataFrame, DataFrame]:
     """(reports, members left) of large clusters: reports of their sub(level, cluster, sub) by occurrence within the budget, and members that none of those covers."""
-    rows = subs.join(reports.select(F.col("cluster").alias("sub"), "report", "occurrence"), "sub").withColumn("tokens", n_tokens(F.col("report")))
+    rows = subs.join(reports.select(F.col("cluster").alias("sub"), "report", "occurrence"), "sub").withColumn("tokens", size(F.col("report")))
     kept = within_budget(rows, "tokens", budget, [F.desc("occurrence"), F.col("sub")], ["level", "cluster"])
     covered = kept.select("cluster", "sub").join(membership.select(F.col("cluster").alias("sub"), "id"), "sub").select("cluster", "id").distinct()
     left = membership.join(subs.select("level", "cluster").distinct(), ["level", "cluster"], "left_semi").join(covered, ["cluster", "id"], "left_anti")
