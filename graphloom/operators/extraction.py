@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -180,22 +180,22 @@ def recogniser(load: Callable[[], Callable]) -> Callable[[list[str]], list[str]]
     return model
 
 
-def extract_aliases(entities: DataFrame, chunks: DataFrame, model: Callable[[list[str]], list[str]], batch: int = 10, most_chunks: int = 5, most_failed: float = 0.5) -> DataFrame:
-    """(entity_id, alias): a model's aliases of entities(entity_id, entity_name, chunk_id), from up to `most_chunks` of the chunks(chunk_id, content) that name them.
+def extract_aliases(entities: DataFrame, chunks: DataFrame, model: Callable[[list[str]], list[str]], batch: int = 10, most_chunks: int = 5, most_failed: float = 0.5, by: Sequence[str] = ("entity_id",)) -> DataFrame:
+    """(by..., alias): a model's aliases of each group of entities(by..., entity_name, chunk_id), from up to `most_chunks` of the chunks(chunk_id, content) that name them.
 
     A prompt has one entity and its chunks; the answer is a JSON array of names. Names that differ from
     the entity's in case only go. Raises if more than `most_failed` of the prompts fail.
     """
-    rank = F.row_number().over(Window.partitionBy("entity_id").orderBy("chunk_id"))
-    near = entities.select("entity_id", "entity_name", "chunk_id").distinct().withColumn("n", rank).where(F.col("n") <= most_chunks).join(chunks.select("chunk_id", "content"), "chunk_id")
-    asked = near.groupBy("entity_id").agg(F.min("entity_name").alias("entity_name"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "content"))), lambda x: x["content"]), "\n").alias("text"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("chunk_id"))
+    near = entities.select(*by, "entity_name", "chunk_id").distinct().withColumn("n", rank).where(F.col("n") <= most_chunks).join(chunks.select("chunk_id", "content"), "chunk_id")
+    asked = near.groupBy(*by).agg(F.min("entity_name").alias("entity_name"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "content"))), lambda x: x["content"]), "\n").alias("text"))
     prompt = F.concat(F.lit("Other names of "), "entity_name", F.lit(" in these texts, as a JSON array:\n"), "text")
-    told = materialize(call_model(asked, prompt, model, batch).select("entity_id", "entity_name", "output", "error"))
+    told = materialize(call_model(asked, prompt, model, batch).select(*by, "entity_name", "output", "error"))
     n, failed = told.agg(F.count("*"), F.count("error")).first()
     if failed > n * most_failed:
         raise RuntimeError(f"{failed} of {n} prompts for aliases failed")
-    each = told.select("entity_id", "entity_name", F.explode(F.from_json("output", "array<string>")).alias("alias"))
-    return each.select("entity_id", "entity_name", strip(F.col("alias")).alias("alias")).where((F.col("alias") != "") & (F.lower("alias") != F.lower("entity_name"))).select("entity_id", "alias").distinct()
+    each = told.select(*by, "entity_name", F.explode(F.from_json("output", "array<string>")).alias("alias"))
+    return each.select(*by, "entity_name", strip(F.col("alias")).alias("alias")).where((F.col("alias") != "") & (F.lower("alias") != F.lower("entity_name"))).select(*by, "alias").distinct()
 
 
 def offline_extractor(prompts: list[str]) -> list[str]:

@@ -10,10 +10,16 @@ from ..sources.store import materialize
 from . import graph
 
 
+def _distinct(lists: str) -> Column:
+    """Sorted distinct entries of a group's lists."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(lists))))
+
+
 def accumulate_entities(facts: DataFrame) -> DataFrame:
-    """One row per (doc_id, entity_id) of facts(doc_id, entity_id, entity_name, entity_type, description, chunk_id, ord): the first name and type (of those at one place the smallest), sorted distinct descriptions and chunk ids."""
+    """One row per (doc_id, entity_id) of facts(doc_id, entity_id, entity_name, entity_type, description, chunk_id, ord): the first name and type (of those at one place the smallest), sorted distinct descriptions and chunk ids, and aliases if facts have lists of them."""
+    more = [_distinct("aliases").alias("aliases")] if "aliases" in facts.columns else []
     return facts.groupBy("doc_id", "entity_id").agg(
-        F.min_by("entity_name", F.struct("ord", "entity_name")).alias("entity_name"), F.min_by("entity_type", F.struct("ord", "entity_type")).alias("entity_type"), F.array_sort(F.collect_set("description")).alias("descriptions"), F.array_sort(F.collect_set("chunk_id")).alias("source_chunk_ids")
+        F.min_by("entity_name", F.struct("ord", "entity_name")).alias("entity_name"), F.min_by("entity_type", F.struct("ord", "entity_type")).alias("entity_type"), F.array_sort(F.collect_set("description")).alias("descriptions"), F.array_sort(F.collect_set("chunk_id")).alias("source_chunk_ids"), *more
     )
 
 
@@ -30,12 +36,14 @@ def modal(facts: DataFrame, by: str, value: str, position: list[str]) -> DataFra
 
 
 def combine_entities(manifest: DataFrame) -> DataFrame:
-    """Corpus entities of manifest(doc_id, entity_id, entity_name, entity_type, descriptions, source_chunk_ids): modal name and type, joined descriptions and sources."""
-    manifest = materialize(manifest.select("doc_id", "entity_id", "entity_name", "entity_type", "descriptions", "source_chunk_ids"))  # read three times
+    """Corpus entities of manifest(doc_id, entity_id, entity_name, entity_type, descriptions, source_chunk_ids): modal name and type, joined descriptions and sources; aliases, if documents have them, sorted and without the name itself in any case."""
+    told = ["aliases"] if "aliases" in manifest.columns else []
+    manifest = materialize(manifest.select("doc_id", "entity_id", "entity_name", "entity_type", "descriptions", "source_chunk_ids", *told))  # read three times
     name = modal(manifest, "entity_id", "entity_name", ["doc_id"])
     kind = modal(manifest, "entity_id", "entity_type", ["doc_id"])
-    lists = manifest.groupBy("entity_id").agg(F.flatten(F.collect_set("descriptions")).alias("d"), F.flatten(F.collect_set("source_chunk_ids")).alias("s"))
-    return name.join(kind, "entity_id").join(lists, "entity_id").select("entity_id", "entity_name", "entity_type", join_unique(F.col("d")).alias("description"), join_unique(F.col("s")).alias("source_id"))
+    lists = manifest.groupBy("entity_id").agg(F.flatten(F.collect_set("descriptions")).alias("d"), F.flatten(F.collect_set("source_chunk_ids")).alias("s"), *[_distinct(c).alias("__aliases") for c in told])
+    others = [F.filter("__aliases", lambda a: F.lower(a) != F.lower("entity_name")).alias(c) for c in told]
+    return name.join(kind, "entity_id").join(lists, "entity_id").select("entity_id", "entity_name", "entity_type", join_unique(F.col("d")).alias("description"), join_unique(F.col("s")).alias("source_id"), *others)
 
 
 def combine_relationships(manifest: DataFrame) -> DataFrame:

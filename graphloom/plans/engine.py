@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +26,10 @@ FAIL = "Sorry, I'm not able to provide an answer to that question."
 UNGROUNDED = "I don't have enough information to answer this question."
 
 
+def _no_names() -> Column:
+    return F.array().cast("array<string>")
+
+
 def fingerprint(value) -> str:
     """A text that differs between functions of different code, defaults or enclosed values; other callables go by their type and attributes, a `version` among them if they have one."""
     code = getattr(value, "__code__", None)
@@ -234,10 +238,10 @@ class Engine:
         change.merge("chunks", fresh, "doc_id", ids)
         still = told.where("output is null").select("doc_id", "chunk_id", (F.col("attempts") + 1).alias("attempts"), "error")
         change.merge("failed_chunks", still, "doc_id", ids.union(again.select("doc_id")))
-        if c.aliases:
-            found = extraction.extract_aliases(fact_e, told.select("doc_id", "chunk_id", "content"), c.aliases)
-            old = change.read("entity_aliases") if change.has("entity_aliases") else found.limit(0)
-            change.merge("entity_aliases", found.join(old, ["entity_id", "alias"], "left_anti"), "entity_id")
+        if c.aliases:  # a document's aliases are part of its facts, so they go with it
+            by = ["doc_id", "entity_id"]
+            found = extraction.extract_aliases(fact_e, told.select("chunk_id", "content"), c.aliases, by=by).groupBy(*by).agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+            fact_e = materialize(fact_e.join(found, by, "left").withColumn("aliases", F.coalesce("aliases", _no_names())))
         vec = materialize(vectors.embed(fresh.select(F.col("chunk_id").alias("id"), "doc_id", "content"), "content", c.embed).drop("content"))
         change.merge("chunk_vectors", vec, "doc_id", ids)
         self._index(change, "chunk_vectors", vec, ids)
@@ -279,6 +283,8 @@ class Engine:
 
     def _facts(self, change: Change, ids: DataFrame, fact_e: DataFrame, fact_r: DataFrame) -> None:
         """Put facts in place of those of the documents ids(doc_id), bring the contribution index up to date by the difference, and derive what the old and new facts touch."""
+        if "aliases" not in fact_e.columns:
+            fact_e = fact_e.withColumn("aliases", _no_names())
         had = change.has("doc_entity")
         old_e = materialize(change.read("doc_entity").join(ids, "doc_id", "left_semi")) if had else fact_e.limit(0)
         old_r = materialize(change.read("doc_relationship").join(ids, "doc_id", "left_semi")) if had else fact_r.limit(0)
@@ -579,11 +585,7 @@ class Engine:
 
     def registry(self) -> DataFrame:
         """Entities by name with their aliases."""
-        e = self.store.read("entities").select("entity_id", F.col("entity_name").alias("canonical_name"), "entity_type", F.create_map().cast("map<string,string>").alias("metadata"), F.xxhash64("entity_id").alias("reg_order"))
-        if not self.store.has("entity_aliases"):
-            return e.withColumn("aliases", F.array().cast("array<string>"))
-        found = merge.remap_entities(self.store.read("entity_aliases"), self._remap()).groupBy("entity_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
-        return e.join(found, "entity_id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+        return self.store.read("entities").select("entity_id", F.col("entity_name").alias("canonical_name"), "entity_type", F.create_map().cast("map<string,string>").alias("metadata"), F.xxhash64("entity_id").alias("reg_order"), "aliases")
 
     def mentioned(self, text: str) -> list[str]:
         """Names of known entities in a text."""

@@ -103,6 +103,18 @@ def entity_combine(s, d):
     return merge.combine_entities(merge.accumulate_entities(X.doc_entities(s, d))).withColumn("source_id", F.sha2("source_id", 256))
 
 
+@query("""WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY 1, 2),
+m AS (SELECT o_custkey, arg_min(o_orderpriority, (-n, f, o_orderpriority)) AS entity_name FROM c GROUP BY 1),
+a AS (SELECT o_custkey, lower(o_orderpriority) AS alias FROM orders UNION SELECT o_custkey, o_orderstatus FROM orders)
+SELECT CAST(m.o_custkey AS VARCHAR) AS entity_id, entity_name, coalesce(string_agg(alias, '|' ORDER BY alias) FILTER (alias <> lower(entity_name)), '') AS aliases FROM m JOIN a ON m.o_custkey = a.o_custkey GROUP BY 1, 2""")
+def entity_combine_aliases(s, d):
+    """Each order is a document that names its customer by the priority, also in lower case, and by the status."""
+    o = X.read(s, d, "orders")
+    names = F.array(F.lower("o_orderpriority"), F.col("o_orderstatus"))
+    facts = o.select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").cast("string").alias("entity_id"), F.col("o_orderpriority").alias("entity_name"), F.lit("X").alias("entity_type"), F.lit("").alias("description"), F.lit("c").alias("chunk_id"), F.lit(0).alias("ord"), names.alias("aliases"))
+    return merge.combine_entities(merge.accumulate_entities(facts)).select("entity_id", "entity_name", F.array_join("aliases", "|").alias("aliases"))
+
+
 @query(f"WITH {X.DOC_RELATIONSHIPS} SELECT relationship_id, min(src) AS src, min(tgt) AS tgt, min(relation_type) AS relation_type, sum(weight) AS weight, sha256(string_agg(DISTINCT chunk_id, '<SEP>' ORDER BY chunk_id)) AS source_id, 1 AS \"order\" FROM rels GROUP BY relationship_id")
 def rel_combine(s, d):
     return merge.combine_relationships(merge.accumulate_relationships(X.doc_relationships(s, d))).withColumn("source_id", F.sha2("source_id", 256))
