@@ -30,20 +30,43 @@ class Tool:
 
 def _typed(value: Column, kind: str) -> Column:
     found = F.schema_of_variant(value)
-    whole = found == "BIGINT"
+    number = (found == "BIGINT") | (found == "DOUBLE") | found.startswith("DECIMAL")
     if kind == "string":
         return found == "STRING"
-    if kind == "integer":
-        return whole
+    if kind == "integer":  # 1.0 and 1e0 are integers too
+        exact = F.try_variant_get(value, "$", "double")
+        return (found == "BIGINT") | (number & (exact == F.floor(exact)))
     if kind == "number":
-        return whole | (found == "DOUBLE") | found.startswith("DECIMAL")
+        return number
     if kind == "boolean":
         return found == "BOOLEAN"
     return found.startswith({"array": "ARRAY", "object": "OBJECT"}[kind])
 
 
+#: What JSON text is made of: strings, numbers, and all between them. Possessive, so long strings need no stack.
+_PARTS = r'"(?:[^"\\]++|\\.)*+"|-?[0-9][0-9.eE+-]*|[^"0-9-]++'
+#: Whole numbers below this, and decimals of so many digits, are exact as doubles.
+_WHOLE, _DIGITS = 1e15, 15
+
+
+def canonical_numbers(json: Column) -> Column:
+    """JSON text with each number that has a point or an exponent in one form: whole ones below 10^15 without either, others as the shortest text of their double; decimals of over 15 digits without exponent stay as they are."""
+
+    def number(part: Column) -> Column:
+        value = part.try_cast("double")
+        digits = F.length(F.regexp_replace(part, "^[-0.]+|[.]", ""))
+        long_ = ~part.rlike("[eE]") & (digits > _DIGITS)
+        whole = (value == F.floor(value)) & (F.abs(value) < _WHOLE)
+        fit = F.when(whole, value.cast("long").cast("string")).when(F.abs(value) < float("inf"), value.cast("string"))
+        return F.when(long_, part).otherwise(F.coalesce(fit, part))
+
+    parts = F.regexp_extract_all(json, F.lit(_PARTS), 0)
+    rewritten = F.transform(parts, lambda p: F.when(p.rlike("^-?[0-9]+[.eE]"), number(p)).otherwise(p))
+    return F.when(json.rlike("[0-9][.eE]"), F.array_join(rewritten, "")).otherwise(json)
+
+
 def valid_arguments(name: Column, arguments: Column, tools: tuple[Tool, ...]) -> Column:
-    """True if the JSON text `arguments` is an object that has what the schema of tool `name` asks for and nothing else; false for unknown tools."""
+    """True if the JSON text `arguments` is an object that has what the schema of tool `name` asks for and nothing else; false for unknown tools and objects that repeat a key."""
     parsed = F.try_parse_json(arguments)
     out = F.lit(False)
     for tool in tools:
@@ -119,7 +142,9 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: tuple[Tool, ...]) ->
     without a result. Results of no call and calls without identifier go. Sorting a conversation's rows
     by (depth, turn, call_id) is a topological order; depth is null on or behind a cycle. valid: the
     arguments fit the tool's schema. line: canonical JSON of arguments (null if they aren't JSON),
-    call_id, content and name. Nulls become JSON nulls; empty tables give no rows; other columns don't
+    call_id, content and name; numbers are in the form of canonical_numbers(), and arguments in which an
+    object repeats a key stay as they are, as a JSON string. Very long contents pass through whole, each
+    row by itself. Nulls become JSON nulls; empty tables give no rows; other columns don't
     matter.
     """
     keys = ["conv_id", "call_id"]
@@ -131,10 +156,11 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: tuple[Tool, ...]) ->
     joined = said.join(given.select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call"), "r", "n_results"), null_safe("r"), "left")
     joined = joined.join(placed.select(F.col("conv_id").alias("d_conv"), F.col("call_id").alias("d_call"), "depth"), null_safe("d"), "left")
     status = F.when((F.col("n_calls") > 1) | (F.coalesce("n_results", F.lit(0)) > 1), "repeated").when(F.col("n_results").isNull(), "unanswered").otherwise("linked")
-    # a variant's objects keep their keys in order, so printing one is canonical
-    canonical = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("null"))
     text = lambda c: F.coalesce(F.to_json(F.try_parse_json(F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "true"}))), F.lit("{}"))
     quoted = lambda c: F.when(c.isNull(), "null").otherwise(F.regexp_extract(text(c), r'(?s)^\{"x":(.*)\}$', 1))
+    # a variant's objects keep their keys in order, so printing one is canonical; it has no objects that repeat a key
+    repeated = F.json_object_keys("arguments").isNotNull() | F.json_array_length("arguments").isNotNull()
+    canonical = F.coalesce(canonical_numbers(F.to_json(F.try_parse_json("arguments"))), F.when(repeated, quoted(F.col("arguments"))), F.lit("null"))
     line = F.concat(F.lit('{"arguments":'), canonical, F.lit(',"call_id":'), quoted(F.col("call_id")), F.lit(',"content":'), quoted(F.col("r.content")), F.lit(',"name":'), quoted(F.col("name")), F.lit("}"))
     return joined.select("conv_id", "call_id", "turn", "name", "depth", status.alias("status"), valid_arguments(F.col("name"), F.col("arguments"), tools).alias("valid"), line.alias("line"))
 

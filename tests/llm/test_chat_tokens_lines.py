@@ -59,6 +59,24 @@ def test_links_against_brute_force(spark):
     assert link_calls(table.limit(0), table.limit(0).selectExpr("conv_id", "turn", "call_id", "name content"), TOOLS).count() == 0
 
 
+def test_canonical_arguments(spark):
+    """Equal arguments have one line; repeated keys keep their text; long contents stay whole."""
+    equal = ['{"a": 1, "b": 1.5}', '{"b":15e-1,"a":1.0}', '{"a": 1e0, "b": 0.15E1}', '{"b": 1.50, "a": 10E-1}']
+    texts = ['{"text": "1.0 and \\\\\\"2e0\\" stay", "tags": [1.0, -2.50, 1e-7, 0.0000001, 1e20, -0.0]}', '{"text": "t", "tags": [0.12345678901234567890, 1234567890123456789]}', '{"text": "x", "text": "y"}', '[{"k": 1, "k": 2}]']
+    big = json.dumps({"text": 'long "quoted" \\ 1.5 ' * 20000})
+    rows = [(1, i, f"e{i}", "add", a) for i, a in enumerate(equal)] + [(2, i, f"t{i}", "say", a) for i, a in enumerate(texts)] + [(3, 0, "big", "say", big), (4, 0, "half", "add", '{"a": 1.5}')]
+    calls = spark.createDataFrame([(*r, None) for r in rows], "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")
+    content = 'answer 1.0 "é" \n' * 30000
+    got = {r.call_id: r for r in link_calls(calls, spark.createDataFrame([(3, 1, "big", content)], "conv_id long, turn long, call_id string, content string"), TOOLS).collect()}
+    assert {got[f"e{i}"].line.replace(f"e{i}", "id") for i in range(4)} == {'{"arguments":{"a":1,"b":1.5},"call_id":"id","content":null,"name":"add"}'}
+    assert all(got[f"e{i}"].valid for i in range(4)) and not got["half"].valid
+    told = json.loads(texts[0])
+    assert json.loads(got["t0"].line)["arguments"] == told and '"tags":[1,-2.5,1.0E-7,1.0E-7,1.0E20,0]' in got["t0"].line
+    assert '[0.1234567890123456789' in got["t1"].line and ',1234567890123456789]' in got["t1"].line
+    assert [json.loads(got[k].line)["arguments"] for k in ("t2", "t3")] == texts[2:] and not got["t2"].valid
+    assert json.loads(got["big"].line) == {"arguments": json.loads(big), "call_id": "big", "content": content, "name": "say"} and got["big"].valid
+
+
 def test_long_chains_and_null_conversations(spark):
     """A chain of 500 calls, one whose calls use the last three, a cycle behind 20 calls, and a chain without a conversation; the last three make 70 rounds."""
     calls = [(1, f"a{i}", [f"a{i - 1}"] if i else []) for i in range(500)]
