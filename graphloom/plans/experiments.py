@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,10 +127,51 @@ class Suite:
         return rows.withColumns({n: METRICS[n](F.col("prediction"), F.col("gold"), F.col("context"), F.col("facts")) for n in self.names})
 
 
-def judged(rows: DataFrame, judge: Callable[[list[str]], list[float]], question: str = "Is this answer supported by the context?") -> DataFrame:
-    """rows(prediction, context, ...) with a judge model's score of each, 0 to 1, in batches on executors."""
-    prompt = F.concat_ws("\n", F.lit(question), F.col("context"), F.col("prediction"))
-    return rows.withColumn("score", F.pandas_udf(lambda p: p.map(lambda x: min(1.0, max(0.0, float(judge([x])[0])))), "double")(prompt))
+#: What a judge is asked, and the columns that it is shown.
+JUDGEMENTS = {
+    "faithfulness": ("Is this answer supported by the context?", ("context", "prediction")),
+    "answer_relevance": ("Does this answer meet the question?", ("question", "prediction")),
+}
+
+
+def judged(rows: DataFrame, judge: Callable[[list[str]], list[float]], question: str = JUDGEMENTS["faithfulness"][0], shown: Sequence[str] = ("context", "prediction"), name: str = "score", batch: int = 16) -> DataFrame:
+    """rows with a judge model's score of each, 0 to 1, asked `batch` prompts at a time on executors.
+
+    A prompt is the question and the shown columns, nulls left out. A batch that fails is asked prompt by
+    prompt; what still fails, or gets no number, has a null score, which means leave out.
+    """
+
+    def numbers(prompts: list[str]) -> list[float | None]:
+        told = [float(x) for x in judge(prompts)]
+        if len(told) != len(prompts):
+            raise ValueError(f"{len(told)} scores for {len(prompts)} prompts")
+        return [None if x != x else min(1.0, max(0.0, x)) for x in told]
+
+    def alone(prompt: str) -> float | None:
+        try:
+            return numbers([prompt])[0]
+        except Exception:  # a row without a score
+            return None
+
+    def scores(prompts: pd.Series) -> pd.Series:
+        out: list[float | None] = []
+        asked = prompts.tolist()
+        for i in range(0, len(asked), batch):
+            part = asked[i : i + batch]
+            try:
+                out += numbers(part)
+            except Exception:
+                out += [alone(p) for p in part]
+        return pd.Series(out, dtype="float64")
+
+    return rows.withColumn(name, F.pandas_udf(scores, "double")(F.concat_ws("\n", F.lit(question), *[F.col(c) for c in shown])))
+
+
+def judged_all(rows: DataFrame, judge: Callable[[list[str]], list[float]], batch: int = 16) -> DataFrame:
+    """rows(question, prediction, context, ...) with a column for each of JUDGEMENTS."""
+    for name, (question, shown) in JUDGEMENTS.items():
+        rows = judged(rows, judge, question, shown, name, batch)
+    return rows
 
 
 @dataclass
