@@ -68,15 +68,19 @@ def near_names(asked: DataFrame, names: DataFrame, threshold: float) -> DataFram
     left over, a + b - 2 m in all: so for 3 m - (a + b) - 1 equal pairs of letters, and b is t / (2 - t) a
     or longer. Names long enough for that to be one or more meet at one of their rarest pairs of letters;
     shorter ones, and all below thresholds of two thirds, at one of their rarest letters, of which they
-    share t / (2 - t) a. What meets is cut by length and by common pairs or letters.
+    share t / (2 - t) a. What meets is cut by length and by common letters inside the join, so pairs that
+    can't be near are never written, and then by common pairs of letters.
     """
     t = threshold
     every = materialize(names.select(F.col("b").alias("name")).union(asked.select("a")).where("name <> ''").distinct().withColumns({"n": F.length("name"), "bag": _letters(F.col("name"))}))
     least_pairs = F.ceil(F.col("n") * (2 / (2 - t) * (1.5 * t - 1)) - 1 - 1e-9)
     long_ = (least_pairs >= 1) & (F.col("n") >= 2)
     pairs = materialize(every.where(long_).select("name", "n", _pairs_of_letters(F.col("name")).alias("pairs")))
-    side = lambda prefix, of, c: prefix.join(of.select(F.col(c).alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), "feature")
-    fits = 2 * F.least("na", "nb") >= t * (F.col("na") + F.col("nb")) - 1e-9
+    side = lambda prefix, of, c: prefix.join(of.select(F.col(c).alias("name")).distinct(), "name", "left_semi").join(numbered, "name").select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), F.col("codes").alias(f"codes_{c}"), "feature")
+    # letters as numbers, which are compared faster than texts
+    numbered = every.select("name", F.transform("bag", lambda x: F.ascii(x) * F.lit(1 << 32) + F.substring(x, F.lit(2), F.length(x)).cast("long")).alias("codes"))
+    sums = F.col("na") + F.col("nb")
+    fits = F.when(2 * F.least("na", "nb") < t * sums - 1e-9, False).otherwise(2 * F.size(F.array_intersect("codes_a", "codes_b")) >= t * sums - 1e-9)
 
     by_pair = rare_prefix(pairs.select("name", "n", F.size("pairs").alias("size"), F.explode("pairs").alias("feature")), least_pairs)
     met = side(by_pair, asked, "a").join(side(by_pair, names, "b"), "feature").where(fits).select("a", "b", "na", "nb").distinct()
@@ -92,10 +96,7 @@ def near_names(asked: DataFrame, names: DataFrame, threshold: float) -> DataFram
     ends = [side(by_letter.where(w), x, c) for x, c in ((asked, "a"), (names, "b")) for w in ("not long", "long")]
     meet = lambda x, y: x.join(y, "feature").where(fits).select("a", "b", "na", "nb")
     short = meet(ends[0], ends[2]).union(meet(ends[0], ends[3])).union(meet(ends[1], ends[2])).distinct()
-    found = materialize(met.union(short).distinct())
-    bag = lambda c: every.select(F.col("name").alias(c), F.col("bag").alias(f"bag_{c}"))
-    enough = 2 * F.size(F.array_intersect("bag_a", "bag_b")) >= t * (F.col("na") + F.col("nb")) - 1e-9
-    return found.join(bag("a"), "a").join(bag("b"), "b").where(enough).select("a", "b", "na", "nb")
+    return met.union(short).distinct()
 
 
 def fuzzy_pairs(queries: DataFrame, registry: DataFrame, threshold: float) -> DataFrame:
@@ -107,10 +108,15 @@ def fuzzy_pairs(queries: DataFrame, registry: DataFrame, threshold: float) -> Da
     return asked.join(scored, "a").join(names, "b").groupBy("query_id", "entity_id", "reg_order", "entity_type", "query_type").agg(F.max("score").alias("score"))
 
 
+def _unmatched(queries: DataFrame, exact: DataFrame) -> DataFrame:
+    """queries(query_id, ...) without an exact match in exact(query_id, exact); only these are compared with other names."""
+    return queries.join(exact.where("exact is null").select("query_id"), "query_id", "left_semi")
+
+
 def resolve_fuzzy(queries: DataFrame, registry: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(query_id, entity_id): the exact match, or else the first registered entity whose ratio is enough."""
-    exact = resolve_exact(queries, registry).select("query_id", F.col("entity_id").alias("exact"))
-    near = fuzzy_pairs(queries, registry, threshold).groupBy("query_id").agg(F.min_by("entity_id", "reg_order").alias("near"))
+    exact = materialize(resolve_exact(queries, registry).select("query_id", F.col("entity_id").alias("exact")))
+    near = fuzzy_pairs(_unmatched(queries, exact), registry, threshold).groupBy("query_id").agg(F.min_by("entity_id", "reg_order").alias("near"))
     return exact.join(near, "query_id", "left").select("query_id", F.coalesce("exact", "near").alias("entity_id"))
 
 
@@ -156,8 +162,8 @@ def link_manifest(manifest: DataFrame, registry: DataFrame, threshold: float = 0
     if that is one of them.
     """
     queries = manifest.select(F.col("entity_id").alias("query_id"), F.col("entity_name").alias("name"), "entity_type").dropDuplicates(["query_id"])
-    exact = resolve_exact(queries, registry).select("query_id", F.col("entity_id").alias("exact"))
-    near = candidates(queries, registry, threshold, 3).join(registry.select("entity_id", "canonical_name"), "entity_id")
+    exact = materialize(resolve_exact(queries, registry).select("query_id", F.col("entity_id").alias("exact")))
+    near = candidates(_unmatched(queries, exact), registry, threshold, 3).join(registry.select("entity_id", "canonical_name"), "entity_id")
     near = near.groupBy("query_id").agg(F.count("*").alias("n"), F.first("entity_id").alias("only"), F.array_sort(F.collect_list(F.struct("rank", "entity_id", "canonical_name"))).alias("options"))
     links = materialize(exact.join(near, "query_id", "left"))
     chosen = F.coalesce("exact", F.when(F.col("n") == 1, F.col("only")))

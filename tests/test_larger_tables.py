@@ -27,3 +27,17 @@ def plan(df):
 def test_community_schema_holds_no_lists(spark, name):
     assert "collect_" not in plan(catalog.QUERIES[name](spark, DATA))
     assert same_as_sql(spark, name)
+
+
+def test_manifest_compares_only_what_has_no_exact_match(spark, monkeypatch):
+    from graphloom.operators import registry
+
+    asked = []
+    kept = registry.fuzzy_pairs
+    monkeypatch.setattr(registry, "fuzzy_pairs", lambda q, *more: asked.append({r.query_id for r in q.collect()}) or kept(q, *more))
+    reg = spark.createDataFrame([(f"e{k}", f"Supplier#{k:06d}", "X", [], k) for k in range(30)], "entity_id string, canonical_name string, entity_type string, aliases array<string>, reg_order long")
+    m = spark.createDataFrame([(f"m{k}", f"SUPPLIER#{k:06d}", "X") for k in range(30)] + [("odd", "Sopplier#000007", "X")], "entity_id string, entity_name string, entity_type string")
+    links = {r.entity_id: r.linked_id for r in registry.link_manifest(m, reg, 0.92).collect()}
+    assert links == {f"m{k}": f"e{k}" for k in range(30)} | {"odd": "e7"}
+    fuzzy = {r.query_id: r.entity_id for r in registry.resolve_fuzzy(m.select(m.entity_id.alias("query_id"), m.entity_name.alias("name"), "entity_type"), reg, 0.92).collect()}
+    assert fuzzy == links and asked == [{"odd"}, {"odd"}]
