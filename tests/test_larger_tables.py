@@ -41,3 +41,18 @@ def test_manifest_compares_only_what_has_no_exact_match(spark, monkeypatch):
     assert links == {f"m{k}": f"e{k}" for k in range(30)} | {"odd": "e7"}
     fuzzy = {r.query_id: r.entity_id for r in registry.resolve_fuzzy(m.select(m.entity_id.alias("query_id"), m.entity_name.alias("name"), "entity_type"), reg, 0.92).collect()}
     assert fuzzy == links and asked == [{"odd"}, {"odd"}]
+
+
+def test_nested_communities_of_larger_nations(spark, tmp_path):
+    for f in ("nation", "customer"):
+        df = spark.read.parquet(f"{DATA}/{f}.parquet")
+        if f == "customer":
+            n = df.count()
+            df = df.selectExpr("c_custkey", "c_nationkey", "explode(sequence(0, 99)) k").selectExpr(f"c_custkey + {n} * k c_custkey", "c_nationkey")
+        df.write.parquet(f"{tmp_path}/{f}.parquet")
+    con = duckdb.connect()
+    for f in ("nation", "customer"):
+        con.execute(f"CREATE VIEW {f} AS SELECT * FROM '{tmp_path}/{f}.parquet/*.parquet'")
+    want = set(con.sql(f"SELECT id, level, cluster, parent FROM ({catalog.SQL['nested_communities']})").fetchall())
+    found = catalog.QUERIES["nested_communities"](spark, str(tmp_path)).select("id", "level", "cluster", "parent").collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
