@@ -56,3 +56,17 @@ def test_nested_communities_of_larger_nations(spark, tmp_path):
     want = set(con.sql(f"SELECT id, level, cluster, parent FROM ({catalog.SQL['nested_communities']})").fetchall())
     found = catalog.QUERIES["nested_communities"](spark, str(tmp_path)).select("id", "level", "cluster", "parent").collect()
     assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+
+def test_node2vec_trains_in_several_tasks(spark, monkeypatch):
+    from graphloom.operators import graph
+    from pyspark.ml import feature
+
+    parts, kept = [], feature.Word2Vec.fit
+    monkeypatch.setattr(graph, "WALKS", 10, raising=False)
+    monkeypatch.setattr(feature.Word2Vec, "fit", lambda self, df: parts.append(self.getNumPartitions()) or kept(self, df))
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}", 1.0) for k in range(19)], "src string, dst string, weight double")
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(20)], "id string")
+    found = graph.node2vec(nodes, edges, dims=4, n=2, length=3).collect()
+    assert {r.id for r in found} == {f"n{k}" for k in range(20)} and all(len(r.embedding) == 4 for r in found)
+    assert parts == [4]
