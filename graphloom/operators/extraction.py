@@ -22,23 +22,35 @@ def parse_records(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     described by the relationship. relationships: doc_id, chunk_id, ord, src, tgt, relation_type,
     description, weight.
     """
-    records = texts.select("doc_id", "chunk_id", F.posexplode(split_markers(F.col("output"), [RECORD_MARK, COMPLETE_MARK])).alias("ord", "record"))
-    body = F.regexp_extract("record", r"\((.*)\)", 1)
-    fields = records.select("doc_id", "chunk_id", F.col("ord").cast("long").alias("ord"), split_markers(body, [TUPLE_MARK]).alias("a"))
-    name = lambda i: entity_name(F.col("a")[i])
-    entities = fields.where((F.size("a") >= 4) & (F.try_element_at("a", F.lit(1)) == '"entity"')).select("doc_id", "chunk_id", "ord", name(1).alias("entity_name"), entity_type(F.col("a")[2]).alias("entity_type"), clean(F.col("a")[3]).alias("description")).where("entity_name <> ''")
-    last = F.element_at("a", -1)
-    weight = F.when(is_number(last), last.try_cast("double")).otherwise(F.lit(1.0))
-    rels = fields.where((F.size("a") >= 5) & (F.try_element_at("a", F.lit(1)) == '"relationship"')).select("doc_id", "chunk_id", "ord", name(1).alias("src"), name(2).alias("tgt"), F.lit("RELATED").alias("relation_type"), clean(F.col("a")[3]).alias("description"), weight.alias("weight"))
-    return with_endpoints(entities, rels), rels
+    # cut once: what an explode gives is no expression that later filters and columns evaluate again
+    records = F.transform(split_markers(F.col("output"), [RECORD_MARK, COMPLETE_MARK]), lambda r: split_markers(F.regexp_extract(r, r"\((.*)\)", 1), [TUPLE_MARK]))
+    is_entity = lambda a: (F.size(a) >= 4) & (F.try_element_at(a, F.lit(1)) == '"entity"')
+    is_rel = lambda a: (F.size(a) >= 5) & (F.try_element_at(a, F.lit(1)) == '"relationship"')
+    row = lambda i, place, implicit, name, kind, text: F.struct(i.cast("long").alias("ord"), F.lit(place).alias("place"), F.lit(implicit).alias("implicit"), name.alias("entity_name"), kind.alias("entity_type"), text.alias("description"))
+    end = lambda a, i, place: row(i, place, True, entity_name(a[place + 1]), F.lit(UNKNOWN_TYPE), clean(a[3]))
+    named = lambda a, i: F.when(is_entity(a), F.array(row(i, 0, False, entity_name(a[1]), entity_type(a[2]), clean(a[3])))).when(is_rel(a), F.array(end(a, i, 0), end(a, i, 1)))
+    rows = texts.select("doc_id", "chunk_id", F.explode(F.transform(records, named)).alias("rows")).select("doc_id", "chunk_id", F.inline("rows"))
+
+    def link(a: Column, i: Column) -> Column:
+        last = F.element_at(a, -1)
+        weight = F.when(is_number(last), last.try_cast("double")).otherwise(F.lit(1.0))
+        return F.when(is_rel(a), F.struct(i.cast("long").alias("ord"), entity_name(a[1]).alias("src"), entity_name(a[2]).alias("tgt"), F.lit("RELATED").alias("relation_type"), clean(a[3]).alias("description"), weight.alias("weight")))
+
+    links = texts.select("doc_id", "chunk_id", F.explode(F.transform(records, link)).alias("r")).where("r is not null")
+    return _first_named(rows.where("implicit or entity_name <> ''")), links.select("doc_id", "chunk_id", "r.*")
 
 
 def with_endpoints(entities: DataFrame, rels: DataFrame) -> DataFrame:
     """entities with an implicit one for each endpoint of rels that nothing before it in its chunk names."""
     ends = rels.select("doc_id", "chunk_id", "ord", F.posexplode(F.array("src", "tgt")).alias("place", "entity_name"), F.lit(UNKNOWN_TYPE).alias("entity_type"), "description")
-    both = entities.withColumns({"place": F.lit(0), "implicit": F.lit(False)}).unionByName(ends.withColumn("implicit", F.lit(True)))
+    return _first_named(entities.withColumns({"place": F.lit(0), "implicit": F.lit(False)}).unionByName(ends.withColumn("implicit", F.lit(True))))
+
+
+def _first_named(rows: DataFrame) -> DataFrame:
+    """rows without implicit entities that something before them in their chunk names, and without their place."""
     window = Window.partitionBy("doc_id", "chunk_id", "entity_name").orderBy("ord", "place").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("seen", F.count("*").over(window)).where("not implicit or seen = 0").drop("seen", "place")
+    found = rows.withColumn("seen", F.count("*").over(window)).where("not implicit or seen = 0")
+    return found.select("doc_id", "chunk_id", "ord", "entity_name", "entity_type", "description", "implicit")
 
 
 OUTPUT_SCHEMA = "entities array<struct<name:string,type:string,description:string>>, relationships array<struct<source:string,target:string,description:string,weight:double>>"
