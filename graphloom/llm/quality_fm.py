@@ -19,7 +19,7 @@ from ._words import Words, slices, text_bytes
 from .kneser_ney import held_out
 
 WORD_BITS, FACTORS = 13, 8
-#: Labelled rows that training may hold on the driver: those with the smallest hash of their doc_id.
+#: Labelled rows that training, which is one task, may hold: those with the smallest hash of their doc_id.
 SAMPLE = 8000
 #: Statistics of a text, after the hashed words in the numbering of features.
 STATISTICS = ("chars", "words", "word_length", "upper", "digits", "marks", "spaces", "lines", "non_ascii", "distinct", "top_word", "repeated_lines", "line_length", "stated_chars", "stated_missing")
@@ -166,9 +166,20 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sam
     known = known.orderBy("place", "doc_id", "label").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), _stated_chars(docs).alias("stated"))
     rows = texts.join(F.broadcast(known), "doc_id").select("label", "place", "text", "stated")
-    found = small_batches(rows).mapInArrow(_featured, "label double, place long, index binary, value binary").orderBy("place", "label", F.length("index"), "index", "value").limit(sample).toArrow()
-    pairs = [(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(found["index"].to_pylist(), found["value"].to_pylist(), strict=True)]
-    return fit(pairs, found["label"].to_numpy().astype(float))
+    taken = small_batches(rows).mapInArrow(_featured, "label double, place long, index binary, value binary").orderBy("place", "label", F.length("index"), "index", "value").limit(sample)
+    # one task has the sample, in order; the driver gets the machine alone
+    found = taken.mapInArrow(_trained, "bias double, linear binary, factors binary").first()
+    return fit([], np.zeros(0)) if found is None else FactorMachine(found["bias"], np.frombuffer(found["linear"]), np.frombuffer(found["factors"]).reshape(N_FEATURES, FACTORS))
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the machine for rows (label, place, index, value), as packed numbers."""
+    labels, pairs = [], []
+    for batch in batches:
+        labels += batch.column("label").to_pylist()
+        pairs += [(np.frombuffer(i.as_py(), "<u2"), np.frombuffer(v.as_py(), "<f4")) for i, v in zip(batch.column("index"), batch.column("value"), strict=True)]
+    machine = fit(pairs, np.array(labels, float))
+    yield pa.RecordBatch.from_arrays([pa.array([machine.bias]), *[pa.array([x.astype("<f8").tobytes()], pa.binary()) for x in (machine.linear, machine.factors)]], names=["bias", "linear", "factors"])
 
 
 def _scores(machine):

@@ -1,8 +1,10 @@
+import os
 import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from graphloom.llm.quality_fm import FACTORS, N_FEATURES, FactorMachine, features, keep_quality, quality_scores
 
@@ -70,3 +72,19 @@ def test_clashing_names_and_repeated_ids(spark):
     assert kept.columns == table.columns and dict(kept.dtypes)["c0"] == "map<string,string>"
     same = {r.doc_id for r in quality_scores(many, known, sample=100).where("predicted = 1").collect()}
     assert {r.doc_id for r in kept.collect()} == same
+
+
+def test_training_leaves_rows_in_the_task(spark, monkeypatch):
+    from graphloom.llm import quality_fm
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "good words here").otherwise("BAD 123 !!").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality"))
+    kept, driver = quality_fm.fit, os.getpid()
+    monkeypatch.setattr(quality_fm, "fit", lambda rows, *a, **b: kept(rows, *a, **b) if not rows or os.getpid() != driver else pytest.fail("rows on the driver"))
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: pytest.fail("rows on the driver"))
+    machine = quality_fm.train(docs, labels)
+    assert machine.linear.any() and machine.factors.shape == (N_FEATURES, FACTORS)
+    empty = quality_fm.train(docs, labels.where("false"))
+    assert empty.bias == 0 and not empty.linear.any()
