@@ -65,3 +65,19 @@ def test_strip_is_what_the_pattern_did(spark):
     df = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.udf(lambda k: f"{chr(k)} \n{chr(k)}a{chr(k)}b\n{chr(k)}\r\n{chr(k)}", "string")("id").alias("t"))
     assert not df.where(T.strip(F.col("t")) != F.regexp_replace("t", f"^{pattern}+|{pattern}+$", "")).count()
     assert spark.createDataFrame([("",), (" 　",), (None,)], "t string").select(T.strip(F.col("t"))).collect() == [("",), ("",), (None,)]
+
+
+def test_clustering_rounds_move_numbers(spark, monkeypatch):
+    from graphloom.operators import clustering
+
+    kinds, kept = [], clustering._moves
+    monkeypatch.setattr(clustering, "_moves", lambda links, start, *a: kinds.append((dict(links.dtypes)["a"], dict(start.dtypes)["community"])) or kept(links, start, *a))
+    pairs = [(f"{g}{i}", f"{g}{j}") for g in "xy" for i in range(5) for j in range(i)] + [("x0", "y0")]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, dst string, weight double")
+    start = spark.createDataFrame([(f"x{i}", "old") for i in range(3)], "id string, community string")
+    found = clustering.communities(edges, (1.0,), start=start).collect()
+    assert set(kinds) == {("bigint", "bigint")}
+    groups = {}
+    for r in found:
+        groups.setdefault(r.community, set()).add(r.id)
+    assert sorted(map(sorted, groups.values())) == [[f"{g}{i}" for i in range(5)] for g in "xy"]
