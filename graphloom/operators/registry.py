@@ -131,22 +131,29 @@ def candidates(queries: DataFrame, registry: DataFrame, threshold: float = 0.92,
     return near.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "entity_id", "score", "rank")
 
 
+#: Names that each text is compared with where it is read.
+FEW_NAMES = 64
+
+
 def mentions(texts: DataFrame, registry: DataFrame) -> DataFrame:
     """(text_id, entity_id): entities of which a name or alias is part of the text, whatever the case; one row for each.
 
-    A name is looked for where its rarest letter triple stands, so no text meets every name: triples of
-    texts, ids only, meet triples of names in a hash join; the texts of what is left are fetched after and
+    Up to FEW_NAMES names are compared with each text where it is read. Of more, a name is looked for where
+    its rarest letter triple stands, so no text meets every name: triples of texts, ids only and none that
+    no name has, meet triples of names in a hash join; the texts of what is left are fetched after and
     compared. Names of one or two letters meet letters and pairs.
     """
-    names = registry.select("entity_id", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("raw")).select("entity_id", F.lower("raw").alias("name")).where("name <> ''").distinct()
-    low = texts.select("text_id", F.lower("text").alias("text")).where("text <> ''")
+    names = materialize(registry.select("entity_id", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("raw")).select("entity_id", F.lower("raw").alias("name")).where("name <> ''").distinct())
+    low = texts.where("text <> ''").select("text_id", F.lower("text").alias("text"))
+    if names.count() <= FEW_NAMES:
+        return low.join(F.broadcast(names), F.contains("text", "name")).select("text_id", "entity_id").distinct()
     letters = lambda c: F.split(c, "")
     at = lambda w, i: F.coalesce(F.get(w, i), F.lit(""))  # noqa: E731  letters of an array, as a substring walks the text from its start
     runs = lambda w, n: F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.concat(*[at(w, i + j) for j in range(n)]))
     distinct = lambda c, n: F.transform(F.array(letters(c)), lambda w: F.array_distinct(runs(w, n)))[0]
-    grams = materialize(low.select("text_id", F.explode(distinct(F.col("text"), 3)).alias("gram")).distinct())
+    inside = materialize(names.where(F.length("name") >= 3).select("entity_id", "name", F.explode(F.filter(distinct(F.col("name"), 3), lambda g: F.length(g) == 3)).alias("gram")))
+    grams = materialize(low.select("text_id", F.explode(distinct(F.col("text"), 3)).alias("gram")).join(inside.select("gram").distinct(), "gram", "left_semi").select("text_id", "gram").distinct())
     uses = grams.groupBy("gram").agg(F.count("*").alias("uses"))
-    inside = names.where(F.length("name") >= 3).select("entity_id", "name", F.explode(F.filter(distinct(F.col("name"), 3), lambda g: F.length(g) == 3)).alias("gram"))
     rare = inside.join(uses, "gram", "left").groupBy("entity_id", "name").agg(F.min_by("gram", F.struct(F.coalesce("uses", F.lit(0).cast("long")).alias("u"), "gram")).alias("gram"))
     met = grams.join(rare, "gram").select(F.col("text_id").alias("__id"), "entity_id", "name")
     found = low.join(met, F.col("text_id").eqNullSafe(F.col("__id"))).where(F.contains("text", "name")).select("text_id", "entity_id")
