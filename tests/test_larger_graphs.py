@@ -1,10 +1,12 @@
 """Graph steps and mentions on larger tables: what a task holds and what moves doesn't grow faster than the tables."""
 
 import random
+import re
 
 import pytest
 from graphloom.operators import registry
 from graphloom.plans import catalog
+from graphloom.plans import fixtures as X
 from test_larger_tables import DATA, plan, same_as_sql
 
 
@@ -31,3 +33,18 @@ def test_mentions_write_only_triples_of_names(spark, monkeypatch, few):
     for df in written:
         if "text_id" in df.columns:
             assert {r.gram for r in df.collect()} <= triples
+
+
+def test_edges_are_summed_in_as_many_tasks_as_lines_need(spark, monkeypatch):
+    monkeypatch.setattr(X, "PART_LINES", 100, raising=False)
+    lines = X.read(spark, DATA, "lineitem").count()
+    assert f"RepartitionByExpression [l_partkey#0], {-(-lines // 100)}" in re.sub(r"#\d+L?", "#0", plan(X.edges(spark, DATA)))
+    assert "count(" not in plan(X.nodes(spark, DATA))
+    assert all(same_as_sql(spark, name) for name in ("node_degree", "singleton_clusters"))
+
+
+def test_nodes_of_missing_keys(spark, tmp_path):
+    spark.createDataFrame([(1, 2, None), (2, None, 3), (3, 2, 2), (4, 2, 2)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(2, 1), (5, None)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = [r.id for r in X.nodes(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, found)) == ["N1", "None", "P2", "S2", "S3", "S5"]
