@@ -4,9 +4,10 @@ import random
 import re
 
 import pytest
-from graphloom.operators import registry
+from graphloom.operators import graph, registry
 from graphloom.plans import catalog
 from graphloom.plans import fixtures as X
+from pyspark.sql import functions as F
 from test_larger_tables import DATA, plan, same_as_sql
 
 
@@ -48,3 +49,31 @@ def test_nodes_of_missing_keys(spark, tmp_path):
     spark.createDataFrame([(2, 1), (5, None)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
     found = [r.id for r in X.nodes(spark, str(tmp_path)).collect()]
     assert sorted(map(str, found)) == ["N1", "None", "P2", "S2", "S3", "S5"]
+
+
+def brute_components(nodes, edges):
+    label = {x: x for x in [*nodes, *[x for e in edges for x in e]]}
+    while True:
+        before = dict(label)
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            return {x: label[x] for x in nodes}
+
+
+@pytest.mark.parametrize("seeds", [1, 2])
+def test_components_move_numbers(spark, monkeypatch, seeds):
+    draw = random.Random(seeds)
+    pairs = [(f"n{draw.randrange(150)}", f"n{draw.randrange(150)}") for _ in range(110)] + [(f"p{k}", f"p{k + 1}") for k in range(70)] + [("hub", f"h{k}") for k in range(50)] + [("x", "x"), ("a only end", "n3")]
+    nodes = sorted({x for p in pairs for x in p if x != "a only end"}) + ["lonely"]
+    moved, kept, code = [], graph.materialize, graph._code
+    monkeypatch.setattr(graph, "PART_ROWS", 40)
+    monkeypatch.setattr(graph, "materialize", lambda df: moved.append(dict(df.dtypes)) or kept(df))
+    if seeds == 2:  # the first codes of some ids are equal
+        monkeypatch.setattr(graph, "_code", lambda c, seed: code(c, seed) if seed else F.pmod(code(c, 0), F.lit(50)))
+    edges = spark.createDataFrame(pairs + pairs[:20], "src string, dst string")
+    found = graph.components(spark.createDataFrame([(x,) for x in nodes] + [(None,)], "id string"), edges).collect()
+    want = {**brute_components(nodes, pairs), None: None}
+    assert len(found) == len(want) and {r.id: r.component for r in found} == want
+    links = [m for m in moved if set(m) in ({"a", "b"}, {"a", "m"})]
+    assert links and all(set(m.values()) == {"bigint"} for m in links)
