@@ -77,3 +77,10 @@ def test_components_move_numbers(spark, monkeypatch, seeds):
     assert len(found) == len(want) and {r.id: r.component for r in found} == want
     links = [m for m in moved if set(m) in ({"a", "b"}, {"a", "m"})]
     assert links and all(set(m.values()) == {"bigint"} for m in links)
+
+
+def test_merged_edges_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(X, "PART_LINES", 100)
+    lines = X.read(spark, DATA, "lineitem").count()
+    assert f"RepartitionByExpression [src#0, dst#0], {-(-lines // 100) * 2}" in re.sub(r"#\d+L?", "#0", plan(catalog.QUERIES["edge_merge_existing"](spark, DATA)))
+    assert same_as_sql(spark, "edge_merge_existing_all")
