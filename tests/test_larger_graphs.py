@@ -84,3 +84,32 @@ def test_merged_edges_are_dealt_over_tasks(spark, monkeypatch):
     lines = X.read(spark, DATA, "lineitem").count()
     assert f"RepartitionByExpression [src#0, dst#0], {-(-lines // 100) * 2}" in re.sub(r"#\d+L?", "#0", plan(catalog.QUERIES["edge_merge_existing"](spark, DATA)))
     assert same_as_sql(spark, "edge_merge_existing_all")
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_ranks_move_numbers(spark, monkeypatch, few):
+    draw = random.Random(9)
+    weights = {tuple(sorted((f"n{draw.randrange(30)}", f"n{draw.randrange(30)}"))): float(draw.randrange(0, 4)) for _ in range(60)}
+    nodes, seeds, written, kept = [f"n{k}" for k in range(30)] + ["lonely"], ["n1", "lonely", "gone"], [], graph.materialize
+    monkeypatch.setattr(graph, "BROADCAST_RANKS", few, raising=False)
+    monkeypatch.setattr(graph, "materialize", lambda df: written.append(df.dtypes) or kept(df))
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "src string, dst string, weight double")
+    table = lambda ids: spark.createDataFrame([(x,) for x in ids], "id string")
+    found = {r.id: r["rank"] for r in graph.pagerank(table(nodes), edges, table(seeds), iterations=7).collect()}
+    around = {x: {} for x in nodes}
+    for (a, b), w in weights.items():
+        if w:
+            around[a][b] = around[b][a] = w
+    seed = {x: (x in seeds) / 2 for x in nodes}
+    rank = dict(seed)
+    for _ in range(7):
+        loose = sum(rank[x] for x in nodes if not around[x])
+        got = {x: sum(rank[y] * w / sum(around[y].values()) for y, w in around[x].items()) for x in nodes}
+        rank = {x: 0.85 * (got[x] + loose * seed[x]) + 0.15 * seed[x] for x in nodes}
+    assert found == pytest.approx(rank, abs=1e-12)
+    assert all(dict(t).get("id") is None or "other" not in dict(t) for t in written)  # no table of moves by text
+    assert sum({"rank", "old"} <= set(dict(t)) and "id" not in dict(t) for t in written) == 7
+
+
+def test_ppr_is_its_sql(spark):
+    assert same_as_sql(spark, "ppr_fixed_iterations_all")
