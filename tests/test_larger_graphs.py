@@ -113,3 +113,25 @@ def test_ranks_move_numbers(spark, monkeypatch, few):
 
 def test_ppr_is_its_sql(spark):
     assert same_as_sql(spark, "ppr_fixed_iterations_all")
+
+
+def test_communities_count_edges_without_a_row_for_each(spark):
+    df = catalog.QUERIES["community_schema"](spark, DATA)
+    assert not re.search(r"Aggregate \[level[^]]*, src", plan(df))
+    assert same_as_sql(spark, "community_schema") and same_as_sql(spark, "modularity")
+
+
+def test_counts_of_overlapping_communities(spark):
+    draw = random.Random(4)
+    members = sorted({(f"n{draw.randrange(20)}", draw.randrange(2), f"c{draw.randrange(4)}") for _ in range(60)})
+    edges = [(f"n{draw.randrange(24)}", f"n{draw.randrange(24)}") for _ in range(70)] + [("n1", "n1"), ("n1", None), (None, "n2"), ("n2", "n3"), ("n3", "n2")]
+    chunks = [(f"n{draw.randrange(24)}", f"k{draw.randrange(30)}") for _ in range(80)]
+    found = graph.community_counts(*(spark.createDataFrame(rows, t) for rows, t in ((members, "id string, level int, cluster string"), (edges, "src string, dst string"), (chunks, "id string, chunk_id string")))).collect()
+    want = {}
+    for level, cluster in {m[1:] for m in members}:
+        own = {m[0] for m in members if m[1:] == (level, cluster)}
+        around = {tuple(sorted((a, b or a))) for a, b in edges if a and (a in own or b in own)}
+        want[level, cluster] = (len(own), len(around), len({k for x, k in chunks if x in own}))
+    most = max(n for _, _, n in want.values())
+    assert {(r.level, r.cluster): (r.nodes, r.edges, r.chunks) for r in found} == want
+    assert all(abs(r.occurrence - r.chunks / most) < 1e-12 for r in found)
