@@ -43,13 +43,23 @@ def delete(table: DataFrame, keys: DataFrame, key: str | list[str]) -> DataFrame
     return table.join(keys.select(key).distinct() if isinstance(key, str) else keys.select(*key).distinct(), key, "left_anti")
 
 
-def changes(incoming: DataFrame, stored: DataFrame, extraction_hash: str, force: bool = False) -> DataFrame:
-    """(doc_id, content, content_hash, status) of incoming(doc_id, content) against stored(doc_id, content_hash, extraction_hash): new, changed, reconfigured or unchanged; forced for all if asked. Blank contents go."""
-    rows = incoming.select("doc_id", strip(F.col("content")).alias("content")).where("content <> ''")
+def changes(incoming: DataFrame, stored: DataFrame, extraction_hash: str, force: bool = False, stripped: bool = True) -> DataFrame:
+    """(doc_id, content, content_hash, status) of incoming(doc_id, content) against stored(doc_id, content_hash, extraction_hash): new, changed, reconfigured or unchanged; forced for all if asked.
+
+    Contents are stripped and blank ones go; with stripped false all stay as they are, null ones too. One row
+    per row of incoming: an id that is stored several times has several contents, a null id is an id.
+    """
+    rows = incoming.select("doc_id", "content")
+    if stripped:
+        rows = rows.withColumn("content", strip(F.col("content"))).where("content <> ''")
     rows = rows.withColumn("content_hash", F.sha2("content", 256))
-    old = stored.select("doc_id", F.col("content_hash").alias("old_hash"), F.col("extraction_hash").alias("old_extraction"), F.lit(True).alias("had"))
-    status = F.when(F.col("had").isNull(), "new").when(~F.col("content_hash").eqNullSafe(F.col("old_hash")), "changed").when(~F.col("old_extraction").eqNullSafe(F.lit(extraction_hash)), "reconfigured").otherwise("unchanged")
-    return rows.join(old, "doc_id", "left").select("doc_id", "content", "content_hash", (F.lit("forced") if force else status).alias("status"))
+    if force:
+        return rows.withColumn("status", F.lit("forced"))
+    old = stored.groupBy(F.col("doc_id").alias("old_id"), F.col("content_hash").alias("old_hash")).agg(F.max(F.col("extraction_hash").eqNullSafe(F.lit(extraction_hash))).alias("same"))
+    ids = old.select(F.col("old_id").alias("had_id"), F.lit(True).alias("had")).distinct()
+    status = F.when(F.col("had").isNull(), "new").when(F.col("same").isNull(), "changed").when(~F.col("same"), "reconfigured").otherwise("unchanged")
+    met = rows.join(old, F.col("doc_id").eqNullSafe(F.col("old_id")) & F.col("content_hash").eqNullSafe(F.col("old_hash")), "left").join(ids, F.col("doc_id").eqNullSafe(F.col("had_id")), "left")
+    return met.select("doc_id", "content", "content_hash", status.alias("status"))
 
 
 def extraction_hash(function: str, model: str, backend: str, quality: str):
