@@ -1,6 +1,7 @@
 """Rows that only larger tables have, and steps whose memory or disk grew faster than their tables."""
 
 import duckdb
+from graphloom.llm import source_mix
 from test_larger_tables import same_as_sql
 
 
@@ -11,3 +12,14 @@ def test_delta_status_of_odd_rows(spark, tmp_path):
     rows = ", ".join(f"({i}, {t})" for i in ids for t in texts + ["'a'"])
     duckdb.sql(f"COPY (SELECT CAST(i AS BIGINT) AS doc_id, CAST(t AS VARCHAR) AS text FROM (VALUES {rows}) v(i, t)) TO '{tmp_path}/documents.parquet'")
     assert same_as_sql(spark, "delta_status", str(tmp_path))
+
+
+def test_slots_of_a_mix_are_not_broadcast(spark):
+    """Slots are many more than the draws that Spark knows the size of: they meet blocks in a shuffle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for df in (source_mix.taken(docs), source_mix.mixed_texts(docs)):
+        assert len(df.collect()) >= 1000
+        final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        joins = [line for line in final.splitlines() if "Join" in line]
+        assert any("SortMergeJoin" in j and "block#" in j for j in joins)
+        assert not any("BroadcastHashJoin" in j and ("block#" in j or "unit#" in j) for j in joins)
