@@ -1,8 +1,10 @@
 """Rows that only larger tables have, and steps whose memory or disk grew faster than their tables."""
 
 import duckdb
+import pytest
 from graphloom.llm import source_mix
-from test_larger_tables import same_as_sql
+from graphloom.plans.catalog import QUERIES
+from test_larger_tables import DATA, same_as_sql
 
 
 def test_delta_status_of_odd_rows(spark, tmp_path):
@@ -23,3 +25,17 @@ def test_slots_of_a_mix_are_not_broadcast(spark):
         joins = [line for line in final.splitlines() if "Join" in line]
         assert any("SortMergeJoin" in j and "block#" in j for j in joins)
         assert not any("BroadcastHashJoin" in j and ("block#" in j or "unit#" in j) for j in joins)
+
+
+@pytest.mark.parametrize("name", ["rel_combine", "contribution_index"])
+def test_facts_move_as_numbers(spark, name):
+    """No text goes through a shuffle: names, keys and chunk ids are made where a key's rows have met."""
+    df = QUERIES[name](spark, DATA)
+    kinds, todo = [], [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "RepartitionByExpression":
+            kinds.append(node.schema().catalogString())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert len(kinds) >= 2 and not any("string" in k for k in kinds)
+    assert same_as_sql(spark, name)
