@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 from graphloom.llm import source_mix
+from graphloom.operators import clustering
 from graphloom.plans.catalog import QUERIES
 from test_larger_tables import DATA, same_as_sql
 
@@ -39,3 +40,19 @@ def test_facts_move_as_numbers(spark, name):
         todo += [node.children().apply(i) for i in range(node.children().size())]
     assert len(kinds) >= 2 and not any("string" in k for k in kinds)
     assert same_as_sql(spark, name)
+
+
+def test_rounds_of_moves_leave_links_where_they_are(spark, monkeypatch):
+    """A round sums up communities; the links, dealt once, are neither dealt again nor sorted."""
+    plans, kept = [], clustering.materialize
+    monkeypatch.setattr(clustering, "materialize", lambda df: ("goes" in df.columns and plans.append(df._jdf.queryExecution().executedPlan().toString())) or kept(df))
+    pairs = [(x + 6 * g, y + 6 * g) for g in range(2) for x in range(6) for y in range(x)] + [(0, 6)]
+    links = spark.createDataFrame([(0, a, b, 1.0, 1.0) for x, y in pairs for a, b in ((x, y), (y, x))], "layer int, a long, b long, weight double, gamma double")
+    start = spark.range(12).selectExpr("0 layer", "id", "id community")
+    found, moved = clustering._moves(kept(links), kept(start), 1, 8)
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r.community, set()).add(r.id)
+    assert moved and sorted(map(sorted, groups.values())) == [[*range(6)], [*range(6, 12)]]
+    dealt = [line for p in plans for line in p.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY" not in line]
+    assert plans and len(dealt) <= len(plans) and not any("Sort " in p for p in plans)
