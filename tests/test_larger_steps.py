@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 from graphloom.llm import source_mix
-from graphloom.operators import clustering
+from graphloom.operators import clustering, graph
 from graphloom.plans.catalog import QUERIES
 from test_larger_tables import DATA, same_as_sql
 
@@ -56,3 +56,21 @@ def test_rounds_of_moves_leave_links_where_they_are(spark, monkeypatch):
     assert moved and sorted(map(sorted, groups.values())) == [[*range(6)], [*range(6, 12)]]
     dealt = [line for p in plans for line in p.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY" not in line]
     assert plans and len(dealt) <= len(plans)
+
+
+def test_steps_of_walks_move_walkers_alone(spark, monkeypatch):
+    """The table of steps is dealt once, not at each step; a walker carries no more than its last nodes."""
+    plans, kept = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df: ("path" in df.columns and plans.append(df._jdf.queryExecution().executedPlan().toString())) or kept(df))
+    name, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(name, "-1")
+    try:
+        edges = spark.createDataFrame([(f"n{k}", f"n{(k + 1) % 20}", 1.0) for k in range(20)], "src string, dst string, weight double")
+        nodes = spark.createDataFrame([(f"n{k}",) for k in range(20)] + [("lonely",)], "id string")
+        found = {r.walk: r.path for r in graph.walks(nodes, edges, 2, 12).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert set(found) == {f"{i}/{k}" for i in [*(f"n{k}" for k in range(20)), "lonely"] for k in (1, 2)}
+    assert all(len(p) == 12 and all((int(a[1:]) - int(b[1:])) % 20 in (1, 19) for a, b in zip(p, p[1:], strict=False)) for w, p in found.items() if w[0] == "n")
+    assert found["lonely/1"] == found["lonely/2"] == ["lonely"]
+    assert len(plans) == 2 and "Exchange hashpartitioning(at#" in plans[0] and not any("Exchange hashpartitioning(__at#" in p for p in plans)
