@@ -74,3 +74,12 @@ def test_steps_of_walks_move_walkers_alone(spark, monkeypatch):
     assert all(len(p) == 12 and all((int(a[1:]) - int(b[1:])) % 20 in (1, 19) for a, b in zip(p, p[1:], strict=False)) for w, p in found.items() if w[0] == "n")
     assert found["lonely/1"] == found["lonely/2"] == ["lonely"]
     assert len(plans) == 2 and "Exchange hashpartitioning(at#" in plans[0] and not any("Exchange hashpartitioning(__at#" in p for p in plans)
+
+
+def test_node2vec_has_all_dimensions(spark, tmp_path):
+    """The registered query trains vectors as long as the operator's own, those of the reference."""
+    spark.range(6).selectExpr("id l_orderkey", "id l_partkey", "id % 2 l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(2).selectExpr("id s_suppkey", "id % 2 s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = QUERIES["node2vec"](spark, str(tmp_path)).collect()
+    assert {r.id for r in found} == {*(f"P{i}" for i in range(6)), "S0", "S1", "N0", "N1"}
+    assert all(r.dims == 1536 and r.norm > 0 for r in found)
